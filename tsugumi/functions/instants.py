@@ -47,7 +47,7 @@ _NUMBER = r"^(\d{1,18})(?:\.(\d+))?$"
 
 def known_zones(spark: SparkSession) -> list[str]:
     """Names of zones that the JVM's rules have."""
-    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return [z for z in sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds()) if "'" not in z]
 
 
 def _int(c: Column) -> Column:
@@ -110,7 +110,9 @@ def with_instant(df: DataFrame, value: str, zone: str, out: str = "utc_us", roug
     minutes = minutes.otherwise(F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])[F.upper(z)])
     own = F.when(z.startswith("["), F.regexp_replace(z, r"[\[\]]", ""))
     declared = F.coalesce(own, F.when(~F.coalesce(F.trim(F.col(zone)) == "", F.lit(True)), F.trim(F.col(zone))), F.lit("UTC"))
-    df = df.withColumns({"_off": minutes.cast("long") * (60 * US), "_zone": F.when(declared.isin(known_zones(spark)), declared)})
+    df = df.withColumns({"_off": minutes.cast("long") * (60 * US), "_declared": declared})
+    names = "', '".join(known_zones(spark))
+    df = df.withColumn("_zone", F.expr(f"CASE WHEN _declared IN ('{names}') THEN _declared END"))
     local, zoned = F.col("_l"), (z == "") | z.startswith("[")
     before, after = (local - (shifted(local + d, F.col("_zone")) - (local + d)) for d in (-DAY_US, DAY_US))
     df = df.withColumns({"_a": F.when(zoned, before), "_b": F.when(zoned, after)})
