@@ -1,0 +1,118 @@
+"""Oversized texts cut at natural boundaries, with overlap.
+
+A text is split by a hierarchy of separators: section, paragraph, line, sentence, word, character. Only
+units that are still too long go down a level. The units are then packed greedily into pieces.
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tsugumi.plans.segments import segmented
+
+LIMIT, OVERLAP = 800, 80
+LEVELS = ("section", "paragraph", "line", "sentence", "word", "character")
+
+_CUTS = [re.compile(r"(?<=\n)(?=#{1,6}[ \t])"), re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"[\n\r]+"), re.compile(r"[。！？]+|[.!?]+(?=\s)"), re.compile(r"\s+")]
+_END = re.compile(r"[\n\r。！？]|[.!?](?=\s)")
+
+
+def _boundaries(text: str, limit: int) -> tuple[list[int], list[int]]:
+    """Where units end, in order, and the level each end belongs to."""
+    found: list[list[int] | None] = [None] * len(_CUTS)
+    ends: list[int] = []
+    levels: list[int] = []
+    todo = [(0, len(text), 0, 0)]
+    while todo:
+        lo, hi, level, mark = todo.pop()
+        if hi - lo <= limit:
+            ends.append(hi)
+            levels.append(mark)
+        elif level == len(_CUTS):
+            for at in range(lo + limit, hi, limit):
+                ends.append(at)
+                levels.append(level)
+            ends.append(hi)
+            levels.append(mark)
+        else:
+            if found[level] is None:
+                found[level] = [m.end() for m in _CUTS[level].finditer(text)]
+            cuts = found[level]
+            inner = [lo, *cuts[bisect_right(cuts, lo) : bisect_left(cuts, hi)], hi]
+            for i in range(len(inner) - 2, -1, -1):
+                todo.append((inner[i], inner[i + 1], level + 1, level if i < len(inner) - 2 else mark))
+    return ends, levels
+
+
+def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """(start, end, level of the cut at end) of the pieces of ``text``; every piece has at most ``limit`` characters and starts ``overlap`` before the end of the one before."""
+    n = len(text)
+    if n <= limit:
+        return [(0, n, 0)]
+    ends, levels = _boundaries(text, limit - overlap)
+    pieces, start, i = [], 0, 0
+    while True:
+        if n - start <= limit:
+            pieces.append((start, n, 0))
+            return pieces
+        j = bisect_right(ends, start + limit, i) - 1
+        pieces.append((start, ends[j], levels[j]))
+        start, i = ends[j] - overlap, j + 1
+
+
+def longest_stretch(text: str) -> int:
+    """Length of the longest stretch without line end and sentence end."""
+    longest = at = 0
+    for m in _END.finditer(text):
+        longest, at = max(longest, m.start() - at), m.end()
+    return max(longest, len(text) - at)
+
+
+def _split(limit: int, overlap: int, texts: bool):
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("text", pa.string()), ("cut", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(1).to_pylist()
+            cut = [split_text(t, limit, overlap) for t in contents]
+            stretch = [longest_stretch(t) for t in contents]
+            arrays = [batch.column(0), pa.array(map(len, cut), pa.int32()), pa.array(stretch, pa.int32()), pa.array([max((x[2] for x in c[:-1]), default=0) for c in cut], pa.int32())]
+            names = ["chunk_id", "pieces", "stretch", "deepest"]
+            if texts:
+                arrays.append(pa.array([[(k, t[a:b], LEVELS[level]) for k, (a, b, level) in enumerate(c)] for t, c in zip(contents, cut)], kind))
+                names.append("parts")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run
+
+
+def oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, texts: bool = False) -> DataFrame:
+    """chunk_id, pieces, stretch, deepest (and parts, if ``texts``) of the chunks whose content has more than ``limit`` code points. Null and short content gives no row."""
+    schema = "chunk_id long, pieces int, stretch int, deepest int" + (", parts array<struct<no int, text string, cut string>>" if texts else "")
+    long = chunks.filter(F.char_length("content") > limit).select("chunk_id", "content")
+    return long.mapInArrow(_split(limit, overlap, texts), schema)
+
+
+def split_kinds(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """chunk_id, kind: hard if the recursion met a stretch of more than ``limit`` characters without line or sentence end, else natural."""
+    return oversized(chunks, limit, overlap).select("chunk_id", F.when(F.col("stretch") > limit, "hard").otherwise("natural").alias("kind"))
+
+
+def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """document_id, chunk_id, section_path, chunk_index (new, from 0 in the document, short chunks counted), piece, cut of the oversized chunks.
+
+    Rows with a null document_id are one document; ties in chunk_index go by chunk_id. chunk_id must be
+    unique and not null.
+    """
+    sizes = oversized(chunks, limit, overlap).select(F.col("chunk_id").alias("_c"), F.col("pieces"))
+    rows = chunks.select("document_id", "chunk_index", "chunk_id", "section_path")
+    rows = rows.join(sizes, rows.chunk_id == sizes._c, "left").drop("_c").withColumn("n", F.coalesce("pieces", F.lit(1)).cast("long"))
+    placed = segmented(rows, ["document_id"], ["chunk_index", "chunk_id"], sums=["n"]).filter("pieces is not null").select("document_id", "chunk_id", "section_path", "before_n")
+    parts = oversized(chunks, limit, overlap, True).select("chunk_id", F.explode("parts").alias("p"))
+    return placed.join(parts, "chunk_id").select("document_id", "chunk_id", "section_path", (F.col("before_n") + F.col("p.no")).alias("chunk_index"), F.col("p.text").alias("piece"), F.col("p.cut").alias("cut"))
