@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tsugumi.llm import conversations, cooccurrence, splitting, term_counts, tokens
+from tsugumi.llm import conversations, cooccurrence, markup, mixing, quality, splitting, term_counts, tokens
 from tsugumi.tables import table
 
 
@@ -45,7 +46,44 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_terms, p8_ids)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, sf_dir, "chunks"))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(table(spark, sf_dir, "chunks"))
+
+
+def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.consensus_paths(table(spark, sf_dir, "chunks"))
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose decoded ids are not their text: none."""
+    documents = table(spark, sf_dir, "documents")
+    back = tokens.decoded(tokens.token_ids(documents))
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("before")).join(back, "doc_id", "left").filter(~F.col("before").eqNullSafe(F.col("text"))).select("doc_id")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, each with the share that its source reached."""
+    chosen, report = mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return chosen.join(F.broadcast(report.select("source", "target_share", "reached_share")), "source").select("doc_id", "source", "uses", "tokens", "target_share", "reached_share")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), table(spark, sf_dir, "doc_labels"))
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 _COUNTS = """
 WITH pairs AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),
