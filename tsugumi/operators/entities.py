@@ -1,0 +1,87 @@
+"""Entities, their links to chunks, their co-occurrence graph, and retrieval over it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tsugumi import params as P
+from tsugumi.functions.text import utrim
+
+
+def tag_entities(documents: DataFrame) -> DataFrame:
+    """doc_id, name: tags of documents, lower case, trimmed, of at least two characters, once per document."""
+    return documents.select("doc_id", F.explode("tags").alias("tag")).select("doc_id", F.lower(utrim(F.col("tag"))).alias("name")).filter(F.char_length("name") >= 2).distinct()
+
+
+def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:
+    """chunk_id, name of the custom ``terms`` (name) in each text.
+
+    A term with CJK signs matches anywhere, any other between word boundaries, in any case. Instead of
+    testing every term on every text, what a text holds that could be a term is looked up: windows of
+    as many characters as there are different CJK term lengths, and spans of words joined by dots and dashes.
+    """
+    named = terms.select(F.lower(utrim(F.col("name"))).alias("name")).filter(F.char_length("name") >= 2).distinct()
+    cjk = F.col("name").rlike(r"[\u3000-\u9fff\uf900-\ufaff\uff00-\uffef]")
+    sizes = sorted(r.n for r in named.filter(cjk).select(F.char_length("name").alias("n")).distinct().collect())  # lengths of terms, a few numbers
+    low = F.lower(F.col(text))
+    word = r"[\p{L}\p{N}\p{M}_]+"
+    joined = F.regexp_extract_all(low, F.lit(f"{word}(?:[.-]{word})*"), F.lit(0))
+    pieces = F.transform(joined, lambda x: F.split(x, "(?<=[.-])|(?=[.-])"))
+    odd = lambda p: F.sequence(F.lit(1), F.size(p), F.lit(2))
+    spans = F.transform(pieces, lambda p: F.flatten(F.transform(odd(p), lambda i: F.transform(F.filter(odd(p), lambda j: j >= i), lambda j: F.array_join(F.slice(p, i, j - i + 1), "")))))
+    found = F.flatten(spans)
+    run = F.regexp_extract_all(low, F.lit(r"[　-鿿豈-﫿＀-￯]+"), F.lit(0))
+    for n in sizes:
+        windows = F.flatten(F.transform(F.filter(run, lambda r: F.char_length(r) >= n), lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - (n - 1)), lambda i: F.substr(r, i, F.lit(n)))))
+        found = F.concat(found, windows)
+    each = chunks.filter(F.col(text).isNotNull()).select("chunk_id", F.explode(F.array_distinct(found)).alias("name"))
+    return each.join(named, "name").select("chunk_id", "name").distinct()
+
+
+def edges(chunk_entities: DataFrame, chunks: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """entity_a < entity_b, doc_id, occurrences: pairs of a chunk count once per chunk, pairs of a document's tags (doc_id, entity_id) once per document.
+
+    Repeated rows count once and null entities not at all. Pairs are made within a chunk, whose distinct
+    entities are one array; texts bound its size.
+    """
+    links = chunk_entities.filter("entity_id is not null and chunk_id is not null").groupBy("chunk_id").agg(F.sort_array(F.collect_set("entity_id")).alias("items"))
+    owned = links.filter(F.size("items") > 1).join(chunks.select("chunk_id", F.col("document_id").alias("doc_id")), "chunk_id").select("doc_id", "items")
+    if tags is not None:
+        owned = owned.unionByName(tags.groupBy("doc_id").agg(F.sort_array(F.collect_set("entity_id")).alias("items")).filter(F.size("items") > 1))
+    pair = F.expr("explode(flatten(transform(items, (x, i) -> transform(slice(items, i + 2, size(items)), y -> struct(x AS entity_a, y AS entity_b)))))")
+    return owned.select("doc_id", pair.alias("p")).groupBy("p.entity_a", "p.entity_b", "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def neighbours(edge_rows: DataFrame, ids: list[int], limit: int = P.RELATED_ENTITIES) -> DataFrame:
+    """related_id, strength: the entities with most occurrences beside ``ids``, without ``ids``, ties by id."""
+    a, b = F.col("entity_a").isin(ids), F.col("entity_b").isin(ids)
+    other = F.when(a, F.col("entity_b")).otherwise(F.col("entity_a"))
+    near = edge_rows.filter(a | b).select(other.alias("related_id"), "occurrences").filter(~F.col("related_id").isin(ids))
+    return near.groupBy("related_id").agg(F.sum("occurrences").alias("strength")).orderBy(F.desc("strength"), "related_id").limit(limit)
+
+
+def entity_ranks(chunk_entities: DataFrame, edge_rows: DataFrame, ids: list[int], limit: int) -> DataFrame:
+    """chunk_id, rank: chunks by the number of matched entities, then chunks of the strongest neighbours that are not among the first."""
+    links = chunk_entities.filter("entity_id is not null").distinct()
+
+    def hop(found: DataFrame) -> DataFrame:
+        return found.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chunk_id").limit(limit)
+
+    order = Window.orderBy(F.desc("n"), "chunk_id")  # over a limited result
+    first = hop(links.filter(F.col("entity_id").isin(ids))).withColumn("rank", F.row_number().over(order) - 1)
+    near = F.broadcast(neighbours(edge_rows, ids).select(F.col("related_id").alias("entity_id")))  # a handful
+    second = hop(links.join(near, "entity_id", "left_semi").join(F.broadcast(first.select("chunk_id")), "chunk_id", "left_anti"))
+    start = first.agg(F.count(F.lit(1)).alias("start"))
+    second = second.crossJoin(F.broadcast(start)).withColumn("rank", F.col("start") + F.row_number().over(order) - 1)
+    return first.select("chunk_id", "rank").unionByName(second.select("chunk_id", F.col("rank").cast("int").alias("rank")))
+
+
+def entity_by_name(entities: DataFrame) -> DataFrame:
+    """name, entity_id: one entity per name, of the type that sorts first."""
+    return entities.filter("name is not null").groupBy("name").agg(F.min_by("entity_id", F.struct("entity_type", "entity_id")).alias("entity_id"))
+
+
+def expansion(edge_rows: DataFrame, entities: DataFrame, ids: list[int], limit: int = P.MAX_EXPANSIONS) -> DataFrame:
+    """name, strength of the strongest neighbours."""
+    return entities.join(F.broadcast(neighbours(edge_rows, ids, limit)), F.col("entity_id") == F.col("related_id")).select("name", "strength")

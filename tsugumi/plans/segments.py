@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def segmented(df: DataFrame, group: list[str], order: list[str], following: list[str] = (), sums: list[str] = (), partitions: int | None = None) -> DataFrame:
-    """``df`` with ``pos`` (1, 2, ... in each group by ``order``) and ``next_<c>`` for each column c of ``following``
-    and ``before_<c>``, the sum of c over the earlier rows of the group, for each column c of ``sums``.
+def segmented(df: DataFrame, group: list[str], order: list[str], following: list[str] = (), sums: list[str] = (), preceding: list[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``pos`` (1, 2, ... in each group by ``order``) and ``next_<c>`` for each column c of ``following``,
+     ``previous_<c>`` for each column c of ``preceding``, and ``before_<c>``, the sum of c over the earlier rows of the group, for each column c of ``sums``.
 
     ``order`` must be total within a group, or ties are numbered arbitrarily. Null group values form
     one group; null order values come first. An empty input gives an empty result.
@@ -26,9 +26,11 @@ def segmented(df: DataFrame, group: list[str], order: list[str], following: list
     rows = parts.withColumns(
         {"_n": F.row_number().over(own)}
         | {f"_lead_{c}": F.lead(F.struct(c)).over(own) for c in following}
+        | {f"_lag_{c}": F.lag(F.struct(c)).over(own) for c in preceding}
         | {f"_sum_{c}": F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums}
     )
     first = [F.min_by(F.struct(*following), F.col("_n")).alias("_first")] if following else []
+    first += [F.max_by(F.struct(*preceding), F.col("_n")).alias("_end")] if preceding else []
     summary = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *first, *[F.sum(c).alias(f"_all_{c}") for c in sums])
     across = Window.partitionBy(*group).orderBy("_seg")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +38,8 @@ def segmented(df: DataFrame, group: list[str], order: list[str], following: list
         {"_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
         | {f"_past_{c}": F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)) for c in sums}
         | ({"_after": F.lead("_first").over(across)} if following else {})
-    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_before", "_rows", *[f"_past_{c}" for c in sums], *(["_after"] if following else []))
+        | ({"_ahead": F.lag("_end").over(across)} if preceding else {})
+    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_before", "_rows", *[f"_past_{c}" for c in sums], *(["_after"] if following else []), *(["_ahead"] if preceding else []))
     same: Column = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -44,6 +47,7 @@ def segmented(df: DataFrame, group: list[str], order: list[str], following: list
     out = out.withColumns(
         {"pos": F.col("_before") + F.col("_n")}
         | {f"next_{c}": F.when(F.col("_n") == F.col("_rows"), F.col(f"_after.{c}")).otherwise(F.col(f"_lead_{c}.{c}")) for c in following}
+        | {f"previous_{c}": F.when(F.col("_n") == 1, F.col(f"_ahead.{c}")).otherwise(F.col(f"_lag_{c}.{c}")) for c in preceding}
         | {f"before_{c}": F.col(f"_past_{c}") + F.col(f"_sum_{c}") for c in sums}
     )
-    return out.select(*df.columns, "pos", *(f"next_{c}" for c in following), *(f"before_{c}" for c in sums))
+    return out.select(*df.columns, "pos", *(f"next_{c}" for c in following), *(f"previous_{c}" for c in preceding), *(f"before_{c}" for c in sums))

@@ -1,0 +1,589 @@
+"""Queries of parsing, indexing, retrieval and upkeep, and the SQL they are compared with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tsugumi import params as P
+from tsugumi.functions import analysis as A
+from tsugumi.functions.text import utrim
+from tsugumi.operators import chunking, dictionary, entities, links, maintenance, retrieval, sessions, synonyms
+from tsugumi.operators.incremental import plain_hash
+from tsugumi.plans import search as S
+from tsugumi.streaming import watch
+from tsugumi.tables import table
+
+AS_OF = "2025-07-01"
+TOP = 15
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL it must agree with."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- text ----------------------------------------------------------------------------------------
+
+_TERMS = f"coalesce(regexp_extract_all(translate(lower(content), '{A.ACCENTED}', '{A.PLAIN}'), '{A.term_pattern('')}'), [])"
+_TOK = f"WITH tok AS (SELECT chunk_id, {_TERMS} AS t FROM chunks)"
+_SEG = A.segment_pattern("")
+_NOT_NOUN = A.NOT_NOUN.replace("Is", "").replace("'", "''")
+_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _trimmed(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _keywords(c: str) -> str:
+    kept = f"list_filter(coalesce(regexp_extract_all({c}, '{_SEG}'), []), lambda x: NOT regexp_matches(x, '{_NOT_NOUN}'))"
+    return f"list_filter({kept}, lambda x, i: list_position({kept}, x) = i)"
+
+
+@query(_TOK + " SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.corpus_statistics(table(spark, d, "chunks"))
+
+
+@query(_TOK + " SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest(t) AS term FROM tok) GROUP BY term")
+def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.document_frequencies(table(spark, d, "chunks"))
+
+
+@query(_TOK + " SELECT chunk_id, term, count(*) AS tf, list(position ORDER BY position) AS positions FROM (SELECT chunk_id, unnest(t) AS term, unnest(range(len(t))) AS position FROM tok) GROUP BY 1, 2")
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.postings(table(spark, d, "chunks"))
+
+
+@query(f"SELECT doc_id, array_to_string(coalesce(regexp_extract_all(title, '{_SEG}'), []), ' ') AS words FROM documents")
+def segmented_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", A.segmented_text(F.col("title")).alias("words"))
+
+
+@query(f"SELECT chunk_id, array_to_string({_keywords('content')}, ' ') AS keywords FROM chunks")
+def keywords(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("chunk_id", F.array_join(A.keywords(F.col("content")), " ").alias("keywords"))
+
+
+@query(f"""SELECT chunk_id, {_trimmed("substr(CASE WHEN contains(content, chr(10)) THEN substr(content, instr(content, chr(10)) + 1) ELSE content END, 1, 200)")} AS snippet,
+sha256(content) AS hash, strlen(content) AS bytes, length(content) AS chars FROM chunks""")
+def snippets_and_hashes(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("content")
+    return table(spark, d, "chunks").select("chunk_id", A.snippet(c).alias("snippet"), F.sha2(F.encode(c, "UTF-8"), 256).alias("hash"), F.octet_length(c).alias("bytes"), F.char_length(c).alias("chars"))
+
+
+# ---- notes ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\\n\\s*\\n')) AS x FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, count(*) AS paragraphs, sum(length({_trimmed('x')})) AS chars FROM p WHERE {_trimmed('x')} <> '' GROUP BY doc_id""")
+def paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "documents").select("doc_id", F.explode(chunking.paragraphs(F.col("text"))).alias("x"))
+    return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.char_length("x")).alias("chars"))
+
+
+@query()
+def merged_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    parts = chunking.greedy(chunking.paragraphs(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("piece", "text"))
+
+
+@query()
+def note_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.note_chunks(table(spark, d, "documents"))
+
+
+@query("""WITH f AS (SELECT doc_id, regexp_extract(text, '(?s)\\A---\\s*\\n(.*?)\\n---\\s*\\n', 1) AS y FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, nullif(regexp_extract(y, '(?m)^status:[ ]*(.*)$', 1), '') AS status FROM f WHERE y <> '' AND regexp_extract(y, '(?m)^status:[ ]*(.*)$', 1) <> ''""")
+def front_matter_status(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.parsed_notes(table(spark, d, "documents")).filter("status is not null").select("doc_id", "status")
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(file_path, '/') AS s FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(s) >= 3 THEN s[1] || '/' || s[2] ELSE s[1] END AS directory FROM p)
+SELECT doc_id, directory, CASE string_split(directory, '/')[-1] WHEN 'notes' THEN 'note' WHEN 'ideas' THEN 'idea' WHEN 'updates' THEN 'update' WHEN 'products' THEN 'product'
+WHEN 'decisions' THEN 'decision' WHEN 'retrospectives' THEN 'retrospective' ELSE string_split(directory, '/')[-1] END AS kind FROM l""")
+def directory_labels(spark: SparkSession, d: str) -> DataFrame:
+    label = chunking.directory_label(F.col("file_path"))
+    return table(spark, d, "documents").select("doc_id", label.alias("directory"), chunking.source_type(label).alias("kind"))
+
+
+# ---- sessions ------------------------------------------------------------------------------------
+
+_ARRAY_TEXT = "array_to_string(list_filter(list_transform(from_json(content, '[\"json\"]'), lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' WHEN json_type(x) = 'OBJECT' AND (x ->> '$.type') = 'text' THEN x ->> '$.text' END), lambda t: t IS NOT NULL), chr(10))"
+_QA = f"""WITH m AS (SELECT session_id AS session, line_no, msg_id, lower(trim(message.role)) AS role, message.content AS content, msg_timestamp FROM session_messages),
+x AS (SELECT *, {_trimmed(f"CASE WHEN starts_with(trim(content), '[') AND json_valid(content) AND json_type(content) = 'ARRAY' THEN {_ARRAY_TEXT} ELSE content END")} AS text FROM m),
+k AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt, lag(role) OVER w AS pr FROM x WHERE role IN ('user', 'assistant') AND length(text) >= 10 WINDOW w AS (PARTITION BY session ORDER BY line_no NULLS FIRST, msg_id)),
+c AS (SELECT *, CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || '...' ELSE text END AS ct, CASE WHEN length(nt) > 800 THEN substr(nt, 1, 800) || '...' ELSE nt END AS cn FROM k),
+p AS (SELECT session, line_no, msg_id, msg_timestamp, CASE WHEN role = 'user' AND nr = 'assistant' AND length(text) + length(nt) > 1600 THEN ['Q: ' || ct, 'A: ' || cn]
+ WHEN role = 'user' AND nr = 'assistant' THEN ['Q: ' || text || chr(10) || 'A: ' || nt] WHEN role = 'user' THEN ['Q: ' || ct] WHEN pr IS NULL OR pr <> 'user' THEN [ct] END AS parts FROM c),
+e AS (SELECT session, line_no, msg_id, msg_timestamp AS timestamp, unnest(parts) AS content, unnest(range(len(parts))) AS kk FROM p WHERE parts IS NOT NULL),
+qa AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY line_no NULLS FIRST, msg_id, kk) - 1 AS chunk_index, content, timestamp FROM e)
+"""
+
+
+def _qa(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "session_messages").select(F.col("session_id").alias("session"), F.col("line_no").alias("ord"), F.col("msg_id").alias("id"), F.lower(F.trim("message.role")).alias("role"), F.col("message.content").alias("content"), F.col("msg_timestamp").alias("timestamp"))
+    return sessions.qa_chunks(sessions.message_text(rows))
+
+
+@query(_QA + "SELECT session, chunk_index, content, timestamp FROM qa")
+def session_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _qa(spark, d)
+
+
+@query(_QA + "SELECT 'session:' || session AS file_path, 'current' AS status, arg_min(timestamp, chunk_index) FILTER (timestamp IS NOT NULL) AS created, arg_max(timestamp, chunk_index) FILTER (timestamp IS NOT NULL) AS updated, count(*) AS chunks FROM qa GROUP BY session")
+def session_documents(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.session_documents(_qa(spark, d))
+
+
+# ---- full text and vectors -----------------------------------------------------------------------
+
+
+def _phrase(p: list[str]) -> str:
+    if len(p) == 1:
+        return f"len(list_filter(t, lambda x: x = '{p[0]}'))"
+    return f"len(list_filter(range(1, greatest(len(t) - {len(p) - 2}, 1)), lambda i: t[i:i + {len(p) - 1}] = {p}))"
+
+
+def _bm25(groups: list[list[list[str]]]) -> str:
+    """CTEs up to ``hit`` (chunk_id, score)."""
+    names = [(f"f{i}{j}", p) for i, g in enumerate(groups) for j, p in enumerate(g)]
+    counts = ", ".join(f"{_phrase(p)} AS {n}" for n, p in names)
+    stats = ", ".join(f"ln((count(*) - count(*) FILTER ({n} > 0) + 0.5) / (count(*) FILTER ({n} > 0) + 0.5)) AS i{n}" for n, _ in names)
+    part = lambda n: f"(CASE WHEN i{n} > 0 THEN i{n} ELSE 1e-6 END) * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+    whole = [" AND ".join(f"f{i}{j} > 0" for j in range(len(g))) for i, g in enumerate(groups)]
+    score = " + ".join(f"CASE WHEN {w} THEN {' + '.join(part(f'f{i}{j}') for j in range(len(groups[i])))} ELSE 0 END" for i, w in enumerate(whole))
+    return f"{_TOK}, cnt AS (SELECT chunk_id, len(t) AS dl, {counts} FROM tok), st AS (SELECT avg(dl) AS avgdl, {stats} FROM cnt), hit AS (SELECT chunk_id, {score} AS score FROM cnt, st WHERE {' OR '.join(f'({w})' for w in whole)})"
+
+
+_BEST = f" SELECT chunk_id, round(score, 6) AS score FROM hit ORDER BY hit.score DESC, chunk_id LIMIT {TOP}"
+GROUPS = {
+    "bm25_term": [[["glaze"]]],
+    "bm25_and": [[["索引"], ["窯"]]],
+    "bm25_or_groups": [[["loom"], ["kiln"]], [["relay"]], [["relay"], ["battery"]]],
+    "bm25_phrase": [[["the", "cause", "is", "still"]]],
+}
+
+
+def _bm25_query(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return retrieval.top(retrieval.bm25(table(spark, d, "chunks"), GROUPS[name]), TOP).select("chunk_id", F.round("score", 6).alias("score"))
+
+    run.__name__ = name
+    return run
+
+
+for _name, _groups in GROUPS.items():
+    query(_bm25(_groups) + _BEST)(_bm25_query(_name))
+
+_QUERY_VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+
+def _first_vector(spark: SparkSession, d: str) -> list[float]:
+    return list(table(spark, d, "embeddings").orderBy("vec_id").first().embedding)
+
+
+@query(f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_QUERY_VECTOR}), 6) AS distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_QUERY_VECTOR}), vec_id LIMIT {TOP}")
+def knn_one(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.nearest(table(spark, d, "embeddings"), _first_vector(spark, d), TOP).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM x) SELECT query_id, vec_id, round(dist, 6) AS distance, rank FROM r WHERE rank <= {TOP}""")
+def knn_each(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    near = retrieval.nearest_each(vectors, vectors.filter("vec_id % 50 = 0"), TOP)
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+_RRF = f"""{_bm25(GROUPS["bm25_term"])}, fts AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank FROM (SELECT * FROM hit ORDER BY score DESC, chunk_id LIMIT 45)),
+vec AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY dist, vec_id) - 1 AS rank FROM (SELECT vec_id, list_distance(embedding::DOUBLE[], {_QUERY_VECTOR}) AS dist FROM embeddings ORDER BY 2, 1 LIMIT 45)),
+rrf AS (SELECT chunk_id, sum(w / (60.0 + rank)) AS rrf FROM (SELECT chunk_id, rank, 1.5 AS w FROM fts UNION ALL SELECT chunk_id, rank, 0.5 FROM vec) GROUP BY 1)
+"""
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    fts = retrieval.ranks(retrieval.top(retrieval.bm25(table(spark, d, "chunks"), GROUPS["bm25_term"]), 45), "score")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    vec = retrieval.ranks(retrieval.nearest(vectors, _first_vector(spark, d), 45, "chunk_id"), "distance", descending=False)
+    return retrieval.fuse([(fts, 1.5), (vec, 0.5)])
+
+
+@query(_RRF + "SELECT chunk_id, round(rrf, 8) AS rrf FROM rrf")
+def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select("chunk_id", F.round("rrf", 8).alias("rrf"))
+
+
+# ---- scores --------------------------------------------------------------------------------------
+
+WEIGHTS = {"bench": 1.2, "bench/2024": 0.8, "journal": 0.5}
+HALF_LIVES = {"ops": 15.0, "reading/2025": 400.0}
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:\d{2})?$"
+_U = _trimmed("updated")
+_AT = f"CASE WHEN regexp_matches({_U}, '{_ISO}') THEN try_cast(CASE WHEN length({_U}) = 10 THEN {_U} || ' 00:00:00+00' WHEN regexp_matches({_U}, '(Z|[+-]\\d\\d:\\d\\d)$') THEN {_U} ELSE {_U} || 'Z' END AS TIMESTAMPTZ) END"
+_FACTORS = f"""f AS (SELECT doc_id, file_path, source_type, status, created, updated,
+CASE WHEN starts_with(file_path, 'reading/2025/') THEN 400.0 WHEN starts_with(file_path, 'ops/') THEN 15.0 WHEN source_type = 'note' THEN 120.0 WHEN source_type = 'research' THEN 60.0 WHEN source_type = 'session' THEN 30.0 ELSE 90.0 END AS half_life,
+CASE status WHEN 'superseded' THEN 0.2 WHEN 'rejected' THEN 0.3 WHEN 'dropped' THEN 0.3 WHEN 'outdated' THEN 0.4 ELSE 1.0 END AS penalty,
+CASE WHEN starts_with(file_path, 'bench/2024/') THEN 0.8 WHEN starts_with(file_path, 'bench/') THEN 1.2 WHEN starts_with(file_path, 'journal/') THEN 0.5 WHEN source_type = 'session' THEN 0.3 ELSE 1.0 END AS weight,
+{_AT} AS at FROM documents),
+s AS (SELECT *, CASE WHEN at IS NULL THEN 0.5 ELSE pow(0.5, greatest(0, floor((epoch(TIMESTAMPTZ '{AS_OF} 00:00:00+00') - floor(epoch(at))) / 86400)) / half_life) END AS decay FROM f)
+"""
+
+
+@query("WITH " + _FACTORS + "SELECT doc_id, half_life, penalty, weight, round(decay, 8) AS decay FROM s")
+def score_factors(spark: SparkSession, d: str) -> DataFrame:
+    path, kind = F.col("file_path"), F.col("source_type")
+    days = retrieval.half_life(path, kind, HALF_LIVES)
+    return table(spark, d, "documents").select(
+        "doc_id", days.alias("half_life"), retrieval.status_penalty(F.col("status")).alias("penalty"), retrieval.directory_weight(path, kind, WEIGHTS).alias("weight"),
+        F.round(retrieval.time_decay(F.col("updated"), days, AS_OF), 8).alias("decay"),
+    )
+
+
+@query("SELECT doc_id FROM documents WHERE (coalesce(updated, created) IS NULL OR coalesce(updated, created) >= '2025-01-01') AND (coalesce(updated, created) IS NULL OR coalesce(updated, created) < '2025-06-01')")
+def time_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(retrieval.in_time(F.col("created"), F.col("updated"), "2025-01-01", "2025-06-01")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE starts_with(lower(file_path), 'ops/2025/') OR starts_with(lower(file_path), 'kiln')")
+def path_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(retrieval.in_paths(F.col("file_path"), ["OPS/2025/", "Kiln"])).select("doc_id")
+
+
+@query(_RRF + ", " + _FACTORS + f"""SELECT chunk_id, doc_id, file_path, round(rrf * decay * penalty * weight, 8) AS score FROM rrf JOIN chunks USING (chunk_id) JOIN s ON s.doc_id = document_id
+WHERE (coalesce(updated, created) IS NULL OR coalesce(updated, created) >= '2023-06-01') AND rrf * decay * penalty * weight >= 0.005 ORDER BY rrf * decay * penalty * weight DESC, chunk_id LIMIT {TOP}""")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    scored = retrieval.final_scores(_fused(spark, d), table(spark, d, "chunks"), table(spark, d, "documents"), AS_OF, after="2023-06-01", weights=WEIGHTS, half_lives=HALF_LIVES)
+    return retrieval.top(scored, TOP).select("chunk_id", "doc_id", "file_path", F.round("score", 8).alias("score"))
+
+
+@query()
+def search_request(spark: SparkSession, d: str) -> DataFrame:
+    """A whole request: words, entities, vectors, fusion, scores, related documents."""
+    links_ = links.explicit_links(table(spark, d, "documents")).unionByName(_entity_links(spark, d))
+    corpus = S.Corpus(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), table(spark, d, "entities"), table(spark, d, "chunk_entities"), _edges(spark, d), _synonyms(spark, d), links_)
+    return S.results(corpus, S.Request("最近の pogisobu 索引 について", AS_OF, TOP, vector=_first_vector(spark, d)))
+
+
+# ---- entities ------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT doc_id, lower(trim(tag)) AS name FROM (SELECT doc_id, unnest(tags) AS tag FROM documents) WHERE length(trim(tag)) >= 2")
+def tag_entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities.tag_entities(table(spark, d, "documents"))
+
+
+_WORD = r"[^\p{L}\p{N}\p{M}_]"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT lower(trim(name)) AS name FROM entities WHERE entity_type = 'custom' AND length(trim(name)) >= 2)
+SELECT chunk_id, name FROM chunks, n WHERE CASE WHEN regexp_matches(name, '[\\x{{3000}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ff00}}-\\x{{ffef}}]') THEN contains(lower(content), name)
+ELSE regexp_matches(lower(content), '(^|{_WORD})' || regexp_escape(name) || '($|{_WORD})') END""")
+def custom_entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities.custom_entities(table(spark, d, "chunks"), table(spark, d, "entities").filter("entity_type = 'custom'"))
+
+
+_EDGES = """ce AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE entity_id IS NOT NULL AND chunk_id IS NOT NULL),
+edges AS (SELECT a.entity_id AS entity_a, b.entity_id AS entity_b, document_id AS doc_id, count(*) AS occurrences
+FROM ce a JOIN ce b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id JOIN chunks c ON c.chunk_id = a.chunk_id GROUP BY 1, 2, 3)
+"""
+_NEAR = """near AS (SELECT CASE WHEN entity_a IN (1, 2) THEN entity_b ELSE entity_a END AS related_id, sum(occurrences) AS strength FROM edges
+WHERE (entity_a IN (1, 2)) <> (entity_b IN (1, 2)) GROUP BY 1 ORDER BY strength DESC, related_id LIMIT 5)
+"""
+IDS = [1, 2]
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return entities.edges(table(spark, d, "chunk_entities"), table(spark, d, "chunks"))
+
+
+@query("WITH " + _EDGES + "SELECT entity_a, entity_b, doc_id, occurrences FROM edges")
+def entity_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d)
+
+
+@query("WITH " + _EDGES + "," + _NEAR + "SELECT related_id, strength FROM near")
+def entity_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return entities.neighbours(_edges(spark, d), IDS)
+
+
+@query("WITH " + _EDGES + "," + _NEAR + "SELECT name, strength FROM near JOIN entities ON entity_id = related_id")
+def entity_expansion(spark: SparkSession, d: str) -> DataFrame:
+    return entities.expansion(_edges(spark, d), table(spark, d, "entities"), IDS)
+
+
+@query("WITH " + _EDGES + "," + _NEAR + f""", one AS (SELECT chunk_id, count(*) AS n FROM ce WHERE entity_id IN (1, 2) GROUP BY 1 ORDER BY n DESC, chunk_id LIMIT {TOP}),
+two AS (SELECT chunk_id, count(*) AS n FROM ce WHERE entity_id IN (SELECT related_id FROM near) AND chunk_id NOT IN (SELECT chunk_id FROM one) GROUP BY 1 ORDER BY n DESC, chunk_id LIMIT {TOP})
+SELECT chunk_id, row_number() OVER (ORDER BY n DESC, chunk_id) - 1 AS rank FROM one UNION ALL SELECT chunk_id, (SELECT count(*) FROM one) + row_number() OVER (ORDER BY n DESC, chunk_id) - 1 FROM two""")
+def entity_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return entities.entity_ranks(table(spark, d, "chunk_entities"), _edges(spark, d), IDS, TOP)
+
+
+@query("SELECT name, arg_min(entity_id, (entity_type, entity_id)) AS entity_id FROM entities WHERE name IS NOT NULL GROUP BY name")
+def entity_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return entities.entity_by_name(table(spark, d, "entities"))
+
+
+# ---- links ---------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id, lower(target) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM documents) WHERE NOT regexp_matches(target, '^https?://')),
+m AS (SELECT t.doc_id, s, min(d.doc_id) AS other FROM t JOIN documents d ON lower(d.file_path) = s OR ends_with(lower(d.file_path), '/' || s) GROUP BY 1, 2)
+SELECT DISTINCT least(doc_id, other) AS doc_a, greatest(doc_id, other) AS doc_b, 'explicit' AS link_type, 1.0::DOUBLE AS strength FROM m WHERE doc_id <> other""")
+def explicit_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.explicit_links(table(spark, d, "documents"))
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id, lower(trim(tag)) AS name FROM (SELECT doc_id, unnest(tags) AS tag FROM documents) WHERE length(trim(tag)) >= 2),
+c AS (SELECT doc_id, list(name ORDER BY name) AS items FROM t GROUP BY 1), k AS (SELECT items, count(*) AS n FROM c GROUP BY 1),
+p AS (SELECT a.items AS x, b.items AS y, len(list_intersect(a.items, b.items)) AS shared FROM k a, k b WHERE array_to_string(a.items, chr(10)) < array_to_string(b.items, chr(10)) OR (a.items = b.items AND a.n > 1))
+SELECT array_to_string(x, chr(10)) AS set_a, array_to_string(y, chr(10)) AS set_b, shared, round(0.7 * shared / greatest(len(x), len(y)), 8) AS strength FROM p WHERE shared > 0""")
+def tag_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.tag_links(entities.tag_entities(table(spark, d, "documents"))).withColumn("strength", F.round("strength", 8))
+
+
+_ENTITY_LINKS = """o AS (SELECT DISTINCT document_id AS doc_id, entity_id FROM chunk_entities JOIN chunks USING (chunk_id) WHERE entity_id IS NOT NULL),
+p AS (SELECT a.doc_id AS own, b.doc_id AS other, count(*) AS shared FROM o a JOIN o b ON a.entity_id = b.entity_id AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY shared DESC, other) AS r FROM p),
+el AS (SELECT DISTINCT least(own, other) AS doc_a, greatest(own, other) AS doc_b, 'entity' AS link_type, least(ln(shared) / 10, 0.6) AS strength FROM r WHERE r <= 20 AND least(ln(shared) / 10, 0.6) > 0.05)
+"""
+
+
+def _entity_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.entity_links(table(spark, d, "chunk_entities"), table(spark, d, "chunks"))
+
+
+@query("WITH " + _ENTITY_LINKS + "SELECT doc_a, doc_b, link_type, round(strength, 8) AS strength FROM el")
+def entity_links(spark: SparkSession, d: str) -> DataFrame:
+    return _entity_links(spark, d).withColumn("strength", F.round("strength", 8))
+
+
+@query("WITH " + _ENTITY_LINKS + """, q AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3), n AS (SELECT CASE WHEN doc_a IN (SELECT doc_id FROM q) THEN doc_b ELSE doc_a END AS doc_id, link_type, strength FROM el
+WHERE doc_a IN (SELECT doc_id FROM q) OR doc_b IN (SELECT doc_id FROM q))
+SELECT file_path, link_type, round(max(strength), 8) AS strength FROM n JOIN documents USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM q) GROUP BY 1, 2 ORDER BY max(strength) DESC, 1, 2 LIMIT 5""")
+def related_documents(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    ids = [r.doc_id for r in documents.orderBy("doc_id").select("doc_id").limit(3).collect()]
+    return links.related(_entity_links(spark, d), documents, ids).withColumn("strength", F.round("strength", 8))
+
+
+@query("WITH " + _ENTITY_LINKS + ", m AS (SELECT doc_a, doc_b, link_type, strength FROM el UNION ALL SELECT doc_a, doc_b, link_type, 0.12 FROM el), g AS (SELECT doc_id FROM documents WHERE status = 'outdated') SELECT doc_a, doc_b, link_type, round(max(strength), 8) AS strength FROM m WHERE doc_a NOT IN (SELECT doc_id FROM g) AND doc_b NOT IN (SELECT doc_id FROM g) GROUP BY 1, 2, 3")
+def link_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    own = _entity_links(spark, d)
+    merged = links.upserted(own, own.withColumn("strength", F.lit(0.12)))
+    gone = table(spark, d, "documents").filter("status = 'outdated'").select("doc_id")
+    return links.without_documents(merged, gone).withColumn("strength", F.round("strength", 8))
+
+
+# ---- synonyms ------------------------------------------------------------------------------------
+
+_SYN = """syn AS (SELECT least(a.name, b.name) AS word_a, greatest(a.name, b.name) AS word_b, (a.entity_id % 10) / 10.0 AS score,
+CASE a.entity_id % 4 WHEN 0 THEN 'wordnet' WHEN 1 THEN 'user' WHEN 2 THEN 'feedback' ELSE 'chat' END AS source, a.entity_id % 3 AS hits, a.entity_id AS id FROM (SELECT entity_id, lower(trim(name)) AS name FROM entities) a
+JOIN (SELECT entity_id, lower(trim(name)) AS name FROM entities) b ON b.entity_id = a.entity_id + 1 WHERE a.name <> b.name)
+"""
+_EFFECTIVE = "CASE WHEN source IN ('wordnet', 'user') THEN score ELSE score * pow(0.5, 91.0 / CASE source WHEN 'feedback' THEN 90.0 WHEN 'chat' THEN 60.0 ELSE 90.0 END) END"
+
+
+def _synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """A relation made of entities with neighbouring ids, created on 2025-04-01."""
+    e = table(spark, d, "entities").select("entity_id", F.lower(F.trim("name")).alias("name"))
+    pairs = e.alias("a").join(e.alias("b"), F.col("b.entity_id") == F.col("a.entity_id") + 1).filter("a.name <> b.name")
+    i = F.col("a.entity_id")
+    source = F.when(i % 4 == 0, "wordnet").when(i % 4 == 1, "user").when(i % 4 == 2, "feedback").otherwise("chat")
+    return pairs.select(F.least("a.name", "b.name").alias("word_a"), F.greatest("a.name", "b.name").alias("word_b"), ((i % 10) / 10.0).alias("score"), source.alias("source"), (i % 3).alias("hits"), F.lit(None).cast("string").alias("last_hit"), F.lit("2025-04-01").alias("created"))
+
+
+@query("WITH " + _SYN + f"SELECT word_a, word_b, source, round({_EFFECTIVE}, 8) AS effective FROM syn")
+def synonym_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _synonyms(spark, d).select("word_a", "word_b", "source", F.round(synonyms.effective_score(AS_OF), 8).alias("effective"))
+
+
+@query("WITH " + _SYN + f""", both AS (SELECT word_a AS word, word_b AS synonym, {_EFFECTIVE} AS effective FROM syn UNION ALL SELECT word_b, word_a, {_EFFECTIVE} FROM syn),
+w AS (SELECT DISTINCT lower(trim(name)) AS word FROM entities WHERE entity_type = 'tag'),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY effective DESC, synonym) AS r FROM both JOIN w USING (word) WHERE effective >= 0.3) SELECT word, synonym, round(effective, 8) AS effective FROM r WHERE r <= 3""")
+def synonym_lookup(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "entities").filter("entity_type = 'tag'").select(F.col("name").alias("word"))
+    return synonyms.looked_up(_synonyms(spark, d), words, AS_OF).withColumn("effective", F.round("effective", 8))
+
+
+@query("WITH " + _SYN + ", up AS (SELECT word_a, word_b, least(score + (CASE WHEN id % 2 = 0 THEN 0.4 ELSE -0.1 END), 0.9) AS s2, score, source FROM syn) SELECT word_a, word_b, round(greatest(score, s2), 8) AS score, CASE WHEN s2 > score THEN 'user' ELSE source END AS source FROM up")
+def synonym_upsert(spark: SparkSession, d: str) -> DataFrame:
+    old = _synonyms(spark, d)
+    ids = table(spark, d, "entities").select("entity_id", F.lower(F.trim("name")).alias("name"))
+    pair = ids.alias("a").join(ids.alias("b"), F.col("b.entity_id") == F.col("a.entity_id") + 1).filter("a.name <> b.name")
+    step = F.when(F.col("a.entity_id") % 2 == 0, 0.4).otherwise(-0.1)
+    more = pair.select(F.col("b.name").alias("word_a"), F.col("a.name").alias("word_b"), ((F.col("a.entity_id") % 10) / 10.0 + step).alias("score"), F.lit("user").alias("source"), F.lit(0).cast("long").alias("hits"), F.lit(None).cast("string").alias("last_hit"), F.lit(AS_OF).alias("created"))
+    return synonyms.upserted(old, more).select("word_a", "word_b", F.round("score", 8).alias("score"), "source")
+
+
+@query(f"""WITH x AS (SELECT list_filter(list_transform({_keywords('message.content')}, lambda x: lower(x)), lambda x: length(x) >= 2) AS l FROM session_messages WHERE lower(trim(message.role)) = 'user'),
+n AS (SELECT list_filter(l, lambda x, i: list_position(l, x) = i)[1:30] AS l FROM x),
+e AS (SELECT row_number() OVER () AS m, l FROM n), u AS (SELECT m, unnest(l) AS w FROM e)
+SELECT a.w AS word_a, b.w AS word_b, count(*) AS texts FROM u a JOIN u b ON a.m = b.m AND a.w < b.w GROUP BY 1, 2""")
+def learned_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "session_messages").filter(F.lower(F.trim("message.role")) == "user").select(F.col("message.content").alias("text"))
+    return synonyms.learned_pairs(rows, "text", AS_OF).select("word_a", "word_b", "texts")
+
+
+@query("""WITH s AS (SELECT DISTINCT chunk_id, entity_id, name FROM chunk_entities JOIN entities USING (entity_id) WHERE length(name) >= 2)
+SELECT DISTINCT least(a.name, b.name) AS word_a, greatest(a.name, b.name) AS word_b FROM s a JOIN s b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id AND a.name <> b.name""")
+def synset_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks in the place of synsets, entities in the place of words."""
+    words = table(spark, d, "entities").select(F.col("entity_id").alias("wordid"), F.col("name").alias("lemma"), F.lit("jpn").alias("lang"))
+    senses = table(spark, d, "chunk_entities").filter("entity_id is not null").select(F.col("chunk_id").alias("synset"), F.col("entity_id").alias("wordid"))
+    return synonyms.synset_pairs(words, senses)
+
+
+_LINES = "(SELECT DISTINCT least(a, b) AS word_a, greatest(a, b) AS word_b FROM (SELECT lower(trim(name)) AS a, lower(entity_type) AS b FROM entities) WHERE a <> '' AND a <> b AND NOT contains(a, ','))"
+
+
+@query("WITH " + _SYN + f", w AS {_LINES}, d AS (SELECT DISTINCT word_a, word_b FROM syn WHERE source = 'user') SELECT word_a, word_b, 'insert' AS action FROM w WHERE (word_a, word_b) NOT IN (SELECT (word_a, word_b) FROM syn) UNION ALL SELECT word_a, word_b, 'delete' FROM d WHERE (word_a, word_b) NOT IN (SELECT (word_a, word_b) FROM w)")
+def synonym_sync(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "entities").filter(~F.col("name").contains(",")).select(F.concat_ws(",", F.concat(F.lit(" "), F.col("name")), F.upper("entity_type")).alias("value"))
+    return synonyms.sync_actions(_synonyms(spark, d), synonyms.parsed_pairs(lines)).distinct()
+
+
+@query("WITH " + _SYN + "SELECT word_a, word_b, source, hits FROM (SELECT *, hits + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS h FROM syn) WHERE NOT (h = 0 AND source NOT IN ('wordnet', 'user')) ")
+def synonym_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """A hit on every fifth pair, then the cleanup a year later."""
+    e = table(spark, d, "entities").select("entity_id", F.lower(F.trim("name")).alias("name"))
+    marked = e.filter("entity_id % 5 = 0").alias("a").join(e.alias("b"), F.col("b.entity_id") == F.col("a.entity_id") + 1).select(F.least("a.name", "b.name").alias("word_a"), F.greatest("a.name", "b.name").alias("word_b"))
+    after = synonyms.without_stale(synonyms.hit(_synonyms(spark, d), marked, "2025-04-02"), "2026-04-01")
+    return after.join(_synonyms(spark, d).select("word_a", "word_b", F.col("hits").alias("before")), ["word_a", "word_b"]).select("word_a", "word_b", "source", F.col("before").alias("hits"))
+
+
+# ---- dictionary ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT list_filter(coalesce(regexp_extract_all(content, '{_SEG}'), []), lambda x: length(x) >= 2 AND (regexp_matches(x, '^[゠-ヿ]+$') OR (regexp_matches(x, '^[A-Za-z0-9._-]+$') AND regexp_matches(x, '[A-Za-z]')))) AS l FROM chunks WHERE strlen({_trimmed('content')}) >= 4),
+f AS (SELECT unnest(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)) AS surface FROM s)
+SELECT surface, CASE WHEN regexp_matches(surface, '^[゠-ヿ]+$') THEN 'katakana' ELSE 'ascii' END AS pos, count(*) AS texts FROM f GROUP BY 1""")
+def collected_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.collected(table(spark, d, "chunks"), "content")
+
+
+_CAND = """cand AS (SELECT surface, coalesce(sum(frequency), 0) AS frequency, arg_min(pos, (first_seen, candidate_id)) AS pos, arg_min(source, (first_seen, candidate_id)) AS source, min(first_seen) AS first_seen, max(last_seen) AS last_seen,
+arg_min(status, CASE status WHEN 'accepted' THEN 0 WHEN 'rejected' THEN 1 ELSE 2 END) AS status FROM dictionary_candidates WHERE trim(surface) <> '' GROUP BY surface)
+"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.by_surface(table(spark, d, "dictionary_candidates"))
+
+
+@query("WITH " + _CAND + "SELECT surface, frequency, pos, source, first_seen, last_seen, status FROM cand")
+def candidates_by_surface(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d)
+
+
+@query("WITH " + _CAND + "SELECT surface, frequency FROM cand WHERE status = 'pending' AND frequency >= 5")
+def candidates_ready(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.ready(_candidates(spark, d)).select("surface", "frequency")
+
+
+@query("WITH " + _CAND + "SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'pending' AND frequency >= 5) AS ready, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected FROM cand")
+def candidate_summary(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.summary(_candidates(spark, d))
+
+
+@query("WITH " + _CAND + """, u AS (SELECT DISTINCT name FROM entities WHERE entity_type = 'tag') SELECT coalesce(surface, name) AS surface, CASE WHEN surface IS NULL THEN 2 WHEN name IS NOT NULL AND status = 'pending' THEN frequency + 2 ELSE frequency END AS frequency, coalesce(status, 'pending') AS status,
+CASE WHEN surface IS NULL THEN 'query' ELSE source END AS source FROM cand FULL JOIN u ON name = surface""")
+def candidate_upsert(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "entities").filter("entity_type = 'tag'").select(F.col("name").alias("surface"), F.lit("ascii").alias("pos"), F.lit(2).cast("long").alias("texts")).distinct()
+    return dictionary.upserted(_candidates(spark, d), seen, "query", AS_OF).select("surface", "frequency", "status", "source")
+
+
+@query("WITH " + _CAND + ", u AS (SELECT DISTINCT name FROM entities) SELECT surface, CASE WHEN surface IN (SELECT name FROM u) AND status = 'pending' THEN 'rejected' ELSE status END AS status FROM cand")
+def candidate_reject(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "entities").select(F.col("name").alias("surface"))
+    return dictionary.moved(_candidates(spark, d), listed, "rejected", only_pending=True).select("surface", "status")
+
+
+@query("WITH " + _CAND + "SELECT surface, surface || ',名詞,' || surface AS line FROM cand WHERE status = 'pending' AND frequency >= 5 AND surface NOT IN (SELECT name FROM entities)")
+def candidate_export(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.export_lines(_candidates(spark, d), table(spark, d, "entities").select(F.col("name").alias("surface")))
+
+
+# ---- queries about queries -----------------------------------------------------------------------
+
+_ASKS = " OR ".join(f"contains(q, '{p}')" for p in P.QUESTION_PATTERNS)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_trimmed("coalesce(title, '')")} AS q, len(coalesce(regexp_extract_all(title, '{_SEG}'), [])) AS n FROM documents)
+SELECT doc_id, CASE WHEN q = '' THEN 'Default' WHEN lower(q) IN (SELECT name FROM entities WHERE length(name) >= 2) THEN 'EntityFocused' WHEN n = 0 THEN 'Default' WHEN n <= 2 THEN 'Keyword' WHEN ends_with(q, '?') OR ends_with(q, '？') OR {_ASKS} THEN 'Question' WHEN n > 10 THEN 'Fuzzy' ELSE 'Default' END AS class FROM t""")
+def classified_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in the place of queries, an entity being one that the whole title names."""
+    known = entities.entity_by_name(table(spark, d, "entities")).filter(F.char_length("name") >= 2).select("name")
+    rows = table(spark, d, "documents").select("doc_id", "title", F.lower(utrim(F.col("title"))).alias("_q")).join(known, F.col("_q") == F.col("name"), "left")
+    return rows.select("doc_id", A.query_class(F.col("title"), F.col("name").isNotNull(), P.QUESTION_PATTERNS).alias("class"))
+
+
+# ---- upkeep --------------------------------------------------------------------------------------
+
+_SCANS = "sc AS (SELECT file_path, lower(trim(arg_max(file_hash, (scanned_at, scan_id)))) AS h FROM file_scans WHERE file_hash IS NOT NULL GROUP BY 1)"
+
+
+@query("WITH " + _SCANS + """ SELECT coalesce(d.file_path, sc.file_path) AS file_path, CASE WHEN sc.file_path IS NULL THEN 'delete' WHEN d.file_path IS NULL THEN 'insert' WHEN lower(trim(d.file_hash)) IS NOT DISTINCT FROM h THEN 'skip' ELSE 'update' END AS op
+FROM documents d FULL JOIN sc ON sc.file_path = d.file_path""")
+def document_actions(spark: SparkSession, d: str) -> DataFrame:
+    scans = table(spark, d, "file_scans").filter("file_hash is not null").groupBy("file_path").agg(F.max_by("file_hash", F.struct("scanned_at", "scan_id")).alias("h")).select("file_path", plain_hash(F.col("h")).alias("file_hash"))
+    indexed = table(spark, d, "documents").select("file_path", plain_hash(F.col("file_hash")).alias("file_hash"))
+    return maintenance.document_actions(indexed, scans, complete=True)
+
+
+@query("""WITH n AS (SELECT document_id, CASE WHEN chunk_index % 7 = 6 THEN chunk_index + 1000 ELSE chunk_index END AS chunk_index, sha256(content) AS h FROM chunks)
+SELECT coalesce(o.document_id, n.document_id) AS document_id, coalesce(o.chunk_index, n.chunk_index) AS chunk_index, CASE WHEN n.h IS NULL THEN 'delete' WHEN o.document_id IS NULL THEN 'insert' WHEN o.content_hash = n.h THEN 'keep' ELSE 'update' END AS op
+FROM chunks o FULL JOIN n ON o.document_id = n.document_id AND o.chunk_index = n.chunk_index""")
+def chunk_actions(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "chunks")
+    moved = F.when(F.col("chunk_index") % 7 == 6, F.col("chunk_index") + 1000).otherwise(F.col("chunk_index"))
+    new = old.select("document_id", moved.alias("chunk_index"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"))
+    return maintenance.chunk_actions(old, new)
+
+
+@query("SELECT chunk_id, entity_id FROM chunk_entities WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks JOIN documents ON doc_id = document_id WHERE status = 'outdated')")
+def cascaded_delete(spark: SparkSession, d: str) -> DataFrame:
+    gone = table(spark, d, "documents").filter("status = 'outdated'").select(F.col("doc_id").alias("document_id"))
+    chunks = table(spark, d, "chunks").join(gone, "document_id", "left_semi")
+    return maintenance.without(table(spark, d, "chunk_entities"), chunks, "chunk_id")
+
+
+@query("SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings) AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE content_hash IS NULL)")
+def vectors_missing(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return maintenance.lacking_vectors(chunks, table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id")), chunks.filter("content_hash is null")).select("chunk_id")
+
+
+@query("SELECT chunk_id FROM chunks WHERE chunk_id > 100 ORDER BY chunk_id LIMIT 64")
+def keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.page(table(spark, d, "chunks").select("chunk_id"), "chunk_id", 100, 64)
+
+
+@query()
+def encoded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.encoded(table(spark, d, "chunks"), maintenance.hashed_embedding())
+
+
+@query("WITH " + _CAND + """SELECT 'Database' AS section, 'ok' AS status, 'documents' AS message, count(*) AS value FROM documents UNION ALL SELECT 'Database', 'ok', 'chunks', count(*) FROM chunks UNION ALL SELECT 'Database', 'ok', 'vectors', count(*) FROM embeddings
+UNION ALL SELECT 'Embedder', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END, 'chunks_without_vectors', count(*) FROM chunks WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 'Dictionary', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END, 'dictionary_ready', count(*) FROM cand WHERE status = 'pending' AND frequency >= 5""")
+def health(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return maintenance.health(table(spark, d, "documents"), table(spark, d, "chunks"), vectors, _candidates(spark, d))
+
+
+@query("SELECT file_path, arg_max(file_hash, (scanned_at, file_hash)) AS file_hash FROM file_scans WHERE file_hash IS NOT NULL GROUP BY 1")
+def last_states(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream of file events keeps, over all events at once."""
+    events = table(spark, d, "file_scans").filter("file_hash is not null").select("file_path", "file_hash", F.col("scanned_at").alias("at"))
+    return watch.merged(spark.createDataFrame([], watch.EVENT), events).select("file_path", "file_hash")
