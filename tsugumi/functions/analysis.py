@@ -69,7 +69,7 @@ def is_ascii_term(c: Column) -> Column:
 
 
 def is_cjk(c: Column) -> Column:
-    return c.rlike(r"[　-鿿豈-﫿＀-￯]")
+    return c.rlike(r"[\u3000-\u9fff\uf900-\ufaff\uff00-\uffef]")
 
 
 def candidate_kind(surface: Column) -> Column:

@@ -43,7 +43,7 @@ def by_surface(rows: DataFrame) -> DataFrame:
     """Rows per term and document (as collected) as one candidate per surface: frequencies summed, pos and source of the first row, accepted before rejected before pending."""
     first = F.struct("first_seen", "candidate_id")
     rank = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "rejected", 1).otherwise(2)
-    return rows.filter(F.trim("surface") != "").groupBy("surface").agg(
+    return rows.filter(utrim(F.col("surface")) != "").groupBy("surface").agg(
         F.coalesce(F.sum("frequency"), F.lit(0)).alias("frequency"), F.min_by("pos", first).alias("pos"), F.min_by("source", first).alias("source"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("status", rank).alias("status"),
     )

@@ -28,14 +28,18 @@ def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content")
     word = r"[\p{L}\p{N}\p{M}_]+"
     joined = F.regexp_extract_all(low, F.lit(f"{word}(?:[.-]{word})*"), F.lit(0))
     pieces = F.transform(joined, lambda x: F.split(x, "(?<=[.-])|(?=[.-])"))
-    odd = lambda p: F.sequence(F.lit(1), F.size(p), F.lit(2))
-    spans = F.transform(pieces, lambda p: F.flatten(F.transform(odd(p), lambda i: F.transform(F.filter(odd(p), lambda j: j >= i), lambda j: F.array_join(F.slice(p, i, j - i + 1), "")))))
-    found = F.flatten(spans)
-    run = F.regexp_extract_all(low, F.lit(r"[　-鿿豈-﫿＀-￯]+"), F.lit(0))
+    counts = sorted(r.n for r in named.filter(~cjk).select(F.size(F.split("name", "(?<=[.-])|(?=[.-])")).alias("n")).distinct().collect())  # as few
+    found = F.array().cast("array<string>")
+    for n in counts:
+        spans = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - (n - 1)), lambda i: F.array_join(F.slice(p, i, F.lit(n)), ""))  # noqa: E731, B023
+        found = F.concat(found, F.flatten(F.transform(F.filter(pieces, lambda p: F.size(p) >= n), spans)))  # noqa: B023
+    runs = F.transform(F.regexp_extract_all(low, F.lit(r"[\u3000-\u9fff\uf900-\ufaff\uff00-\uffef]+"), F.lit(0)), lambda r: F.split(r, ""))
     for n in sizes:
-        windows = F.flatten(F.transform(F.filter(run, lambda r: F.char_length(r) >= n), lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - (n - 1)), lambda i: F.substr(r, i, F.lit(n)))))
-        found = F.concat(found, windows)
-    each = chunks.filter(F.col(text).isNotNull()).select("chunk_id", F.explode(F.array_distinct(found)).alias("name"))
+        windows = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - (n - 1)), lambda i: F.array_join(F.slice(r, i, F.lit(n)), ""))  # noqa: E731, B023
+        found = F.concat(found, F.flatten(F.transform(F.filter(runs, lambda r: F.size(r) >= n), windows)))  # noqa: B023
+    # Not deterministic to the optimizer, so that it doesn't copy the whole expression into a filter before the explode.
+    held = chunks.filter(F.col(text).isNotNull()).select("chunk_id", F.array_distinct(found).alias("found"), F.spark_partition_id().alias("_pid"))
+    each = held.select("chunk_id", F.explode(F.when(F.col("_pid") >= 0, F.col("found"))).alias("name"))
     return each.join(named, "name").select("chunk_id", "name").distinct()
 
 

@@ -38,9 +38,8 @@ def corpus_statistics(chunks: DataFrame, text: str = "content") -> DataFrame:
 def _phrase_count(tokens: Column, phrase: list[str]) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda x: x == phrase[0]))
-    n = len(phrase)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, F.lit(n)) == F.array(*map(F.lit, phrase))))
+    # A look-ahead finds occurrences that overlap; terms hold letters and digits only.
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f"(?= {' '.join(phrase)} )"))
 
 
 def bm25(chunks: DataFrame, groups: list[list[list[str]]], key: str = "chunk_id", text: str = "content", k1: float = P.BM25_K1, b: float = P.BM25_B) -> DataFrame:
@@ -173,7 +172,8 @@ def parsed_date(c: Column) -> Column:
     """Timestamp of an ISO date or date-time; null for anything else."""
     t = utrim(c)
     iso = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:\d{2})?$")
-    zoned = F.when(t.rlike(r"(Z|[+-]\d{2}:\d{2})$") & (F.char_length(t) > 10), t).otherwise(F.concat(F.rpad(F.regexp_replace(t, " ", "T"), 10, " "), F.when(F.char_length(t) > 10, F.substr(t, F.lit(11))).otherwise("T00:00:00"), F.lit("Z")))
+    full = F.regexp_replace(F.regexp_replace(t, r"^(.{10})$", "$1T00:00:00"), r"^(.{10})[T ](\d{2}:\d{2})(?=$|Z|[+-])", "$1T$2:00")
+    zoned = F.when(full.rlike(r"(Z|[+-]\d{2}:\d{2})$"), full).otherwise(F.concat(full, F.lit("Z")))
     return F.when(iso, zoned.try_cast("timestamp"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsugumi import params as P
+from tsugumi.functions.json import json_array
 from tsugumi.functions.text import utrim
 from tsugumi.plans.segments import segmented
 
@@ -21,8 +22,7 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
 
 def message_text(messages: DataFrame) -> DataFrame:
     """``messages`` with ``text``: a string trimmed; of an array the items of type text and bare strings, joined with line ends."""
-    v = F.when(F.trim("content").startswith("["), F.try_parse_json("content"))
-    df = messages.withColumn("_v", v)
+    df = messages.withColumn("_v", json_array(F.col("content")))
     joined = F.expr(f"array_join(filter(transform(try_variant_get(_v, '$', 'array<variant>'), x -> {_ITEM}), t -> t IS NOT NULL), '\\n')")
     return df.withColumn("text", utrim(F.coalesce(F.when(F.col("_v").isNotNull(), joined), F.col("content")))).drop("_v")
 

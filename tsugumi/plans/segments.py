@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsugumi.plans.bounds import checkpointed
+
 
 def segmented(df: DataFrame, group: list[str], order: list[str], following: list[str] = (), sums: list[str] = (), preceding: list[str] = (), partitions: int | None = None) -> DataFrame:
     """``df`` with ``pos`` (1, 2, ... in each group by ``order``) and ``next_<c>`` for each column c of ``following``,
@@ -20,7 +22,8 @@ def segmented(df: DataFrame, group: list[str], order: list[str], following: list
     one group; null order values come first. An empty input gives an empty result.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *group, *order).withColumn("_seg", F.spark_partition_id())
+    # Both branches below must see the same partitions, whose bounds are sampled anew each time they are computed.
+    parts = checkpointed(df.repartitionByRange(n, *group, *order).withColumn("_seg", F.spark_partition_id()))
     keys = [*group, "_seg"]
     own = Window.partitionBy(*keys).orderBy(*order)
     rows = parts.withColumns(

@@ -232,11 +232,11 @@ _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:\d{2}
 _U = _trimmed("updated")
 _AT = f"CASE WHEN regexp_matches({_U}, '{_ISO}') THEN try_cast(CASE WHEN length({_U}) = 10 THEN {_U} || ' 00:00:00+00' WHEN regexp_matches({_U}, '(Z|[+-]\\d\\d:\\d\\d)$') THEN {_U} ELSE {_U} || 'Z' END AS TIMESTAMPTZ) END"
 _FACTORS = f"""f AS (SELECT doc_id, file_path, source_type, status, created, updated,
-CASE WHEN starts_with(file_path, 'reading/2025/') THEN 400.0 WHEN starts_with(file_path, 'ops/') THEN 15.0 WHEN source_type = 'note' THEN 120.0 WHEN source_type = 'research' THEN 60.0 WHEN source_type = 'session' THEN 30.0 ELSE 90.0 END AS half_life,
-CASE status WHEN 'superseded' THEN 0.2 WHEN 'rejected' THEN 0.3 WHEN 'dropped' THEN 0.3 WHEN 'outdated' THEN 0.4 ELSE 1.0 END AS penalty,
-CASE WHEN starts_with(file_path, 'bench/2024/') THEN 0.8 WHEN starts_with(file_path, 'bench/') THEN 1.2 WHEN starts_with(file_path, 'journal/') THEN 0.5 WHEN source_type = 'session' THEN 0.3 ELSE 1.0 END AS weight,
-{_AT} AS at FROM documents),
-s AS (SELECT *, CASE WHEN at IS NULL THEN 0.5 ELSE pow(0.5, greatest(0, floor((epoch(TIMESTAMPTZ '{AS_OF} 00:00:00+00') - floor(epoch(at))) / 86400)) / half_life) END AS decay FROM f)
+CASE WHEN starts_with(file_path, 'reading/2025/') THEN 400.0 WHEN starts_with(file_path, 'ops/') THEN 15.0 WHEN source_type = 'note' THEN 120.0 WHEN source_type = 'research' THEN 60.0 WHEN source_type = 'session' THEN 30.0 ELSE 90.0 END::DOUBLE AS half_life,
+CASE status WHEN 'superseded' THEN 0.2 WHEN 'rejected' THEN 0.3 WHEN 'dropped' THEN 0.3 WHEN 'outdated' THEN 0.4 ELSE 1.0 END::DOUBLE AS penalty,
+CASE WHEN starts_with(file_path, 'bench/2024/') THEN 0.8 WHEN starts_with(file_path, 'bench/') THEN 1.2 WHEN starts_with(file_path, 'journal/') THEN 0.5 WHEN source_type = 'session' THEN 0.3 ELSE 1.0 END::DOUBLE AS weight,
+{_AT} AS dated FROM documents),
+s AS (SELECT *, CASE WHEN dated IS NULL THEN 0.5 ELSE pow(0.5, greatest(0, floor((epoch(TIMESTAMPTZ '{AS_OF} 00:00:00+00') - floor(epoch(dated))) / 86400)) / half_life) END AS decay FROM f)
 """
 
 
@@ -286,11 +286,12 @@ def tag_entities(spark: SparkSession, d: str) -> DataFrame:
 _WORD = r"[^\p{L}\p{N}\p{M}_]"
 
 
-@query(f"""WITH n AS (SELECT DISTINCT lower(trim(name)) AS name FROM entities WHERE entity_type = 'custom' AND length(trim(name)) >= 2)
-SELECT chunk_id, name FROM chunks, n WHERE CASE WHEN regexp_matches(name, '[\\x{{3000}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ff00}}-\\x{{ffef}}]') THEN contains(lower(content), name)
+@query(f"""WITH n AS (SELECT DISTINCT lower(trim(tag)) AS name FROM (SELECT unnest(tags) AS tag FROM documents) WHERE length(trim(tag)) >= 2)
+SELECT chunk_id, name FROM chunks JOIN n ON contains(lower(content), name) WHERE CASE WHEN regexp_matches(name, '[\\x{{3000}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ff00}}-\\x{{ffef}}]') THEN contains(lower(content), name)
 ELSE regexp_matches(lower(content), '(^|{_WORD})' || regexp_escape(name) || '($|{_WORD})') END""")
 def custom_entities(spark: SparkSession, d: str) -> DataFrame:
-    return entities.custom_entities(table(spark, d, "chunks"), table(spark, d, "entities").filter("entity_type = 'custom'"))
+    """Tags in the place of custom terms."""
+    return entities.custom_entities(table(spark, d, "chunks"), table(spark, d, "documents").select(F.explode("tags").alias("name")))
 
 
 _EDGES = """ce AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE entity_id IS NOT NULL AND chunk_id IS NOT NULL),
@@ -408,9 +409,9 @@ def synonym_scores(spark: SparkSession, d: str) -> DataFrame:
     return _synonyms(spark, d).select("word_a", "word_b", "source", F.round(synonyms.effective_score(AS_OF), 8).alias("effective"))
 
 
-@query("WITH " + _SYN + f""", both AS (SELECT word_a AS word, word_b AS synonym, {_EFFECTIVE} AS effective FROM syn UNION ALL SELECT word_b, word_a, {_EFFECTIVE} FROM syn),
+@query("WITH " + _SYN + f""", twice AS (SELECT word_a AS word, word_b AS synonym, {_EFFECTIVE} AS effective FROM syn UNION ALL SELECT word_b, word_a, {_EFFECTIVE} FROM syn),
 w AS (SELECT DISTINCT lower(trim(name)) AS word FROM entities WHERE entity_type = 'tag'),
-r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY effective DESC, synonym) AS r FROM both JOIN w USING (word) WHERE effective >= 0.3) SELECT word, synonym, round(effective, 8) AS effective FROM r WHERE r <= 3""")
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY effective DESC, synonym) AS r FROM twice JOIN w USING (word) WHERE effective >= 0.3) SELECT word, synonym, round(effective, 8) AS effective FROM r WHERE r <= 3""")
 def synonym_lookup(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "entities").filter("entity_type = 'tag'").select(F.col("name").alias("word"))
     return synonyms.looked_up(_synonyms(spark, d), words, AS_OF).withColumn("effective", F.round("effective", 8))
