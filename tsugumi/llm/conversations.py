@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsugumi.functions.instants import with_instant
+from tsugumi.functions.json import json_array
 from tsugumi.functions.text import is_blank, utrim
 from tsugumi.plans.segments import segmented
 
@@ -21,9 +22,7 @@ def with_text(df: DataFrame, content: str) -> DataFrame:
     """
     c = F.col(content)
     array = F.coalesce(c.startswith("[{") | c.startswith('["'), F.lit(False))
-    # The parser stops at the end of the first value; what follows it must not go unseen.
-    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}"))).isNotNull() & F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
-    df = df.withColumn("_v", F.when(array & alone, F.try_parse_json(c)))
+    df = df.withColumn("_v", F.when(array, json_array(c)))
     items = F.expr(f"array_join(filter(transform(variant_get(_v, '$', 'array<variant>'), x -> {_ITEM}), t -> t IS NOT NULL), '\\n')")
     return df.withColumns({"text": F.when(array, F.when(F.col("_v").isNotNull(), items)).otherwise(c), "bad_json": array & F.col("_v").isNull()}).drop("_v")
 
