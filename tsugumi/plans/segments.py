@@ -23,34 +23,34 @@ def segmented(df: DataFrame, group: list[str], order: list[str], following: list
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Both branches below must see the same partitions, whose bounds are sampled anew each time they are computed.
-    parts = checkpointed(df.repartitionByRange(n, *group, *order).withColumn("_seg", F.spark_partition_id()))
-    keys = [*group, "_seg"]
+    parts = checkpointed(df.repartitionByRange(n, *group, *order).withColumn("__seg", F.spark_partition_id()))
+    keys = [*group, "__seg"]
     own = Window.partitionBy(*keys).orderBy(*order)
     rows = parts.withColumns(
-        {"_n": F.row_number().over(own)}
-        | {f"_lead_{c}": F.lead(F.struct(c)).over(own) for c in following}
-        | {f"_lag_{c}": F.lag(F.struct(c)).over(own) for c in preceding}
-        | {f"_sum_{c}": F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums}
+        {"__n": F.row_number().over(own)}
+        | {f"__lead_{c}": F.lead(F.struct(c)).over(own) for c in following}
+        | {f"__lag_{c}": F.lag(F.struct(c)).over(own) for c in preceding}
+        | {f"__sum_{c}": F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums}
     )
-    first = [F.min_by(F.struct(*following), F.col("_n")).alias("_first")] if following else []
-    first += [F.max_by(F.struct(*preceding), F.col("_n")).alias("_end")] if preceding else []
-    summary = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *first, *[F.sum(c).alias(f"_all_{c}") for c in sums])
-    across = Window.partitionBy(*group).orderBy("_seg")
+    first = [F.min_by(F.struct(*following), F.col("__n")).alias("__first")] if following else []
+    first += [F.max_by(F.struct(*preceding), F.col("__n")).alias("__end")] if preceding else []
+    summary = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *first, *[F.sum(c).alias(f"__all_{c}") for c in sums])
+    across = Window.partitionBy(*group).orderBy("__seg")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumns(
-        {"_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
-        | {f"_past_{c}": F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)) for c in sums}
-        | ({"_after": F.lead("_first").over(across)} if following else {})
-        | ({"_ahead": F.lag("_end").over(across)} if preceding else {})
-    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_before", "_rows", *[f"_past_{c}" for c in sums], *(["_after"] if following else []), *(["_ahead"] if preceding else []))
+        {"__before": F.coalesce(F.sum("__rows").over(earlier), F.lit(0))}
+        | {f"__past_{c}": F.coalesce(F.sum(f"__all_{c}").over(earlier), F.lit(0)) for c in sums}
+        | ({"__after": F.lead("__first").over(across)} if following else {})
+        | ({"__ahead": F.lag("__end").over(across)} if preceding else {})
+    ).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__before", "__rows", *[f"__past_{c}" for c in sums], *(["__after"] if following else []), *(["__ahead"] if preceding else []))
     same: Column = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     out = rows.join(summary, same)
     out = out.withColumns(
-        {"pos": F.col("_before") + F.col("_n")}
-        | {f"next_{c}": F.when(F.col("_n") == F.col("_rows"), F.col(f"_after.{c}")).otherwise(F.col(f"_lead_{c}.{c}")) for c in following}
-        | {f"previous_{c}": F.when(F.col("_n") == 1, F.col(f"_ahead.{c}")).otherwise(F.col(f"_lag_{c}.{c}")) for c in preceding}
-        | {f"before_{c}": F.col(f"_past_{c}") + F.col(f"_sum_{c}") for c in sums}
+        {"pos": F.col("__before") + F.col("__n")}
+        | {f"next_{c}": F.when(F.col("__n") == F.col("__rows"), F.col(f"__after.{c}")).otherwise(F.col(f"__lead_{c}.{c}")) for c in following}
+        | {f"previous_{c}": F.when(F.col("__n") == 1, F.col(f"__ahead.{c}")).otherwise(F.col(f"__lag_{c}.{c}")) for c in preceding}
+        | {f"before_{c}": F.col(f"__past_{c}") + F.col(f"__sum_{c}") for c in sums}
     )
     return out.select(*df.columns, "pos", *(f"next_{c}" for c in following), *(f"previous_{c}" for c in preceding), *(f"before_{c}" for c in sums))
