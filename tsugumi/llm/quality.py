@@ -177,7 +177,7 @@ def as_sql(rules: list[Rule]) -> str:
 
 def learned_rules(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> list[Rule]:
     """Rules from the statistics of labelled documents; the sample is the ``max_rows`` rows first in hash order. No labels: no rules."""
-    sample = labels.filter("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sample = labels.filter("doc_id is not null and label is not null").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     names = [c for c in stats.columns if c not in ("doc_id", "blank")]
     rows = sample.join(stats, "doc_id").filter("not blank").select("doc_id", "label", *names).toPandas().sort_values("doc_id")
     if not len(rows):
@@ -187,7 +187,7 @@ def learned_rules(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_LABEL
 
 def not_prose(documents: DataFrame, common: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, kind (list, table, junk) of documents with non-blank text that the learned rules hold for no prose."""
-    sample = labels.filter("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    sample = labels.filter("doc_id is not null and label is not null").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     marked = documents.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # at most MAX_LABELLED ids
     rules = learned_rules(statistics(marked, common), sample)
     kind: Column = F.expr(as_sql(rules))
