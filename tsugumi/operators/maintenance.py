@@ -79,7 +79,7 @@ def _encode(encoder: Callable[[list[str]], list[list[float]]], size: int):
                     made = encoder(part)
                     if len(made) != len(part):
                         raise ValueError("embedding_count_mismatch")
-                    done = [(v, None if v else "empty_embedding") for v in made]
+                    done = [(v or None, None if v else "empty_embedding") for v in made]
                 except Exception:  # one bad text must not cost the batch: again, one by one
                     done = []
                     for t in part:
