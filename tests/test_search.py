@@ -191,6 +191,18 @@ def test_custom_terms(spark):
     assert entities.custom_entities(chunks(spark, texts), terms.limit(0)).count() == 0
 
 
+def test_pairs_of_wide_baskets(spark):
+    from itertools import combinations
+
+    from tsugumi.plans import pairs
+
+    held = {1: range(40), 2: range(5), 3: range(30, 60), 4: [7]}
+    df = spark.createDataFrame([(b, i) for b, x in held.items() for i in x] + [(1, 3), (None, 1), (2, None)], "basket long, item long")
+    narrow, wide = pairs.gathered(df, 20)
+    got = [tuple(r) for r in pairs.narrow_pairs(narrow, "basket").unionByName(pairs.wide_pairs(wide, 7)).collect()]
+    assert sorted(got) == sorted((b, x, y) for b, s in held.items() for x, y in combinations(s, 2))
+
+
 def test_edges_and_neighbours(spark):
     parts = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "chunk_id long, document_id long")
     ce = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3), (3, None)], "chunk_id long, entity_id long")

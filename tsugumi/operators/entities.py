@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tsugumi import params as P
 from tsugumi.functions.text import utrim
+from tsugumi.plans.pairs import gathered, narrow_pairs, wide_pairs
 
 
 def tag_entities(documents: DataFrame) -> DataFrame:
@@ -46,15 +47,15 @@ def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content")
 def edges(chunk_entities: DataFrame, chunks: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """entity_a < entity_b, doc_id, occurrences: pairs of a chunk count once per chunk, pairs of a document's tags (doc_id, entity_id) once per document.
 
-    Repeated rows count once and null entities not at all. Pairs are made within a chunk, whose distinct
-    entities are one array; texts bound its size.
+    Repeated rows count once and null entities not at all. A chunk with very many entities is paired in blocks.
     """
-    links = chunk_entities.filter("entity_id is not null and chunk_id is not null").groupBy("chunk_id").agg(F.sort_array(F.collect_set("entity_id")).alias("items"))
-    owned = links.filter(F.size("items") > 1).join(chunks.select("chunk_id", F.col("document_id").alias("doc_id")), "chunk_id").select("doc_id", "items")
+    narrow, wide = gathered(chunk_entities.select(F.col("chunk_id").alias("basket"), F.col("entity_id").alias("item")))
+    own = chunks.select(F.col("chunk_id").alias("basket"), F.col("document_id").alias("doc_id"))
+    pairs = narrow_pairs(narrow.filter(F.size("items") > 1).join(own, "basket"), "doc_id").unionByName(wide_pairs(wide).join(own, "basket").select("doc_id", "lo", "hi"))
     if tags is not None:
-        owned = owned.unionByName(tags.groupBy("doc_id").agg(F.sort_array(F.collect_set("entity_id")).alias("items")).filter(F.size("items") > 1))
-    pair = F.expr("explode(flatten(transform(items, (x, i) -> transform(slice(items, i + 2, size(items)), y -> struct(x AS entity_a, y AS entity_b)))))")
-    return owned.select("doc_id", pair.alias("p")).groupBy("p.entity_a", "p.entity_b", "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))
+        few, many = gathered(tags.select(F.col("doc_id").alias("basket"), F.col("entity_id").alias("item")))
+        pairs = pairs.unionByName(narrow_pairs(few, "basket").withColumnRenamed("basket", "doc_id")).unionByName(wide_pairs(many).withColumnRenamed("basket", "doc_id"))
+    return pairs.groupBy(F.col("lo").alias("entity_a"), F.col("hi").alias("entity_b"), "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def neighbours(edge_rows: DataFrame, ids: list[int], limit: int = P.RELATED_ENTITIES) -> DataFrame:
