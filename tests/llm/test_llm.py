@@ -143,8 +143,8 @@ def pair_counts(rows):
 def test_pairs_with_wide_baskets(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(b, min(rng.randrange(60), rng.randrange(60))) for b in range(40) for _ in range(rng.randrange(12))] + [(99, i) for i in range(50)] * 2 + [(98, i) for i in range(20, 60)] + [(1, None), (None, 3)]
-    monkeypatch.setattr(cooccurrence, "BASKET_ROWS", 30)
-    monkeypatch.setattr(cooccurrence, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr("tsugumi.plans.pairs.BASKET_ROWS", 30)
+    monkeypatch.setattr("tsugumi.plans.pairs.BLOCK_ITEMS", 7)
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "chunk_id long, entity_id long, weight int, basket string")
     got = {(r.entity_a, r.entity_b): r for r in cooccurrence.cooccurrences(df, "chunk_id", "entity_id").collect()}
     shared, n, total = pair_counts(rows)
@@ -229,8 +229,12 @@ def test_markup_rows(spark):
     assert sorted(tuple(r) for r in markup.markup_kinds(df).collect()) == [(1, "markdown"), (1, "markdown")]
     assert sorted((r.chunk_id, r.text) for r in markup.cleaned(df).collect()) == [(1, "a"), (1, "a"), (3, "")]
     pages = spark.createDataFrame([(i, f"【h/{i}】x\n<div class='main{i}'><p>{'text ' * 30}</p></div><div class='nav'><a href='x'>home</a></div>") for i in range(4)], "chunk_id long, content string")
-    best = markup.consensus_paths(pages).filter("rank = 1").first()
-    assert (best.host, best.path, best.votes) == ("h", "div.main#/p", 4)
+    won = markup.consensus_paths(pages)
+    best = won.first()
+    assert won.count() == 1 and (best.host, best.path, best.votes) == ("h", "div.main#/p", 4)
+    texts = [r.text for r in markup.extracted(pages, won).collect()]
+    assert len(texts) == 4 and all(t == ("text " * 30).strip() for t in texts)
+    assert markup.extracted(pages.limit(0), won).count() == 0
 
 
 def test_ids_equal_the_library(spark, small):
@@ -251,7 +255,10 @@ def test_ids_of_odd_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, known binary, word string").repartition(3)
     want = Counter((i, tuple(tokens.encoder(tokens.vocabulary_path()).encode_ordinary(t or ""))) for i, t, *_ in rows)
     assert Counter((r.doc_id, tuple(r.ids)) for r in tokens.token_ids(df).collect()) == want
-    assert tokens.token_ids(df.limit(0)).count() == 0
+    assert tokens.token_ids(df.limit(0)).count() == 0 and tokens.decoded(tokens.token_ids(df.limit(0))).count() == 0
+    back = Counter((r.doc_id, r.text) for r in tokens.decoded(tokens.token_ids(df)).collect())
+    assert back == Counter((i, t or "") for i, t, *_ in rows)
+    assert tokens.decoded(spark.createDataFrame([(1, None), (2, []), (3, [72, 75])], "doc_id long, ids array<int>")).orderBy("doc_id").collect()[0].text is None
     counts = {r.doc_id: r.tokens for r in tokens.token_counts(df.filter("doc_id < 13"), ["doc_id"]).collect()}
     assert all(counts[i] == len(ids) for i, ids in want if i is not None)
     spaced = tokens.ranks(tokens.vocabulary_path())

@@ -5,48 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsugumi.plans.bounds import broadcast_if_small
-
-BASKET_ROWS = 512
-BLOCK_ITEMS = 256
-
-_PAIRS = "flatten(transform(items, (x, i) -> transform(slice(items, i + 2, size(items)), y -> struct(x AS entity_a, y AS entity_b))))"
-
-
-def baskets(rows: DataFrame, basket: str, item: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct item arrays with weights, and the (basket, item) rows of baskets too wide for one array.
-
-    Null baskets and items count not at all, repeated rows once. A basket of more than ``BASKET_ROWS``
-    rows is wide; no wide basket is ever gathered in one place.
-    """
-    rows = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).filter("basket is not null and item is not null")
-    wide = broadcast_if_small(rows.groupBy("basket").count().filter(F.col("count") > BASKET_ROWS).select("basket"))
-    narrow = rows.join(wide, "basket", "left_anti").groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return narrow.groupBy("items").agg(F.count(F.lit(1)).alias("weight")), rows.join(wide, "basket", "left_semi").distinct()
-
-
-def _wide_pairs(wide: DataFrame) -> DataFrame:
-    """Pairs within wide baskets: items in blocks, every two blocks of a basket meet in a row of their own."""
-    blocks = wide.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS).cast("int").alias("blocks"))
-    rows = wide.join(blocks, "basket").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    held = rows.groupBy("basket", "blocks", "block").agg(F.collect_list("item").alias("items"))
-    meet = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.groupBy("basket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", "items")).alias("two"))
-    own = F.expr("lo = hi")
-    meet = meet.select(own.alias("own"), F.expr("filter(two, t -> t.block = lo)[0].items").alias("l"), F.expr("filter(two, t -> t.block = hi)[0].items").alias("r")).filter("l is not null and r is not null")
-    pair = meet.select("own", F.explode("l").alias("x"), "r").select("own", "x", F.explode("r").alias("y")).filter("not own or x < y")
-    return pair.select(F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b"), F.lit(1).cast("long").alias("weight"))
+from tsugumi.plans.pairs import gathered, narrow_pairs, wide_pairs
 
 
 def cooccurrences(rows: DataFrame, basket: str, item: str, min_shared: int = 1) -> DataFrame:
     """entity_a < entity_b, shared, n_a, n_b, total, lift, conviction of every pair that shares ``min_shared`` baskets.
 
     total is the number of baskets with an item; lift is shared * total / (n_a * n_b); conviction of
-    "a implies b" is null where it never fails. An empty table gives no pair.
+    "a implies b" is null where it never fails. Null baskets and items count not at all, repeated rows
+    once; a wide basket is never gathered in one place. An empty table gives no pair.
     """
-    narrow, wide = baskets(rows, basket, item)
-    pairs = narrow.filter(F.size("items") > 1).select(F.explode(F.expr(_PAIRS)).alias("p"), "weight").select("p.*", "weight")
-    shared = pairs.unionByName(_wide_pairs(wide)).groupBy("entity_a", "entity_b").agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= min_shared)
+    single, wide = gathered(rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")))
+    narrow = single.groupBy("items").agg(F.count(F.lit(1)).alias("weight"))  # baskets of the same items are one, with a weight
+    each = narrow_pairs(narrow, "weight").unionByName(wide_pairs(wide).select(F.lit(1).cast("long").alias("weight"), "lo", "hi"))
+    shared = each.groupBy(F.col("lo").alias("entity_a"), F.col("hi").alias("entity_b")).agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= min_shared)
     counts = narrow.select(F.explode("items").alias("item"), "weight").unionByName(wide.select("item", F.lit(1).cast("long").alias("weight"))).groupBy("item").agg(F.sum("weight").alias("n"))
     total = narrow.select(F.sum("weight").alias("t")).unionByName(wide.select("basket").distinct().select(F.count(F.lit(1)).alias("t"))).select(F.sum("t").alias("total"))
     scored = shared.join(counts.select(F.col("item").alias("entity_a"), F.col("n").alias("n_a")), "entity_a").join(counts.select(F.col("item").alias("entity_b"), F.col("n").alias("n_b")), "entity_b")

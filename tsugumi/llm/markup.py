@@ -14,9 +14,11 @@ from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsugumi.plans.bounds import broadcast_if_small
+
 KINDS = ("html", "markdown", "wiki", "latex")
 
 # Element names of HTML and its predecessors.
@@ -263,15 +265,46 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "plain", "linked"])
 
 
+def _pages(chunks: DataFrame) -> DataFrame:
+    host = F.regexp_extract("content", r"^【([^/】\n]+)", 1)
+    return chunks.filter(F.col("content").contains("<")).select(F.col("chunk_id").alias("chunk_id"), host.alias("host"), F.regexp_replace("content", r"^【[^】\n]*】[^\n]*\n?", "").alias("content"))
+
+
 def consensus_paths(chunks: DataFrame) -> DataFrame:
-    """host, path, votes, characters, rank: the generalised container paths under which the HTML of a host holds its text.
+    """host, path, votes, characters: the generalised container path under which the HTML of a host holds most text.
 
     The host of a chunk is the first directory of its context line. A container votes with its text less
-    its link text; rank 1 is the path with the most characters, the longest path first among equals.
-    Votes are summed on the map side; a window sees one row per path of a host.
+    its link text; of equals the longer path wins, then the one that sorts first. Sums and winners are
+    aggregates, so no host is gathered in one place.
     """
-    host = F.regexp_extract("content", r"^【([^/】\n]+)", 1)
-    pages = chunks.filter(F.col("content").contains("<")).select(host.alias("host"), F.regexp_replace("content", r"^【[^】\n]*】[^\n]*\n?", "").alias("content"))
-    votes = pages.mapInArrow(_score, "host string, path string, plain long, linked long").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.col("plain") - F.col("linked")).alias("characters"))
-    order = Window.partitionBy("host").orderBy(F.desc("characters"), F.desc(F.length("path")), "path")
-    return votes.withColumn("rank", F.row_number().over(order))
+    votes = _pages(chunks).select("host", "content").mapInArrow(_score, "host string, path string, plain long, linked long").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.col("plain") - F.col("linked")).alias("characters"))
+    best = F.struct("characters", F.length("path").alias("n"), F.col("path"), F.col("votes"))
+    return votes.filter("characters > 0").groupBy("host").agg(F.max(best).alias("b")).select("host", "b.path", "b.votes", "b.characters")
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    class Held(_Containers):
+        def __init__(self, path: str):
+            super().__init__()
+            self.wanted, self.texts = path, []
+
+        def handle_data(self, data):
+            own = "/".join(self.path)
+            if own == self.wanted or own.startswith(self.wanted + "/"):
+                self.texts.append(data)
+
+    for batch in batches:
+        rows = []
+        for chunk, content, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            page = Held(path)
+            page.feed(content)
+            text = convert("".join(page.texts))[0]
+            if text:
+                rows.append((chunk, path, text))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["chunk_id", "path", "text"])
+
+
+def extracted(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """chunk_id, path, text: what stands under its host's winning path, of the chunks that have it. ``paths`` has one row per host."""
+    held = _pages(chunks).join(broadcast_if_small(paths.select("host", "path")), "host").select("chunk_id", "content", "path")
+    return held.mapInArrow(_extract, "chunk_id long, path string, text string")

@@ -42,6 +42,11 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.term_frequencies(table(spark, sf_dir, "dictionary_candidates"))
 
 
+def p6_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks")
+    return markup.extracted(chunks, markup.consensus_paths(chunks))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
@@ -61,8 +66,10 @@ def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose decoded ids are not their text: none."""
     documents = table(spark, sf_dir, "documents")
-    back = tokens.decoded(tokens.token_ids(documents))
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("before")).join(back, "doc_id", "left").filter(~F.col("before").eqNullSafe(F.col("text"))).select("doc_id")
+    digest = lambda c: F.sha2(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 256)
+    back = tokens.decoded(tokens.token_ids(documents)).select("doc_id", digest(F.col("text")).alias("after"))
+    before = documents.select("doc_id", digest(F.col("text")).alias("before"))
+    return before.join(back, "doc_id", "left").filter(~F.col("before").eqNullSafe(F.col("after"))).select("doc_id")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +90,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 _COUNTS = """
 WITH pairs AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),

@@ -223,10 +223,35 @@ def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame([(number, bytearray(token)) for token, number in ranks(path or vocabulary_path()).items()], "id int, bytes binary")
 
 
+@lru_cache(maxsize=2)
+def _byte_table(path: str) -> pa.Array:
+    held = ranks(path)
+    table = [None] * (max(held.values()) + 1)
+    for token, number in held.items():
+        table[number] = token
+    return pa.array(table, pa.binary())
+
+
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.concat_arrays([batch.column(1)])
+            cells = pa.concat_arrays([_byte_table(path).take(ids.flatten())])
+            sizes = ids.value_lengths().fill_null(0).to_numpy()
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            _, offsets, data = cells.buffers()
+            at = np.frombuffer(offsets, np.int32)[cells.offset : cells.offset + len(cells) + 1][ends]
+            whole = data.to_pybytes() if data is not None else b""
+            texts = [whole[x:y].decode(errors="replace") if known else None for x, y, known in zip(at, at[1:], ids.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
 def decoded(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text of rows of (doc_id, ids): ids joined with the table of token bytes, put together by position. Null ids give null, empty ones the empty text. doc_id must be unique."""
-    table = F.broadcast(token_bytes(encoded.sparkSession, path))  # one row per token of the vocabulary, whatever the corpus
-    each = encoded.select("doc_id", F.posexplode("ids").alias("at", "id")).join(table, "id")
-    text = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("b"))
-    text = text.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("b", lambda x: F.hex(x["bytes"])), "")), "UTF-8").alias("text"))
-    return encoded.join(text, "doc_id", "left").select("doc_id", F.when(F.size("ids") == 0, F.lit("")).otherwise(F.col("text")).alias("text"))
+    """doc_id, text of rows of (doc_id, ids): ids joined with the table of token bytes, put together by position.
+
+    The table has one row per token of the vocabulary, so the join is on the map side. Null ids give
+    null, empty ones the empty text; an id that the vocabulary lacks is an error.
+    """
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decode(path or vocabulary_path()), "doc_id long, text string")
