@@ -323,3 +323,31 @@ def test_stream_keeps_the_index_current(spark, tmp_path):
     assert rows(watch.current(spark, folder).select("file_path", "file_hash")) == [("a", "2"), ("c", "1")]
     watch.watch(spark, source, folder, marks).awaitTermination()
     assert len(watch.snapshots(spark, folder)) == 2
+
+
+def test_small_files(spark, tmp_path):
+    import json
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "wn.db")
+    con.executescript("CREATE TABLE word(wordid INTEGER, lemma TEXT, lang TEXT); CREATE TABLE sense(synset TEXT, wordid INTEGER); INSERT INTO word VALUES (1, '犬猫', 'jpn'), (2, 'いぬ', 'jpn'); INSERT INTO sense VALUES ('s', 1), ('s', 2);")
+    con.commit()
+    con.close()
+    assert rows(synonyms.synset_pairs(*files.wordnet_tables(spark, str(tmp_path / "wn.db")))) == [("いぬ", "犬猫")]
+    place = str(tmp_path / "a" / "x.toml")
+    assert files.install_default(place, "one") and not files.install_default(place, "two") and open(place).read() == "one"
+    files.write_status(str(tmp_path / "s.json"), {"filled": 3})
+    assert json.loads((tmp_path / "s.json").read_text()) == {"filled": 3}
+    assert maintenance.seconds_left(10, 30, 5.0) == 10 and maintenance.seconds_left(0, 30, 5.0) is None
+
+
+def test_watching_a_tree(spark, tmp_path):
+    calls = []
+    tree, marks = tmp_path / "tree", str(tmp_path / "marks")
+    tree.mkdir()
+    (tree / "a.md").write_text("A")
+    watch.watch_tree(spark, [str(tree)], lambda: calls.append(1), marks).awaitTermination()
+    watch.watch_tree(spark, [str(tree)], lambda: calls.append(1), marks).awaitTermination()
+    (tree / "b.md").write_text("B")
+    watch.watch_tree(spark, [str(tree)], lambda: calls.append(1), marks).awaitTermination()
+    assert len(calls) == 2

@@ -109,3 +109,8 @@ def health(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, candidat
 
         rows = rows.unionByName(count(ready(candidates), "dictionary_ready").withColumns({"section": F.lit("Dictionary"), "status": F.when(F.col("value") > 0, "warning").otherwise("ok")}))
     return rows.select("section", "status", "message", "value")
+
+
+def seconds_left(done: int, total: int, elapsed: float) -> float | None:
+    """Time that the rest will take at the rate so far; null before anything is done."""
+    return None if done <= 0 or elapsed <= 0 else max(total - done, 0) * elapsed / done

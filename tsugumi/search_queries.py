@@ -59,9 +59,9 @@ def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.document_frequencies(table(spark, d, "chunks"))
 
 
-@query(_TOK + " SELECT chunk_id, term, count(*) AS tf, list(position ORDER BY position) AS positions FROM (SELECT chunk_id, unnest(t) AS term, unnest(range(len(t))) AS position FROM tok) GROUP BY 1, 2")
+@query(_TOK + " SELECT chunk_id, term, count(*) AS tf, array_to_string(list(position ORDER BY position), ',') AS positions FROM (SELECT chunk_id, unnest(t) AS term, unnest(range(len(t))) AS position FROM tok) GROUP BY 1, 2")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.postings(table(spark, d, "chunks"))
+    return retrieval.postings(table(spark, d, "chunks")).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
 @query(f"SELECT doc_id, array_to_string(coalesce(regexp_extract_all(title, '{_SEG}'), []), ' ') AS words FROM documents")
@@ -85,7 +85,7 @@ def snippets_and_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\\n\\s*\\n')) AS x FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, count(*) AS paragraphs, sum(length({_trimmed('x')})) AS chars FROM p WHERE {_trimmed('x')} <> '' GROUP BY doc_id""")
+SELECT doc_id, count(*) AS paragraphs, sum(length({_trimmed('x')}))::BIGINT AS chars FROM p WHERE {_trimmed('x')} <> '' GROUP BY doc_id""")
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "documents").select("doc_id", F.explode(chunking.paragraphs(F.col("text"))).alias("x"))
     return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.char_length("x")).alias("chars"))
@@ -298,7 +298,7 @@ _EDGES = """ce AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE
 edges AS (SELECT a.entity_id AS entity_a, b.entity_id AS entity_b, document_id AS doc_id, count(*) AS occurrences
 FROM ce a JOIN ce b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id JOIN chunks c ON c.chunk_id = a.chunk_id GROUP BY 1, 2, 3)
 """
-_NEAR = """near AS (SELECT CASE WHEN entity_a IN (1, 2) THEN entity_b ELSE entity_a END AS related_id, sum(occurrences) AS strength FROM edges
+_NEAR = """near AS (SELECT CASE WHEN entity_a IN (1, 2) THEN entity_b ELSE entity_a END AS related_id, sum(occurrences)::BIGINT AS strength FROM edges
 WHERE (entity_a IN (1, 2)) <> (entity_b IN (1, 2)) GROUP BY 1 ORDER BY strength DESC, related_id LIMIT 5)
 """
 IDS = [1, 2]
@@ -473,7 +473,7 @@ def collected_candidates(spark: SparkSession, d: str) -> DataFrame:
     return dictionary.collected(table(spark, d, "chunks"), "content")
 
 
-_CAND = """cand AS (SELECT surface, coalesce(sum(frequency), 0) AS frequency, arg_min(pos, (first_seen, candidate_id)) AS pos, arg_min(source, (first_seen, candidate_id)) AS source, min(first_seen) AS first_seen, max(last_seen) AS last_seen,
+_CAND = """cand AS (SELECT surface, coalesce(sum(frequency), 0)::BIGINT AS frequency, arg_min(pos, (first_seen, candidate_id)) AS pos, arg_min(source, (first_seen, candidate_id)) AS source, min(first_seen) AS first_seen, max(last_seen) AS last_seen,
 arg_min(status, CASE status WHEN 'accepted' THEN 0 WHEN 'rejected' THEN 1 ELSE 2 END) AS status FROM dictionary_candidates WHERE trim(surface) <> '' GROUP BY surface)
 """
 

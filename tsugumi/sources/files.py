@@ -143,3 +143,37 @@ def custom_terms(spark: SparkSession, path: str) -> DataFrame:
     except (OSError, tomllib.TOMLDecodeError, KeyError, AttributeError, TypeError):
         rows = []
     return spark.createDataFrame(rows, "name string, entity_type string")
+
+
+def wordnet_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(words, senses) of a WordNet SQLite file: word(wordid, lemma, lang) and sense(synset, wordid). Such a file holds one language's words, some hundred thousand rows."""
+    import sqlite3
+
+    con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    try:
+        words = con.execute("SELECT wordid, lemma, lang FROM word").fetchall()
+        senses = con.execute("SELECT synset, wordid FROM sense").fetchall()
+    finally:
+        con.close()
+    return spark.createDataFrame(words, "wordid long, lemma string, lang string"), spark.createDataFrame(senses, "synset string, wordid long")
+
+
+def install_default(path: str, text: str) -> bool:
+    """Writes a file that is not there yet; tells whether it did."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    try:
+        with open(path, "x", encoding="utf-8") as f:
+            f.write(text)
+        return True
+    except FileExistsError:
+        return False
+
+
+def write_status(path: str, status: dict) -> None:
+    """A status file, replaced as a whole: readers see the old one or the new one."""
+    import json
+
+    draft = f"{path}.{os.getpid()}.tmp"
+    with open(draft, "w", encoding="utf-8") as f:
+        json.dump(status, f, ensure_ascii=False, indent=2)
+    os.replace(draft, path)

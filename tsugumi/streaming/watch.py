@@ -49,3 +49,19 @@ def watch(spark: SparkSession, events: str, folder: str, checkpoint: str, interv
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def watch_tree(spark: SparkSession, directories: list[str], index, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Calls ``index()`` once for every batch of new or changed files under ``directories``.
+
+    The file source reports no deletions; ``index`` compares the whole listing with what is indexed (as
+    ``Engine.index`` without paths does), so files that are gone are found with the next change.
+    """
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load("{" + ",".join(directories) + "}" if len(directories) > 1 else directories[0])
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if not batch.select("path").isEmpty():
+            index()
+
+    writer = stream.select("path").writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
