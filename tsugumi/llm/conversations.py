@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tsugumi.functions.instants import with_instant
 from tsugumi.functions.json import json_array
 from tsugumi.functions.text import is_blank, utrim
+from tsugumi.plans.bounds import checkpointed
 from tsugumi.plans.segments import segmented
 
 _ITEM = "(CASE WHEN schema_of_variant(x) = 'STRING' THEN variant_get(x, '$', 'string') WHEN schema_of_variant(x) LIKE 'OBJECT%' AND try_variant_get(x, '$.type', 'string') = 'text' THEN try_variant_get(x, '$.text', 'string') END)"
@@ -100,8 +101,10 @@ def dropped_sessions(messages: DataFrame, roles: DataFrame) -> DataFrame:
 
 def conversations(messages: DataFrame, roles: DataFrame) -> DataFrame:
     """session_id, turn (1, 2, ...), speaker, text, utc_us of the messages with text of all sound sessions, in order."""
-    rows = turns(messages, roles, True)
-    bad = flaws(turns(messages, roles, False)).select(F.col("session_id").alias("_s"))
-    kept = rows.filter("has_text").join(bad, F.col("session_id").eqNullSafe(F.col("_s")), "left_anti")
-    placed = segmented(kept, ["session_id"], ["line_no", "at", "msg_id"])
-    return with_instant(placed, "msg_timestamp", "client_tz").select("session_id", F.col("pos").cast("long").alias("turn"), "speaker", utrim(F.col("text")).alias("text"), "utc_us")
+    rows = checkpointed(turns(messages, roles, True))  # read for the flaws, the order and the texts
+    bad = flaws(rows.drop("text")).select(F.col("session_id").alias("_s"))
+    kept = rows.filter("has_text").select("session_id", "line_no", "at", "msg_id").join(bad, F.col("session_id").eqNullSafe(F.col("_s")), "left_anti")
+    placed = segmented(kept, ["session_id"], ["line_no", "at", "msg_id"]).select("session_id", "msg_id", "pos")
+    texts = rows.filter("has_text").select(F.col("session_id").alias("_s"), F.col("msg_id").alias("_m"), "speaker", "text", "msg_timestamp", "client_tz")
+    whole = placed.join(texts, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("msg_id") == F.col("_m")))
+    return with_instant(whole, "msg_timestamp", "client_tz").select("session_id", F.col("pos").cast("long").alias("turn"), "speaker", utrim(F.col("text")).alias("text"), "utc_us")
