@@ -23,11 +23,11 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") ->
 
 
 def document_frequencies(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """term, df, cf. Terms are counted within each text before the shuffle, so a hot term moves one row per task."""
-    t = index_terms(F.col(text))
-    own = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter(F.col("t"), lambda y: y == x)).alias("tf")))
-    each = chunks.select(t.alias("t")).select(F.explode(own).alias("x"))
-    return each.groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tf").alias("cf"))
+    """term, df, cf. Every term stands once for each place and once for each text; both are summed on the map side, so a hot term moves one row per task."""
+    t = F.col("t")
+    places, texts = F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))), F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df")))
+    each = chunks.select(index_terms(F.col(text)).alias("t")).select(F.explode(F.concat(places, texts)).alias("x"))
+    return each.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.df").alias("df"), F.sum("x.cf").alias("cf"))
 
 
 def corpus_statistics(chunks: DataFrame, text: str = "content") -> DataFrame:
