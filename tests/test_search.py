@@ -118,6 +118,21 @@ def test_nearest_each_equals_nearest(spark):
     assert retrieval.nearest_each(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_nearest_each_with_many_copies_in_a_block(spark):
+    import random
+
+    rng = random.Random(7)
+    copy, other = [[rng.random() for _ in range(16)] for _ in range(2)]
+    rows = [(i, copy if i % 3 == 0 else [rng.random() + (5 if i % 2 else 0) for _ in range(16)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, copy), (2, other), (3, [c + 1e-3 for c in copy])], df.schema)
+    got = retrieval.nearest_each(df, queries, 5).collect()
+    for q in queries.collect():
+        one = [r.vec_id for r in retrieval.nearest(df, q.embedding, 5).collect()]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q.vec_id), key=lambda r: r["rank"])] == one
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 1), key=lambda r: r["rank"])] == [0, 3, 6, 9, 12]
+
+
 def test_whole_search(spark):
     docs = spark.createDataFrame([(1, "a/x.md", "note", "current", None, "2025-06-30"), (2, "a/y.md", "note", "outdated", None, "2025-06-30"), (3, "b/z.md", "session", None, None, None)], "doc_id long, file_path string, source_type string, status string, created string, updated string")
     parts = spark.createDataFrame([(1, 1, "s", "head\nold loom here"), (2, 2, "s", "old loom there and loom"), (3, 3, "s", "loom"), (4, 1, "s", "nothing")], "chunk_id long, document_id long, section_path string, content string")

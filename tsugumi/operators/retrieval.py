@@ -101,12 +101,14 @@ def _block_top(k: int):
                 q, v, qi, vi = _matrix(qv.values), _matrix(vv.values), np.array(qid.as_py()), np.array(vid.as_py())
                 order = np.argsort(vi, kind="stable")
                 v, vi = v[order], vi[order]
-                guess = np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0)
-                m = min(k + 8, len(vi))
-                near = np.argpartition(guess, m - 1, axis=1)[:, :m]
+                qq, vv2 = (q * q).sum(1), (v * v).sum(1)
+                guess = qq[:, None] + vv2[None, :] - 2 * q @ v.T
+                # Guesses are off by rounding only: no row of the k best lies further beyond the k-th guess than this, however many tie. NaN is kept.
+                margin = 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * (qq + vv2.max())
+                last = np.partition(guess, min(k, len(vi)) - 1, axis=1)[:, min(k, len(vi)) - 1] + margin
                 out_q, out_v, out_d = [], [], []
-                for i, cols in enumerate(near):
-                    cols = np.sort(cols)
+                for i in range(len(q)):
+                    cols = np.flatnonzero(~(guess[i] > last[i]))
                     d = np.sqrt(((v[cols] - q[i]) ** 2).sum(1))
                     best = np.lexsort((vi[cols], d))[:k]
                     out_q.append(np.full(len(best), qi[i]))
