@@ -52,6 +52,16 @@ def test_engine(spark, tmp_path):
     assert engine.rebuild(DAY) == {"insert": 1}
 
 
+def test_documents_that_share_one_tag_are_related(spark, tmp_path):
+    root = tmp_path / "tree"
+    write(root, "notes/loom.md", "---\ntags: [weaving, wool]\n---\n# Loom\n\nThe old loom is in the attic.\n")
+    write(root, "notes/kiln.md", "---\ntags: [pots, weaving]\n---\n# Kiln\n\nThe kiln reaches 1200 degrees.\n")
+    engine = Engine(spark, C.Settings(root=str(root), state=str(tmp_path / "state"), dimension=16, top_k=1))
+    engine.index(DAY)
+    first = engine.search("loom", DAY).first()
+    assert [(r.file_path, r.link_type, round(r.strength, 3)) for r in first.related_docs] == [("notes/kiln.md", "tag", 0.35)]
+
+
 def test_settings(tmp_path):
     a, b = tmp_path / "a.toml", tmp_path / "b.toml"
     a.write_text('top_k = 9\ndirectories = [{path = "n", weight = -3}, {path = "n/deep", weight = 2.0, half_life_days = 10}, {path = "/abs"}, {path = ""}]\n')

@@ -241,6 +241,18 @@ def test_links(spark):
     assert rows(up) == [(1, 2, "tag", 0.7)] and links.without_documents(up, spark.createDataFrame([(2,)], "doc_id long")).count() == 0
 
 
+def test_related_by_one_tag(spark):
+    docs = spark.createDataFrame([(i, f"{c}.md") for i, c in enumerate("abcdef")], "doc_id long, file_path string")
+    tags = spark.createDataFrame([(0, "db"), (1, "db"), (2, "db"), (2, "rust"), (3, "rust"), (3, "web"), (4, "sea")], "doc_id long, name string")
+    written = spark.createDataFrame([(0, 5, "explicit", 1.0)], links.LINKS)
+    classes = links.tag_classes(tags)
+    near = lambda ids, n=5: [tuple(r) for r in links.related(written, docs, ids, n, links.tag_links(tags), classes).collect()]
+    assert near([0]) == [("f.md", "explicit", 1.0), ("b.md", "tag", pytest.approx(0.7)), ("c.md", "tag", pytest.approx(0.35))]
+    assert near([0, 1, 3]) == [("f.md", "explicit", 1.0), ("c.md", "tag", pytest.approx(0.35))] and near([4]) == []
+    assert near([0, 2]) == [("f.md", "explicit", 1.0), ("b.md", "tag", pytest.approx(0.7)), ("d.md", "tag", pytest.approx(0.35))]
+    assert near([0, 2], 2) == near([0, 2])[:2]
+
+
 def syn(spark, data):
     return spark.createDataFrame(data, synonyms.SCHEMA)
 

@@ -24,6 +24,8 @@ SCHEMAS = {
     "chunk_entities": "chunk_id long, entity_id long",
     "edges": "entity_a long, entity_b long, doc_id long, occurrences long",
     "links": links.LINKS,
+    "tag_links": links.TAG_LINKS,
+    "tag_classes": links.TAG_CLASSES,
     "synonyms": synonyms.SCHEMA,
     "candidates": "surface string, frequency long, pos string, source string, first_seen string, last_seen string, status string",
 }
@@ -104,7 +106,7 @@ class Engine:
         chunk_entities = rows.select("chunk_id", "entity_id").distinct()
         self.store.commit({"entities": held, "chunk_entities": chunk_entities})
         links_ = links.upserted(links.explicit_links(notes), links.entity_links(t("chunk_entities"), chunks))
-        self.store.commit({"edges": entities.edges(t("chunk_entities"), chunks), "links": links_})
+        self.store.commit({"edges": entities.edges(t("chunk_entities"), chunks), "links": links_, "tag_links": links.tag_links(tags), "tag_classes": links.tag_classes(tags)})
 
     def fill_vectors(self) -> dict[str, int]:
         """Vectors for chunks that lack one; those that can't be encoded go to the skip list."""
@@ -179,7 +181,7 @@ class Engine:
 
     def corpus(self) -> S.Corpus:
         t = self.store.table
-        return S.Corpus(t("documents"), t("chunks"), t("vectors"), t("entities"), t("chunk_entities"), t("edges"), t("synonyms"), t("links"))
+        return S.Corpus(t("documents"), t("chunks"), t("vectors"), t("entities"), t("chunk_entities"), t("edges"), t("synonyms"), t("links"), t("tag_links"), t("tag_classes"))
 
     def search(self, query: str, as_of: str, top_k: int | None = None, paths: list[str] = (), **flags) -> DataFrame:
         """Ranked results; see ``tsugumi.plans.search``. Paths must be relative and not empty."""

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsugumi import params as P
+from tsugumi.plans.bounds import broadcast_if_small
 
 LINKS = "doc_a long, doc_b long, link_type string, strength double"
+TAG_LINKS = "set_a string, set_b string, shared int, strength double"
+TAG_CLASSES = "doc_id long, tag_set string"
 
 
 def explicit_links(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -85,9 +88,27 @@ def without_documents(links: DataFrame, gone: DataFrame) -> DataFrame:
     return links
 
 
-def related(links: DataFrame, documents: DataFrame, ids: list[int], limit: int = P.RELATED_DOCUMENTS) -> DataFrame:
-    """file_path, link_type, strength of the strongest neighbours of ``ids``, which are not among them; ties by path."""
+def near_classes(tag_links: DataFrame, classes: DataFrame, ids: list[int]) -> DataFrame:
+    """doc_id, link_type, strength of the documents linked by tags with ``ids``, which are not among them, once each with the highest strength.
+
+    The classes of ``ids`` are few; a document has one class, so the strongest link of each class near them is the strongest of its members.
+    """
+    own = [r.tag_set for r in classes.filter(F.col("doc_id").isin(ids)).select("tag_set").distinct().collect()]  # at most one per id
+    a, b = F.col("set_a").isin(own), F.col("set_b").isin(own)
+    ends = F.array_compact(F.array(F.when(a, F.col("set_b")), F.when(b, F.col("set_a"))))  # of two classes of ``ids``, each is near the other
+    near = tag_links.filter(a | b).select(F.explode(ends).alias("tag_set"), "strength").groupBy("tag_set").agg(F.max("strength").alias("strength"))
+    members = classes.filter(~F.col("doc_id").isin(ids)).join(broadcast_if_small(near), "tag_set")
+    return members.select("doc_id", F.lit("tag").alias("link_type"), "strength")
+
+
+def related(links: DataFrame, documents: DataFrame, ids: list[int], limit: int = P.RELATED_DOCUMENTS, tag_links: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """file_path, link_type, strength of the strongest neighbours of ``ids``, which are not among them; ties by path.
+
+    ``tag_links`` between ``classes`` of documents (see ``tag_links``, ``tag_classes``) count as links of their members.
+    """
     a, b = F.col("doc_a").isin(ids), F.col("doc_b").isin(ids)
     near = links.filter(a | b).select(F.when(a, F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc_id"), "link_type", "strength").filter(~F.col("doc_id").isin(ids))
+    if tag_links is not None and classes is not None:
+        near = near.unionByName(near_classes(tag_links, classes, ids))
     named = near.join(documents.select("doc_id", "file_path"), "doc_id").groupBy("file_path", "link_type").agg(F.max("strength").alias("strength"))
     return named.orderBy(F.desc("strength"), "file_path", "link_type").limit(limit)

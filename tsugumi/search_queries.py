@@ -271,7 +271,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 def search_request(spark: SparkSession, d: str) -> DataFrame:
     """A whole request: words, entities, vectors, fusion, scores, related documents."""
     links_ = links.explicit_links(table(spark, d, "documents")).unionByName(_entity_links(spark, d))
-    corpus = S.Corpus(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), table(spark, d, "entities"), table(spark, d, "chunk_entities"), _edges(spark, d), _synonyms(spark, d), links_)
+    tags = entities.tag_entities(table(spark, d, "documents"))
+    corpus = S.Corpus(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), table(spark, d, "entities"), table(spark, d, "chunk_entities"), _edges(spark, d), _synonyms(spark, d), links_, links.tag_links(tags), links.tag_classes(tags))
     return S.results(corpus, S.Request("最近の pogisobu 索引 について", AS_OF, TOP, vector=_first_vector(spark, d)))
 
 
@@ -353,6 +354,13 @@ def tag_links(spark: SparkSession, d: str) -> DataFrame:
     return links.tag_links(entities.tag_entities(table(spark, d, "documents"))).withColumn("strength", F.round("strength", 8))
 
 
+@query("""WITH t AS (SELECT DISTINCT doc_id, lower(trim(tag)) AS name FROM (SELECT doc_id, unnest(tags) AS tag FROM documents) WHERE length(trim(tag)) >= 2)
+SELECT doc_id, string_agg(name, chr(10) ORDER BY name) AS tag_set FROM t GROUP BY 1""")
+def tag_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The members of the classes that ``tag_links`` links."""
+    return links.tag_classes(entities.tag_entities(table(spark, d, "documents")))
+
+
 _ENTITY_LINKS = """o AS (SELECT DISTINCT document_id AS doc_id, entity_id FROM chunk_entities JOIN chunks USING (chunk_id) WHERE entity_id IS NOT NULL),
 p AS (SELECT a.doc_id AS own, b.doc_id AS other, count(*) AS shared FROM o a JOIN o b ON a.entity_id = b.entity_id AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY shared DESC, other) AS r FROM p),
