@@ -1,6 +1,7 @@
 """Parsing, retrieval, the entity graph, links, synonyms, dictionary, upkeep, files and the stream on small fixtures."""
 
 import math
+import re
 from datetime import date
 
 import pytest
@@ -206,6 +207,24 @@ def test_custom_terms(spark):
     assert entities.custom_entities(chunks(spark, texts), terms.limit(0)).count() == 0
 
 
+def test_custom_entities_of_any_form(spark):
+    names = ["raspberry pi", "ci/cd", "o'brien", "r&d", "c++", "c#", "ai索引", "web会議", "a--b", ".net", "foo bar", "データ ベース", "x-y", "索引"]
+    texts = [
+        "My Raspberry Pi, raspberry pie and CI/CD.", "raspberry  pi; xci/cd ci/cdx O'Brien's R&D", "C++ is c++.", "c++x xc++", "use C# now", "新しいAI索引を", "週次web会議。ai会議", "a--b a--bc",
+        "a .NET b", "asp.net", "foo\nbar", "foo bar_", "(foo bar)", "大データ ベースの", "x-y", "",
+    ]
+    terms = spark.createDataFrame([(n,) for n in names], "name string")
+    word = r"[^\W]"
+    want = []
+    for i, t in enumerate(texts):
+        for n in names:
+            at = re.escape(n.lower())
+            if n.lower() in t.lower() if re.search("[\u3000-\u9fff]", n) else re.search(f"(?<!{word}){at}(?!{word})", t.lower()):
+                want.append((i, n))
+    got = rows(entities.custom_entities(chunks(spark, texts), terms))
+    assert got == sorted(want, key=str) and {n for _, n in got} == set(names)
+
+
 def test_pairs_of_wide_baskets(spark):
     from itertools import combinations
 

@@ -21,15 +21,20 @@ def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content")
     A term with CJK signs matches anywhere, any other between word boundaries, in any case. Instead of
     testing every term on every text, what a text holds that could be a term is looked up: windows of
     as many characters as there are different CJK term lengths, and spans of words joined by dots and dashes.
+    Terms of other forms add windows of their own: over all characters for those that mix CJK and other signs, over words
+    and single signs between them for the rest (with blanks, slashes and so on); both only if there are such terms.
     """
     named = terms.select(F.lower(utrim(F.col("name"))).alias("name")).filter(F.char_length("name") >= 2).distinct()
-    cjk = F.col("name").rlike(r"[\u3000-\u9fff\uf900-\ufaff\uff00-\uffef]")
-    sizes = sorted(r.n for r in named.filter(cjk).select(F.char_length("name").alias("n")).distinct().collect())  # lengths of terms, a few numbers
-    low = F.lower(F.col(text))
+    sign = r"[\u3000-\u9fff\uf900-\ufaff\uff00-\uffef]"
     word = r"[\p{L}\p{N}\p{M}_]+"
+    parted = lambda c: F.regexp_extract_all(c, F.lit(rf"{word}|[^\p{{L}}\p{{N}}\p{{M}}_]"), F.lit(0))
+    cjk, whole, plain = F.col("name").rlike(sign), F.col("name").rlike(f"^{sign}+$"), F.col("name").rlike(rf"^{word}(?:[.-]{word})*\z")
+    lengths = lambda kind, n: sorted(r.n for r in named.filter(kind).select(n.alias("n")).distinct().collect())
+    sizes, mixed = (lengths(kind, F.char_length("name")) for kind in (cjk & whole, cjk & ~whole))  # lengths of terms, a few numbers
+    low = F.lower(F.col(text))
     joined = F.regexp_extract_all(low, F.lit(f"{word}(?:[.-]{word})*"), F.lit(0))
     pieces = F.transform(joined, lambda x: F.split(x, "(?<=[.-])|(?=[.-])"))
-    counts = sorted(r.n for r in named.filter(~cjk).select(F.size(F.split("name", "(?<=[.-])|(?=[.-])")).alias("n")).distinct().collect())  # as few
+    counts, others = lengths(~cjk & plain, F.size(F.split("name", "(?<=[.-])|(?=[.-])"))), lengths(~cjk & ~plain, F.size(parted(F.col("name"))))  # as few
     found = F.array().cast("array<string>")
     for n in counts:
         spans = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - (n - 1)), lambda i: F.array_join(F.slice(p, i, F.lit(n)), ""))  # noqa: E731, B023
@@ -38,6 +43,20 @@ def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content")
     for n in sizes:
         windows = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - (n - 1)), lambda i: F.array_join(F.slice(r, i, F.lit(n)), ""))  # noqa: E731, B023
         found = F.concat(found, F.flatten(F.transform(F.filter(runs, lambda r: F.size(r) >= n), windows)))  # noqa: B023
+    # An empty sequence where the text is shorter. A cut beside a word piece is a boundary, one beside a single sign must not touch a word.
+    starts = lambda p, n: F.filter(F.sequence(F.lit(0), F.size(p)), lambda i: i + n <= F.size(p))
+    window = lambda p, i, n: F.array_join(F.slice(p, i + 1, F.lit(n)), "")
+    is_word = lambda c: F.coalesce(c.rlike(f"^{word}"), F.lit(False))
+    if mixed:
+        signs = F.split(low, "")
+        for n in mixed:
+            found = F.concat(found, F.filter(F.transform(starts(signs, n), lambda i: window(signs, i, n)), lambda x: x.rlike(sign)))  # noqa: B023
+    if others:
+        marks = parted(low)
+        for n in others:
+            first, last = lambda i: F.get(marks, i), lambda i: F.get(marks, i + n - 1)  # noqa: E731, B023
+            free = lambda i: (is_word(first(i)) | ~is_word(F.when(i > 0, F.get(marks, i - 1)))) & (is_word(last(i)) | ~is_word(F.get(marks, i + n)))  # noqa: E731, B023
+            found = F.concat(found, F.transform(F.filter(starts(marks, n), free), lambda i: window(marks, i, n)))  # noqa: B023
     # Not deterministic to the optimizer, so that it doesn't copy the whole expression into a filter before the explode.
     held = chunks.filter(F.col(text).isNotNull()).select("chunk_id", F.array_distinct(found).alias("found"), F.spark_partition_id().alias("_pid"))
     each = held.select("chunk_id", F.explode(F.when(F.col("_pid") >= 0, F.col("found"))).alias("name"))
