@@ -237,6 +237,18 @@ def test_markup_rows(spark):
     assert markup.extracted(pages.limit(0), won).count() == 0
 
 
+def test_every_page_is_extracted(spark):
+    rows = [(i, f"【h/{i}】x\n<style>{'p ' * 300}</style><div class='main'><p>{'text ' * 30}</p></div>") for i in range(3)]
+    rows += [(3, "【h/3】x\n<td>only a cell</td>"), (4, "【h/4】x\n<section>other <b>part</b></section>"), (5, "【h/5】x\na < b and no container"), (6, "【k/6】x\n<div>tail <!-- not ended"), (7, "【k/7】x\n<div>one two &am"), (8, "no page")]
+    pages = spark.createDataFrame(rows, "chunk_id long, content string")
+    got = {r.chunk_id: (r.path, r.text) for r in markup.extracted(pages, markup.host_paths(pages)).collect()}
+    assert set(got) == set(range(8)) and all(got[i] == ("div.main/p", ("text " * 30).strip()) for i in range(3))
+    assert got[3] == ("td", "only a cell") and got[4] == ("section", "other part") and got[5] == (None, "a < b and no container")
+    assert got[6][1].startswith("tail") and got[7][1].startswith("one two &am")
+    first = {r.chunk_id: r.path for r in markup.extracted(pages, markup.consensus_paths(pages)).collect()}
+    assert set(first) == set(range(8)) and first[4] is None
+
+
 def test_ids_equal_the_library(spark, small):
     from tokenizers import Tokenizer
 

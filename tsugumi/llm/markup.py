@@ -14,7 +14,7 @@ from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsugumi.plans.bounds import broadcast_if_small
@@ -246,9 +246,12 @@ class _Containers(HTMLParser):
                 del self.path[i:]
                 return
 
+    def hidden(self) -> bool:
+        return any(p.split(".")[0] in ("script", "style") for p in self.path)
+
     def handle_data(self, data):
         n = len(data.strip())
-        if n and self.path:
+        if n and self.path and not self.hidden():
             linked = any(p.split(".")[0] == "a" for p in self.path)
             for k in range(1, len(self.path) + 1):
                 held = self.score.setdefault("/".join(self.path[:k]), [0, 0])
@@ -258,11 +261,12 @@ class _Containers(HTMLParser):
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for chunk, host, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             page = _Containers()
             page.feed(text)
-            rows += [(host, path, plain, linked) for path, (plain, linked) in page.score.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "plain", "linked"])
+            page.close()
+            rows += [(chunk, host, path, plain, linked) for path, (plain, linked) in page.score.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["chunk_id", "host", "path", "plain", "linked"])
 
 
 def _pages(chunks: DataFrame) -> DataFrame:
@@ -270,16 +274,32 @@ def _pages(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("content").contains("<")).select(F.col("chunk_id").alias("chunk_id"), host.alias("host"), F.regexp_replace("content", r"^【[^】\n]*】[^\n]*\n?", "").alias("content"))
 
 
+def _scored(chunks: DataFrame) -> DataFrame:
+    """chunk_id, host, path, plain, linked: characters under every container path of every page."""
+    return _pages(chunks).mapInArrow(_score, "chunk_id long, host string, path string, plain long, linked long")
+
+
+def _best() -> Column:
+    """The order of a host's paths: most text, then the longer path, then the one that sorts last."""
+    return F.struct("characters", F.length("path").alias("n"), F.col("path"))
+
+
+def host_paths(chunks: DataFrame) -> DataFrame:
+    """host, path, votes, characters of every generalised container path of a host that holds more text than link text.
+
+    The host of a chunk is the first directory of its context line. Scripts and styles are no text.
+    """
+    votes = _scored(chunks).groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.col("plain") - F.col("linked")).alias("characters"))
+    return votes.filter("characters > 0")
+
+
 def consensus_paths(chunks: DataFrame) -> DataFrame:
     """host, path, votes, characters: the generalised container path under which the HTML of a host holds most text.
 
-    The host of a chunk is the first directory of its context line. A container votes with its text less
-    its link text; of equals the longer path wins, then the one that sorts first. Sums and winners are
+    A container votes with its text less its link text; of equals the longer path wins. Sums and winners are
     aggregates, so no host is gathered in one place.
     """
-    votes = _pages(chunks).select("host", "content").mapInArrow(_score, "host string, path string, plain long, linked long").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.col("plain") - F.col("linked")).alias("characters"))
-    best = F.struct("characters", F.length("path").alias("n"), F.col("path"), F.col("votes"))
-    return votes.filter("characters > 0").groupBy("host").agg(F.max(best).alias("b")).select("host", "b.path", "b.votes", "b.characters")
+    return host_paths(chunks).groupBy("host").agg(F.max_by(F.struct("path", "votes", "characters"), _best()).alias("b")).select("host", "b.path", "b.votes", "b.characters")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,21 +310,31 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def handle_data(self, data):
             own = "/".join(self.path)
-            if own == self.wanted or own.startswith(self.wanted + "/"):
+            if (own == self.wanted or own.startswith(self.wanted + "/")) and not self.hidden():
                 self.texts.append(data)
 
     for batch in batches:
         rows = []
         for chunk, content, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            page = Held(path)
-            page.feed(content)
-            text = convert("".join(page.texts))[0]
+            text = ""
+            if path is not None:
+                page = Held(path)
+                page.feed(content)
+                page.close()
+                text = convert("".join(page.texts))[0]
+            if not text:
+                text, path = convert(content)[0], None
             if text:
                 rows.append((chunk, path, text))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["chunk_id", "path", "text"])
 
 
 def extracted(chunks: DataFrame, paths: DataFrame) -> DataFrame:
-    """chunk_id, path, text: what stands under its host's winning path, of the chunks that have it. ``paths`` has one row per host."""
-    held = _pages(chunks).join(broadcast_if_small(paths.select("host", "path")), "host").select("chunk_id", "content", "path")
+    """chunk_id, path, text: what stands under the best path of its host that the page has; the whole converted page, with a null path, if it has none.
+
+    ``paths`` (host, path, characters) has any number of rows per host, see ``host_paths``. Pages without any text give no row.
+    """
+    ranked = broadcast_if_small(paths.select("host", "path", "characters"))
+    chosen = _scored(chunks).select("chunk_id", "host", "path").join(ranked, ["host", "path"]).groupBy("chunk_id").agg(F.max_by("path", _best()).alias("path"))
+    held = _pages(chunks).join(chosen, "chunk_id", "left").select("chunk_id", "content", "path")
     return held.mapInArrow(_extract, "chunk_id long, path string, text string")

@@ -44,7 +44,7 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks")
-    return markup.extracted(chunks, markup.consensus_paths(chunks))
+    return markup.extracted(chunks, markup.host_paths(chunks))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
