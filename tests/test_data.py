@@ -84,6 +84,31 @@ def test_zone_fit_finds_the_history(spark):
     assert times.normalised(values, "v", "z", ["g"], fitted, ["g"]).first().utc_us == us(2024, 1, 1)
 
 
+def test_zone_bounds_reach_over_local_times(spark):
+    from tsugumi.data_queries import zone_bounds
+
+    m = [("s", 1, 1, "2024-08-06T00:00:00Z"), ("s", 2, 2, "2024-08-06 09:10:00"), ("s", 3, 3, "2024-08-06 09:20:00"), ("s", 4, 5, "2024-08-06 09:30:00"), ("s", 5, 4, "2024-08-06T01:00:00Z"), ("t", 1, 6, "2024-08-06 09:00"), ("old", None, 7, "2024-08-06T03:00:00Z"), ("old", None, 8, "2024-08-06 11:00:00")]
+    messages = spark.createDataFrame([(*r, "Asia/Tokyo") for r in m], "session_id string, line_no int, msg_id long, value string, zone string")
+    documents = spark.createDataFrame([("2024-08-06 09:00:00", "Asia/Tokyo", datetime(2024, 8, 6, 0, 30)), ("2024-08-06T00:00:00Z", "Asia/Tokyo", datetime(2024, 8, 6, 0, 30)), (None, None, None)], "value string, zone string, indexed_at timestamp")
+    rows = zone_bounds(messages, documents)
+    got = sorted(((r.rec_kind, r.local_us, r.lower, r.upper) for r in rows.filter("local_us is not null").collect()), key=str)
+    lo, hi = us(2024, 8, 6), us(2024, 8, 6, 1)
+    inside = [("message", us(2024, 8, 6, 9, k), lo, hi) for k in (10, 20, 30)]
+    assert got == sorted([*inside, ("message", us(2024, 8, 6, 9), None, None), ("message", us(2024, 8, 6, 11), None, None), ("document", us(2024, 8, 6, 9), None, us(2024, 8, 6, 0, 30))], key=str)
+    zones = spark.createDataFrame([("UTC",), ("Asia/Tokyo",)], "zone string")
+    fit = {(r.rec_kind, r.zone): (r.records, r.bounded, r.violations, r["rank"]) for r in times.fit_zones(rows, ["rec_kind", "stated_tz"], "local_us", "lower", "upper", zones).collect()}
+    assert fit == {("message", "Asia/Tokyo"): (5, 3, 0, 1), ("message", "UTC"): (5, 3, 3, 2), ("document", "Asia/Tokyo"): (1, 1, 0, 1), ("document", "UTC"): (1, 1, 1, 2)}
+
+
+def test_segments_carry_over_nulls(spark):
+    rows = [(i % 3, i, i * 7 if i % 11 == 0 else None) for i in range(200)]
+    got = segmented(spark.createDataFrame(rows, "g int, o int, v int"), ["g"], ["o"], carried=["v"], partitions=13).collect()
+    for r in got:
+        same = [v for g, o, v in rows if g == r.g and o < r.o and v is not None], [v for g, o, v in rows if g == r.g and o > r.o and v is not None]
+        assert (r.last_v, r.coming_v) == (same[0][-1] if same[0] else None, same[1][0] if same[1] else None)
+    assert len(got) == 200
+
+
 SCAN = "scan_id long, file_path string, file_hash string, scanned_at timestamp, documents string"
 
 

@@ -28,19 +28,35 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised(written_times(spark, sf_dir), "value", "zone", ["rec_kind", "rec_id", "field"])
 
 
-def p5_zone_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which offset history the local times of each stated client zone fit, held between their neighbours in the session."""
-    rows = table(spark, sf_dir, "session_messages").filter("line_no is not null").select("session_id", "line_no", "msg_id", "msg_timestamp", "client_tz")
-    timed = with_instant(rows, "msg_timestamp", "client_tz")
-    plain = with_instant(rows.withColumn("_utc", F.lit("UTC")), "msg_timestamp", "_utc", "local_us").select("msg_id", "local_us")
+def zone_bounds(messages: DataFrame, documents: DataFrame) -> DataFrame:
+    """rec_kind, stated_tz, local_us, lower, upper of the written times (null local_us: those that tell their zone).
+
+    ``messages``: session_id, line_no, msg_id, value, zone. A message lies between the nearest known instants before and after it in its
+    session. ``documents``: value, zone, indexed_at. A document was written before it was indexed. Sessions without line
+    numbers have no order but that of their times (msg_id is the order of arrival, which is not that of sending), so no bounds.
+    """
     zoned = r"(?i)(Z|[+−-]\d{2}(:?\d{2})?|\]|[A-Z]{3,4})\s*$|^\s*[\d.]+\s*$"
-    timed = timed.join(plain, "msg_id").withColumn("local_us", F.when(~F.col("msg_timestamp").rlike(zoned) | F.col("msg_timestamp").rlike("[AP]M *$"), F.col("local_us")))
-    known = timed.withColumn("known", F.when(F.col("local_us").isNull(), F.col("utc_us")))
-    back = segmented(known, ["session_id"], ["line_no", "msg_id"], ["known"])
-    front = segmented(known.withColumn("_back", -F.col("line_no")).withColumn("_id", -F.col("msg_id")), ["session_id"], ["_back", "_id"], ["known"]).select("msg_id", F.col("next_known").alias("previous_known"))
-    bounded = back.join(front, "msg_id").withColumn("client_tz", F.coalesce("client_tz", F.lit("UTC")))
+
+    def timed(rows: DataFrame) -> DataFrame:
+        rows = with_instant(with_instant(rows, "value", "zone").withColumn("_utc", F.lit("UTC")), "value", "_utc", "local_us")
+        rows = rows.withColumn("local_us", F.when(~F.col("value").rlike(zoned) | F.col("value").rlike("[AP]M *$"), F.col("local_us")))
+        return rows.withColumns({"known": F.when(F.col("local_us").isNull(), F.col("utc_us")), "stated_tz": F.coalesce("zone", F.lit("UTC"))})
+
+    all_messages = timed(messages)
+    numbered = segmented(all_messages.filter("line_no is not null").select("session_id", "line_no", "msg_id", "stated_tz", "local_us", "known"), ["session_id"], ["line_no", "msg_id"], carried=["known"])
+    out = numbered.select(F.lit("message").alias("rec_kind"), "stated_tz", "local_us", F.col("last_known").alias("lower"), F.col("coming_known").alias("upper"))
+    none = F.lit(None).cast("long")
+    out = out.unionByName(all_messages.filter("line_no is null").select(F.lit("message").alias("rec_kind"), "stated_tz", "local_us", none.alias("lower"), none.alias("upper")))
+    return out.unionByName(timed(documents).select(F.lit("document").alias("rec_kind"), "stated_tz", "local_us", none.alias("lower"), F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("upper")))
+
+
+def p5_zone_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which offset history the local times of each stated zone of clients and sources fit, messages between the known times of their session, documents before they were indexed."""
+    messages = table(spark, sf_dir, "session_messages").select("session_id", "line_no", "msg_id", F.col("msg_timestamp").alias("value"), F.col("client_tz").alias("zone"))
+    zones = table(spark, sf_dir, "sources").groupBy("source").agg(F.min("tz_name").alias("zone"))
+    documents = table(spark, sf_dir, "documents").select("source", F.explode(F.array("created", "updated")).alias("value"), "indexed_at").join(zones, "source", "left").select("value", "zone", "indexed_at")
     candidates = table(spark, sf_dir, "sources").select(F.col("tz_name").alias("zone")).filter("zone is not null")
-    return fit_zones(bounded, ["client_tz"], "local_us", "previous_known", "next_known", candidates).select("client_tz", "zone", "records", "violations", "rank")
+    return fit_zones(zone_bounds(messages, documents), ["rec_kind", "stated_tz"], "local_us", "lower", "upper", candidates)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
