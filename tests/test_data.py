@@ -153,6 +153,26 @@ def test_increments_neither_skip_nor_repeat(spark, tmp_path):
         incremental.Progress(spark, folder).commit(2, 9, "x")
 
 
+def test_increments_put_out_chunks_once_for_each_state(spark, tmp_path):
+    chunks = lambda *rows: spark.createDataFrame(rows, "chunk_id long, content string, content_hash string")
+    folder = str(tmp_path / "progress")
+    keys = lambda c: sorted((r.rec_kind, r.rec_key) for r in spark.read.parquet(c["data"]).collect())
+    seen = scans(spark, [(1, "a", "a2", T[1])])
+    one = incremental.run_increment(seen, docs(spark), folder, chunks((1, "x", "old"), (2, "y", None)))
+    assert keys(one) == [("chunk", "1"), ("chunk", "2"), ("file", "a")]
+    assert incremental.run_increment(seen, docs(spark), folder, chunks((1, "x", "old"), (2, "y", None))) == one
+
+    def lose():
+        raise InterruptedError
+
+    after = chunks((1, "x", "old"), (2, "z", None), (3, None, None))
+    with pytest.raises(InterruptedError):
+        incremental.run_increment(seen, docs(spark), folder, after, lose)
+    two = incremental.run_increment(seen, docs(spark), folder, after)
+    assert keys(two) == [("chunk", "2"), ("chunk", "3")] and two["watermark"] == 1
+    assert keys(incremental.run_increment(seen, docs(spark), folder, chunks((2, "y", None)))) == [("chunk", "2")]
+
+
 def test_stale_chunks(spark):
     import hashlib
 

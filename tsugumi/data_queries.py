@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsugumi.operators.incremental import unprocessed
+from tsugumi.operators.incremental import changed_files, committed, run_increment, unprocessed, upper_limit
 from tsugumi.operators.times import fit_zones, normalised
 from tsugumi.functions.instants import with_instant
 from tsugumi.plans.segments import segmented
@@ -63,7 +67,30 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unprocessed(table(spark, sf_dir, "file_scans"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_zone_fit": p5_zone_fit, "p7_found": p7_found}
+def p7_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What successive runs with watermark and commit put out, one of them lost before its commit: the rows of p7_found.
+
+    The first run sees a third of the scans and half of the chunks, the lost one and its repetition two thirds. A file that a
+    run put out and whose newest scan is the indexed state again has nothing left to process, so it is left out at the end.
+    """
+    scans, documents, chunks = (table(spark, sf_dir, t) for t in ("file_scans", "documents", "chunks"))
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tsugumi-')}/increments-{uuid.uuid4().hex}"
+    end = upper_limit(scans)
+
+    def lose() -> None:
+        raise InterruptedError
+
+    run_increment(scans.filter(F.col("scan_id") <= end // 3), documents, folder, chunks.filter("chunk_id % 2 = 0"))
+    with contextlib.suppress(InterruptedError):
+        run_increment(scans.filter(F.col("scan_id") <= end * 2 // 3), documents, folder, chunks, lose)
+    run_increment(scans.filter(F.col("scan_id") <= end * 2 // 3), documents, folder, chunks)
+    run_increment(scans, documents, folder, chunks)
+    rows = committed(spark, folder).select("rec_kind", "rec_key", "file_path")
+    files = rows.filter("rec_kind = 'file'").distinct().join(changed_files(scans, documents, 0, end).select("file_path"), "file_path", "left_semi")
+    return files.select("rec_kind", "rec_key").unionByName(rows.filter("rec_kind = 'chunk'").select("rec_kind", "rec_key"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_zone_fit": p5_zone_fit, "p7_found": p7_found, "p7_increments": p7_increments}
 
 SQL = {
     "p7_found": """
@@ -78,3 +105,4 @@ SELECT 'chunk', CAST(chunk_id AS VARCHAR) FROM chunks
 WHERE content_hash IS NULL OR content IS NULL OR lower(trim(content_hash)) <> sha256(content)
 """,
 }
+SQL["p7_increments"] = SQL["p7_found"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +46,10 @@ def changed_files(scans: DataFrame, documents: DataFrame, after: int, upto: int)
     return newest.join(indexed, "file_path", "left").filter(~F.col("scan_hash").eqNullSafe(F.col("_indexed"))).drop("_indexed")
 
 
-def stale_chunks(chunks: DataFrame) -> DataFrame:
+def stale_chunks(chunks: DataFrame, *more: str) -> DataFrame:
     """``chunk_id`` of chunks whose stored hash is null or not the SHA-256 of their content (null content has no hash)."""
     real = F.sha2(F.encode("content", "UTF-8"), 256)
-    return chunks.filter(~F.coalesce(plain_hash(F.col("content_hash")) == real, F.lit(False))).select("chunk_id")
+    return chunks.filter(~F.coalesce(plain_hash(F.col("content_hash")) == real, F.lit(False))).select("chunk_id", *more)
 
 
 class Progress:
@@ -65,17 +66,22 @@ class Progress:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(where) if s.getPath().getName().endswith(".json"))
 
-    def last(self) -> dict:
-        """The last commit: number, watermark and data folder; zero and none before the first."""
-        names = self.commits()
-        if not names:
-            return {"number": 0, "watermark": 0, "data": None}
-        stream = self._fs.open(self._path(f"{self.folder}/commits/{names[-1]}"))
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/commits/{name}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def last(self) -> dict:
+        """The last commit: number, watermark and data folder; zero and none before the first."""
+        names = self.commits()
+        return self._read(names[-1]) if names else {"number": 0, "watermark": 0, "data": None}
+
+    def places(self) -> list[str]:
+        """The data folders of all commits."""
+        return [self._read(name)["data"] for name in self.commits()]
+
     def commit(self, number: int, watermark: int, data: str) -> None:
         """Publishes; raises if another run published this number first."""
         draft = self._path(f"{self.folder}/drafts/{uuid.uuid4().hex}")
@@ -88,19 +94,51 @@ class Progress:
             raise RuntimeError(f"commit {number} exists")
 
 
-def run_increment(scans: DataFrame, documents: DataFrame, folder: str) -> dict:
-    """One run: writes the changed files above the watermark and commits. Returns the commit (the last one if nothing arrived)."""
-    progress = Progress(scans.sparkSession, folder)
+def fresh_chunks(chunks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """``chunk_id``, ``state`` of the stale chunks that did not come out in this state last. ``seen``: chunk_id, state, number of what came out before.
+
+    Chunks carry no sequence, so a digest of content and stored hash stands for their state.
+    """
+    part = lambda c: F.coalesce(F.sha2(F.encode(c, "UTF-8"), 256), F.lit("-"))
+    now = stale_chunks(chunks.withColumn("_state", F.concat_ws(" ", part("content"), part("content_hash"))), "_state").withColumnRenamed("_state", "state")
+    if seen is None:
+        return now
+    last = seen.groupBy(F.col("chunk_id").alias("_c")).agg(F.max_by("state", "number").alias("_s"))
+    return now.join(last, F.col("chunk_id").eqNullSafe(F.col("_c")) & (F.col("state") == F.col("_s")), "left_anti")
+
+
+def run_increment(scans: DataFrame, documents: DataFrame, folder: str, chunks: DataFrame | None = None, before_commit: Callable[[], None] = lambda: None) -> dict:
+    """One run: writes the changed files above the watermark and the stale ``chunks`` that no run put out, and commits both at once. Returns the commit (the last one if nothing arrived).
+
+    Rows: rec_kind, rec_key, and file_path, scan_hash, scan_id of files, chunk_id, state of chunks, number of the commit.
+    ``before_commit`` is called when all is written.
+    """
+    spark = scans.sparkSession
+    progress = Progress(spark, folder)
     last = progress.last()
     upto = upper_limit(scans)
-    if upto <= last["watermark"]:
+    rows = changed_files(scans, documents, last["watermark"], upto).select(F.lit("file").alias("rec_kind"), F.col("file_path").alias("rec_key"), "*")
+    if chunks is not None:
+        done = committed(spark, folder)
+        fresh = fresh_chunks(chunks, None if done is None else done.filter("rec_kind = 'chunk'"))
+        rows = rows.unionByName(fresh.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").cast("string").alias("rec_key"), "*"), allowMissingColumns=True)
+    else:
+        rows = rows.withColumns({"chunk_id": F.lit(None).cast("long"), "state": F.lit(None).cast("string")})
+    if upto <= last["watermark"] and (chunks is None or rows.isEmpty()):
         return last
     data = f"{folder}/data/{uuid.uuid4().hex}"
-    changed_files(scans, documents, last["watermark"], upto).write.parquet(data)
-    progress.commit(last["number"] + 1, upto, data)
+    rows.withColumn("number", F.lit(last["number"] + 1)).write.parquet(data)
+    before_commit()
+    progress.commit(last["number"] + 1, max(upto, last["watermark"]), data)
     return progress.last()
 
 
+def committed(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of all commits; None before the first."""
+    places = Progress(spark, folder).places()
+    return spark.read.parquet(*places) if places else None
+
+
 def unprocessed(scans: DataFrame, documents: DataFrame, chunks: DataFrame, after: int = 0) -> DataFrame:
     """``rec_kind`` (file, chunk), ``rec_key``: everything a run that starts now has to process."""
     files = changed_files(scans, documents, after, upper_limit(scans))
