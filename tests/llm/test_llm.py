@@ -224,6 +224,12 @@ def test_markup_text():
         markup.convert(long)
 
 
+def test_deep_nesting_is_taken_out():
+    for depth in (3, 12, 300):
+        assert markup.convert("\\emph{" * depth + "x" + "}" * depth) == ("x", ["latex"])
+        assert markup.convert("a " + "{{t|" * depth + "x" + "}}" * depth + "b") == ("a b", ["wiki"])
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([(1, "**a**", "k"), (2, None, "k"), (3, "", "k"), (1, "**a**", "k")], "chunk_id long, content string, kinds string")
     assert sorted(tuple(r) for r in markup.markup_kinds(df).collect()) == [(1, "markdown"), (1, "markdown")]

@@ -141,11 +141,10 @@ def convert(text: str) -> tuple[str, list[str]]:
         sub(_TAG, "html", tag)
     if "{{" in t:
         sub(_PARAMETER, "wiki", "")
-        for _ in range(8):  # from the innermost template outwards
+        before = None
+        while t != before:  # from the innermost template outwards; every round takes braces out
             before = t
             sub(_TEMPLATE, "wiki", "")
-            if t == before:
-                break
     if "[" in t:
         sub(_EXTERNAL, "wiki", lambda m: m[1] or "")
         sub(_BRACKET, "wiki", lambda m: "" if m[1].startswith("Category:") else m[1].rpartition("|")[2])
@@ -156,11 +155,10 @@ def convert(text: str) -> tuple[str, list[str]]:
     if "\\" in t:
         sub(_SECTION, "latex", lambda m: keep("# ") + m[2])
         sub(_ENVIRONMENT, "latex", "")
-        for _ in range(4):
+        before = None
+        while t != before:
             before = t
             sub(_COMMAND, "latex", lambda m: "" if m[1] in _SILENT else m[2])
-            if t == before:
-                break
         sub(_LINE_COMMAND, "latex", lambda m: keep("- ") if m[1] == "item" else "")
         if "latex" in found:
             t = re.sub(r"[ \t]*\\\\[ \t]*$", "", t, flags=re.M)
