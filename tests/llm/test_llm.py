@@ -224,6 +224,13 @@ def test_markup_text():
         markup.convert(long)
 
 
+def test_hard_stretch_that_the_recursion_misses(spark):
+    text = "a\n\n" + " " * 150 + "x" * 700
+    row = splitting.oversized(spark.createDataFrame([(1, text)], "chunk_id long, content string")).first()
+    assert (row.stretch, row.deepest) == (850, splitting.LEVELS.index("paragraph"))
+    assert splitting.split_kinds(spark.createDataFrame([(1, text)], "chunk_id long, content string")).first().kind == "hard"
+
+
 def test_deep_nesting_is_taken_out():
     for depth in (3, 12, 300):
         assert markup.convert("\\emph{" * depth + "x" + "}" * depth) == ("x", ["latex"])

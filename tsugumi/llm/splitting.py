@@ -100,7 +100,11 @@ def oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, tex
 
 
 def split_kinds(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """chunk_id, kind: hard if the recursion met a stretch of more than ``limit`` characters without line or sentence end, else natural."""
+    """chunk_id, kind: hard if the text has a stretch of more than ``limit`` characters without line or sentence end, else natural.
+
+    The stretch is measured on the text, as the recursion can't tell: blanks after an empty line belong to the stretch,
+    but to the unit before the cut, so a stretch over the limit may end in units that never went below the paragraph.
+    """
     return oversized(chunks, limit, overlap).select("chunk_id", F.when(F.col("stretch") > limit, "hard").otherwise("natural").alias("kind"))
 
 
