@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from tsugumi.operators.incremental import changed_files, committed, run_increment, unprocessed, upper_limit
 from tsugumi.operators.times import fit_zones, normalised
 from tsugumi.functions.instants import with_instant
+from tsugumi.plans.bounds import shared_folder
 from tsugumi.plans.segments import segmented
 from tsugumi.tables import table
 
@@ -74,7 +74,7 @@ def p7_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     run put out and whose newest scan is the indexed state again has nothing left to process, so it is left out at the end.
     """
     scans, documents, chunks = (table(spark, sf_dir, t) for t in ("file_scans", "documents", "chunks"))
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tsugumi-')}/increments-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/increments-{uuid.uuid4().hex}"
     end = upper_limit(scans)
 
     def lose() -> None:
