@@ -107,8 +107,14 @@ def test_found_against_brute_force(spark, small):
 
 def test_fold_edits_and_deletes(spark):
     rows = [(1, "k", "a", "create"), (2, "k", "a", "retry"), (3, "k", "b", "edit"), (1, "d", "a", "create"), (5, "d", "a", "delete"), (1, "two", "a", "create"), (2, "two", "b", None), (9, None, "n", "create")]
-    got = conversations.fold_events(spark.createDataFrame(rows, "v long, key string, body string, op string"), ["key"], "v", ["body"], "op")
-    assert {(r.key, r.body, r.variants) for r in got.collect()} == {("k", "b", 1), ("two", "b", 2), (None, "n", 1)}
+    rows += [(1, "late", "a", "create"), (2, "late", "b", "edit"), (3, "late", "a", "retry"), (1, "dead", "a", "create"), (2, "dead", "a", "delete"), (3, "dead", "a", "retry")]
+    rows += [(1, "anew", "a", "create"), (2, "anew", None, "delete"), (3, "anew", "b", "create"), (4, "anew", "a", "retry"), (1, "same", "a", "create"), (2, "same", None, "delete"), (3, "same", "a", "create")]
+    rows += [(4, "orphan", "a", "retry"), (1, "gone", "a", "create"), (2, "gone", None, "delete"), (5, "gone", None, "retry"), (1, "back", "a", "create"), (2, "back", "b", "edit"), (3, "back", "a", "edit"), (4, "back", "b", "retry")]
+    events = spark.createDataFrame([(*r, "c", 1) for r in rows], "v long, key string, body string, op string, _op string, variants long")
+    got = conversations.fold_events(events, ["key"], "v", ["body"], "op")
+    want = {("k", "b", 1), ("two", "b", 2), (None, "n", 1), ("late", "b", 1), ("anew", "b", 1), ("same", "a", 1), ("orphan", "a", 1), ("back", "a", 1)}
+    assert {(r.key, r.body, r.variants) for r in got.collect()} == want
+    assert conversations.fold_events(events.limit(0), ["key"], "v", ["body"], "op").count() == 0
 
 
 TEXTS = ["", "short", "x" * 800, "x" * 801, "a b " * 900, "語。" * 1000, "\n".join(["line " * 30] * 60), "# h\n\n" + "para one. " * 100 + "\n\n## two\n\n" + "y" * 3000 + "\nend", "é" * 50_000, ("w" * 750 + "\n") * 9]

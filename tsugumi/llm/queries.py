@@ -17,6 +17,19 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "session_messages"), table(spark, sf_dir, "speaker_roles"))
 
 
+def p1_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event log over all messages, folded: every message is created; by its number it is delivered again, edited, deleted or created anew, and late retries of the first event follow all of these."""
+    m = F.col("msg_id")
+    event = lambda op, add, body, when: F.when(when, F.struct(F.lit(op).alias("op"), (m * 10 + add).alias("version"), body.alias("body")))
+    role = F.coalesce("message.role", F.lit(""))
+    events = F.array_compact(F.array(
+        event("create", 0, role, F.lit(True)), event("edit", 2, F.concat(role, F.lit(" edited")), m % 3 == 0), event("delete", 3, F.lit(None).cast("string"), m % 5 == 0),
+        event("retry", 4, F.lit(None).cast("string"), m % 10 == 0), event("retry", 5, role, m % 2 == 0), event("create", 7, F.lit("anew"), m % 35 == 0), event("retry", 8, role, m % 35 == 0),
+    ))
+    log = table(spark, sf_dir, "session_messages").select("session_id", "msg_id", F.explode(events).alias("e")).select("session_id", "msg_id", "e.*")
+    return conversations.fold_events(log, ["session_id", "msg_id"], "version", ["body"], "op").select("session_id", "msg_id", "body", "variants")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_kinds(table(spark, sf_dir, "chunks"))
 
@@ -90,7 +103,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_folded, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 _COUNTS = """
 WITH pairs AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),
@@ -102,6 +115,14 @@ shared AS (
 """
 
 SQL = {
+    "p1_folded": """
+WITH e AS (SELECT session_id, msg_id, 0 AS v, 'create' AS op, coalesce(message.role, '') AS body FROM session_messages
+UNION ALL SELECT session_id, msg_id, 2, 'edit', coalesce(message.role, '') || ' edited' FROM session_messages WHERE msg_id % 3 = 0
+UNION ALL SELECT session_id, msg_id, 3, 'delete', NULL FROM session_messages WHERE msg_id % 5 = 0
+UNION ALL SELECT session_id, msg_id, 7, 'create', 'anew' FROM session_messages WHERE msg_id % 35 = 0),
+last AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY v DESC) AS r FROM e)
+SELECT session_id, msg_id, body, 1 AS variants FROM last WHERE r = 1 AND op <> 'delete'
+""",
     "p2_found": """
 SELECT chunk_id, CASE WHEN (SELECT max(length(s)) FROM unnest(string_split_regex(content, '[\\n\\r。！？]|[.!?]\\s')) AS u(s)) > 800 THEN 'hard' ELSE 'natural' END AS kind
 FROM chunks WHERE length(content) > 800
