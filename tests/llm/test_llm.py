@@ -126,7 +126,7 @@ def test_pieces(text):
     assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(b - a <= 800 for a, b, _ in parts)
     assert all(q[0] == p[1] - 80 and q[1] > p[1] for p, q in zip(parts, parts[1:]))
     natural = [p[1] for p in parts[:-1] if p[2] < 4]
-    assert all(text[:e].rstrip()[-1] in "。！？.!?" or text[e - 1] == "\n" or text[e] in "#\n" for e in natural)
+    assert all(text[e - 1] in "。！？.!?\n" for e in natural)
 
 
 def test_split_rows(spark):
@@ -148,7 +148,7 @@ def pair_counts(rows):
 
 def test_pairs_with_wide_baskets(spark, monkeypatch):
     rng = random.Random(5)
-    rows = [(b, min(rng.randrange(60), rng.randrange(60))) for b in range(40) for _ in range(rng.randrange(12))] + [(99, i) for i in range(50)] * 2 + [(98, i) for i in range(20, 60)] + [(1, None), (None, 3)]
+    rows = [(b, min(rng.randrange(60), rng.randrange(60))) for b in range(40) for _ in range(rng.randrange(12))] + [(99, i) for i in range(50)] * 2 + [(98, i) for i in range(20, 60)] + [(97, i) for i in range(20, 60)] + [(1, None), (None, 3)]
     monkeypatch.setattr("tsugumi.plans.pairs.BASKET_ROWS", 30)
     monkeypatch.setattr("tsugumi.plans.pairs.BLOCK_ITEMS", 7)
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "chunk_id long, entity_id long, weight int, basket string")
@@ -230,11 +230,26 @@ def test_markup_text():
         markup.convert(long)
 
 
-def test_hard_stretch_that_the_recursion_misses(spark):
-    text = "a\n\n" + " " * 150 + "x" * 700
-    row = splitting.oversized(spark.createDataFrame([(1, text)], "chunk_id long, content string")).first()
-    assert (row.stretch, row.deepest) == (850, splitting.LEVELS.index("paragraph"))
-    assert splitting.split_kinds(spark.createDataFrame([(1, text)], "chunk_id long, content string")).first().kind == "hard"
+def test_hard_comes_from_the_recursion(spark):
+    """Units below the sentence hold every stretch over the limit: against a scan of the whole text."""
+    rng = random.Random(8)
+    signs = ["x" * 90, " ", "  " * 40, "\n", "\n \n", "\r\n", "。", "！", "...", ". ", "?! ", "# h\n", "y" * 795]
+    texts = ["a\n\n" + " " * 150 + "x" * 700, "x" * 801, "x" * 800 + ".", "x" * 800 + ". " + "y" * 90, "！" * 900, "x" * 799 + ".. a", *("".join(rng.choice(signs) for _ in range(rng.randrange(5, 60))) for _ in range(3000))]
+    for t in texts:
+        longest, (_, uncut) = splitting.longest_stretch(t), splitting._split_text(t, 800, 80)
+        assert (longest > 800) == (max((splitting.longest_stretch(t, a, b) for a, b in uncut), default=0) > 800), t
+    row = splitting.oversized(spark.createDataFrame([(1, texts[0])], "chunk_id long, content string")).first()
+    assert row.stretch == 850 and splitting.split_kinds(spark.createDataFrame([(1, texts[0])], "chunk_id long, content string")).first().kind == "hard"
+
+
+def test_cuts_at_the_highest_level_that_fits():
+    level = splitting.LEVELS.index
+    paragraph = "a" * 742 + "\n\n" + "word " * 400
+    assert splitting.split_text(paragraph)[0] == (0, 744, level("paragraph"))
+    early = "a" * 298 + "\n\n" + "word " * 400  # the only line end stands in the first half
+    assert splitting.split_text(early)[0] == (0, 300, level("paragraph"))
+    sentences = "a" * 600 + ". " + "b" * 150 + ".\n" + "c " * 400
+    assert splitting.split_text(sentences)[0][1:] == (754, level("line"))
 
 
 def test_deep_nesting_is_taken_out():

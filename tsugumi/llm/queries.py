@@ -38,13 +38,22 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "chunks"))
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every oversized chunk the hash of the text that its pieces give without their overlaps, whether all pieces keep the limit, and whether their new numbers follow each other."""
+    parts = splitting.pieces(table(spark, sf_dir, "chunks")).groupBy("chunk_id", "section_path").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "piece"))).alias("p"))  # of one text
+    rest = F.array_join(F.transform(F.expr("slice(p, 2, size(p))"), lambda x: F.substring(x["piece"], splitting.OVERLAP + 1, splitting.LIMIT)), "")
+    whole = F.concat(F.get("p", F.lit(0))["piece"], rest)
+    first, last = F.get("p", F.lit(0))["chunk_index"], F.element_at("p", -1)["chunk_index"]
+    return parts.select("chunk_id", "section_path", F.sha2(F.encode(whole, "UTF-8"), 256).alias("hash"), F.forall("p", lambda x: F.char_length(x["piece"]) <= splitting.LIMIT).alias("within"), (last - first + 1 == F.size("p")).alias("in_order"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cooccurrence.cooccurrences(table(spark, sf_dir, "chunk_entities"), "chunk_id", "entity_id", min_shared=8)
     return cooccurrence.beyond_chance(scored, 4).select("entity_a", "entity_b")
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccurrence.cooccurrences(table(spark, sf_dir, "chunk_entities"), "chunk_id", "entity_id").select("entity_a", "entity_b", "shared", "n_a", "n_b", "lift")
+    return cooccurrence.cooccurrences(table(spark, sf_dir, "chunk_entities"), "chunk_id", "entity_id").select("entity_a", "entity_b", "shared", "n_a", "n_b", "lift", "conviction")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +112,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_folded, p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_folded, p2_found, p2_pieces, p2_restored, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 _COUNTS = """
 WITH pairs AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),
@@ -127,6 +136,7 @@ SELECT session_id, msg_id, body, 1 AS variants FROM last WHERE r = 1 AND op <> '
 SELECT chunk_id, CASE WHEN (SELECT max(length(s)) FROM unnest(string_split_regex(content, '[\\n\\r。！？]|[.!?]\\s')) AS u(s)) > 800 THEN 'hard' ELSE 'natural' END AS kind
 FROM chunks WHERE length(content) > 800
 """,
+    "p2_restored": "SELECT chunk_id, section_path, sha256(content) AS hash, TRUE AS within, TRUE AS in_order FROM chunks WHERE length(content) > 800",
     "p3_found": _COUNTS + "SELECT entity_a, entity_b FROM shared JOIN n a ON a.entity_id = entity_a JOIN n b ON b.entity_id = entity_b, total WHERE shared >= 8 AND shared * total > 4 * a.n * b.n",
-    "p3_pairs": _COUNTS + "SELECT entity_a, entity_b, shared, a.n AS n_a, b.n AS n_b, shared * total / a.n / b.n AS lift FROM shared JOIN n a ON a.entity_id = entity_a JOIN n b ON b.entity_id = entity_b, total",
+    "p3_pairs": _COUNTS + "SELECT entity_a, entity_b, shared, a.n AS n_a, b.n AS n_b, shared * total / a.n / b.n AS lift, CASE WHEN 1 - shared / a.n > 0 THEN (1 - b.n / total) / (1 - shared / a.n) END AS conviction FROM shared JOIN n a ON a.entity_id = entity_a JOIN n b ON b.entity_id = entity_b, total",
 }
