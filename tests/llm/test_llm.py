@@ -117,7 +117,7 @@ def test_fold_edits_and_deletes(spark):
     assert conversations.fold_events(events.limit(0), ["key"], "v", ["body"], "op").count() == 0
 
 
-TEXTS = ["", "short", "x" * 800, "x" * 801, "a b " * 900, "語。" * 1000, "\n".join(["line " * 30] * 60), "# h\n\n" + "para one. " * 100 + "\n\n## two\n\n" + "y" * 3000 + "\nend", "é" * 50_000, ("w" * 750 + "\n") * 9]
+TEXTS = ["", "short", "x" * 800, "x" * 801, "a b " * 900, "語。" * 1000, "\n".join(["line " * 30] * 60), "# h\n\n" + "para one. " * 100 + "\n\n## two\n\n" + "y" * 3000 + "\nend", "é" * 50_000, ("w" * 750 + "\n") * 9, "a" * 30 + "\n" + "word " * 400, "a\n" * 30 + "b" * 900]
 
 
 @pytest.mark.parametrize("text", TEXTS)

@@ -58,17 +58,17 @@ def _boundaries(text: str, limit: int) -> tuple[list[int], list[int], list[tuple
     return ends, levels, uncut
 
 
-def _pick(ends: list[int], levels: list[int], start: int, i: int, limit: int) -> int:
+def _pick(ends: list[int], levels: list[int], start: int, i: int, limit: int, overlap: int) -> int:
     """Which of the unit ends from ``i`` on ends the piece that begins at ``start``.
 
     Of the ends in the second half of the piece the highest level wins, of equal levels the last; a word or character end
-    there only wins if no line or sentence ends earlier in the piece.
+    there only wins if no line or sentence ends earlier in the piece, behind its overlap.
     """
     j = bisect_right(ends, start + limit, i)
     k = bisect_right(ends, start + limit // 2, i, j)
     best = min(range(k, j), key=lambda x: (levels[x], -x), default=j - 1)
     if levels[best] > _SENTENCE:
-        return next((x for x in range(min(k, j) - 1, i - 1, -1) if levels[x] <= _SENTENCE), best)
+        return next((x for x in range(min(k, j) - 1, i - 1, -1) if levels[x] <= _SENTENCE and ends[x] > start + overlap), best)
     return best
 
 
@@ -87,7 +87,7 @@ def _split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, in
         if n - start <= limit:
             pieces.append((start, n, 0))
             return pieces, uncut
-        j = _pick(ends, levels, start, i, limit)
+        j = _pick(ends, levels, start, i, limit, overlap)
         pieces.append((start, ends[j], levels[j]))
         start, i = ends[j] - overlap, j + 1
 
