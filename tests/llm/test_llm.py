@@ -160,7 +160,8 @@ def test_pairs_with_wide_baskets(spark, monkeypatch):
     assert cooccurrence.cooccurrences(df.limit(0), "chunk_id", "entity_id").count() == 0
 
 
-def test_suffix_counts(spark):
+def test_suffix_counts(spark, monkeypatch):
+    monkeypatch.setattr("tsugumi.llm.term_counts.RECORDS_PER_SALT", 40)
     rng = random.Random(2)
     rows = [(i, rng.choice([None, *range(30)]), [rng.choice("abcd") for _ in range(rng.randrange(6))], rng.choice([None, 1, 2])) for i in range(400)]
     df = spark.createDataFrame([(*r, "c", 5) for r in rows], "id long, doc long, t array<string>, w long, salt string, start int")
@@ -189,6 +190,14 @@ def test_term_marks(spark):
     assert term_counts.term_frequencies(df.limit(0)).count() == 0
 
 
+def test_ngrams(spark):
+    rows = [(1, "a b a"), (2, "A b"), (3, "b"), (4, None), (5, ""), (1, "a b a")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, text string, records int")
+    got = {r.ngram: (r["size"], r.frequency, r.records, r.mark) for r in term_counts.ngram_frequencies(df, "id", "text").collect()}
+    assert got == {"a": (1, 5, 2, "rare"), "b": (1, 4, 3, "common"), "a b": (2, 3, 2, "rare"), "b a": (2, 2, 1, "rare"), "a b a": (3, 2, 1, "rare")}
+    assert term_counts.ngram_frequencies(df.limit(0), "id", "text").count() == 0
+
+
 def test_terms_against_brute_force(spark, small):
     import unicodedata
 

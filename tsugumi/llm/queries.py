@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsugumi.functions import analysis, text
 from tsugumi.llm import conversations, cooccurrence, markup, mixing, quality, splitting, term_counts, tokens
 from tsugumi.tables import table
 
@@ -64,6 +65,11 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.term_frequencies(table(spark, sf_dir, "dictionary_candidates"))
 
 
+def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of up to three terms of all chunks."""
+    return term_counts.ngram_frequencies(table(spark, sf_dir, "chunks"), "chunk_id", "content")
+
+
 def p6_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks")
     return markup.extracted(chunks, markup.host_paths(chunks))
@@ -112,7 +118,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_folded, p2_found, p2_pieces, p2_restored, p3_found, p3_pairs, p4_found, p4_terms, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_folded, p2_found, p2_pieces, p2_restored, p3_found, p3_pairs, p4_found, p4_terms, p4_ngrams, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 _COUNTS = """
 WITH pairs AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),
@@ -123,7 +129,34 @@ shared AS (
   FROM pairs a JOIN pairs b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id GROUP BY 1, 2)
 """
 
+_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _folded(c: str) -> str:
+    quote = lambda x: x.replace("'", "''")
+    wide = f"translate({c}, '{quote(text._FROM)}', '{quote(text._TO)}')"
+    joined = wide
+    for two, one in text._voiced():
+        joined = f"replace({joined}, '{two}', '{one}')"
+    return f"regexp_replace(lower({joined}), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+_TERMS = f"""
+WITH f AS (SELECT candidate_id, doc_id, coalesce(frequency, 0) AS frequency, regexp_replace({_folded("surface")}, '{_SPACE}+', ' ', 'g') AS term FROM dictionary_candidates WHERE surface IS NOT NULL),
+t AS (SELECT term, min(candidate_id) AS candidate_id, sum(frequency)::BIGINT AS frequency, count(DISTINCT doc_id) AS documents FROM f WHERE term <> '' GROUP BY term),
+terms AS (SELECT *, CASE WHEN documents < 3 THEN 'rare' WHEN documents * 100 >= 4 * (SELECT count(DISTINCT doc_id) FROM dictionary_candidates) THEN 'common' END AS mark FROM t)
+"""
+
 SQL = {
+    "p4_found": _TERMS + "SELECT candidate_id, mark FROM terms WHERE mark IS NOT NULL",
+    "p4_terms": _TERMS + "SELECT term, candidate_id, frequency, documents, mark FROM terms",
+    "p4_ngrams": f"""
+WITH tok AS (SELECT chunk_id, coalesce(regexp_extract_all(translate(lower(content), '{analysis.ACCENTED}', '{analysis.PLAIN}'), '{analysis.term_pattern("")}'), []) AS t FROM chunks WHERE content IS NOT NULL),
+e AS (SELECT chunk_id, t, unnest(range(1, len(t) + 1)) AS i FROM tok),
+g AS (SELECT chunk_id, n AS size, array_to_string(t[i:i + n - 1], ' ') AS ngram FROM e, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(t)),
+c AS (SELECT ngram, size, count(*) AS frequency, count(DISTINCT chunk_id) AS records FROM g GROUP BY 1, 2)
+SELECT ngram, size, frequency, records, CASE WHEN records < 3 THEN 'rare' WHEN records * 100 >= 4 * (SELECT count(*) FROM tok) THEN 'common' END AS mark FROM c
+""",
     "p1_folded": """
 WITH e AS (SELECT session_id, msg_id, 0 AS v, 'create' AS op, coalesce(message.role, '') AS body FROM session_messages
 UNION ALL SELECT session_id, msg_id, 2, 'edit', coalesce(message.role, '') || ' edited' FROM session_messages WHERE msg_id % 3 = 0
