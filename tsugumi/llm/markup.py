@@ -224,14 +224,20 @@ def markup_kinds(chunks: DataFrame) -> DataFrame:
 
 
 class _Containers(HTMLParser):
-    """Text and link text of every container, by its generalised path of tags and classes."""
+    """What every container of a page is worth, by its generalised path of tags and classes.
+
+    Text counts for the innermost division around it (a paragraph, list or table passes its text on to the division that
+    holds it, or stands for itself if none does), and half for the next one outwards; text of links counts against both.
+    """
 
     VOID = {"br", "hr", "img", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr"}
+    DIVISIONS = {"div", "section", "article", "main", "body", "aside", "nav", "header", "footer", "form", "fieldset", "details", "center", "html"}
+    BLOCKS = {"p", "pre", "blockquote", "ul", "ol", "dl", "table", "li", "dd", "dt", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figure"}
 
     def __init__(self):
         super().__init__()
         self.path: list[str] = []
-        self.score: dict[str, list[int]] = {}
+        self.worth: dict[str, float] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag not in self.VOID:
@@ -249,11 +255,17 @@ class _Containers(HTMLParser):
 
     def handle_data(self, data):
         n = len(data.strip())
-        if n and self.path and not self.hidden():
-            linked = any(p.split(".")[0] == "a" for p in self.path)
-            for k in range(1, len(self.path) + 1):
-                held = self.score.setdefault("/".join(self.path[:k]), [0, 0])
-                held[linked] += n
+        if not n or not self.path or self.hidden():
+            return
+        tags = [p.split(".")[0] for p in self.path]
+        around = [i for i in range(len(tags) - 1, -1, -1) if tags[i] in self.DIVISIONS] or [i for i, t in enumerate(tags) if t in self.BLOCKS][:1]
+        for i, part in zip(around, (1.0, 0.5)):
+            name = "/".join(self.path[: i + 1])
+            self.worth[name] = self.worth.get(name, 0.0) + n * (-part if "a" in tags else part)
+
+    def best(self) -> str | None:
+        """The container this page votes for: worth most, of equals the longer path, then the one that sorts last."""
+        return max((p for p, w in self.worth.items() if w > 0), key=lambda p: (self.worth[p], len(p), p), default=None)
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +275,9 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = _Containers()
             page.feed(text)
             page.close()
-            rows += [(chunk, host, path, plain, linked) for path, (plain, linked) in page.score.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["chunk_id", "host", "path", "plain", "linked"])
+            own = page.best()
+            rows += [(chunk, host, path, worth, path == own) for path, worth in page.worth.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_()))], names=["chunk_id", "host", "path", "worth", "chosen"])
 
 
 def _pages(chunks: DataFrame) -> DataFrame:
@@ -273,31 +286,29 @@ def _pages(chunks: DataFrame) -> DataFrame:
 
 
 def _scored(chunks: DataFrame) -> DataFrame:
-    """chunk_id, host, path, plain, linked: characters under every container path of every page."""
-    return _pages(chunks).mapInArrow(_score, "chunk_id long, host string, path string, plain long, linked long")
+    """chunk_id, host, path, worth, chosen of every container of every page."""
+    return _pages(chunks).mapInArrow(_score, "chunk_id long, host string, path string, worth double, chosen boolean")
 
 
 def _best() -> Column:
-    """The order of a host's paths: most text, then the longer path, then the one that sorts last."""
-    return F.struct("characters", F.length("path").alias("n"), F.col("path"))
+    """The order of a host's paths: most votes, then most worth, then the longer path, then the one that sorts last."""
+    return F.struct("votes", "worth", F.length("path").alias("n"), F.col("path"))
 
 
 def host_paths(chunks: DataFrame) -> DataFrame:
-    """host, path, votes, characters of every generalised container path of a host that holds more text than link text.
+    """host, path, votes, worth of every generalised container path that a page of the host votes for: votes are pages, worth is that of the container in them.
 
-    The host of a chunk is the first directory of its context line. Scripts and styles are no text.
+    The host of a chunk is the first directory of its context line (empty without one). Scripts and styles are no text.
     """
-    votes = _scored(chunks).groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.col("plain") - F.col("linked")).alias("characters"))
-    return votes.filter("characters > 0")
+    return _scored(chunks).filter("chosen").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("worth").alias("worth"))
 
 
 def consensus_paths(chunks: DataFrame) -> DataFrame:
-    """host, path, votes, characters: the generalised container path under which the HTML of a host holds most text.
+    """host, path, votes, worth: the path that most pages of a host vote for.
 
-    A container votes with its text less its link text; of equals the longer path wins. Sums and winners are
-    aggregates, so no host is gathered in one place.
+    Votes and winners are aggregates, so no host is gathered in one place.
     """
-    return host_paths(chunks).groupBy("host").agg(F.max_by(F.struct("path", "votes", "characters"), _best()).alias("b")).select("host", "b.path", "b.votes", "b.characters")
+    return host_paths(chunks).groupBy("host").agg(F.max_by(F.struct("path", "votes", "worth"), _best()).alias("b")).select("host", "b.path", "b.votes", "b.worth")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,9 +341,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     """chunk_id, path, text: what stands under the best path of its host that the page has; the whole converted page, with a null path, if it has none.
 
-    ``paths`` (host, path, characters) has any number of rows per host, see ``host_paths``. Pages without any text give no row.
+    ``paths`` (host, path, votes, worth) has any number of rows per host, see ``host_paths``. Pages without any text give no row.
     """
-    ranked = broadcast_if_small(paths.select("host", "path", "characters"))
-    chosen = _scored(chunks).select("chunk_id", "host", "path").join(ranked, ["host", "path"]).groupBy("chunk_id").agg(F.max_by("path", _best()).alias("path"))
+    ranked = broadcast_if_small(paths.select("host", "path", "votes", "worth"))
+    chosen = _scored(chunks).filter("worth > 0").select("chunk_id", "host", "path").join(ranked, ["host", "path"]).groupBy("chunk_id").agg(F.max_by("path", _best()).alias("path"))
     held = _pages(chunks).join(chosen, "chunk_id", "left").select("chunk_id", "content", "path")
     return held.mapInArrow(_extract, "chunk_id long, path string, text string")
