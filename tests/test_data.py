@@ -10,6 +10,8 @@ from tsugumi.functions.instants import with_instant
 from tsugumi.functions.json import json_array
 from tsugumi.functions.text import fold_term, is_blank
 from tsugumi.operators import incremental, times
+from tsugumi.plans import bounds
+from tsugumi.plans.commits import Commits
 from tsugumi.plans.segments import segmented
 
 
@@ -67,6 +69,36 @@ def test_all_wall_times_of_a_year_of_changes(spark):
         assert r.utc_us == want, r
 
 
+def test_more_candidate_zones_than_a_thousand(spark):
+    rows = spark.createDataFrame([("g", us(2024, 1, 5, h) + 9 * 3_600_000_000, us(2024, 1, 5, h) - 60_000_000, us(2024, 1, 5, h) + 60_000_000) for h in range(5)], "g string, local long, lo long, hi long")
+    candidates = spark.createDataFrame([(f"Unknown/{i}",) for i in range(1001)] + [("Asia/Tokyo",), ("UTC",), ("UTC",), (None,)], "zone string")
+    got = times.fit_zones(rows, ["g"], "local", "lo", "hi", candidates).orderBy("rank").collect()
+    assert [(r.zone, r.violations) for r in got] == [("Asia/Tokyo", 0), ("UTC", 5)]
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    assert bounds.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        bounds.shared_folder(Session)
+    Session.sparkContext.master = "local[3]"
+    assert bounds.shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "/shared/x"}
+    assert bounds.shared_folder(Session) == "/shared/x"
+
+
+def test_a_number_is_published_once(spark, tmp_path):
+    commits = Commits(spark, str(tmp_path / "log"))
+    assert commits.names() == []
+    commits.publish(1, {"a": 1})
+    with pytest.raises(RuntimeError, match="exists"):
+        commits.publish(1, {"a": 2})
+    assert commits.read(commits.names()[0]) == {"a": 1} and not any((tmp_path / "log-drafts").glob("[0-9a-f]*"))
+
+
 def test_normalised_keeps_only_keys(spark):
     rows = spark.createDataFrame([(1, "2024-01-01", None, "x", 5), (1, "2024-01-01", None, "x", 5), (2, None, "UTC", "y", 6)], "k int, v string, z string, utc_us string, _t int")
     assert [tuple(r) for r in times.normalised(rows, "v", "z", ["k"]).collect()] == [(1, us(2024, 1, 1))] * 2
@@ -151,6 +183,10 @@ def test_increments_neither_skip_nor_repeat(spark, tmp_path):
     assert sorted(r.file_path for r in spark.read.parquet(two["data"]).collect()) == ["a", "new"] and two["watermark"] == 4
     with pytest.raises(RuntimeError):
         incremental.Progress(spark, folder).commit(2, 9, "x")
+    kept = spark.createDataFrame([], "chunk_id long, content string, content_hash string")
+    assert incremental.unprocessed(scans(spark, second), docs(spark), kept, folder).count() == 0
+    assert [tuple(r) for r in incremental.unprocessed(scans(spark, [*second, (5, "d", "d2", T[3])]), docs(spark), kept, folder).collect()] == [("file", "d")]
+    assert incremental.unprocessed(scans(spark, second).limit(0), docs(spark), kept, str(tmp_path / "none")).count() == 0
 
 
 def test_increments_put_out_chunks_once_for_each_state(spark, tmp_path):

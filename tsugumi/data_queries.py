@@ -32,6 +32,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised(written_times(spark, sf_dir), "value", "zone", ["rec_kind", "rec_id", "field"])
 
 
+ZONED = r"(?i)(Z|[+−-]\d{2}(:?\d{2})?|\]|[A-Z]{3,4})\s*$|^\s*[\d.]+\s*$"
+
+
 def zone_bounds(messages: DataFrame, documents: DataFrame) -> DataFrame:
     """rec_kind, stated_tz, local_us, lower, upper of the written times (null local_us: those that tell their zone).
 
@@ -39,11 +42,9 @@ def zone_bounds(messages: DataFrame, documents: DataFrame) -> DataFrame:
     session. ``documents``: value, zone, indexed_at. A document was written before it was indexed. Sessions without line
     numbers have no order but that of their times (msg_id is the order of arrival, which is not that of sending), so no bounds.
     """
-    zoned = r"(?i)(Z|[+−-]\d{2}(:?\d{2})?|\]|[A-Z]{3,4})\s*$|^\s*[\d.]+\s*$"
-
     def timed(rows: DataFrame) -> DataFrame:
         rows = with_instant(with_instant(rows, "value", "zone").withColumn("_utc", F.lit("UTC")), "value", "_utc", "local_us")
-        rows = rows.withColumn("local_us", F.when(~F.col("value").rlike(zoned) | F.col("value").rlike("[AP]M *$"), F.col("local_us")))
+        rows = rows.withColumn("local_us", F.when(~F.col("value").rlike(ZONED) | F.col("value").rlike("[AP]M *$"), F.col("local_us")))
         return rows.withColumns({"known": F.when(F.col("local_us").isNull(), F.col("utc_us")), "stated_tz": F.coalesce("zone", F.lit("UTC"))})
 
     all_messages = timed(messages)
@@ -63,8 +64,22 @@ def p5_zone_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_zones(zone_bounds(messages, documents), ["rec_kind", "stated_tz"], "local_us", "lower", "upper", candidates)
 
 
+def p5_zone_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_kind, stated_tz, zone (the one chosen when the stated zone is hidden), recovered, records, bounded, violations, and same_instants: how many of the local times the chosen zone turns into the instant that the stated one gives."""
+    chosen = p5_zone_fit(spark, sf_dir).filter("rank = 1").drop("rank")
+    written = written_times(spark, sf_dir).withColumn("stated_tz", F.coalesce("zone", F.lit("UTC"))).join(F.broadcast(chosen.select("rec_kind", "stated_tz", F.col("zone").alias("_fit"))), ["rec_kind", "stated_tz"])  # a row per group
+    both = with_instant(with_instant(written, "value", "stated_tz", "_a"), "value", "_fit", "_b").withColumn("local", ~F.col("value").rlike(ZONED) | F.col("value").rlike("[AP]M *$"))
+    same = both.filter("local").groupBy("rec_kind", "stated_tz").agg(F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("same_instants"))
+    return chosen.join(same, ["rec_kind", "stated_tz"], "left").select("rec_kind", "stated_tz", "zone", (F.col("zone") == F.col("stated_tz")).alias("recovered"), "records", "bounded", "violations", F.coalesce("same_instants", F.lit(0)).alias("same_instants"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unprocessed(table(spark, sf_dir, "file_scans"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"))
+    """What the first run of a consumer commits: its upper limit is fixed at the start, rows and watermark are published together."""
+    return unprocessed(table(spark, sf_dir, "file_scans"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunks"), _fresh_folder(spark))
+
+
+def _fresh_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/increments-{uuid.uuid4().hex}"
 
 
 def p7_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +89,7 @@ def p7_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     run put out and whose newest scan is the indexed state again has nothing left to process, so it is left out at the end.
     """
     scans, documents, chunks = (table(spark, sf_dir, t) for t in ("file_scans", "documents", "chunks"))
-    folder = f"{shared_folder(spark)}/increments-{uuid.uuid4().hex}"
+    folder = _fresh_folder(spark)
     end = upper_limit(scans)
 
     def lose() -> None:
@@ -90,7 +105,7 @@ def p7_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("rec_kind", "rec_key").unionByName(rows.filter("rec_kind = 'chunk'").select("rec_kind", "rec_key"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_zone_fit": p5_zone_fit, "p7_found": p7_found, "p7_increments": p7_increments}
+QUERIES = {"p5_found": p5_found, "p5_zone_fit": p5_zone_fit, "p5_zone_recovery": p5_zone_recovery, "p7_found": p7_found, "p7_increments": p7_increments}
 
 SQL = {
     "p7_found": """

@@ -8,7 +8,6 @@ next one starts from the same watermark: nothing is skipped and nothing is repea
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsugumi.functions.text import utrim
+from tsugumi.plans.bounds import broadcast_if_small
+from tsugumi.plans.commits import Commits
 
 
 def plain_hash(c: Column) -> Column:
@@ -38,10 +39,12 @@ def changed_files(scans: DataFrame, documents: DataFrame, after: int, upto: int)
     change nothing.
     """
     known = scans.filter(F.col("file_hash").isNotNull() & F.col("file_path").isNotNull() & (F.col("scan_id") <= upto))
+    if after > 0:  # only the history of paths that were scanned since is grouped
+        known = known.join(broadcast_if_small(known.filter(F.col("scan_id") > after).select("file_path").distinct()), "file_path", "left_semi")
     newest = known.groupBy("file_path").agg(
         F.max_by("file_hash", F.struct("scanned_at", "scan_id")).alias("_hash"), F.max("scan_id").alias("scan_id")
     )
-    newest = newest.filter(F.col("scan_id") > after).select("file_path", plain_hash(F.col("_hash")).alias("scan_hash"), "scan_id")
+    newest = newest.select("file_path", plain_hash(F.col("_hash")).alias("scan_hash"), "scan_id")
     indexed = documents.filter(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max(plain_hash(F.col("file_hash"))).alias("_indexed"))
     return newest.join(indexed, "file_path", "left").filter(~F.col("scan_hash").eqNullSafe(F.col("_indexed"))).drop("_indexed")
 
@@ -56,42 +59,20 @@ class Progress:
     """Commits of a consumer in a folder that all executors share: one file per commit, named by its number."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.folder = folder
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def commits(self) -> list[str]:
-        where = self._path(f"{self.folder}/commits")
-        if not self._fs.exists(where):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where) if s.getPath().getName().endswith(".json"))
-
-    def _read(self, name: str) -> dict:
-        stream = self._fs.open(self._path(f"{self.folder}/commits/{name}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        self._commits = Commits(spark, f"{folder}/commits")
 
     def last(self) -> dict:
         """The last commit: number, watermark and data folder; zero and none before the first."""
-        names = self.commits()
-        return self._read(names[-1]) if names else {"number": 0, "watermark": 0, "data": None}
+        names = self._commits.names()
+        return self._commits.read(names[-1]) if names else {"number": 0, "watermark": 0, "data": None}
 
     def places(self) -> list[str]:
         """The data folders of all commits."""
-        return [self._read(name)["data"] for name in self.commits()]
+        return [self._commits.read(name)["data"] for name in self._commits.names()]
 
     def commit(self, number: int, watermark: int, data: str) -> None:
         """Publishes; raises if another run published this number first."""
-        draft = self._path(f"{self.folder}/drafts/{uuid.uuid4().hex}")
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps({"number": number, "watermark": watermark, "data": data}).encode()))
-        out.close()
-        final = self._path(f"{self.folder}/commits/{number:012d}.json")
-        self._fs.mkdirs(final.getParent())
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"commit {number} exists")
+        self._commits.publish(number, {"number": number, "watermark": watermark, "data": data})
 
 
 def fresh_chunks(chunks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -124,7 +105,7 @@ def run_increment(scans: DataFrame, documents: DataFrame, folder: str, chunks: D
         rows = rows.unionByName(fresh.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").cast("string").alias("rec_key"), "*"), allowMissingColumns=True)
     else:
         rows = rows.withColumns({"chunk_id": F.lit(None).cast("long"), "state": F.lit(None).cast("string")})
-    if upto <= last["watermark"] and (chunks is None or rows.isEmpty()):
+    if last["number"] and upto <= last["watermark"] and (chunks is None or rows.isEmpty()):
         return last
     data = f"{folder}/data/{uuid.uuid4().hex}"
     rows.withColumn("number", F.lit(last["number"] + 1)).write.parquet(data)
@@ -139,9 +120,9 @@ def committed(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.parquet(*places) if places else None
 
 
-def unprocessed(scans: DataFrame, documents: DataFrame, chunks: DataFrame, after: int = 0) -> DataFrame:
-    """``rec_kind`` (file, chunk), ``rec_key``: everything a run that starts now has to process."""
-    files = changed_files(scans, documents, after, upper_limit(scans))
-    return files.select(F.lit("file").alias("rec_kind"), F.col("file_path").alias("rec_key")).unionByName(
-        stale_chunks(chunks).select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").cast("string").alias("rec_key"))
-    )
+def unprocessed(scans: DataFrame, documents: DataFrame, chunks: DataFrame, folder: str) -> DataFrame:
+    """``rec_kind`` (file, chunk), ``rec_key`` of what the run that starts now puts out: all above the watermark in ``folder``, everything in a new one. The run commits."""
+    spark = scans.sparkSession
+    before = Progress(spark, folder).last()["number"]
+    now = run_increment(scans, documents, folder, chunks)["number"]
+    return committed(spark, folder).filter((F.col("number") == now) & F.lit(now > before)).select("rec_kind", "rec_key")

@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tsugumi.plans.commits import Commits
+
 
 class Store:
     """A folder of Parquet snapshots. ``commit`` writes the given tables to new folders and then renames one small file that names the current folder of every table, so readers see all of a commit or none of it."""
 
     def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str]):
         self.spark, self.folder, self.schemas = spark, folder, schemas
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[str]:
-        where = self._path(f"{self.folder}/versions")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        self._commits = Commits(spark, f"{folder}/versions")
 
     def pointer(self) -> dict:
-        names = self._versions()
-        if not names:
-            return {"version": 0, "tables": {}}
-        stream = self._fs.open(self._path(f"{self.folder}/versions/{names[-1]}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        names = self._commits.names()
+        return self._commits.read(names[-1]) if names else {"version": 0, "tables": {}}
 
     def table(self, name: str) -> DataFrame:
         """The current snapshot; empty, with the table's schema, before the first."""
@@ -44,25 +34,12 @@ class Store:
             places[name] = f"data/{name}-{uuid.uuid4().hex}"
             df.select(*[df[f.name].cast(f.dataType) for f in schema]).write.parquet(f"{self.folder}/{places[name]}")
         version = old["version"] + 1
-        draft = self._path(f"{self.folder}/drafts/{uuid.uuid4().hex}")
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps({"version": version, "tables": places}).encode()))
-        out.close()
-        final = self._path(f"{self.folder}/versions/{version:012d}.json")
-        self._fs.mkdirs(final.getParent())
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"version {version} exists")
+        self._commits.publish(version, {"version": version, "tables": places})
         return version
 
     def back_to(self, version: int) -> None:
         """Makes an earlier version the current one, by a new commit of its pointer."""
-        name = f"{version:012d}.json"
-        if name not in self._versions():
+        if Commits.name(version) not in self._commits.names():
             raise ValueError(f"no version {version}")
-        stream = self._fs.open(self._path(f"{self.folder}/versions/{name}"))
-        old = json.loads(bytes(stream.readAllBytes()).decode())
-        stream.close()
         current = self.pointer()["version"] + 1
-        out = self._fs.create(self._path(f"{self.folder}/versions/{current:012d}.json"))
-        out.write(bytearray(json.dumps({"version": current, "tables": old["tables"]}).encode()))
-        out.close()
+        self._commits.publish(current, {"version": current, "tables": self._commits.read(Commits.name(version))["tables"]})
