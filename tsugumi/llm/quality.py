@@ -1,84 +1,188 @@
 """Text statistics of documents, and an ordered rule list learned from them that tells prose from the rest.
 
-The statistics are columns of built-in functions. Rules are grown and pruned by incremental reduced-error
-pruning on labelled documents, on the driver, from at most ``MAX_LABELLED`` rows; they are applied as one
-SQL CASE expression over the statistics.
+The statistics come from one pass over the code points of Arrow batches of texts and a few patterns on lines. Rules are
+grown and pruned by incremental reduced-error pruning on labelled documents, on the driver, from at most ``MAX_LABELLED``
+rows; they are applied as one SQL CASE expression over the statistics.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsugumi.functions.text import is_blank
-
 MAX_LABELLED = 20_000
+MAX_COMMON = 10_000
 KINDS = ("list", "table", "junk")
 
-_ITEM = r"^\s*(?:[-*+•・◦‣–—]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)）]|[①-⑳])\s+\S"
-_CELLS = r"\|.*\||\t\S|│|;[^;]*;|,[^,]*,[^,]*,|\S {2,}\S.* {2,}\S"
-_KEYED = r"^\s*[^\s:：].{0,40}[:：]\s+\S"
-_LOG = r"\b0x[0-9A-Fa-f]{4,}|\b(?:DEBUG|INFO|WARN(?:ING)?|ERROR|TRACE|FATAL)\b|\d{2}:\d{2}:\d{2}|^\S+ \[|^\s*at \S+\(|\b[0-9a-fA-F]{16,}\b"
-_END = r"[.!?。！？…」』\"”’):：]\s*$"
+_ITEM = re.compile(r"\s*(?:[-*+•・◦‣–—]|\(?(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)）]|[①-⑳])\s+\S")
+_CELLS = re.compile(r"\|.*\||\t\S|│|;[^;]*;|,[^,]*,[^,]*,|\S {2,}\S.* {2,}\S")
+_KEYED = re.compile(r"\s*[^\s:：].{0,40}[:：]\s+\S")
+_LOG = re.compile(r"\b0x[0-9A-Fa-f]{4,}|\b(?:DEBUG|INFO|WARN(?:ING)?|ERROR|TRACE|FATAL)\b|[0-9]{2}:[0-9]{2}:[0-9]{2}|^\S+ \[|^\s*at \S+\(|\b[0-9a-fA-F]{16,}\b")
+_ENUMERATED = re.compile(r"^\s*\(?([0-9]{1,3})[.)）]\s", re.M)
+_DECIMAL = re.compile(r"[0-9]\.[0-9]")
+_STOP = re.compile(r"[.!?。！？]+(?=[ \t\n\x0b\f\r]|\Z|[^\x00-\x7f])")
+_SENTENCE = re.compile(r"[.!?。！？\n]+")
+
+#: Classes of code points that are counted; a text is read once for all of them.
+CLASSES = {
+    "blank": r"[ \t\n\x0b\f\r]", "solid": r"[^\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", "space": r"[ ]",
+    "symbol": r"[^\p{L}\p{N}\p{M} \t\n\x0b\f\r.,!?。、！？「」'\"()-]", "punctuation": r"[.,!?。、！？]", "number": r"\p{N}",
+    "latin1": r"[\u0080-\u00bf\u00c0-\u00c3\u00e2\u00e3\u00e5-\u00e9\u0152-\u02dc\u2018-\u2122]", "broken": r"[\ufffd\u25a0-\u25ff\uff9e?^~|]",
+    "hiragana": r"[\u3040-\u309f]", "katakana": r"[\u30a0-\u30ff]", "han": r"[\u4e00-\u9fff]", "small_kana": r"[ぁぃぅぇぉゃゅょゎっーゐゑ]",
+    "vowel": r"[aeiouäöüAEIOUÄÖÜ]", "latin": r"[A-Za-zäöüÄÖÜß]", "bracket": r"[{}<>=+*/#@%&;\\_\[\]$`]", "pipe": r"[|│\t]",
+    "letter": r"\p{L}", "upper": r"\p{Lu}", "lower": r"\p{Ll}", "stop": r"[.!?。！？]", "pause": r"[.!?。！？、,]",
+    "closing": r"[.!?。！？…」』\"”’):：]", "open_end": r"[.!?。！？…」』\"”:：,、]",
+}
+
+
+@lru_cache(maxsize=1)
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """The atom of every code point, and which atoms each class holds (classes by atoms)."""
+    import regex
+
+    bits = np.zeros(0x110000, np.uint32)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for k, pattern in enumerate(CLASSES.values()):
+        held = "".join(regex.findall(pattern + "+", every))
+        bits[np.frombuffer(held.encode("utf-32-le"), np.uint32)] |= np.uint32(1 << k)
+    masks, atoms = np.unique(bits, return_inverse=True)
+    return atoms.astype(np.uint8 if len(masks) < 256 else np.uint16), np.array([(masks >> k) & 1 for k in range(len(CLASSES))], bool)
+
+
+def _batch(texts: list[str], spaced: frozenset[str], joined: re.Pattern | None) -> dict[str, np.ndarray]:
+    """The statistics of some texts. Characters are looked up once; what concerns one of them, its neighbours or its line comes from arrays."""
+    import regex
+
+    n = len(texts)
+    big = "\n".join(texts) + "\n"
+    code = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
+    atoms, holds = _table()
+    atom = atoms[code]
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    first = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
+    doc = np.repeat(np.arange(n), sizes + 1)
+    counts = np.bincount(doc * holds.shape[1] + atom, minlength=n * holds.shape[1]).reshape(n, -1) @ holds.T.astype(np.int64)
+    names = list(CLASSES)
+    count = {k: counts[:, i] for i, k in enumerate(names)}
+    count["blank"] = count["blank"] - 1  # the line end that was added
+    is_ = {k: holds[names.index(k)][atom] for k in ("blank", "space", "letter", "upper", "lower", "stop", "pause", "closing", "open_end")}
+    ink = sizes - count["blank"]
+
+    end = np.flatnonzero(code == 10)
+    start = np.concatenate(([0], end[:-1] + 1))
+    solid = np.concatenate(([0], np.cumsum(~is_["space"], dtype=np.int64)))
+    keep = solid[end] > solid[start]
+    start, end = start[keep], end[keep]
+    line_doc, length, last = doc[start], end - start, end - 1
+    strings = [big[a:b] for a, b in zip(start.tolist(), end.tolist())]
+    per = lambda values: np.bincount(line_doc, values, n)
+    n_lines, line_chars = per(np.ones(len(start))), per(length)
+    pauses = np.concatenate(([0], np.cumsum(is_["pause"], dtype=np.int64)))
+    held = pauses[end] - pauses[start]
+    inked = np.maximum.accumulate(np.where(is_["blank"], -1, np.arange(len(code))))[last]  # the last sign of a line that is no blank
+    ended = (inked >= start) & is_["closing"][inked]
+    fragment = (length <= 61) & ~is_["open_end"][last]
+    lone = ((length >= 2) & (length <= 41) & ~is_["stop"][last]) | ((held == 0) & (length <= 45)) | ((held == 1) & is_["stop"][last] & (length >= 2) & (length <= 46))
+    signs = np.concatenate(([0], np.cumsum(~is_["blank"], dtype=np.int64)))
+    ink_of = signs[end] - signs[start]
+    leading = np.minimum.accumulate(np.where(is_["blank"], len(code), np.arange(len(code)))[::-1])[::-1][start]
+    tiny = (ink_of > 0) & (ink_of <= 12) & (inked - leading + 1 == ink_of)
+    found = lambda test: np.fromiter((test(x) is not None for x in strings), bool, len(strings))
+    item, cell, keyed, log = found(_ITEM.match), found(_CELLS.search), found(_KEYED.match), found(_LOG.search)
+    link = np.fromiter(("http://" in x or "https://" in x for x in strings), bool, len(strings))
+
+    # Runs of one sign, and runs of spaces with a sign behind them.
+    cut = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    run = np.diff(np.concatenate((cut, [len(code)])))
+    runs = np.bincount(doc[cut], np.where(is_["blank"][cut], 0, run // 4), n)
+    gap = is_["space"][cut] & (run >= 2)
+    behind = np.concatenate((cut[1:], [len(code) - 1]))
+    gap &= ~is_["blank"][behind]
+    wide = np.bincount(doc[cut], gap, n)
+    before = np.concatenate(([False], ~is_["blank"][cut[1:] - 1])) & (np.concatenate(([-1], doc[cut[1:] - 1])) == doc[cut])
+    gaps = np.bincount(doc[cut], gap & before, n)
+    capital = is_["upper"][:-1] & is_["lower"][1:] & ~np.concatenate(([False], is_["letter"][:-2]))
+    capitals = np.bincount(doc[:-1], capital, n)
+
+    word = regex.compile(r"[\p{L}\p{N}\p{M}_'’]+").findall
+    words = [word(t.lower()) for t in texts]
+    n_words = np.fromiter(map(len, words), float, n)
+    sentences = [[y for x in _SENTENCE.split(t) if len(y := x.strip(" ")) > 3] for t in texts]
+    bounds = np.searchsorted(line_doc, np.arange(n + 1))
+    value = lambda f, xs: np.fromiter((f(x) for x in xs), float, n)
+    share = lambda a, b: np.divide(a, b, out=np.zeros(n), where=np.asarray(b) > 0)
+    within = lambda flags: share(per(length * flags), line_chars)
+    of_lines = lambda flags: share(per(flags), n_lines)
+    digits = count["number"] - value(lambda t: sum(map(len, _ENUMERATED.findall(t))), texts)
+    return {
+        "n_chars": sizes.astype(float), "n_words": n_words, "n_lines": n_lines,
+        "mean_word": share(value(lambda w: sum(map(len, w)), words), n_words), "mean_line": share(line_chars, n_lines), "long_lines": within(length > 60),
+        "symbols": share(count["symbol"], ink), "punctuation": share(count["punctuation"], ink), "digits": share(digits, ink),
+        "decimals": share(value(lambda t: len(_DECIMAL.findall(t)), texts), n_lines), "runs": share(runs * 4, ink),
+        "marked_chars": within(item | keyed), "fragment_chars": within(fragment), "lone_lines": of_lines(lone), "cells": share(count["pipe"] + wide, n_lines),
+        "latin1": share(count["latin1"], ink), "broken": share(count["broken"], ink), "ended_lines": of_lines(ended), "ended_chars": within(ended),
+        "item_lines": of_lines(item), "item_chars": within(item), "cell_lines": of_lines(cell), "cell_chars": within(cell),
+        "keyed_lines": of_lines(keyed), "keyed_chars": within(keyed), "log_lines": of_lines(log), "log_chars": within(log), "link_lines": of_lines(link),
+        "short_chars": within(length <= 45), "tiny_lines": of_lines(tiny),
+        "common_spaced": share(value(lambda w: sum(x in spaced for x in w), words), n_words),
+        "common_joined": share(value(lambda t: len(joined.findall(t)), texts) if joined else np.zeros(n), np.maximum(count["hiragana"] + count["katakana"] + count["han"], 1)),
+        "distinct_words": share(value(lambda w: len(set(w)), words), n_words),
+        "distinct_lines": share(np.fromiter((len(set(strings[a:b])) for a, b in zip(bounds, bounds[1:])), float, n), n_lines),
+        "distinct_sentences": share(value(lambda x: len(set(x)), sentences), value(len, sentences)),
+        "kana": share(count["hiragana"], ink), "katakana": share(count["katakana"], ink), "han": share(count["han"], ink), "small_kana": share(count["small_kana"], ink),
+        "vowels": share(count["vowel"], count["latin"]), "capitals": share(capitals, n_words),
+        "full_stops": share(value(lambda t: len(_STOP.findall(t)), texts), n_words + sizes / 40), "quoted_parens": share(count["bracket"], ink),
+        "pipes": share(count["pipe"], ink), "gaps": share(gaps, n_lines), "_solid": count["solid"].astype(float),
+    }
+
+
+STATISTICS = tuple(k for k in _batch([""], frozenset(), None) if k != "_solid")
+_BATCH_CHARS = 1_000_000
+
+
+def _measure(spaced: frozenset[str], joined: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile("|".join(map(re.escape, joined))) if joined else None
+
+        def done(ids: list, texts: list[str]) -> pa.RecordBatch:
+            got = _batch(texts, spaced, pattern)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got["_solid"] == 0), *(pa.array(got[k]) for k in STATISTICS)], names=["doc_id", "blank", *STATISTICS])
+
+        for batch in batches:
+            ids, texts, size = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(doc)
+                texts.append((text or "").replace("\r\n", "\n").replace("\r", "\n"))
+                size += len(texts[-1])
+                if size > _BATCH_CHARS:
+                    yield done(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield done(ids, texts)
+
+    return run
 
 
 def statistics(documents: DataFrame, common: DataFrame) -> DataFrame:
-    """doc_id and the statistics of ``text``, null text as empty text.
+    """doc_id, blank and the ``STATISTICS`` of ``text``, null text as empty text.
 
     Counts are over the whole text. Shares of an empty whole are 0. ``common`` (lang, word) holds the
-    frequent words, a fixed list of some dozens; all languages count together, as lang may be wrong.
+    frequent words, a fixed list of some dozens, which goes to every task (more than ``MAX_COMMON`` are an error);
+    all languages count together, as lang may be wrong. Words of Japanese are found inside the text, others between word ends.
     """
-    words = sorted({(r.lang, r.word) for r in common.filter("word is not null").collect()}, key=str)
-    spaced = sorted({w for lang, w in words if lang != "ja"})
-    joined = sorted({w for lang, w in words if lang == "ja"}, key=lambda w: (-len(w), w))
-    df = documents.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n").alias("t"))
-    df = df.withColumns({
-        "lines": F.filter(F.split("t", "\n"), lambda x: F.trim(x) != ""),
-        "words": F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}\p{M}_'’]+"), lambda x: x != ""),
-        "chars": F.char_length("t"),
-        "sentences": F.filter(F.transform(F.split("t", r"[.!?。！？\n]+"), lambda x: F.trim(x)), lambda x: F.char_length(x) > 3),
-        "_pid": F.spark_partition_id(),
-    })
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    hits = lambda pattern: F.regexp_count("t", F.lit(pattern))
-    lines, n_lines, n_words = F.col("lines"), F.size("lines"), F.size("words")
-    ink = F.char_length(F.regexp_replace("t", r"\s", ""))
-    line_chars = F.aggregate("lines", F.lit(0), lambda a, x: a + F.char_length(x))
-    within = lambda pattern: share(F.aggregate(F.filter("lines", lambda x: x.rlike(pattern)), F.lit(0), lambda a, x: a + F.char_length(x)), line_chars)
-    count = lambda pattern: share(F.size(F.filter("lines", lambda x: x.rlike(pattern))), n_lines)
-    stop = F.when(F.size("words") > 0, F.size(F.filter("words", lambda x: x.isin(spaced)))).otherwise(0)
-    stats = {
-        "n_chars": F.col("chars").cast("double"), "n_words": n_words.cast("double"), "n_lines": n_lines.cast("double"),
-        "mean_word": share(F.aggregate("words", F.lit(0), lambda a, x: a + F.char_length(x)), n_words),
-        "mean_line": share(line_chars, n_lines),
-        "long_lines": share(F.aggregate(F.filter("lines", lambda x: F.char_length(x) > 60), F.lit(0), lambda a, x: a + F.char_length(x)), line_chars),
-        "symbols": share(hits(r"[^\p{L}\p{N}\p{M}\s.,!?。、！？「」'\"()-]"), ink),
-        "punctuation": share(hits(r"[.,!?。、！？]"), ink),
-        "digits": share(F.regexp_count(F.regexp_replace("t", r"(?m)^\s*\(?\d{1,3}[.)）]\s", ""), F.lit(r"\p{N}")), ink), "decimals": share(hits(r"\d\.\d"), n_lines),
-        "runs": share(hits(r"(\S)\1{3}") * 4, ink),
-        "marked_chars": within(f"{_ITEM}|{_KEYED}"), "fragment_chars": within(r"^.{0,60}[^.!?。！？…」』\"”:：,、]$"), "lone_lines": count(r"^(?:.{1,40}[^.!?。！？]|[^.!?。！？、,]{1,45}[.!?。！？]?)$"),
-        "cells": share(hits(r"[|│\t]| {2,}(?=\S)"), n_lines),
-        "latin1": share(hits(r"[\u0080-¿À-Ãâ-éŒ-˜‘-™&&[^äöüÄÖÜß]]"), ink),
-        "broken": share(hits("[�■-◿ﾞ?^~|]"), ink),
-        "ended_lines": count(_END), "ended_chars": within(_END),
-        "item_lines": count(_ITEM), "item_chars": within(_ITEM), "cell_lines": count(_CELLS), "cell_chars": within(_CELLS),
-        "keyed_lines": count(_KEYED), "keyed_chars": within(_KEYED), "log_lines": count(_LOG), "log_chars": within(_LOG),
-        "link_lines": count(r"https?://"), "short_chars": within(r"^.{1,45}$"), "tiny_lines": count(r"^\s*\S{1,12}\s*$"),
-        "common_spaced": share(stop, n_words), "common_joined": share(hits("|".join(joined)) if joined else F.lit(0), F.greatest(hits(r"[぀-ヿ一-鿿]"), F.lit(1))),
-        "distinct_words": share(F.size(F.array_distinct("words")), n_words), "distinct_lines": share(F.size(F.array_distinct("lines")), n_lines),
-        "distinct_sentences": share(F.size(F.array_distinct("sentences")), F.size("sentences")),
-        "kana": share(hits(r"[぀-ゟ]"), ink), "katakana": share(hits(r"[゠-ヿ]"), ink), "han": share(hits(r"[一-鿿]"), ink),
-        "small_kana": share(hits(r"[ぁぃぅぇぉゃゅょゎっーゐゑ]"), ink),
-        "vowels": share(hits(r"[aeiouäöüAEIOUÄÖÜ]"), hits(r"[A-Za-zäöüÄÖÜß]")),
-        "capitals": share(hits(r"(?<![\p{L}])\p{Lu}\p{Ll}"), n_words),
-        "the_words": share(hits(r"(?i)\b(?:the|der|die|das|an|and|und)\b"), n_words),
-        "full_stops": share(hits(r"[.!?。！？]+(?=\s|$|[^\x00-\x7f])"), n_words + F.col("chars") / 40),
-        "quoted_parens": share(hits(r"[{}<>=+*/#@%&;\\_\[\]$`]"), ink),
-        "pipes": share(hits(r"[|│\t]"), ink), "gaps": share(hits(r"\S {2,}(?=\S)"), n_lines),
-    }
-    half = F.when(F.col("_pid") >= 0, is_blank(F.col("t")))
-    return df.select("doc_id", half.alias("blank"), *[c.cast("double").alias(k) for k, c in stats.items()])
+    listed = common.filter("word is not null").select("lang", "word").distinct().limit(MAX_COMMON + 1).collect()
+    if len(listed) > MAX_COMMON:
+        raise ValueError(f"more than {MAX_COMMON} common words")
+    spaced = frozenset(r.word for r in listed if r.lang != "ja")
+    joined = sorted({r.word for r in listed if r.lang == "ja"}, key=lambda w: (-len(w), w))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(_measure(spaced, joined), "doc_id long, blank boolean, " + ", ".join(f"{k} double" for k in STATISTICS))
 
 
 Rule = tuple[str, list[tuple[str, str, float]]]
@@ -91,32 +195,28 @@ def _covers(x: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, y: np.ndarray, cuts: int = 64) -> list[tuple[int, str, float]]:
-    """Conditions added by information gain until no negative example is covered."""
+def _grow(x: np.ndarray, y: np.ndarray) -> list[tuple[int, str, float]]:
+    """Conditions added by information gain, over every cut between two values, until no negative example is covered or nothing is gained."""
     rule: list[tuple[int, str, float]] = []
     inside = np.ones(len(x), bool)
-    while (~y[inside]).any() and len(rule) < 6:
+    while (~y[inside]).any():
         p, n = y[inside].sum(), (~y[inside]).sum()
         if not p:
             break
         base, best, pick = np.log2(p / (p + n)), 0.0, None
         for f in range(x.shape[1]):
-            values = np.unique(x[inside, f])
-            if len(values) < 2:
-                continue
-            middle = (values[1:] + values[:-1]) / 2
-            if len(middle) > cuts:
-                middle = np.unique(np.concatenate([np.quantile(middle, np.linspace(0, 1, cuts)), np.quantile(x[inside, f][y[inside]], [0, 0.02, 0.05, 0.95, 0.98, 1])]))
             order = np.argsort(x[inside, f], kind="stable")
             v, lab = x[inside, f][order], y[inside][order]
-            cp, cn = np.concatenate(([0], np.cumsum(lab))), np.concatenate(([0], np.cumsum(~lab)))
-            k = np.searchsorted(v, middle, "right")
-            for op, pp, nn in (("<=", cp[k], cn[k]), (">=", p - cp[k], n - cn[k])):
+            k = np.flatnonzero(v[1:] > v[:-1]) + 1
+            if not len(k):
+                continue
+            cp = np.cumsum(lab)[k - 1]
+            for op, pp, nn in (("<=", cp, k - cp), (">=", p - cp, n - (k - cp))):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(pp > 0, pp * (np.log2(pp / (pp + nn)) - base), 0)
                 j = int(np.argmax(gain))
                 if gain[j] > best + 1e-9:
-                    best, pick = gain[j], (f, op, float(middle[j]))
+                    best, pick = gain[j], (f, op, float((v[k[j]] + v[k[j] - 1]) / 2))
         if pick is None:
             break
         rule.append(pick)
@@ -136,7 +236,7 @@ def _prune(x: np.ndarray, y: np.ndarray, rule: list) -> list:
     return keep
 
 
-def induce(x: np.ndarray, labels: np.ndarray, names: list[str], kinds: tuple[str, ...] = KINDS, seed: int = 7, max_rules: int = 12) -> list[Rule]:
+def induce(x: np.ndarray, labels: np.ndarray, names: list[str], kinds: tuple[str, ...] = KINDS, seed: int = 7) -> list[Rule]:
     """Ordered rules (kind, conditions), first match wins, else prose.
 
     Kinds are taken from the rarest to the most frequent; each rule is grown on two thirds of the
@@ -146,7 +246,7 @@ def induce(x: np.ndarray, labels: np.ndarray, names: list[str], kinds: tuple[str
     left = np.ones(len(x), bool)
     rules: list[Rule] = []
     for kind in sorted(kinds, key=lambda k: ((labels == k).sum(), k)):
-        for _ in range(max_rules):
+        while True:
             rows = np.flatnonzero(left)
             y = labels[rows] == kind
             if not y.any():
