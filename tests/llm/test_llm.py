@@ -331,6 +331,20 @@ def test_ids_of_odd_texts(spark):
     assert base64.b64decode(base64.b64encode(b" the")) in spaced
 
 
+def test_ids_of_a_large_vocabulary(spark, tmp_path):
+    """Ids beyond two bytes: the public vocabulary with 70 000 added to every id."""
+    path, public = tmp_path / "large.tiktoken", tokens.vocabulary_path()
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % (i + 70_000) for t, i in tokens.ranks(public).items()))
+    texts = ["the cat", "", None, "漢字 zyx qqqqq", "gibberishly unwordable"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokens.token_ids(df, str(path)).collect()}
+    assert got == {i: [x + 70_000 for x in tokens.encoder(public).encode_ordinary(t or "")] for i, t in enumerate(texts)}
+    path.write_bytes(base64.b64encode(b"a") + b" %d\n" % (2**31))
+    tokens.ranks.cache_clear()
+    with pytest.raises(ValueError, match="below"):
+        tokens._cell(str(path))
+
+
 def test_mixture(spark):
     rng = random.Random(1)
     rows = [(i, s, rng.randrange(1, 60)) for i, s in enumerate(rng.choice("aaaaab") for _ in range(900))] + [(2000, "tiny", 50), (2001, "a", 0), (2002, "other", 9), (2003, None, 9)]

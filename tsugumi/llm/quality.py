@@ -152,7 +152,7 @@ def _measure(spaced: frozenset[str], joined: list[str]):
 
         def done(ids: list, texts: list[str]) -> pa.RecordBatch:
             got = _batch(texts, spaced, pattern)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got["_solid"] == 0), *(pa.array(got[k]) for k in STATISTICS)], names=["doc_id", "blank", *STATISTICS])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got["_solid"] == 0), *(pa.array(np.asarray(got[k], float)) for k in STATISTICS)], names=["doc_id", "blank", *STATISTICS])
 
         for batch in batches:
             ids, texts, size = [], [], 0

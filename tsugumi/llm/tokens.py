@@ -3,7 +3,7 @@
 Pre-tokens that are tokens themselves are read off the vocabulary, a table of fixed size, where the
 text is. All other words of a batch of documents are collapsed to (word, places) and shuffled by word,
 so that each is encoded once; the ids go back to their documents by a second shuffle and are put in
-their places. Between the shuffles ids are two bytes each.
+their places. Between the shuffles ids take two bytes each, four if the vocabulary has larger ids.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsugumi.plans.bounds import repeatable
+
 #: Fixed value: the pre-token pattern of the vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_GAP = 0xFFFF
 _BATCH_CHARS = 3_000_000
 _CACHED_WORDS = 100_000
 
@@ -34,11 +35,20 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 @lru_cache(maxsize=2)
 def ranks(path: str) -> dict[bytes, int]:
-    """Ids by token bytes; ids must fit two bytes."""
+    """Ids by token bytes."""
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=2)
+def _cell(path: str) -> tuple[str, int]:
+    """The type of an id between the shuffles, and the value that stands for a word that is no token: the largest, which no id may have."""
+    highest = max(ranks(path).values(), default=0)
+    if highest >= 2**31 - 1:
+        raise ValueError(f"{path}: ids must be below {2**31 - 1}")
+    return ("<u2", 2**16 - 1) if highest < 2**16 - 1 else ("<i4", 2**31 - 1)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     import tiktoken
@@ -60,10 +70,10 @@ def _words(path: str) -> dict[str, int]:
 _ROWS = "uid long, doc_id long, known binary, word string, docs array<long>, places array<int>"
 
 
-def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Two-byte values as binary cells that end at the given value counts."""
-    offsets = np.concatenate(([0], ends * 2)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, "<u2"))])
+def _binary(values: np.ndarray, ends: np.ndarray, kind: str) -> pa.Array:
+    """Values of one type as binary cells that end at the given value counts."""
+    offsets = np.concatenate(([0], ends * np.dtype(kind).itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, kind))])
 
 
 def _scan(path: str):
@@ -71,6 +81,7 @@ def _scan(path: str):
         import regex
 
         find, get, serial = regex.compile(PATTERN).findall, _words(path).get, 0
+        kind, gap = _cell(path)
 
         def done(docs: list, texts: list[str], first: int) -> pa.RecordBatch:
             words: list[str] = []
@@ -79,8 +90,8 @@ def _scan(path: str):
                 words += find(text)
                 ends.append(len(words))
             ends = np.array(ends, np.int64)
-            ids = np.fromiter(map(get, words, repeat(_GAP)), np.int32, len(words))
-            gaps = np.flatnonzero(ids == _GAP)
+            ids = np.fromiter(map(get, words, repeat(gap)), np.int32, len(words))
+            gaps = np.flatnonzero(ids == gap)
             intern: dict[str, int] = {}
             codes = np.fromiter((intern.setdefault(words[i], len(intern)) for i in gaps.tolist()), np.int64, len(gaps))
             of = np.searchsorted(ends, gaps, "right")
@@ -92,7 +103,7 @@ def _scan(path: str):
             uids = np.arange(first, first + n)
             return pa.RecordBatch.from_arrays([
                 pa.concat_arrays([pa.array(uids, pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(docs, pa.int64()), pa.nulls(m, pa.int64())]),
-                pa.concat_arrays([_binary(ids, ends), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(list(intern), pa.string())]),
+                pa.concat_arrays([_binary(ids, ends, kind), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(list(intern), pa.string())]),
                 lists(uids[of], pa.int64()), lists(place, pa.int32()),
             ], names=["uid", "doc_id", "known", "word", "docs", "places"])
 
@@ -118,7 +129,7 @@ _PLACED = "uid long, doc_id long, place int, ids binary"
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cache = encoder(path).encode_ordinary, {}
+        encode, cache, kind = encoder(path).encode_ordinary, {}, _cell(path)[0]
         for batch in batches:
             batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], names=batch.schema.names)
             whole = batch.filter(batch.column(2).is_valid())
@@ -133,7 +144,7 @@ def _encode(path: str):
                 if cell is None:
                     if len(cache) >= _CACHED_WORDS:
                         cache.clear()
-                    cell = cache[word] = np.array(encode(word), "<u2").tobytes()
+                    cell = cache[word] = np.array(encode(word), kind).tobytes()
                 cells.append(cell)
             counts = rows.column(4).value_lengths().to_numpy()
             which = np.repeat(np.arange(len(counts)), counts)
@@ -145,24 +156,23 @@ def _encode(path: str):
     return run
 
 
-def _values(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All two-byte values of binary cells, and how many each cell has."""
-    cells = pa.concat_arrays([cells])
+def _values(cells: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary cells, and how many each cell has."""
+    cells, size = pa.concat_arrays([cells]), np.dtype(kind).itemsize
     _, offsets, data = cells.buffers()
     at = np.frombuffer(offsets, np.int32)[cells.offset : cells.offset + len(cells) + 1]
     values = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return values.view("<u2") if values.ctypes.data % 2 == 0 else values.copy().view("<u2"), np.diff(at) // 2
-
+    return values.view(kind) if values.ctypes.data % size == 0 else values.copy().view(kind), np.diff(at) // size
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
 
+def _merge(path: str):
     def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+        kind, gap_value = _cell(path)
         head = rows.column(2).to_numpy() < 0
         wholes, rest = rows.filter(pa.array(head)), rows.filter(pa.array(~head))
-        known, sizes = _values(wholes.column(3))
-        found, lengths = _values(rest.column(3))
-        gap = known == _GAP
+        known, sizes = _values(wholes.column(3), kind)
+        found, lengths = _values(rest.column(3), kind)
+        gap = known == gap_value
         width = np.ones(len(known), np.int64)
         width[gap] = lengths
         wide = np.repeat(gap, width)
@@ -171,34 +181,40 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32)
         return pa.RecordBatch.from_arrays([wholes.column(1), pa.ListArray.from_arrays(pa.array(total), pa.array(ids))], names=["doc_id", "ids"])
 
-    for batch in batches:
-        heads = np.flatnonzero(batch.column(2).to_numpy() < 0)
-        if not len(heads):
-            held.append(batch)
-            continue
-        last = int(heads[-1])
-        held.append(batch.slice(0, last))
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            heads = np.flatnonzero(batch.column(2).to_numpy() < 0)
+            if not len(heads):
+                held.append(batch)
+                continue
+            last = int(heads[-1])
+            held.append(batch.slice(0, last))
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+            if rows:
+                yield done(rows[0])
+            held = [batch.slice(last)]
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
         if rows:
             yield done(rows[0])
-        held = [batch.slice(last)]
-    rows = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
-    if rows:
-        yield done(rows[0])
+
+    return run
 
 
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids of every row of ``documents``: the ids of ``text`` without special tokens, empty for empty and null text.
 
-    Blank text is text. Repeated rows and null doc_id give a row each.
+    Blank text is text. Repeated rows and null doc_id give a row each. Documents that come out of a shuffle are
+    written down first, as a task that is run again must number the same rows alike.
     """
     path = path or vocabulary_path()
+    documents = repeatable(documents.select("doc_id", "text"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.spark_partition_id().cast("long").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(path), _ROWS)
     # A hot word is spread over more tasks the more tasks there are.
     salt = F.when(F.col("word").isNotNull(), F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(max(1, n // 12)))).otherwise(F.col("uid"))
     placed = rows.repartition(n, "word", salt).mapInArrow(_encode(path), _PLACED)
-    return placed.repartition(n, "uid").sortWithinPartitions("uid", "place").mapInArrow(_merge, "doc_id long, ids array<int>")
+    return placed.repartition(n, "uid").sortWithinPartitions("uid", "place").mapInArrow(_merge(path), "doc_id long, ids array<int>")
 
 
 def _count(path: str):
