@@ -371,6 +371,23 @@ def test_mixture_of_overlapping_sources(spark):
     assert chosen.groupBy("doc_id").agg(F.sum("uses").alias("n")).filter("n > 1").count() == 0
 
 
+def test_mixture_of_copies(spark, monkeypatch):
+    """One text in many sources, and more patterns than the network may hold."""
+    rows = [(i, "a", "same text") for i in range(50)] + [(100, "b", "same text"), (101, "b", "other words here"), (102, "a", "third text"), (103, "a", None), (104, "b", "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, _a int")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    used = mixing.document_mixture(df, targets)[0].collect()
+    assert {r.doc_id for r in used if r.source == "a"} <= {0, 102} and {r.doc_id for r in used if r.source == "b"} <= {100, 101} and all(r.uses <= 2 for r in used)
+    rng = random.Random(4)
+    rows = [(i, s, rng.randrange(5, 20)) for i in range(600) for s in rng.sample("abcde", rng.randrange(1, 4))]
+    targets = spark.createDataFrame([(s, 0.2, 2) for s in "abcde"], "source string, target_share double, max_repeats int")
+    members = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    chosen, report = mixing.mixture(members, targets)
+    assert all(abs(r.tokens - r.quota) <= 20 and r.tokens > 0 and r.reached_share == pytest.approx(0.2, abs=0.02) for r in report.collect())
+    assert {(r.doc_id, r.source) for r in chosen.collect()} <= {(i, s) for i, s, _ in rows}
+
+
 def test_flow_is_cheapest():
     flow = mixing.route({("a",): 10, ("a", "b"): 10}, {"a": 10, "b": 10}, {"a": 2, "b": 2})
     assert flow == {(("a",), "a"): 10, (("a", "b"), "b"): 10}

@@ -110,6 +110,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target source whether the mixture, told by its documents alone, keeps the quota within its largest document, the repeats, the source of every document, and one document for each text."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    chosen, report = mixing.document_mixture(documents, targets)
+    own = documents.select("doc_id", F.col("source").alias("own"), F.xxhash64("text").alias("h"))
+    rows = chosen.join(own, "doc_id").join(F.broadcast(targets.select("source", "max_repeats")), "source")
+    by = rows.groupBy("source", "h").agg(F.sum(F.col("uses") * F.col("tokens")).alias("t"), F.min(F.col("uses") <= F.col("max_repeats")).alias("r"), F.min(F.col("own") == F.col("source")).alias("o"), F.count(F.lit(1)).alias("n"))
+    by = by.groupBy("source").agg(F.sum("t").alias("t"), F.min("r").alias("r"), F.min("o").alias("o"), F.max("n").alias("n"))
+    largest = tokens.token_counts(documents, ["source"]).groupBy("source").agg(F.max("tokens").alias("largest"))
+    true = lambda c: F.coalesce(c, F.lit(True))
+    near = F.abs(F.coalesce("t", F.lit(0)) - F.col("quota")) <= F.coalesce("largest", F.lit(0))
+    return report.select("source", "quota").join(by, "source", "left").join(largest, "source", "left").select("source", near.alias("in_quota"), true(F.col("r")).alias("in_repeats"), true(F.col("o")).alias("from_source"), true(F.col("n") == 1).alias("once_a_text"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), table(spark, sf_dir, "doc_labels"))
 
@@ -118,7 +132,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_folded, p2_found, p2_pieces, p2_restored, p3_found, p3_pairs, p4_found, p4_terms, p4_ngrams, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p1_folded, p2_found, p2_pieces, p2_restored, p3_found, p3_pairs, p4_found, p4_terms, p4_ngrams, p6_found, p6_clean, p6_paths, p6_extracted, p8_ids, p8_round_trip, p9_mix, p9_shares, p9_kept, p10_found, p10_statistics)}
 
 _COUNTS = """
 WITH pairs AS (SELECT DISTINCT chunk_id, entity_id FROM chunk_entities WHERE chunk_id IS NOT NULL AND entity_id IS NOT NULL),
@@ -148,6 +162,7 @@ terms AS (SELECT *, CASE WHEN documents < 3 THEN 'rare' WHEN documents * 100 >=
 """
 
 SQL = {
+    "p9_kept": "SELECT source, TRUE AS in_quota, TRUE AS in_repeats, TRUE AS from_source, TRUE AS once_a_text FROM mix_targets",
     "p4_found": _TERMS + "SELECT candidate_id, mark FROM terms WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + "SELECT term, candidate_id, frequency, documents, mark FROM terms",
     "p4_ngrams": f"""
