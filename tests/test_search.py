@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tsugumi.operators import chunking, dictionary, entities, links, maintenance, retrieval, sessions, synonyms
+from tsugumi.operators import chunking, dictionary, entities, fulltext, links, maintenance, retrieval, sessions, synonyms
 from tsugumi.plans import search as S
 from tsugumi.plans import understanding as U
 from tsugumi.sources import files
@@ -87,6 +87,23 @@ def test_bm25(spark):
     assert retrieval.bm25(chunks(spark, texts), [[[]], [["relay"]]]).count() == 2
 
 
+def test_stored_index_equals_the_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "TEXTS_PER_SLICE", 2)
+    texts = ["the loom and the kiln", "loom loom loom", None, "", "a kiln is a kiln is a kiln", "the the the", "クレープ 焼く the kiln"]
+    df = chunks(spark, texts).withColumn("tf", F.lit(1))
+    index = fulltext.build(df, str(tmp_path / "index"))
+    for groups in ([[["loom"]]], [[["the"], ["kiln"]]], [[["kiln", "is", "a", "kiln"]]], [[["the", "the"]]], [[["loom"], ["kiln"]], [["the"]]], [[["none"]]], [[[]]], []):
+        want = {r.chunk_id: pytest.approx(r.score) for r in retrieval.bm25(df, groups).collect()}
+        assert {r.chunk_id: r.score for r in fulltext.bm25(index, groups).collect()} == want
+    plan = fulltext.bm25(index, [[["loom"]]])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
+    each = {(r.query_id, r.chunk_id): r.score for r in fulltext.bm25_each(index, {1: ["the", "kiln"], 2: ["loom"], 3: ["none"], 4: [], 5: ["loom", "none"]}, 5).collect()}
+    want = {(q, r.chunk_id): pytest.approx(r.score) for q, g in ((1, [[["the"], ["kiln"]]]), (2, [[["loom"]]])) for r in retrieval.bm25(df, g).collect()}
+    assert each == want
+    empty = fulltext.build(df.limit(0), str(tmp_path / "empty"))
+    assert fulltext.bm25(empty, [[["loom"]]]).count() == 0
+
+
 def test_fusion_and_scores(spark):
     a, b = chunks(spark, "xyz").select("chunk_id", F.col("chunk_id").cast("int").alias("rank")), spark.createDataFrame([(2, 0), (7, 1)], "chunk_id long, rank int")
     got = {r.chunk_id: r.rrf for r in retrieval.fuse([(a, 1.5), (b, 0.5), (b, 0.0)]).collect()}

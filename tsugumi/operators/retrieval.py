@@ -12,16 +12,11 @@ from pyspark.sql import functions as F
 from tsugumi import params as P
 from tsugumi.functions.analysis import index_terms
 from tsugumi.functions.text import utrim
+from tsugumi.operators.fulltext import scored
 
 TOP = 15
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """key, term, tf, positions (from 0) of every index term of every text; null text has none. Only a text's own terms are gathered."""
-    each = chunks.select(key, F.posexplode(index_terms(F.col(text))).alias("position", "term"))
-    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-
-
 def document_frequencies(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """term, df, cf. Every term stands once for each place and once for each text; both are summed on the map side, so a hot term moves one row per task."""
     t = F.col("t")
@@ -46,8 +41,8 @@ def bm25(chunks: DataFrame, groups: list[list[list[str]]], key: str = "chunk_id"
     """key, score of the rows that match ``groups``: an OR of groups, a group being an AND of phrases, a phrase a list of terms.
 
     A phrase gives credit only in the groups that match. An empty phrase (punctuation only) makes its
-    group match nothing; without any other group the result is empty. The texts are scanned twice, once
-    for the statistics and once for the scores; nothing but one row of statistics is moved.
+    group match nothing; without any other group the result is empty. For texts without an index (see ``fulltext``): they are
+    scanned, nothing but rows of statistics is moved.
     """
     groups = [g for g in groups if g and all(g)]
     tokens = chunks.select(key, index_terms(F.col(text)).alias("t"))
@@ -55,21 +50,7 @@ def bm25(chunks: DataFrame, groups: list[list[list[str]]], key: str = "chunk_id"
     if not flat:
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
     counted = tokens.select(key, F.size("t").alias("dl"), *[_phrase_count(F.col("t"), p).alias(f"tf_{i}_{j}") for i, j, p in flat])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf_{i}_{j}") > 0, 1)).alias(f"df_{i}_{j}") for i, j, _ in flat])
-
-    def part(i: int, j: int) -> Column:
-        tf, df = F.col(f"tf_{i}_{j}"), F.col(f"df_{i}_{j}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        return F.when(idf > 0, idf).otherwise(P.BM25_MIN_IDF) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-
-    hit, score = F.lit(False), F.lit(0.0)
-    for i, g in enumerate(groups):
-        whole = F.lit(True)
-        for j in range(len(g)):
-            whole = whole & (F.col(f"tf_{i}_{j}") > 0)
-        hit = hit | whole
-        score = score + F.when(whole, sum((part(i, j) for j in range(1, len(g))), part(i, 0))).otherwise(0.0)
-    return counted.crossJoin(F.broadcast(stats)).filter(hit).select(key, score.alias("score"))
+    return scored(counted, counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), groups, key, k1, b)
 
 
 def top(ranked: DataFrame, k: int, score: str = "score", key: str = "chunk_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tsugumi import params as P
 from tsugumi.operators import entities as E
+from tsugumi.operators import fulltext as FT
 from tsugumi.operators import links as L
 from tsugumi.operators import retrieval as R
 from tsugumi.operators import synonyms as S
@@ -32,6 +33,7 @@ class Corpus:
     links: DataFrame | None = None
     tag_links: DataFrame | None = None  # between classes
     tag_classes: DataFrame | None = None
+    index: FT.Index | None = None  # without it texts are scanned
 
 
 @dataclass
@@ -85,7 +87,8 @@ def search(corpus: Corpus, request: Request) -> DataFrame:
         more += [r.synonym for r in S.expand(corpus.synonyms, rows, request.as_of).orderBy("position", "synonym").collect()]
     rankers = []
     if text_weight:
-        found = R.top(R.bm25(corpus.chunks, U.text_groups(tokens, list(dict.fromkeys(more)))), limit)
+        groups = U.text_groups(tokens, list(dict.fromkeys(more)))
+        found = R.top(R.bm25(corpus.chunks, groups) if corpus.index is None else FT.bm25(corpus.index, groups), limit)
         rankers.append((R.ranks(found, "score"), text_weight))
     if request.vector is not None and corpus.vectors is not None:
         near = R.nearest(corpus.vectors, request.vector, limit, "chunk_id")

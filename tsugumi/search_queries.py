@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsugumi import params as P
 from tsugumi.functions import analysis as A
 from tsugumi.functions.text import utrim
-from tsugumi.operators import chunking, dictionary, entities, links, maintenance, retrieval, sessions, synonyms
+from tsugumi.operators import chunking, dictionary, entities, fulltext, links, maintenance, retrieval, sessions, synonyms
 from tsugumi.operators.incremental import plain_hash
 from tsugumi.plans import search as S
+from tsugumi.plans.bounds import shared_folder
 from tsugumi.streaming import watch
 from tsugumi.tables import table
 
@@ -61,7 +64,7 @@ def term_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TOK + " SELECT chunk_id, term, count(*) AS tf, array_to_string(list(position ORDER BY position), ',') AS positions FROM (SELECT chunk_id, unnest(t) AS term, unnest(range(len(t))) AS position FROM tok) GROUP BY 1, 2")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.postings(table(spark, d, "chunks")).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    return fulltext.inverted(table(spark, d, "chunks")).select("chunk_id", "term", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query(f"SELECT doc_id, array_to_string(coalesce(regexp_extract_all(title, '{_SEG}'), []), ' ') AS words FROM documents")
@@ -175,9 +178,22 @@ GROUPS = {
 }
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> fulltext.Index:
+    """The stored index of a data folder, written by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        fulltext.build(table(spark, d, "chunks"), folder)
+        _INDEXES[key] = folder
+    return fulltext.opened(spark, _INDEXES[key])
+
+
 def _bm25_query(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return retrieval.top(retrieval.bm25(table(spark, d, "chunks"), GROUPS[name]), TOP).select("chunk_id", F.round("score", 6).alias("score"))
+        return retrieval.top(fulltext.bm25(_index(spark, d), GROUPS[name]), TOP).select("chunk_id", F.round("score", 6).alias("score"))
 
     run.__name__ = name
     return run
@@ -186,6 +202,21 @@ def _bm25_query(name: str):
 for _name, _groups in GROUPS.items():
     query(_bm25(_groups) + _BEST)(_bm25_query(_name))
 
+_BATCH = """, p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM tok) GROUP BY 1, 2), l AS (SELECT chunk_id, len(t) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+f AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM p GROUP BY 1), q AS (SELECT (row_number() OVER (ORDER BY cf DESC, term) - 51) // 2 AS query_id, term, df FROM f QUALIFY row_number() OVER (ORDER BY cf DESC, term) BETWEEN 51 AND 250),
+h AS (SELECT query_id, chunk_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN l USING (chunk_id), st GROUP BY 1, 2 HAVING count(*) = 2)
+SELECT query_id, chunk_id, round(score, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10"""
+
+
+@query(_TOK + _BATCH)
+def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred queries of two words each at once: the terms from the 51st to the 250th by frequency."""
+    index = _index(spark, d)
+    terms = [r.term for r in index.postings.groupBy("term").agg(F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(250).collect()][50:]
+    found = fulltext.bm25_each(index, {i // 2: terms[i : i + 2] for i in range(0, len(terms) - 1, 2)}, 10)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 _QUERY_VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)"
 
 
@@ -213,7 +244,7 @@ rrf AS (SELECT chunk_id, sum(w / (60.0 + rank)) AS rrf FROM (SELECT chunk_id, ra
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    fts = retrieval.ranks(retrieval.top(retrieval.bm25(table(spark, d, "chunks"), GROUPS["bm25_term"]), 45), "score")
+    fts = retrieval.ranks(retrieval.top(fulltext.bm25(_index(spark, d), GROUPS["bm25_term"]), 45), "score")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     vec = retrieval.ranks(retrieval.nearest(vectors, _first_vector(spark, d), 45, "chunk_id"), "distance", descending=False)
     return retrieval.fuse([(fts, 1.5), (vec, 0.5)])
@@ -272,7 +303,7 @@ def search_request(spark: SparkSession, d: str) -> DataFrame:
     """A whole request: words, entities, vectors, fusion, scores, related documents."""
     links_ = links.explicit_links(table(spark, d, "documents")).unionByName(_entity_links(spark, d))
     tags = entities.tag_entities(table(spark, d, "documents"))
-    corpus = S.Corpus(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), table(spark, d, "entities"), table(spark, d, "chunk_entities"), _edges(spark, d), _synonyms(spark, d), links_, links.tag_links(tags), links.tag_classes(tags))
+    corpus = S.Corpus(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), table(spark, d, "entities"), table(spark, d, "chunk_entities"), _edges(spark, d), _synonyms(spark, d), links_, links.tag_links(tags), links.tag_classes(tags), _index(spark, d))
     return S.results(corpus, S.Request("最近の pogisobu 索引 について", AS_OF, TOP, vector=_first_vector(spark, d)))
 
 
