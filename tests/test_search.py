@@ -277,6 +277,28 @@ def test_links(spark):
     assert rows(up) == [(1, 2, "tag", 0.7)] and links.without_documents(up, spark.createDataFrame([(2,)], "doc_id long")).count() == 0
 
 
+def test_entity_links_with_hot_entities_and_copies(spark, monkeypatch):
+    """Against brute force, with blocks and slabs of a few sets, one entity in all documents and many copies of one document."""
+    import random
+
+    monkeypatch.setattr(links, "BLOCK_SETS", 7)
+    monkeypatch.setattr(links, "SLAB", 2)
+    rng = random.Random(3)
+    sets = {d: {0, *(min(rng.randrange(1, 30), rng.randrange(1, 30)) for _ in range(rng.randrange(6)))} for d in range(120)} | {d: {0, 5, 7} for d in range(200, 260)} | {300: set(), 301: {0}}
+    rows = [(d, e) for d, s in sets.items() for e in s] * 2 + [(301, None)]
+    chunk_entities = spark.createDataFrame([(*r, "x") for r in rows], "chunk_id long, entity_id long, items string")
+    owned = spark.createDataFrame([(d, d) for d in sets], "chunk_id long, document_id long")
+    kept = set()
+    for d, s in sets.items():
+        near = sorted((-len(s & o), x) for x, o in sets.items() if x != d and len(s & o) >= 2)
+        kept |= {(min(d, x), max(d, x), round(min(math.log(-n) / 10, 0.6), 6)) for n, x in near[:3]}
+    got = links.entity_links(chunk_entities, owned, 3)
+    assert {(r.doc_a, r.doc_b, round(r.strength, 6)) for r in got.collect()} == {k for k in kept if k[2] > 0.05} and got.count() == len({k for k in kept if k[2] > 0.05})
+    pairs = links.overlaps(spark.createDataFrame([(d, list(s)) for d, s in sets.items()], "id long, items array<long>"), 2)
+    assert {(r.own, r.other, r.shared) for r in pairs.collect()} == {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2}
+    assert links.entity_links(chunk_entities.limit(0), owned).count() == 0
+
+
 def test_related_by_one_tag(spark):
     docs = spark.createDataFrame([(i, f"{c}.md") for i, c in enumerate("abcdef")], "doc_id long, file_path string")
     tags = spark.createDataFrame([(0, "db"), (1, "db"), (2, "db"), (2, "rust"), (3, "rust"), (3, "web"), (4, "sea")], "doc_id long, name string")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsugumi import params as P
-from tsugumi.plans.bounds import broadcast_if_small
+from tsugumi.plans.bounds import broadcast_if_small, checkpointed
+
+BLOCK_SETS, SLAB = 512, 32
 
 LINKS = "doc_a long, doc_b long, link_type string, strength double"
-TAG_LINKS = "set_a string, set_b string, shared int, strength double"
+TAG_LINKS = "set_a string, set_b string, shared int, strength double, documents_a long, documents_b long"
 TAG_CLASSES = "doc_id long, tag_set string"
 
 
@@ -29,20 +36,95 @@ def explicit_links(documents: DataFrame, text: str = "text") -> DataFrame:
     return found.select(F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b"), F.lit("explicit").alias("link_type"), F.lit(1.0).alias("strength")).distinct()
 
 
-def _overlaps(items: DataFrame, least: int) -> DataFrame:
-    """doc_a < doc_b, shared, size_a, size_b of documents (doc_id, items: distinct array) that share at least ``least`` items.
+def _meet(best: int | None, least: int, block: int):
+    """Rows of (own, id, items, at), a block of sets that hold one item and others that hold it too, to own, other, shared of those that first meet on it.
+
+    Overlaps come from products of 0/1 matrices over the items of the block. With ``best`` every set of it keeps its best others of the row (ties by id), else every pair with own < other is kept.
+    """
 
-    Items of a document are ordered from the rarest; two documents that share ``least`` items share one of
-    their first size - least + 1, so only those are joined on and the overlap is counted from the arrays.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.column(0):
+                rows = held.values
+                mine, at = rows.field("own").to_numpy(zero_copy_only=False), rows.field("at").to_numpy()
+                ids, lists = rows.field("id"), rows.field("items")
+                x, others = np.flatnonzero(mine), np.flatnonzero(~mine)
+                if not len(x) or not len(others):
+                    continue
+                sizes = lists.value_lengths().to_numpy().astype(np.int64)
+                code = lists.flatten().dictionary_encode().indices.to_numpy()
+                row = np.repeat(np.arange(len(ids)), sizes)
+                early = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < at[row]
+                known = np.full(int(code.max()) + 1, -1)
+                known[np.unique(code[mine[row]])] = 0
+                known[known == 0] = np.arange((known == 0).sum())  # columns: the items of the block
+                code = known[code]
+                rank = np.empty(len(ids), np.int64)
+                rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                same = pc.rank(ids, tiebreaker="dense").to_numpy()
+                starts = np.concatenate(([0], np.cumsum(sizes)))
+
+                def matrices(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    at_ = np.concatenate([np.arange(starts[w], starts[w + 1]) for w in which])
+                    line = np.repeat(np.arange(len(which)), sizes[which])
+                    use = code[at_] >= 0  # noqa: B023
+                    whole = np.zeros((len(which), known.max() + 1), np.float32)  # noqa: B023
+                    whole[line[use], code[at_][use]] = 1  # noqa: B023
+                    rarer = np.zeros_like(whole)
+                    use &= early[at_]  # noqa: B023
+                    rarer[line[use], code[at_][use]] = 1  # noqa: B023
+                    return whole, rarer
+
+                whole, rarer = matrices(x)
+                top_worth, top_other = np.full((len(x), 0), -1), np.full((len(x), 0), -1)
+                for k in range(0, len(others), block):
+                    y = others[k : k + block]
+                    whole_y, rarer_y = matrices(y)
+                    shared = (whole @ whole_y.T).astype(np.int64)
+                    ok = (shared >= least) & (rarer @ rarer_y.T == 0)
+                    if best is None:
+                        ok &= same[x][:, None] < same[y][None, :]
+                        i, j = np.nonzero(ok)
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[i])), ids.take(pa.array(y[j])), pa.array(shared[i, j], pa.int64())], names=["own", "other", "shared"])
+                        continue
+                    ok &= same[x][:, None] != same[y][None, :]
+                    # One number for shared and id; no two others of a set are alike.
+                    worth = np.concatenate((top_worth, np.where(ok, shared * len(ids) + len(ids) - 1 - rank[y][None, :], -1)), axis=1)
+                    other = np.concatenate((top_other, np.broadcast_to(y, ok.shape)), axis=1)
+                    if worth.shape[1] > best:
+                        keep = np.argpartition(-worth, best - 1, axis=1)[:, :best]
+                        worth, other = np.take_along_axis(worth, keep, 1), np.take_along_axis(other, keep, 1)
+                    top_worth, top_other = worth, other
+                if best is not None:
+                    i, j = np.nonzero(top_worth >= 0)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[i])), ids.take(pa.array(top_other[i, j])), pa.array(top_worth[i, j] // len(ids), pa.int64())], names=["own", "other", "shared"])
+
+    return run
+
+
+def overlaps(sets: DataFrame, least: int, best: int | None = None) -> DataFrame:
+    """own, other, shared of sets (id, items: distinct array) that share at least ``least`` items: all pairs with own < other, or with ``best`` about the best others of each set in both directions (no others are better; take the first ``best`` by shared and id).
+
+    Items of a set are ordered from the rarest; two sets that share ``least`` items share one of their first
+    size - least + 1, so only those are met on, and a pair counts on the rarest it shares. The sets of an item stand in
+    blocks of about ``BLOCK_SETS``; each block meets all others, ``SLAB`` of them in a row, so a hot item is spread over many rows of
+    bounded size, and its pairs are never rows unless they are kept: at most ``best`` of each set and slab.
     """
-    each = items.select("doc_id", F.explode("items").alias("item"))
-    counts = each.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    ordered = each.join(counts, "item").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("s")).filter(F.size("s") >= least)
-    prefix = ordered.select("doc_id", F.col("s.item").alias("items"), F.explode(F.expr(f"slice(s.item, 1, size(s) - {least - 1})")).alias("item"))
-    pairs = prefix.alias("a").join(prefix.alias("b"), "item").filter("a.doc_id < b.doc_id")
-    counted = pairs.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.size(F.array_intersect("a.items", "b.items")).alias("shared"), F.size("a.items").alias("size_a"), F.size("b.items").alias("size_b"), "item", F.array_intersect(F.expr(f"slice(a.items, 1, size(a.items) - {least - 1})"), F.expr(f"slice(b.items, 1, size(b.items) - {least - 1})")).alias("common"))
-    # A pair meets on every shared prefix item; it is kept on the first of them, so no distinct is needed.
-    return counted.filter((F.col("shared") >= least) & (F.col("item") == F.get("common", F.lit(0)))).drop("item", "common")
+    kind = sets.schema["id"].dataType.simpleString()
+    each = sets.select("id", F.explode("items").alias("item"))
+    counts = broadcast_if_small(each.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
+    ordered = each.join(counts, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("s")).filter(F.size("s") >= least)
+    prefix = ordered.select("id", F.col("s.item").alias("items"), F.posexplode(F.expr(f"slice(s.item, 1, size(s) - {least - 1})")).alias("at", "item"))
+    blocks = broadcast_if_small(prefix.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks")))
+    spread = prefix.join(blocks, "item").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    slabs = lambda c: F.floor(c / SLAB).cast("int")
+    own = F.transform(F.sequence(F.lit(0), slabs(F.col("blocks") - 1)), lambda s: F.struct(F.col("block").alias("a"), s.alias("slab"), F.lit(True).alias("own")))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda a: F.struct(a.alias("a"), slabs(F.col("block")).alias("slab"), F.lit(False).alias("own")))
+    spread = spread.select("item", "id", "items", "at", F.explode(F.concat(own, other)).alias("m"))
+    met = spread.groupBy("item", "m.a", "m.slab").agg(F.collect_list(F.struct("m.own", "id", "items", "at")).alias("rows"))
+    return met.select("rows").mapInArrow(_meet(best, least, BLOCK_SETS), f"own {kind}, other {kind}, shared long")
 
 
 def tag_classes(document_tags: DataFrame) -> DataFrame:
@@ -51,29 +133,43 @@ def tag_classes(document_tags: DataFrame) -> DataFrame:
 
 
 def tag_links(document_tags: DataFrame) -> DataFrame:
-    """set_a <= set_b, shared, strength of the tag sets that share a tag: .7 x shared / the larger number of tags.
+    """set_a <= set_b, shared, strength, documents_a, documents_b of the tag sets that share a tag: .7 x shared / the larger number of tags.
 
     Documents with the same tags are one class (see ``tag_classes``), so equal sets are compared once and
     copies are not expanded into pairs of documents; a set that several documents have is also linked
-    with itself. Tags are compared in lower case and counted once, which makes the relation symmetric.
+    with itself. documents_a and documents_b are the numbers of documents with either set. Tags are compared in lower case and counted once, which makes the relation symmetric.
     """
     classes = tag_classes(document_tags).groupBy("tag_set").agg(F.count(F.lit(1)).alias("n"))
     sets = classes.select("tag_set", "n", F.split("tag_set", "\n").alias("items"))
-    pairs = _overlaps(sets.select(F.col("tag_set").alias("doc_id"), "items"), 1).select(F.col("doc_a").alias("set_a"), F.col("doc_b").alias("set_b"), "shared", F.greatest("size_a", "size_b").alias("size"))
-    own = sets.filter("n > 1").select(F.col("tag_set").alias("set_a"), F.col("tag_set").alias("set_b"), F.size("items").alias("shared"), F.size("items").alias("size"))
+    size = lambda c: F.size(F.split(c, "\n"))
+    pairs = overlaps(sets.select(F.col("tag_set").alias("id"), "items"), 1).select(F.col("own").alias("set_a"), F.col("other").alias("set_b"), F.col("shared").cast("int").alias("shared"))
+    own = sets.filter("n > 1").select(F.col("tag_set").alias("set_a"), F.col("tag_set").alias("set_b"), F.size("items").alias("shared"))
     both = pairs.unionByName(own)
-    return both.select("set_a", "set_b", "shared", (F.lit(P.TAG_STRENGTH) * F.col("shared") / F.col("size")).alias("strength"))
+    for end in ("a", "b"):
+        both = both.join(classes.select(F.col("tag_set").alias(f"set_{end}"), F.col("n").alias(f"documents_{end}")), f"set_{end}")
+    return both.select("set_a", "set_b", "shared", (F.lit(P.TAG_STRENGTH) * F.col("shared") / F.greatest(size("set_a"), size("set_b"))).alias("strength"), "documents_a", "documents_b")
 
 
 def entity_links(chunk_entities: DataFrame, chunks: DataFrame, per_document: int = P.ENTITY_LINKS_PER_DOCUMENT) -> DataFrame:
-    """Strength min(ln(shared) / 10, .6) above .05, for documents that share at least two entities; the 20 strongest of each document (ties by id) are kept, a link stays if either end keeps it."""
-    owned = chunk_entities.filter("entity_id is not null").join(chunks.select("chunk_id", "document_id"), "chunk_id").groupBy(F.col("document_id").alias("doc_id")).agg(F.collect_set("entity_id").alias("items"))
-    pairs = _overlaps(owned, 2).select("doc_a", "doc_b", "shared")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("own"), F.col("doc_b").alias("other")), F.struct(F.col("doc_b").alias("own"), F.col("doc_a").alias("other")))).alias("e"), "shared").select("e.*", "shared")
+    """Strength min(ln(shared) / 10, .6) above .05, for documents that share at least two entities; the 20 strongest of each document (ties by id) are kept, a link stays if either end keeps it.
+
+    Documents with the same entities are one class, told by two 64-bit hashes; classes are compared, and of a class the lowest ids, one more than are kept, stand for it.
+    """
+    owned = chunk_entities.filter("entity_id is not null").join(chunks.select("chunk_id", "document_id"), "chunk_id").groupBy(F.col("document_id").alias("doc_id")).agg(F.sort_array(F.collect_set("entity_id")).alias("items")).filter(F.size("items") > 1)
+    keyed = owned.select("doc_id", "items", F.struct(F.xxhash64("items"), F.xxhash64(F.lit(1), "items")).alias("h"))
+    lowest = keyed.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))).filter(F.col("r") <= per_document + 1)
+    classes = lowest.groupBy("h").agg(F.min_by("items", "r").alias("items"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    classes = checkpointed(classes.select("h", F.get("ids", F.lit(0)).alias("id"), "items", "ids"))  # read for the pairs, the own class and the members
     order = Window.partitionBy("own").orderBy(F.desc("shared"), "other")
-    kept = ends.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_document)
+    pairs = overlaps(classes.select("id", "items"), 2, per_document)
+    near = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_document).select("own", "other", "shared")
+    near = near.unionByName(classes.filter(F.size("ids") > 1).select(F.col("id").alias("own"), F.col("id").alias("other"), F.size("items").cast("long").alias("shared")))
+    listed = near.join(classes.select(F.col("id").alias("other"), "ids"), "other").select("own", "shared", F.explode("ids").alias("other"))
+    listed = listed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_document + 1).groupBy("own").agg(F.sort_array(F.collect_list(F.struct("r", "other", "shared"))).alias("l"))
+    members = keyed.select("doc_id", "h").join(classes.select("h", F.col("id").alias("own")), "h").select("doc_id", "own")
+    ends = members.join(listed, "own").select("doc_id", F.explode(F.slice(F.filter("l", lambda x: x["other"] != F.col("doc_id")), 1, per_document)).alias("e")).select("doc_id", "e.other", "e.shared")
     strength = F.least(F.log(F.col("shared")) / 10, F.lit(P.ENTITY_LINK_CAP))
-    return kept.select(F.least("own", "other").alias("doc_a"), F.greatest("own", "other").alias("doc_b"), F.lit("entity").alias("link_type"), strength.alias("strength")).filter(F.col("strength") > P.ENTITY_LINK_FLOOR).distinct()
+    return ends.select(F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b"), F.lit("entity").alias("link_type"), strength.alias("strength")).filter(F.col("strength") > P.ENTITY_LINK_FLOOR).distinct()
 
 
 def upserted(links: DataFrame, more: DataFrame) -> DataFrame:

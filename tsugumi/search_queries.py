@@ -379,8 +379,8 @@ def explicit_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT DISTINCT doc_id, lower(trim(tag)) AS name FROM (SELECT doc_id, unnest(tags) AS tag FROM documents) WHERE length(trim(tag)) >= 2),
 c AS (SELECT doc_id, list(name ORDER BY name) AS items FROM t GROUP BY 1), k AS (SELECT items, count(*) AS n FROM c GROUP BY 1),
-p AS (SELECT a.items AS x, b.items AS y, len(list_intersect(a.items, b.items)) AS shared FROM k a, k b WHERE array_to_string(a.items, chr(10)) < array_to_string(b.items, chr(10)) OR (a.items = b.items AND a.n > 1))
-SELECT array_to_string(x, chr(10)) AS set_a, array_to_string(y, chr(10)) AS set_b, shared, round(0.7 * shared / greatest(len(x), len(y)), 8) AS strength FROM p WHERE shared > 0""")
+p AS (SELECT a.items AS x, b.items AS y, a.n AS documents_a, b.n AS documents_b, len(list_intersect(a.items, b.items)) AS shared FROM k a, k b WHERE array_to_string(a.items, chr(10)) < array_to_string(b.items, chr(10)) OR (a.items = b.items AND a.n > 1))
+SELECT array_to_string(x, chr(10)) AS set_a, array_to_string(y, chr(10)) AS set_b, shared, round(0.7 * shared / greatest(len(x), len(y)), 8) AS strength, documents_a, documents_b FROM p WHERE shared > 0""")
 def tag_links(spark: SparkSession, d: str) -> DataFrame:
     return links.tag_links(entities.tag_entities(table(spark, d, "documents"))).withColumn("strength", F.round("strength", 8))
 
