@@ -25,7 +25,7 @@ def rows(df):
     ("先月の会議", "2026-03-24", "の会議", "2026-02-01", "2026-03-01"), ("最近の記録", "2026-03-24", "の記録", "2026-02-22", None), ("半年前", "2026-03-24", "", "2025-09-25", None),
     ("年末の予定", "2026-01-15", "の予定", "2025-11-01", "2026-01-01"), ("3月の記録", "2026-01-15", "記録", "2025-03-01", "2025-04-01"), ("去年", "2026-03-24", "", "2025-01-01", "2026-01-01"),
     ("一昨年の話", "2026-03-24", "の話", "2024-01-01", "2025-01-01"), ("2週間前 rust", "2026-03-24", "rust", "2026-03-10", None), ("先週", "2026-03-24", "", "2026-03-17", None),
-    ("13月", "2026-03-24", "13月", None, None), ("rust", "2026-03-24", "rust", None, None), ("今月", "2026-12-24", "", "2026-12-01", "2027-01-01"), ("年始", "2026-02-01", "", "2025-01-01", "2025-03-01"),
+    ("13月", "2026-03-24", "13月", None, None), ("rust", "2026-03-24", "rust", None, None), ("今月", "2026-12-24", "", "2026-12-01", None), ("今年の 少し前", "2026-03-24", "今年の", "2026-02-22", None), ("少し前と3日前", "2026-03-24", "と3日前", "2026-02-22", None), ("今年", "2026-12-24", "", "2026-01-01", None), ("3日前と半年前", "2026-03-24", "と半年前", "2026-03-21", None), ("99999999年前", "2026-03-24", "", "0001-01-01", None), ("年始", "2026-02-01", "", "2025-01-01", "2025-03-01"),
 ])
 def test_temporal(query, today, rest, after, before):
     text, span = U.temporal(query, date.fromisoformat(today))
@@ -136,6 +136,12 @@ def test_nearest_each_equals_nearest(spark):
     assert retrieval.nearest_each(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_nearest_each_passes_over_other_dimensions(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0]), (4, None), (5, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = retrieval.nearest_each(df, df, 5)
+    assert sorted((r.query_id, r.vec_id) for r in got.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (5, 5)]
+
+
 def test_nearest_each_with_many_copies_in_a_block(spark):
     import random
 
@@ -259,6 +265,9 @@ def test_edges_and_neighbours(spark):
     ce = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3), (3, None)], "chunk_id long, entity_id long")
     edge = entities.edges(ce, parts, spark.createDataFrame([(10, 7), (10, 8)], "doc_id long, entity_id long"))
     assert rows(edge) == [(1, 2, 10, 2), (2, 3, 11, 1), (7, 8, 10, 1)]
+    tagged = ce.unionByName(spark.createDataFrame([(c, t) for c in (1, 2) for t in (7, 8)], "chunk_id long, entity_id long"))
+    each = entities.edges(tagged, parts, spark.createDataFrame([(10, 7), (10, 8)], "doc_id long, entity_id long"))
+    assert rows(each) == [(1, 2, 10, 2), (1, 7, 10, 2), (1, 8, 10, 2), (2, 3, 11, 1), (2, 7, 10, 2), (2, 8, 10, 2), (7, 8, 10, 1)]
     assert rows(entities.neighbours(edge, [2])) == [(1, 2), (3, 1)]
     assert [tuple(r) for r in entities.entity_ranks(ce, edge, [3], 9).orderBy("rank").collect()] == [(3, 0), (1, 1), (2, 2)]
 
@@ -267,7 +276,7 @@ def test_links(spark):
     docs = spark.createDataFrame([(1, "a/x.md", "see [y](y.md) and [w](https://y.md)"), (2, "b/y.md", "[self](y.md) [up](../x.md)"), (3, "c/y.md", None), (4, "d/z.md", "[Y](B/Y.md)")], "doc_id long, file_path string, text string")
     assert rows(links.explicit_links(docs)) == [(1, 2, "explicit", 1.0), (2, 4, "explicit", 1.0)]
     tags = spark.createDataFrame([(1, "rust"), (1, "db"), (2, "rust"), (3, "go"), (4, "rust"), (4, "db")], "doc_id long, name string")
-    assert rows(links.tag_links(tags)) == [("db\nrust", "db\nrust", 2, 0.7), ("db\nrust", "rust", 1, pytest.approx(0.35))]
+    assert rows(links.tag_links(tags)) == [("db\nrust", "db\nrust", 2, 0.7, 2, 2), ("db\nrust", "rust", 1, pytest.approx(0.35), 2, 1)]
     parts = spark.createDataFrame([(i, i) for i in range(4)], "chunk_id long, document_id long")
     ce = spark.createDataFrame([(i, e) for i in range(4) for e in (0, 1)] + [(0, 2), (1, 2), (3, None)], "chunk_id long, entity_id long")
     got = {(r.doc_a, r.doc_b): r.strength for r in links.entity_links(ce, parts).collect()}
@@ -377,6 +386,19 @@ def test_ignore_rules(spark):
     assert {r.p: r.ok for r in df.select("p", policy.column(F.col("p")).alias("ok")).collect()} == paths
 
 
+def test_symbolic_links_are_skipped(spark, tmp_path):
+    root, outside = tmp_path / "tree", tmp_path / "outside"
+    for f in (root / "notes" / "deep" / "a.md", outside / "secret.md"):
+        f.parent.mkdir(parents=True)
+        f.write_text("x")
+    (root / "notes" / "file.md").symlink_to(outside / "secret.md")
+    (root / "notes" / "inner.md").symlink_to(root / "notes" / "deep" / "a.md")
+    (root / "notes" / "folder").symlink_to(outside)
+    (root / "linked").symlink_to(outside)
+    got = files.read_files(spark, str(root), ["notes", "linked"], files.IngestPolicy())
+    assert [r.file_path for r in got.collect()] == ["notes/deep/a.md"]
+
+
 def test_reading_a_tree(spark, tmp_path):
     for p, t in {"notes/a.md": "A", "notes/b.txt": "B", "notes/sub/c.md": "C", "skip/d.md": "D", "e.md": "E", ".gitignore": "skip/\n"}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)

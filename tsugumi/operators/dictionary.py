@@ -54,6 +54,17 @@ def ready(candidates: DataFrame, threshold: int = P.DICTIONARY_THRESHOLD) -> Dat
     return candidates.filter((F.col("status") == "pending") & (F.col("frequency") >= threshold))
 
 
+def listed(candidates: DataFrame, status: str, limit: int | None = None, threshold: int = P.DICTIONARY_THRESHOLD) -> DataFrame:
+    """The ready candidates (status ready) from the most frequent, or those of any other status by surface, ties by surface; the first ``limit`` if given."""
+    rows = ready(candidates, threshold).orderBy(F.desc("frequency"), "surface") if status == "ready" else candidates.filter(F.col("status") == status).orderBy("surface")
+    return rows.limit(limit) if limit is not None else rows
+
+
+def to_reject(candidates: DataFrame, words: DataFrame) -> DataFrame:
+    """The pending candidates, of any frequency, that a reject list (word, any case) names."""
+    return ready(candidates, 0).withColumn("_w", F.lower("surface")).join(words.select(F.lower("word").alias("_w")).distinct(), "_w", "left_semi").drop("_w")
+
+
 def moved(candidates: DataFrame, surfaces: DataFrame, status: str, only_pending: bool = False) -> DataFrame:
     """The candidates with those in ``surfaces`` (surface) set to ``status``."""
     marked = surfaces.select("surface").distinct().withColumn("_m", F.lit(True))

@@ -64,14 +64,19 @@ def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content")
 
 
 def edges(chunk_entities: DataFrame, chunks: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """entity_a < entity_b, doc_id, occurrences: pairs of a chunk count once per chunk, pairs of a document's tags (doc_id, entity_id) once per document.
+    """entity_a < entity_b, doc_id, occurrences: pairs of a chunk count once per chunk, pairs of a document's ``tags`` (doc_id, entity_id) once per document and not again in its chunks.
 
     Repeated rows count once and null entities not at all. A chunk with very many entities is paired in blocks.
     """
-    narrow, wide = gathered(chunk_entities.select(F.col("chunk_id").alias("basket"), F.col("entity_id").alias("item")))
+    rows = chunk_entities.filter("entity_id is not null").select(F.col("chunk_id").alias("basket"), F.col("entity_id").alias("item"))
     own = chunks.select(F.col("chunk_id").alias("basket"), F.col("document_id").alias("doc_id"))
+    if tags is not None:
+        of_document = tags.select("doc_id", F.col("entity_id").alias("item"), F.lit(True).alias("tag")).distinct()
+        rows = rows.join(own, "basket").join(of_document, ["doc_id", "item"], "left").select("basket", F.struct("item", F.coalesce("tag", F.lit(False)).alias("tag")).alias("item"))
+    narrow, wide = gathered(rows)
     pairs = narrow_pairs(narrow.filter(F.size("items") > 1).join(own, "basket"), "doc_id").unionByName(wide_pairs(wide).join(own, "basket").select("doc_id", "lo", "hi"))
     if tags is not None:
+        pairs = pairs.filter(~(F.col("lo.tag") & F.col("hi.tag"))).select("doc_id", F.col("lo.item").alias("lo"), F.col("hi.item").alias("hi"))
         few, many = gathered(tags.select(F.col("doc_id").alias("basket"), F.col("entity_id").alias("item")))
         pairs = pairs.unionByName(narrow_pairs(few, "basket").withColumnRenamed("basket", "doc_id")).unionByName(wide_pairs(many).withColumnRenamed("basket", "doc_id"))
     return pairs.groupBy(F.col("lo").alias("entity_a"), F.col("hi").alias("entity_b"), "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))

@@ -104,14 +104,15 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     """query_id, key, distance, rank of the k nearest vectors of every query, exactly.
 
     Vectors and queries are gathered into blocks of bounded size; every query block meets every vector
-    block once, as one matrix product, and leaves k rows per query. Null vectors are passed over.
+    block once, as one matrix product, and leaves k rows per query. Null vectors are passed over, and so are, for each query, vectors of
+    another dimension.
     """
     def blocks(df: DataFrame, size: int, ids: str, values: str) -> DataFrame:
         df = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
         n = max(1, -(-df.count() // size))
-        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n))).agg(F.collect_list(F.struct("id", "v")).alias("x")).select(F.col("x.id").alias(ids), F.col("x.v").alias(values))
+        return df.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n))).agg(F.collect_list(F.struct("id", "v")).alias("x")).select("dim", F.col("x.id").alias(ids), F.col("x.v").alias(values))
 
-    pairs = blocks(queries, query_block, "qid", "qv").crossJoin(blocks(vectors, block, "vid", "vv"))  # of blocks, not of rows
+    pairs = blocks(queries, query_block, "qid", "qv").join(blocks(vectors, block, "vid", "vv"), "dim").drop("dim")  # of blocks, not of rows
     near = pairs.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_block_top(k), "query_id long, key long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "key")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("key", key)

@@ -9,6 +9,7 @@ from tsugumi import params as P
 from tsugumi.functions.analysis import keywords
 from tsugumi.functions.text import utrim
 from tsugumi.operators.retrieval import parsed_date
+from tsugumi.plans.pairs import gathered, narrow_pairs, wide_pairs
 
 COLUMNS = ["word_a", "word_b", "score", "source", "hits", "last_hit", "created"]
 SCHEMA = "word_a string, word_b string, score double, source string, hits long, last_hit string, created string"
@@ -71,10 +72,11 @@ def learned_pairs(messages: DataFrame, text: str, created: str, most: int = P.NO
 
 
 def synset_pairs(words: DataFrame, senses: DataFrame, lang: str = "jpn") -> DataFrame:
-    """word_a < word_b of lemmas of two characters or more that share a synset, once each. words (wordid, lemma, lang), senses (synset, wordid)."""
-    own = senses.join(words.filter((F.col("lang") == lang) & (F.char_length("lemma") >= 2)), "wordid").select("synset", "wordid", "lemma").distinct()
-    pairs = own.alias("x").join(own.alias("y"), "synset").filter("x.wordid < y.wordid AND x.lemma <> y.lemma")
-    return pairs.select(F.least("x.lemma", "y.lemma").alias("word_a"), F.greatest("x.lemma", "y.lemma").alias("word_b")).distinct()
+    """word_a < word_b of lemmas of two characters or more that share a synset, once each. words (wordid, lemma, lang), senses (synset, wordid). A wide synset is paired in blocks."""
+    own = senses.join(words.filter((F.col("lang") == lang) & (F.char_length("lemma") >= 2)), "wordid")
+    narrow, wide = gathered(own.select(F.col("synset").alias("basket"), F.col("lemma").alias("item")))
+    pairs = narrow_pairs(narrow.select("items").distinct()).unionByName(wide_pairs(wide).select("lo", "hi"))
+    return pairs.select(F.col("lo").alias("word_a"), F.col("hi").alias("word_b")).distinct()
 
 
 def parsed_pairs(lines: DataFrame) -> DataFrame:

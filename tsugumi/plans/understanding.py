@@ -23,10 +23,15 @@ def _month(day: date, offset: int) -> date:
     return date(n // 12, n % 12 + 1, 1)
 
 
+def _before(today: date, days: int) -> date:
+    return today - timedelta(days) if days < today.toordinal() else date.min
+
+
 def _span(a: date, b: date | None = None) -> TimeFilter:
     return TimeFilter(a.isoformat(), b.isoformat() if b else None)
 
 
+# Time words and their spans; 今月 and 今年 have no end.
 def _named(today: date) -> dict[str, TimeFilter]:
     year, season = today.year, today.year - (today.month <= 2)
     turn = today.year - 1 if today.month <= 2 else today.year
@@ -38,8 +43,8 @@ def _named(today: date) -> dict[str, TimeFilter]:
         "先月": _span(_month(today, -1), _month(today, 0)),
         "去年": _span(date(year - 1, 1, 1), date(year, 1, 1)),
         "昨年": _span(date(year - 1, 1, 1), date(year, 1, 1)),
-        "今月": _span(_month(today, 0), _month(today, 1)),
-        "今年": _span(date(year, 1, 1), date(year + 1, 1, 1)),
+        "今月": _span(_month(today, 0)),
+        "今年": _span(date(year, 1, 1)),
         "最近": _span(today - timedelta(P.RECENT_DAYS)),
         "先週": _span(today - timedelta(7)),
         "年末": _span(date(season, 11, 1), date(season + 1, 1, 1)),
@@ -48,21 +53,23 @@ def _named(today: date) -> dict[str, TimeFilter]:
     }
 
 
-_AGO = re.compile(r"(\d+)(年|週間?|日|ヶ月|か月)前")
-_MONTH = re.compile(r"(?<!\d)(\d{1,2})月[のに]?")
+_TWO_WORDS = ("半年前", "少し前")
+_AGO = re.compile(r"([0-9]+)(年|週間?|日|ヶ月|か月)前")
+_MONTH = re.compile(r"(?<![0-9])([0-9]{1,2})月[のに]?")
 _DAYS = {"年": 365, "週間": 7, "週": 7, "日": 1, "ヶ月": 30, "か月": 30}
 
 
 def temporal(query: str, today: date) -> tuple[str, TimeFilter | None]:
-    """The query without the first time expression, and its range. Longer expressions go before shorter ones: N units ago, named times, then a month."""
+    """The query without the first time expression, and its range. Expressions of two words go before those of one, and these before a month; of each kind the leftmost counts, of those that start together the longest."""
     found: tuple[int, int, TimeFilter] | None = None
-    if m := _AGO.search(query):
-        found = (m.start(), m.end(), _span(today - timedelta(int(m[1]) * _DAYS[m[2]])))
-    if not found:
-        hits = [(query.find(w), -len(w), w, f) for w, f in _named(today).items() if w in query]
-        if hits:
-            at, _, word, span = min(hits)
-            found = (at, at + len(word), span)
+    named = _named(today)
+
+    def first(words, *more: tuple[int, int, TimeFilter]) -> tuple[int, int, TimeFilter] | None:
+        hits = [*more, *((query.find(w), query.find(w) + len(w), named[w]) for w in words if w in query)]
+        return min(hits, key=lambda h: (h[0], -h[1]), default=None)
+
+    ago = [(m.start(), m.end(), _span(_before(today, int(m[1]) * _DAYS[m[2]]))) for m in [_AGO.search(query)] if m]
+    found = first(_TWO_WORDS, *ago) or first([w for w in named if w not in _TWO_WORDS])
     if not found and (m := _MONTH.search(query)) and 1 <= int(m[1]) <= 12:
         n = int(m[1])
         first = date(today.year - (n > today.month), n, 1)

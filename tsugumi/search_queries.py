@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsugumi import params as P
@@ -345,6 +345,21 @@ def entity_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)
 
 
+@query("""WITH tg AS (SELECT DISTINCT doc_id, entity_id FROM (SELECT doc_id, lower(trim(unnest(tags))) AS name FROM documents) JOIN (SELECT name, min(entity_id) AS entity_id FROM entities WHERE entity_type = 'tag' GROUP BY 1) USING (name)),
+ce AS (SELECT chunk_id, document_id AS doc_id, entity_id FROM chunk_entities JOIN chunks USING (chunk_id) WHERE entity_id IS NOT NULL UNION SELECT chunk_id, doc_id, entity_id FROM chunks JOIN tg ON doc_id = document_id),
+m AS (SELECT ce.*, tg.doc_id IS NOT NULL AS tag FROM ce LEFT JOIN tg USING (doc_id, entity_id)),
+p AS (SELECT a.entity_id AS entity_a, b.entity_id AS entity_b, a.doc_id FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id WHERE NOT (a.tag AND b.tag)
+UNION ALL SELECT a.entity_id, b.entity_id, a.doc_id FROM tg a JOIN tg b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id)
+SELECT entity_a, entity_b, doc_id, count(*) AS occurrences FROM p GROUP BY 1, 2, 3""")
+def edges_with_tags(spark: SparkSession, d: str) -> DataFrame:
+    """As an index has them: the tags of a document stand on each of its chunks, but pairs of tags count once."""
+    known = table(spark, d, "entities").filter("entity_type = 'tag'").groupBy("name").agg(F.min("entity_id").alias("entity_id"))
+    tags = table(spark, d, "documents").select("doc_id", F.explode("tags").alias("tag")).select("doc_id", F.lower(F.trim("tag")).alias("name")).join(known, "name").select("doc_id", "entity_id").distinct()
+    chunks = table(spark, d, "chunks")
+    tagged = chunks.select("chunk_id", F.col("document_id").alias("doc_id")).join(tags, "doc_id").select("chunk_id", "entity_id")
+    return entities.edges(table(spark, d, "chunk_entities").select("chunk_id", "entity_id").unionByName(tagged), chunks, tags)
+
+
 @query("WITH " + _EDGES + "," + _NEAR + "SELECT related_id, strength FROM near")
 def entity_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return entities.neighbours(_edges(spark, d), IDS)
@@ -466,13 +481,14 @@ def synonym_upsert(spark: SparkSession, d: str) -> DataFrame:
     return synonyms.upserted(old, more).select("word_a", "word_b", F.round("score", 8).alias("score"), "source")
 
 
-@query(f"""WITH x AS (SELECT list_filter(list_transform({_keywords('message.content')}, lambda x: lower(x)), lambda x: length(x) >= 2) AS l FROM session_messages WHERE lower(trim(message.role)) = 'user'),
+@query(f"""WITH c AS (SELECT CASE WHEN starts_with(trim(content), '[') AND json_valid(content) AND json_type(content) = 'ARRAY' THEN {_ARRAY_TEXT} ELSE content END AS text FROM (SELECT message.content AS content FROM session_messages WHERE lower(trim(message.role)) = 'user')),
+x AS (SELECT list_filter(list_transform({_keywords('text')}, lambda x: lower(x)), lambda x: length(x) >= 2) AS l FROM c),
 n AS (SELECT list_filter(l, lambda x, i: list_position(l, x) = i)[1:30] AS l FROM x),
 e AS (SELECT row_number() OVER () AS m, l FROM n), u AS (SELECT m, unnest(l) AS w FROM e)
 SELECT a.w AS word_a, b.w AS word_b, count(*) AS texts FROM u a JOIN u b ON a.m = b.m AND a.w < b.w GROUP BY 1, 2""")
 def learned_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "session_messages").filter(F.lower(F.trim("message.role")) == "user").select(F.col("message.content").alias("text"))
-    return synonyms.learned_pairs(rows, "text", AS_OF).select("word_a", "word_b", "texts")
+    rows = table(spark, d, "session_messages").filter(F.lower(F.trim("message.role")) == "user").select(F.col("message.content").alias("content"))
+    return synonyms.learned_pairs(sessions.message_text(rows), "text", AS_OF).select("word_a", "word_b", "texts")
 
 
 @query("""WITH s AS (SELECT DISTINCT chunk_id, entity_id, name FROM chunk_entities JOIN entities USING (entity_id) WHERE length(name) >= 2)
@@ -531,6 +547,20 @@ def candidates_ready(spark: SparkSession, d: str) -> DataFrame:
     return dictionary.ready(_candidates(spark, d)).select("surface", "frequency")
 
 
+@query("WITH " + _CAND + "SELECT surface, frequency, row_number() OVER (ORDER BY frequency DESC, surface) AS place FROM cand WHERE status = 'pending' AND frequency >= 5 QUALIFY place <= 100 UNION ALL SELECT surface, frequency, row_number() OVER (ORDER BY surface) FROM cand WHERE status = 'rejected' QUALIFY row_number() OVER (ORDER BY surface) <= 100")
+def candidate_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred ready candidates by frequency and of the rejected ones by surface, as a person reviews them."""
+    own = _candidates(spark, d)
+    placed = lambda rows, *order: rows.select("surface", "frequency", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return placed(dictionary.listed(own, "ready", 100), F.desc("frequency"), "surface").unionByName(placed(dictionary.listed(own, "rejected", 100), "surface"))
+
+
+@query("WITH " + _CAND + ", w AS (SELECT DISTINCT lower(name) AS name FROM entities) SELECT surface, frequency FROM cand WHERE status = 'pending' AND frequency >= 0 AND lower(surface) IN (SELECT name FROM w)")
+def candidates_to_reject(spark: SparkSession, d: str) -> DataFrame:
+    """Entity names in the place of a reject list."""
+    return dictionary.to_reject(_candidates(spark, d), table(spark, d, "entities").select(F.upper("name").alias("word"))).select("surface", "frequency")
+
+
 @query("WITH " + _CAND + "SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'pending' AND frequency >= 5) AS ready, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected FROM cand")
 def candidate_summary(spark: SparkSession, d: str) -> DataFrame:
     return dictionary.summary(_candidates(spark, d))

@@ -10,6 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsugumi.plans.bounds import broadcast_if_small
+
+#: Rows of one table of a WordNet file, which the driver reads.
+MAX_WORDNET = 5_000_000
 FORCED = (".git", ".tsugumi")
 
 
@@ -105,14 +109,32 @@ def roots(root: str, configured: Iterable[str] | None = None, policy: IngestPoli
     return [n for n in names if os.path.isdir(os.path.join(root, n)) and not (policy or IngestPolicy()).ignored(n)]
 
 
+def _real(base: str, directories: Iterable[str]) -> tuple[list[str], list[str]]:
+    """(directories below ``directories`` that no symbolic link leads to, files in them that are symbolic links), as Spark's listing follows links. Only names are held."""
+    folders, links = [], []
+    for d in directories:
+        for at, below, names in os.walk(os.path.join(base, d)):
+            if os.path.islink(at):
+                continue
+            below[:] = sorted(n for n in below if not os.path.islink(os.path.join(at, n)))
+            folders.append(at)
+            links += [os.path.join(at, n) for n in names if os.path.islink(os.path.join(at, n))]
+    return folders, links
+
+
 def read_files(spark: SparkSession, root: str, directories: list[str], policy: IngestPolicy) -> DataFrame:
-    """file_path (relative), text, file_hash (SHA-256 of the bytes) of the accepted files; symbolic links are not followed by the listing's policy."""
-    if not directories:
-        return spark.createDataFrame([], "file_path string, text string, file_hash string")
+    """file_path (relative), text, file_hash (SHA-256 of the bytes) of the accepted files; symbolic links to files and directories are not followed."""
     base = os.path.abspath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{base}/{d}" for d in directories])
+    folders, links = _real(base, directories)
+    if not folders:
+        return spark.createDataFrame([], "file_path string, text string, file_hash string")
+    files = spark.read.format("binaryFile").load(folders)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", "")
-    return files.withColumn("file_path", path).filter(policy.column(F.col("file_path"))).select("file_path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("file_hash"))
+    kept = files.withColumn("file_path", path).filter(policy.column(F.col("file_path")))
+    if links:
+        linked = spark.createDataFrame([(os.path.relpath(p, base),) for p in links], "file_path string")
+        kept = kept.join(broadcast_if_small(linked), "file_path", "left_anti")
+    return kept.select("file_path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("file_hash"))
 
 
 def listed_paths(spark: SparkSession, lines: Iterable[str]) -> DataFrame:
@@ -151,6 +173,9 @@ def wordnet_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     try:
+        rows = [con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("word", "sense")]
+        if max(rows) > MAX_WORDNET:
+            raise ValueError(f"{path}: more than {MAX_WORDNET} rows")
         words = con.execute("SELECT wordid, lemma, lang FROM word").fetchall()
         senses = con.execute("SELECT synset, wordid FROM sense").fetchall()
     finally:
