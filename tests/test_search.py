@@ -273,8 +273,8 @@ def test_edges_and_neighbours(spark):
 
 
 def test_links(spark):
-    docs = spark.createDataFrame([(1, "a/x.md", "see [y](y.md) and [w](https://y.md)"), (2, "b/y.md", "[self](y.md) [up](../x.md)"), (3, "c/y.md", None), (4, "d/z.md", "[Y](B/Y.md)")], "doc_id long, file_path string, text string")
-    assert rows(links.explicit_links(docs)) == [(1, 2, "explicit", 1.0), (2, 4, "explicit", 1.0)]
+    docs = spark.createDataFrame([(1, "a/x.md", "see [y](y.md) and [w](https://y.md)"), (2, "b/y.md", "[self](y.md) [up](../x.md)"), (3, "c/y.md", None), (4, "d/z.md", "[Y](B/Y.md)"), (5, "e/long.md", "[n](ong.md) [s](z.md)"), (6, "e/f/long.md", "")], "doc_id long, file_path string, text string")
+    assert rows(links.explicit_links(docs)) == [(1, 2, "explicit", 1.0), (2, 4, "explicit", 1.0), (4, 5, "explicit", 1.0)]
     tags = spark.createDataFrame([(1, "rust"), (1, "db"), (2, "rust"), (3, "go"), (4, "rust"), (4, "db")], "doc_id long, name string")
     assert rows(links.tag_links(tags)) == [("db\nrust", "db\nrust", 2, 0.7, 2, 2), ("db\nrust", "rust", 1, pytest.approx(0.35), 2, 1)]
     parts = spark.createDataFrame([(i, i) for i in range(4)], "chunk_id long, document_id long")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsugumi import params as P
@@ -17,25 +17,39 @@ BLOCK_SETS, SLAB = 512, 32
 
 LINKS = "doc_a long, doc_b long, link_type string, strength double"
 TAG_LINKS = "set_a string, set_b string, shared int, strength double, documents_a long, documents_b long"
+TARGETS = "doc_id long, suffix string"
 TAG_CLASSES = "doc_id long, tag_set string"
 
 
-def explicit_links(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Links ``[text](target)`` to the document whose path ends in the target (the lowest doc_id of several, ASCII case ignored), strength 1. Web addresses and links to itself are none.
+def _low(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    Every path suffix that starts at a directory is a key, so the join is on equality; a target that
-    begins inside a name matches by its remaining directories only where it is a whole suffix.
-    """
-    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+def link_targets(documents: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, suffix (ASCII lower case) of every link ``[text](target)`` that is no web address, once a document."""
     targets = documents.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("target"))
-    targets = targets.filter(~F.col("target").rlike("^https?://")).select("doc_id", low(F.col("target")).alias("suffix")).distinct()
-    parts = F.split(low(F.col("file_path")), "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    keys = documents.filter("file_path is not null").select(F.col("doc_id").alias("other"), F.explode(suffixes).alias("suffix")).groupBy("suffix").agg(F.min("other").alias("other"))
-    found = targets.join(keys, "suffix").filter("doc_id <> other")
+    return targets.filter(~F.col("target").rlike("^https?://")).select("doc_id", _low(F.col("target")).alias("suffix")).distinct()
+
+
+def resolved_links(targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links of ``targets`` (see ``link_targets``) to the document whose path ends in the target (the lowest doc_id of several), strength 1. Links to itself are none.
+
+    Path ends of the lengths that targets have are keys, so the join is on equality; only those that are targets are kept. The lengths, at most as many as a path has characters, are read first.
+    """
+    wanted = targets.select("suffix").distinct()
+    lengths = sorted(r.n for r in wanted.select(F.char_length("suffix").alias("n")).distinct().collect())
+    path = _low(F.col("file_path"))
+    ends = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length(path)), lambda n: F.substring(path, F.char_length(path) - n + 1, n))
+    keys = documents.filter("file_path is not null").select(F.col("doc_id").alias("other"), F.explode(ends).alias("suffix")).join(broadcast_if_small(wanted), "suffix", "left_semi")
+    found = targets.join(keys.groupBy("suffix").agg(F.min("other").alias("other")), "suffix").filter("doc_id <> other")
     return found.select(F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b"), F.lit("explicit").alias("link_type"), F.lit(1.0).alias("strength")).distinct()
 
 
+def explicit_links(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``resolved_links`` of the ``link_targets`` of all documents."""
+    return resolved_links(link_targets(documents, text), documents)
+
+
 def _meet(best: int | None, least: int, block: int):
     """Rows of (own, id, items, at), a block of sets that hold one item and others that hold it too, to own, other, shared of those that first meet on it.
 
@@ -172,6 +186,16 @@ def entity_links(chunk_entities: DataFrame, chunks: DataFrame, per_document: int
     return ends.select(F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b"), F.lit("entity").alias("link_type"), strength.alias("strength")).filter(F.col("strength") > P.ENTITY_LINK_FLOOR).distinct()
 
 
+def entity_links_of(own: DataFrame, chunk_entities: DataFrame, chunks: DataFrame, per_document: int = P.ENTITY_LINKS_PER_DOCUMENT) -> DataFrame:
+    """The entity links that the documents of ``own`` (doc_id) keep, against all: their entities are looked up, so the work grows with their number. Ties by id."""
+    items = chunk_entities.filter("entity_id is not null").join(chunks.select("chunk_id", F.col("document_id").alias("doc_id")), "chunk_id").select("doc_id", "entity_id").distinct()
+    mine = broadcast_if_small(items.join(own.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("own"), "entity_id"), 200_000)
+    shared = items.join(mine, "entity_id").filter("doc_id <> own").groupBy("own", F.col("doc_id").alias("other")).agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
+    kept = shared.withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("shared"), "other"))).filter(F.col("r") <= per_document)
+    strength = F.least(F.log(F.col("shared")) / 10, F.lit(P.ENTITY_LINK_CAP))
+    return kept.select(F.least("own", "other").alias("doc_a"), F.greatest("own", "other").alias("doc_b"), F.lit("entity").alias("link_type"), strength.alias("strength")).filter(F.col("strength") > P.ENTITY_LINK_FLOOR).distinct()
+
+
 def upserted(links: DataFrame, more: DataFrame) -> DataFrame:
     """One row per pair and type with the higher strength."""
     return links.unionByName(more).groupBy("doc_a", "doc_b", "link_type").agg(F.max("strength").alias("strength"))

@@ -385,11 +385,20 @@ def entity_by_name(spark: SparkSession, d: str) -> DataFrame:
 # ---- links ---------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT DISTINCT doc_id, lower(target) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM documents) WHERE NOT regexp_matches(target, '^https?://')),
-m AS (SELECT t.doc_id, s, min(d.doc_id) AS other FROM t JOIN documents d ON lower(d.file_path) = s OR ends_with(lower(d.file_path), '/' || s) GROUP BY 1, 2)
+@query("""WITH x AS (SELECT a.doc_id, a.file_path, coalesce(a.text, '') || CASE WHEN b.doc_id IS NULL THEN '' WHEN a.doc_id % 3 = 0 THEN ' see [next](' || b.file_path || ')' WHEN a.doc_id % 3 = 1 THEN ' see [next](' || upper(string_split(b.file_path, '/')[-1]) || ')' ELSE ' see [next](' || right(b.file_path, 14) || ') and [self](' || a.file_path || ')' END AS text
+FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1),
+t AS (SELECT DISTINCT doc_id, lower(target) AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM x) WHERE NOT regexp_matches(target, '^https?://')),
+m AS (SELECT t.doc_id, s, min(d.doc_id) AS other FROM t JOIN documents d ON ends_with(lower(d.file_path), s) GROUP BY 1, 2)
 SELECT DISTINCT least(doc_id, other) AS doc_a, greatest(doc_id, other) AS doc_b, 'explicit' AS link_type, 1.0::DOUBLE AS strength FROM m WHERE doc_id <> other""")
 def explicit_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.explicit_links(table(spark, d, "documents"))
+    """Every document has a link to the one with the next number added to its text: by the whole path, by the name in capitals, or by the last signs of the path."""
+    own = table(spark, d, "documents")
+    after = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("file_path").alias("to"))
+    name, rest = F.upper(F.element_at(F.split("to", "/"), -1)), F.col("doc_id") % 3
+    link = lambda c: F.concat(F.lit(" see [next]("), c, F.lit(")"))
+    added = F.when(rest == 0, link(F.col("to"))).when(rest == 1, link(name)).otherwise(F.concat(link(F.right("to", F.lit(14))), F.lit(" and [self]("), "file_path", F.lit(")")))
+    linked = own.join(after, "doc_id", "left").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("to").isNull(), "").otherwise(added)))
+    return links.explicit_links(linked)
 
 
 @query("""WITH t AS (SELECT DISTINCT doc_id, lower(trim(tag)) AS name FROM (SELECT doc_id, unnest(tags) AS tag FROM documents) WHERE length(trim(tag)) >= 2),
@@ -423,6 +432,13 @@ def entity_links(spark: SparkSession, d: str) -> DataFrame:
     return _entity_links(spark, d).withColumn("strength", F.round("strength", 8))
 
 
+@query("WITH " + _ENTITY_LINKS.replace("WHERE r <= 20", "WHERE own % 50 = 0 AND r <= 20") + "SELECT doc_a, doc_b, link_type, round(strength, 8) AS strength FROM el")
+def entity_links_of_some(spark: SparkSession, d: str) -> DataFrame:
+    """What an index does after a change: the links of the documents that were touched, here those whose number is divisible by 50, against all."""
+    some = table(spark, d, "documents").filter("doc_id % 50 = 0").select("doc_id")
+    return links.entity_links_of(some, table(spark, d, "chunk_entities"), table(spark, d, "chunks")).withColumn("strength", F.round("strength", 8))
+
+
 @query("WITH " + _ENTITY_LINKS + """, q AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3), n AS (SELECT CASE WHEN doc_a IN (SELECT doc_id FROM q) THEN doc_b ELSE doc_a END AS doc_id, link_type, strength FROM el
 WHERE doc_a IN (SELECT doc_id FROM q) OR doc_b IN (SELECT doc_id FROM q))
 SELECT file_path, link_type, round(max(strength), 8) AS strength FROM n JOIN documents USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM q) GROUP BY 1, 2 ORDER BY max(strength) DESC, 1, 2 LIMIT 5""")
