@@ -62,6 +62,69 @@ def test_documents_that_share_one_tag_are_related(spark, tmp_path):
     assert [(r.file_path, r.link_type, round(r.strength, 3)) for r in first.related_docs] == [("notes/kiln.md", "tag", 0.35)]
 
 
+def test_a_change_touches_only_its_rows(spark, tmp_path, monkeypatch):
+    """After changes of single documents the index is what indexing everything at once gives."""
+    root = tmp_path / "tree"
+    names = [f"notes/n{i}.md" for i in range(6)]
+    for i, n in enumerate(names):
+        write(root, n, f"---\ntags: [common, t{i % 2}]\n---\n# Note {i}\n\nThe loom and kiln number {i}, see [next](n{(i + 1) % 6}.md).\n")
+    (tmp_path / "terms.toml").write_text('[[terms]]\nname = "loom"\n[[terms]]\nname = "kiln"\n')
+    monkeypatch.setattr("tsugumi.engine.MAX_SEGMENTS", 2)
+    make = lambda state: Engine(spark, C.Settings(root=str(root), state=str(tmp_path / state), dimension=8, top_k=3))
+    one = make("one")
+    one.set_terms(str(tmp_path / "terms.toml"))
+    one.index(DAY)
+    edges = lambda e: {(r.entity_a, r.entity_b, r.doc_id): r.occurrences for r in e.store.table("edges").collect()}
+    before = {r.chunk_id for r in one.store.table("postings").select("chunk_id").distinct().collect()}
+    write(root, names[0], "---\ntags: [common]\n---\n# Changed\n\nOnly the loom is left, and a shuttlecock.\n")
+    one.index(DAY, [names[0]])
+    added = spark.read.parquet(f"{one.settings.state}/{one.store.segments('postings')[-1]}")
+    assert len(one.store.segments("postings")) == 2 and {r.chunk_id for r in added.select("chunk_id").distinct().collect()} <= before and added.select("chunk_id").distinct().count() == 1
+    (root / names[5]).unlink()
+    write(root, "notes/n7.md", "# Seven\n\nloom kiln [back](n1.md)\n")
+    one.index(DAY)
+    two = make("two")
+    two.set_terms(str(tmp_path / "terms.toml"))
+    two.index(DAY)
+    rows = lambda e, name, *c: sorted(tuple(r) for r in e.store.table(name).select(*c).collect())
+    assert edges(one) == edges(two) and rows(one, "links", "doc_a", "doc_b", "link_type") == rows(two, "links", "doc_a", "doc_b", "link_type")
+    for name in ("chunk_entities", "tag_classes", "tag_links", "targets", "lengths", "index_stats"):
+        columns = one.store.table(name).columns
+        assert rows(one, name, *columns) == rows(two, name, *columns), name
+    found = lambda e, q: [(r.chunk_id, round(r.score, 9)) for r in e.search(q, DAY).orderBy("rank").collect()]
+    monkeypatch.setattr(one, "encoder", lambda texts: [None for _ in texts])
+    monkeypatch.setattr(two, "encoder", lambda texts: [None for _ in texts])
+    one.settings = two.settings = C.Settings(root=str(root), fallback="fts_only", top_k=3)
+    assert found(one, "shuttlecock") == found(two, "shuttlecock") != [] and found(one, "number kiln") == found(two, "number kiln") != []
+    common = {(r.entity_a, r.entity_b): r.occurrences for r in one.store.table("edges").collect()}
+    assert set(common.values()) == {1}  # a pair of tags once a document
+
+
+def test_what_is_encoded_and_collected(spark, tmp_path):
+    root = tmp_path / "tree"
+    write(root, "notes/a.md", "# A\n\nThe loom.\n")
+    asked = []
+    engine = Engine(spark, C.Settings(root=str(root), state=str(tmp_path / "state"), dimension=4))
+    engine.index(DAY)
+    engine.fill_vectors()
+    engine.encoder = lambda texts: asked.append(texts) or [[1.0, 0.0, 0.0, 0.0]]
+    engine.search("最近の loom について", DAY)
+    assert asked == [["loom"]]  # the words that are searched for, not the request as written
+
+    def broken(texts):
+        raise OSError("no model")
+
+    engine.encoder = broken
+    with pytest.raises(OSError):
+        engine.search("loom", DAY)
+    warned = engine.reload(C.Settings(root="elsewhere", state=engine.settings.state, dimension=4, top_k=9))
+    assert len(warned) == 1 and engine.settings.top_k == 9 and engine.settings.root == str(root)
+    lines = spark.createDataFrame([("s1", 1, '{"message":{"role":"user","content":"where is the ShuttleBox"}}'), ("s1", 2, '{"message":{"role":"assistant","content":"beside the WarpFrame"}}')], "session string, line_no int, value string")
+    engine.ingest(lines, DAY)
+    known = {r.surface for r in engine.store.table("candidates").collect()}
+    assert "ShuttleBox" in known and "WarpFrame" not in known
+
+
 def test_settings(tmp_path):
     a, b = tmp_path / "a.toml", tmp_path / "b.toml"
     a.write_text('top_k = 9\ndirectories = [{path = "n", weight = -3}, {path = "n/deep", weight = 2.0, half_life_days = 10}, {path = "/abs"}, {path = ""}]\n')

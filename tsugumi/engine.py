@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsugumi.operators import chunking, dictionary, entities, links, maintenance, sessions, synonyms
+from tsugumi.operators import chunking, dictionary, entities, fulltext, links, maintenance, sessions, synonyms
+from tsugumi.functions.analysis import index_terms
 from tsugumi.plans import search as S
+from tsugumi.plans.bounds import checkpointed
+from tsugumi import settings as C
 from tsugumi.settings import Settings
 from tsugumi.sources import files
 from tsugumi.store import Store
@@ -24,6 +29,10 @@ SCHEMAS = {
     "chunk_entities": "chunk_id long, entity_id long",
     "edges": "entity_a long, entity_b long, doc_id long, occurrences long",
     "links": links.LINKS,
+    "targets": links.TARGETS,
+    "postings": f"{fulltext.POSTINGS}, bucket int",
+    "lengths": "chunk_id long, state long, dl int",
+    "index_stats": "n long, total long",
     "tag_links": links.TAG_LINKS,
     "tag_classes": links.TAG_CLASSES,
     "synonyms": synonyms.SCHEMA,
@@ -31,11 +40,15 @@ SCHEMAS = {
 }
 
 
+#: Documents that one change may touch before the graph is made anew as a whole, and segments of postings before they are merged.
+MAX_TOUCHED, MAX_SEGMENTS = 10_000, 8
+
+
 class Engine:
     def __init__(self, spark: SparkSession, settings: Settings, encoder: Callable[[list[str]], list[list[float]]] | None = None):
         self.spark, self.settings = spark, settings
         self.encoder = encoder or maintenance.hashed_embedding(settings.dimension)
-        self.store = Store(spark, settings.state, SCHEMAS)
+        self.store = Store(spark, settings.state, SCHEMAS, {"postings": "bucket"})
 
     # -- writing
 
@@ -59,7 +72,7 @@ class Engine:
         made = chunking.note_chunks(changed, s.chunk_bytes)
         made = made.select(F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "section_path", "content", "content_hash")
         touched = actions.filter("op in ('insert', 'update', 'delete')").select(F.xxhash64("file_path").alias("doc_id"))
-        self._publish(touched, new, made, as_of, "document")
+        self._publish(touched, new, made, as_of, "document", lambda fresh: fresh.select("content"))
         return counts
 
     def ingest(self, lines: DataFrame, as_of: str) -> int:
@@ -70,12 +83,17 @@ class Engine:
         new = docs.select("doc_id", "file_path", F.lit("session").alias("source_type"), F.regexp_replace("file_path", "^session:", "").alias("title"), "status", "created", "updated", F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("string").alias("text"))
         doc = F.xxhash64(F.concat(F.lit("session:"), "session"))
         made = parts.select(F.xxhash64(doc, F.col("chunk_index").cast("int")).alias("chunk_id"), doc.alias("document_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.lit("session").alias("section_path"), "content", F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"))
-        learned = synonyms.learned_pairs(messages.filter("role = 'user'"), "text", as_of).select(*synonyms.COLUMNS)
-        self._publish(new.select("doc_id"), new, made, as_of, "session", synonyms.upserted(self.store.table("synonyms"), learned))
+        asked = messages.filter("role = 'user'")
+        learned = synonyms.learned_pairs(asked, "text", as_of).select(*synonyms.COLUMNS)
+        said = lambda fresh: asked.withColumn("document_id", doc).join(fresh.select("document_id").distinct(), "document_id", "left_semi").select(F.col("text").alias("content"))
+        self._publish(new.select("doc_id"), new, made, as_of, "session", said, synonyms.upserted(self.store.table("synonyms"), learned))
         return new.count()
 
-    def _publish(self, touched: DataFrame, new: DataFrame, made: DataFrame, as_of: str, source: str, learned: DataFrame | None = None) -> None:
+    def _publish(self, touched: DataFrame, new: DataFrame, made: DataFrame, as_of: str, source: str, words: Callable[[DataFrame], DataFrame], learned: DataFrame | None = None) -> None:
+        """Documents and chunks with the changes; of what hangs on a chunk (vectors, postings, candidates) only new and changed chunks are made anew. ``words`` gives the texts (content) that candidates come from, of those chunks."""
         t = self.store.table
+        touched = checkpointed(touched.distinct())  # the listing and the hashes behind it must not be read again when the tables have moved on
+        new, made = checkpointed(new), checkpointed(made)
         gone = touched.select(F.col("doc_id").alias("document_id"))
         documents = maintenance.without(t("documents"), touched, "doc_id").unionByName(new)
         old = t("chunks")
@@ -84,29 +102,54 @@ class Engine:
         vectors = t("vectors").join(same, "chunk_id", "left_semi")
         skipped = t("skipped").join(same, "chunk_id", "left_semi")
         fresh = made.join(same, "chunk_id", "left_anti")
-        candidates = dictionary.upserted(t("candidates"), dictionary.collected(fresh, "content"), source, as_of)
+        candidates = dictionary.upserted(t("candidates"), dictionary.collected(words(fresh), "content"), source, as_of)
         tables = {"documents": documents, "chunks": chunks, "vectors": vectors, "skipped": skipped, "candidates": candidates}
         if learned is not None:
             tables["synonyms"] = learned
-        self.store.commit(tables)
-        self.derive()
+        state = F.xxhash64("content_hash")
+        lengths = t("lengths").join(chunks.select("chunk_id", state.alias("state")), ["chunk_id", "state"], "left_semi")
+        lengths = checkpointed(lengths.unionByName(fresh.select("chunk_id", state.alias("state"), F.size(index_terms(F.col("content"))).alias("dl"))))
+        tables |= {"lengths": lengths, "index_stats": lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))}
+        added = fulltext.bucketed(fulltext.inverted(fresh, state=state), made.count())
+        if len(self.store.segments("postings")) < MAX_SEGMENTS:
+            self.store.commit(tables, {"postings": added})
+        else:  # one segment again, without the postings of texts that are gone
+            kept = t("postings").drop("bucket").unionByName(added.drop("bucket")).join(lengths.select("chunk_id", "state"), ["chunk_id", "state"], "left_semi")
+            self.store.commit(tables | {"postings": fulltext.bucketed(kept, lengths.count())})
+        self.derive(touched)
 
-    def derive(self) -> None:
-        """Entities, their links and edges, and document links, all from the current documents and chunks."""
+    def derive(self, touched: DataFrame | None = None) -> None:
+        """Entities, their links and edges, and document links, from the current documents and chunks: of the documents ``touched`` (doc_id), what others have staying as it is, or of all."""
         t = self.store.table
-        notes = t("documents").filter(~F.col("file_path").startswith("session:"))
-        chunks = t("chunks")
-        tags = entities.tag_entities(notes)
-        named = chunks.join(notes.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
+        if touched is not None and touched.limit(MAX_TOUCHED + 1).count() > MAX_TOUCHED:
+            touched = None
+        notes, chunks = t("documents").filter(~F.col("file_path").startswith("session:")), t("chunks")
+        mine = notes if touched is None else notes.join(F.broadcast(touched), "doc_id", "left_semi")  # at most MAX_TOUCHED ids
+        tags = entities.tag_entities(mine)
+        named = chunks.join(mine.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
         spoken = entities.custom_entities(named, t("terms")).join(t("terms").groupBy("name").agg(F.min("entity_type").alias("entity_type")), "name")
         tagged = named.select("chunk_id", F.col("document_id").alias("doc_id")).join(tags, "doc_id").select("chunk_id", "name", F.lit("tag").alias("entity_type"))
         ids = F.xxhash64("name", "entity_type").alias("entity_id")
-        rows = spoken.select("chunk_id", "name", "entity_type").unionByName(tagged).select("chunk_id", "name", "entity_type", ids)
-        held = rows.select("entity_id", "name", "entity_type").distinct()
-        chunk_entities = rows.select("chunk_id", "entity_id").distinct()
-        self.store.commit({"entities": held, "chunk_entities": chunk_entities})
-        links_ = links.upserted(links.explicit_links(notes), links.entity_links(t("chunk_entities"), chunks))
-        self.store.commit({"edges": entities.edges(t("chunk_entities"), chunks), "links": links_, "tag_links": links.tag_links(tags), "tag_classes": links.tag_classes(tags)})
+        rows = checkpointed(spoken.select("chunk_id", "name", "entity_type").unionByName(tagged).select("chunk_id", "name", "entity_type", ids).distinct())
+        tag_ids = tags.select("doc_id", F.xxhash64("name", F.lit("tag")).alias("entity_id"))
+        made = {
+            "entities": rows.select("entity_id", "name", "entity_type").distinct(), "chunk_entities": rows.select("chunk_id", "entity_id"),
+            "edges": entities.edges(rows.select("chunk_id", "entity_id"), named, tag_ids), "targets": links.link_targets(mine), "tag_classes": links.tag_classes(tags),
+        }
+        if touched is not None:
+            rest = lambda name, key="doc_id": maintenance.without(t(name), touched.withColumnRenamed("doc_id", key), key)
+            others = rest("chunks", "document_id").select("chunk_id")
+            made = {
+                "entities": t("entities").unionByName(made["entities"]).distinct(), "chunk_entities": t("chunk_entities").join(others, "chunk_id", "left_semi").unionByName(made["chunk_entities"]),
+                "edges": rest("edges").unionByName(made["edges"]), "targets": rest("targets").unionByName(made["targets"]), "tag_classes": rest("tag_classes").unionByName(made["tag_classes"]),
+            }
+        self.store.commit(made)
+        by_tags = entities.tag_entities(notes)
+        if touched is None:
+            shared = links.entity_links(t("chunk_entities"), chunks)
+        else:
+            shared = links.upserted(links.without_documents(t("links").filter("link_type = 'entity'"), touched), links.entity_links_of(touched, t("chunk_entities"), chunks))
+        self.store.commit({"links": links.upserted(links.resolved_links(t("targets"), notes), shared), "tag_links": links.tag_links(by_tags)})
 
     def fill_vectors(self) -> dict[str, int]:
         """Vectors for chunks that lack one; those that can't be encoded go to the skip list."""
@@ -164,10 +207,9 @@ class Engine:
 
     def update_dictionary(self, path: str) -> int:
         """Appends ready candidates to a dictionary file and marks them accepted; returns how many lines were added."""
-        try:
+        if os.path.exists(path):
             known = files.dictionary_entries(self.spark, path).select("surface")
-            known.count()
-        except Exception:
+        else:
             known = self.spark.createDataFrame([], "surface string")
         own = self.store.table("candidates")
         ready = dictionary.ready(own, self.settings.dictionary_threshold)
@@ -177,21 +219,28 @@ class Engine:
         self.store.commit({"candidates": dictionary.moved(own, ready, "accepted")})
         return len(lines)
 
+    def reload(self, settings: Settings) -> list[str]:
+        """Takes up settings that need no restart; returns warnings about those that do."""
+        warnings = C.reload_warnings(self.settings, settings)
+        self.settings = replace(settings, **{name: getattr(self.settings, name) for name in C.STRUCTURAL})
+        return warnings
+
     # -- reading
 
+    def full_text(self) -> fulltext.Index | None:
+        """The stored postings; none before anything is indexed."""
+        t = self.store.table
+        return fulltext.Index(t("postings"), t("index_stats"), t("lengths")) if self.store.segments("postings") else None
+
     def corpus(self) -> S.Corpus:
         t = self.store.table
-        return S.Corpus(t("documents"), t("chunks"), t("vectors"), t("entities"), t("chunk_entities"), t("edges"), t("synonyms"), t("links"), t("tag_links"), t("tag_classes"))
+        return S.Corpus(t("documents"), t("chunks"), t("vectors"), t("entities"), t("chunk_entities"), t("edges"), t("synonyms"), t("links"), t("tag_links"), t("tag_classes"), self.full_text())
 
     def search(self, query: str, as_of: str, top_k: int | None = None, paths: list[str] = (), **flags) -> DataFrame:
         """Ranked results; see ``tsugumi.plans.search``. Paths must be relative and not empty."""
         if any(not p.strip() or p.startswith("/") for p in paths):
             raise ValueError("paths must be relative and not empty")
-        try:
-            vector = self.encoder([query])[0] or None
-        except Exception:
-            vector = None
-        request = S.Request(query, as_of, top_k or self.settings.top_k, vector=vector, require_vector=self.settings.fallback == "error", paths=list(paths), weights=self.settings.weights, half_lives=self.settings.half_lives, **flags)
+        request = S.Request(query, as_of, top_k or self.settings.top_k, encode=lambda text: self.encoder([text])[0], require_vector=self.settings.fallback == "error", paths=list(paths), weights=self.settings.weights, half_lives=self.settings.half_lives, **flags)
         return S.results(self.corpus(), request)
 
     def status(self) -> dict[str, int]:

@@ -20,7 +20,7 @@ BUCKETS = 256
 #: Texts per task of a bucket; a larger collection spreads every bucket over more tasks and files.
 TEXTS_PER_SLICE = 2_000_000
 
-POSTINGS = "chunk_id long, term string, tf int, dl int, positions array<int>"
+POSTINGS = "chunk_id long, state long, term string, tf int, dl int, positions array<int>"
 
 
 def bucket_of(term: str) -> int:
@@ -29,12 +29,13 @@ def bucket_of(term: str) -> int:
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, terms, tf, dl, ends, places = [], [], [], [], [0], []
-        for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keys, states, terms, tf, dl, ends, places = [], [], [], [], [], [0], []
+        for key, state, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
             own: dict[str, list[int]] = {}
             for i, w in enumerate(words):
                 own.setdefault(w, []).append(i)
             keys += [key] * len(own)
+            states += [state] * len(own)
             dl += [len(words)] * len(own)
             for w, at in own.items():
                 terms.append(w)
@@ -42,32 +43,33 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places += at
                 ends.append(len(places))
         held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32()), held], names=["chunk_id", "term", "tf", "dl", "positions"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(states, pa.int64()), pa.array(terms, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32()), held], names=["chunk_id", "state", "term", "tf", "dl", "positions"])
 
 
-def inverted(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """chunk_id, term, tf, dl (terms of the text), positions (from 0) of every index term of every text, without a shuffle; null texts have none."""
-    return chunks.select(F.col(key).cast("long").alias("chunk_id"), index_terms(F.col(text)).alias("t")).mapInArrow(_inverted, POSTINGS)
+def inverted(chunks: DataFrame, key: str = "chunk_id", text: str = "content", state: Column | None = None) -> DataFrame:
+    """chunk_id, state, term, tf, dl (terms of the text), positions (from 0) of every index term of every text, without a shuffle; null texts have none. ``state`` tells the texts apart that a chunk has had."""
+    return chunks.select(F.col(key).cast("long").alias("chunk_id"), F.lit(0).cast("long").alias("state") if state is None else state.alias("state"), index_terms(F.col(text)).alias("t")).mapInArrow(_inverted, POSTINGS)
 
 
 @dataclass
 class Index:
     postings: DataFrame  # bucket, and the columns of POSTINGS
     stats: DataFrame  # one row: n (texts), total (terms)
+    live: DataFrame | None = None  # chunk_id, state; postings of other states are of texts that are gone
 
 
-def write_postings(rows: DataFrame, texts: int, folder: str) -> None:
-    """Postings in ``folder``, by bucket of the term, sorted by term within files."""
+def bucketed(rows: DataFrame, texts: int) -> DataFrame:
+    """Postings with their bucket, together by bucket and sorted by term, as they are written."""
     rows = rows.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(BUCKETS)).cast("int"))
     slices = 1 + texts // TEXTS_PER_SLICE
     spread = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(slices)))
-    spread.sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    return spread.sortWithinPartitions("bucket", "term", "chunk_id")
 
 
 def build(chunks: DataFrame, folder: str, key: str = "chunk_id", text: str = "content") -> Index:
     """Writes the index of ``chunks`` to ``folder`` and opens it. Runs jobs."""
     n = chunks.count()
-    write_postings(inverted(chunks, key, text), n, f"{folder}/postings")
+    bucketed(inverted(chunks, key, text), n).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     total = chunks.sparkSession.read.schema(f"{POSTINGS}, bucket int").parquet(f"{folder}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("total"))
     total.select(F.lit(n).cast("long").alias("n"), "total").write.mode("overwrite").parquet(f"{folder}/stats")
     return opened(chunks.sparkSession, folder)
@@ -77,9 +79,11 @@ def opened(spark: SparkSession, folder: str) -> Index:
     return Index(spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{folder}/postings"), spark.read.schema("n long, total long").parquet(f"{folder}/stats"))
 
 
-def of_terms(postings: DataFrame, terms: list[str], *columns: str) -> DataFrame:
-    """The postings of ``terms``: a filter on the folders and on the term."""
-    return postings.filter(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(sorted(terms))).select("chunk_id", "term", "tf", "dl", *columns)
+def of_terms(index: Index, terms: list[str], *columns: str) -> DataFrame:
+    """The postings of ``terms`` in texts that are there: a filter on the folders and on the term."""
+    rows = index.postings.filter(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(sorted(terms)))
+    rows = rows if index.live is None else rows.join(index.live.select("chunk_id", "state"), ["chunk_id", "state"], "left_semi")
+    return rows.select("chunk_id", "term", "tf", "dl", *columns)
 
 
 def _weight(df: Column, tf: Column, k1: float, b: float) -> Column:
@@ -117,7 +121,7 @@ def bm25(index: Index, groups: list[list[list[str]]], k1: float = P.BM25_K1, b:
     if not terms:
         return index.postings.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     phrases = any(len(p) > 1 for g in groups for p in g)
-    rows = of_terms(index.postings, terms, *(["positions"] if phrases else []))
+    rows = of_terms(index, terms, *(["positions"] if phrases else []))
     number = {t: k for k, t in enumerate(terms)}
     own = lambda c, t: F.max(F.when(F.col("term") == t, F.col(c)))
     per = rows.groupBy("chunk_id").agg(F.max("dl").alias("dl"), *[own("tf", t).alias(f"n{k}") for t, k in number.items()], *([own("positions", t).alias(f"p{k}") for t, k in number.items()] if phrases else []))
@@ -142,7 +146,7 @@ def bm25_each(index: Index, queries: dict[int, list[str]], k: int, k1: float = P
     spark = index.postings.sparkSession
     wanted = [(q, t, len(set(ts))) for q, ts in queries.items() for t in dict.fromkeys(ts)]
     asked = F.broadcast(spark.createDataFrame(wanted, "query_id long, term string, need int"))  # as large as the request
-    rows = of_terms(index.postings, [t for _, t, _ in wanted])
+    rows = of_terms(index, [t for _, t, _ in wanted])
     dfs = F.broadcast(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a row per term of the request
     parts = rows.join(dfs, "term").join(asked, "term").crossJoin(F.broadcast(_mean(index.stats))).select("query_id", "chunk_id", "need", _weight(F.col("df"), F.col("tf"), k1, b).alias("part"))
     found = parts.groupBy("query_id", "chunk_id", "need").agg(F.count(F.lit(1)).alias("met"), F.sum("part").alias("score")).filter("met = need")

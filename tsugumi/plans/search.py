@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -42,6 +44,7 @@ class Request:
     as_of: str
     top_k: int = 5
     vector: list[float] | None = None
+    encode: Callable[[str], list[float]] | None = None  # of the words that are searched for, if ``vector`` is not given
     require_vector: bool = False
     after: str | None = None
     before: str | None = None
@@ -90,8 +93,16 @@ def search(corpus: Corpus, request: Request) -> DataFrame:
         groups = U.text_groups(tokens, list(dict.fromkeys(more)))
         found = R.top(R.bm25(corpus.chunks, groups) if corpus.index is None else FT.bm25(corpus.index, groups), limit)
         rankers.append((R.ranks(found, "score"), text_weight))
-    if request.vector is not None and corpus.vectors is not None:
-        near = R.nearest(corpus.vectors, request.vector, limit, "chunk_id")
+    vector = request.vector
+    if vector is None and request.encode is not None and corpus.vectors is not None:
+        try:
+            vector = request.encode(text) or None
+        except Exception:
+            if request.require_vector:
+                raise
+            logging.getLogger(__name__).warning("the query has no vector", exc_info=True)
+    if vector is not None and corpus.vectors is not None:
+        near = R.nearest(corpus.vectors, vector, limit, "chunk_id")
         rankers.append((R.ranks(near, "distance", descending=False), vector_weight))
     elif request.require_vector and corpus.vectors is not None:
         raise RuntimeError("vectors are required but the query has none")

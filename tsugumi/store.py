@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +13,9 @@ from tsugumi.plans.commits import Commits
 class Store:
     """A folder of Parquet snapshots. ``commit`` writes the given tables to new folders and then renames one small file that names the current folder of every table, so readers see all of a commit or none of it."""
 
-    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str]):
-        self.spark, self.folder, self.schemas = spark, folder, schemas
+    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str], partitions: dict[str, str] | None = None):
+        """``partitions`` names the column by which a table is laid out in folders."""
+        self.spark, self.folder, self.schemas, self.partitions = spark, folder, schemas, partitions or {}
         self._commits = Commits(spark, f"{folder}/versions")
 
     def pointer(self) -> dict:
@@ -22,17 +24,23 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         """The current snapshot; empty, with the table's schema, before the first."""
-        at = self.pointer()["tables"].get(name)
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], self.schemas[name])
+        parts = [self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{at}") for at in self.segments(name)]  # a few
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schemas[name])
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes and publishes; returns the version. Raises if another writer published first."""
+    def segments(self, name: str) -> list[str]:
+        """The folders of a table's current snapshot."""
+        return self.pointer()["tables"].get(name, [])
+
+    def commit(self, tables: dict[str, DataFrame], more: dict[str, DataFrame] | None = None) -> int:
+        """Writes and publishes ``tables`` as new snapshots, and ``more`` as rows added to the snapshots there are; returns the version. Raises if another writer published first."""
         old = self.pointer()
         places = dict(old["tables"])
-        for name, df in tables.items():
+        for name, df in [*tables.items(), *(more or {}).items()]:
             schema = self.spark.createDataFrame([], self.schemas[name]).schema
-            places[name] = f"data/{name}-{uuid.uuid4().hex}"
-            df.select(*[df[f.name].cast(f.dataType) for f in schema]).write.parquet(f"{self.folder}/{places[name]}")
+            at = f"data/{name}-{uuid.uuid4().hex}"
+            writer = df.select(*[df[f.name].cast(f.dataType) for f in schema]).write
+            (writer.partitionBy(self.partitions[name]) if name in self.partitions else writer).parquet(f"{self.folder}/{at}")
+            places[name] = [at] if name in tables else [*places.get(name, []), at]
         version = old["version"] + 1
         self._commits.publish(version, {"version": version, "tables": places})
         return version
