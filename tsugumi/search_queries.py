@@ -94,13 +94,42 @@ def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.char_length("x")).alias("chars"))
 
 
-@query()
+def _merged_list(l: str) -> str:
+    """A list of paragraphs merged from the left while a piece stays within 800 bytes; pieces stand in one text, with a sign between."""
+    return f"string_split(list_reduce({l}, lambda a, x: CASE WHEN strlen(string_split(a, chr(1))[-1]) + strlen(x) + 2 <= 800 THEN a || chr(10) || chr(10) || x ELSE a || chr(1) || x END), chr(1))"
+
+
+def _paragraph_list(c: str, space: str = _SPACE) -> str:
+    return f"list_filter(list_transform(string_split_regex({c}, '\\n{space}*\\n'), lambda x: {_trimmed('x')}), lambda x: x <> '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_paragraph_list('text', "[[:space:]]")} AS l FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, {_merged_list('l')} AS q FROM p WHERE len(l) > 0)
+SELECT doc_id, unnest(range(len(q))) AS piece, unnest(q) AS text FROM m""")
 def merged_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     parts = chunking.greedy(chunking.paragraphs(F.col("text")))
     return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("piece", "text"))
 
 
-@query()
+_LAST = "string_split(file_path, '/')[-1]"
+
+
+def _headed(c: str, level: int) -> str:
+    """Structs (heading, text, number) of a text split at headings of one level."""
+    mark = f"(?m)^{'#' * level}{_SPACE}+(.+)"
+    return f"list_filter(list_transform(string_split_regex({c}, '{mark}'), lambda x, i: {{'h': CASE WHEN i = 1 THEN '' ELSE {_trimmed(f"regexp_extract_all({c}, '{mark}', 1)[i - 1]")} END, 't': x, 'i': i}}), lambda x: x.h <> '' OR {_trimmed('x.t')} <> '')"
+
+
+@query(f"""WITH f AS (SELECT doc_id, regexp_replace(text, '(?s)\\A---{_SPACE}*\\n(.*?)\\n---{_SPACE}*\\n', '') AS body, CASE WHEN regexp_matches({_LAST}, '^.+[.][^.]*$') THEN regexp_replace({_LAST}, '[.][^.]*$', '') ELSE {_LAST} END AS name,
+CASE WHEN len(string_split(file_path, '/')) >= 3 THEN string_split(file_path, '/')[1] || '/' || string_split(file_path, '/')[2] ELSE string_split(file_path, '/')[1] END AS dir FROM documents WHERE text IS NOT NULL AND file_path IS NOT NULL),
+b AS (SELECT *, list_filter(string_split(body, chr(10)), lambda x: {_trimmed('x')} <> '')[1] AS first FROM f WHERE {_trimmed('body')} <> ''),
+t AS (SELECT *, CASE WHEN starts_with(first, '# ') THEN {_trimmed("substr(first, 3)")} ELSE name END AS title FROM b),
+s2 AS (SELECT doc_id, dir, name, title, unnest({_headed('body', 2)}) AS s FROM t),
+p2 AS (SELECT doc_id, dir, name, s.i AS i, s.t AS text, CASE WHEN s.h <> '' THEN title || ' > ' || s.h ELSE title END AS path FROM s2),
+s3 AS (SELECT doc_id, dir, name, i, path, unnest(CASE WHEN strlen(text) <= 800 THEN [{{'h': '', 't': text, 'i': 0}}] ELSE {_headed('text', 3)} END) AS s FROM p2),
+p3 AS (SELECT doc_id, dir, name, i, s.i AS j, CASE WHEN s.h <> '' THEN path || ' > ' || s.h ELSE path END AS path, CASE WHEN strlen(s.t) <= 800 THEN [s.t] WHEN len({_paragraph_list('s.t')}) = 0 THEN [] ELSE {_merged_list(_paragraph_list('s.t'))} END AS q FROM s3),
+e AS (SELECT doc_id, dir, name, i, j, path, unnest(range(len(q))) AS k, unnest(q) AS piece FROM p3),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS chunk_index, path AS section_path, '【' || dir || '/' || name || '】' || path || chr(10) || {_trimmed('piece')} AS content FROM e WHERE {_trimmed('piece')} <> '')
+SELECT *, sha256(content) AS content_hash FROM c""")
 def note_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.note_chunks(table(spark, d, "documents"))
 
