@@ -5,6 +5,7 @@ import json
 import pytest
 
 from tsugumi import settings as C
+from tsugumi.operators import maintenance
 from tsugumi.engine import Engine, as_json, as_text
 
 DAY = "2025-07-01"
@@ -125,6 +126,27 @@ def test_what_is_encoded_and_collected(spark, tmp_path):
     assert "ShuttleBox" in known and "WarpFrame" not in known
 
 
+def test_dictionary_and_report(spark, tmp_path):
+    root = tmp_path / "tree"
+    write(root, "notes/a.md", "# A\n\nThe Tsurumi kiln, and the loom.\n")
+    write(root, "notes/b.md", "# B\n\nA walk to Tsurumi.\n")
+    settings = C.Settings(root=str(root), state=str(tmp_path / "state"), dimension=4, fallback="fts_only", dictionary=str(tmp_path / "user.csv"), stopwords=str(tmp_path / "stop.txt"), status=str(tmp_path / "status.json"))
+    engine = Engine(spark, settings)
+    assert len(engine.init()) == 3 and engine.init() == []
+    (tmp_path / "user.csv").write_text("# mine\nTsurumi,固有名詞,ツルミ\n")
+    (tmp_path / "stop.txt").write_text("walk\n")
+    engine.index(DAY)
+    assert [(r.name, r.entity_type) for r in engine.store.table("entities").collect()] == [("tsurumi", "proper_noun")] and engine.store.table("chunk_entities").count() == 2
+    assert engine.search("walk", DAY).count() == 0 and engine.search("kiln", DAY, record=True).count() == 1
+    assert "kiln" in {r.surface for r in engine.store.table("candidates").filter("source = 'query'").collect()} or engine.store.table("candidates").filter("surface = 'kiln' AND frequency > 1").count() == 1
+    assert {r.hint for r in engine.doctor().filter("status <> 'ok'").collect()} == {"fill_vectors"}
+    engine.reindex("texts")
+    assert len(engine.store.segments("postings")) == 1 and engine.search("kiln", DAY).count() == 1
+    engine._report({"reindex": {"kind": "all", "processed": 1, "total": 3, "began": 100.0, "now": 110.0}})
+    line = engine.doctor().filter("section = 'Reindex'").first()
+    assert line.value == 20 and maintenance.issues(engine.doctor()) == 2
+
+
 def test_settings(tmp_path):
     a, b = tmp_path / "a.toml", tmp_path / "b.toml"
     a.write_text('top_k = 9\ndirectories = [{path = "n", weight = -3}, {path = "n/deep", weight = 2.0, half_life_days = 10}, {path = "/abs"}, {path = ""}]\n')

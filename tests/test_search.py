@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tsugumi.functions.analyser import Analyser, analysed
 from tsugumi.operators import chunking, dictionary, entities, fulltext, links, maintenance, retrieval, sessions, synonyms
 from tsugumi.plans import search as S
 from tsugumi.plans import understanding as U
@@ -48,13 +49,27 @@ def test_flags():
 def test_classes_and_keywords():
     assert U.query_class("", []) == "Default" and U.query_class("x", [1]) == "EntityFocused" and U.query_class("rust 検索", []) == "Keyword"
     assert U.query_class("どうやって 索引 を 作る", []) == "Question" and U.query_class("a b c d e f g h i j k l", []) == "Fuzzy" and U.query_class("a b c", []) == "Default" and U.query_class("!!", []) == "Default"
-    assert U.query_keywords("rust の 検索 2024 ー rust", frozenset(["検索"])) == ["rust"]
+    assert U.query_keywords("rust の 検索 2024 ー rust", Analyser(stopwords=frozenset(["検索"]))) == ["rust"]
     assert U.text_groups(["Lora-Wan"], ["", "a b"]) == [[["lora", "wan"]], [["a"], ["b"]]]
 
 
 # ---- retrieval
 
 
+def test_analyser(spark):
+    plain, own = Analyser(), Analyser((("打ち合わせ", ""), ("港町", "固有名詞"), ("art", "名詞"), ("港", ""), ("v2.5 beta", "固有名詞,製品")))
+    text = "打ち合わせは港町 party art v2.5 beta é港"
+    for analyser in (plain, own):
+        for t in analyser.tokens(text):
+            assert text.encode()[t.byte_start : t.byte_end].decode() == t.surface
+    assert [t.surface for t in plain.tokens(text)] == U.words(text)
+    assert [t.surface for t in own.tokens(text)] == ["打ち合わせ", "は", "港町", "party", "art", "v2.5 beta", "é", "港"]
+    assert own.proper_nouns(text) == ["港町", "v2.5 beta"] and own.keywords("港町の打ち合わせ 港町") == ["港町", "打ち合わせ"] and plain.tokens(None) == []
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "", "z")], "doc_id long, title string, tokens string")
+    got = {r.id: [tuple(t) for t in r.tokens] for r in analysed(df, "doc_id", "title", own).collect()}
+    assert got == {1: [(t.surface, t.byte_start, t.byte_end, t.pos) for t in own.tokens(text)], 2: [], 3: []}
+
+
 def chunks(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
 
@@ -448,6 +463,20 @@ def test_small_files(spark, tmp_path):
     assert maintenance.seconds_left(10, 30, 5.0) == 10 and maintenance.seconds_left(0, 30, 5.0) is None
 
 
+def test_periodic_runs(spark, tmp_path):
+    import time
+
+    ran = []
+    query = watch.periodic(spark, lambda: ran.append(1), str(tmp_path / "ticks"), "200 milliseconds")
+    try:
+        until = time.time() + 60
+        while len(ran) < 2 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert len(ran) >= 2
+
+
 def test_watching_a_tree(spark, tmp_path):
     calls = []
     tree, marks = tmp_path / "tree", str(tmp_path / "marks")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsugumi.operators import chunking, dictionary, entities, fulltext, links, maintenance, sessions, synonyms
+from tsugumi.functions.analyser import PROPER, Analyser, analysed
 from tsugumi.functions.analysis import index_terms
 from tsugumi.plans import search as S
 from tsugumi.plans.bounds import checkpointed
@@ -42,6 +44,8 @@ SCHEMAS = {
 
 #: Documents that one change may touch before the graph is made anew as a whole, and segments of postings before they are merged.
 MAX_TOUCHED, MAX_SEGMENTS = 10_000, 8
+#: Lines of a list that a person keeps.
+MAX_LISTED = 100_000
 
 
 class Engine:
@@ -130,6 +134,10 @@ class Engine:
         spoken = entities.custom_entities(named, t("terms")).join(t("terms").groupBy("name").agg(F.min("entity_type").alias("entity_type")), "name")
         tagged = named.select("chunk_id", F.col("document_id").alias("doc_id")).join(tags, "doc_id").select("chunk_id", "name", F.lit("tag").alias("entity_type"))
         ids = F.xxhash64("name", "entity_type").alias("entity_id")
+        analyser = self.analyser()
+        if any(PROPER in pos for _, pos in analyser.entries):
+            said = analysed(named, "chunk_id", "content", analyser).select(F.col("id").alias("chunk_id"), F.explode(F.filter("tokens", lambda x: x["pos"].contains(PROPER))).alias("t"))
+            tagged = tagged.unionByName(said.select("chunk_id", F.lower("t.surface").alias("name"), F.lit("proper_noun").alias("entity_type")))
         rows = checkpointed(spoken.select("chunk_id", "name", "entity_type").unionByName(tagged).select("chunk_id", "name", "entity_type", ids).distinct())
         tag_ids = tags.select("doc_id", F.xxhash64("name", F.lit("tag")).alias("entity_id"))
         made = {
@@ -160,14 +168,46 @@ class Engine:
         return {"filled": t("vectors").count() - before[0], "errors": t("skipped").count() - before[1]}
 
     def reindex(self, kind: str = "all") -> None:
-        """Recomputes derived tables: ``vectors``, ``graph`` or ``all``."""
-        if kind not in ("vectors", "graph", "all"):
+        """Recomputes derived tables: ``texts`` (postings, as after a change of the terms), ``vectors``, ``graph`` or ``all``. The status file, if there is one, tells how many steps are done."""
+        if kind not in ("texts", "vectors", "graph", "all"):
             raise ValueError(f"unknown kind: {kind!r}")
-        if kind in ("graph", "all"):
-            self.derive()
-        if kind in ("vectors", "all"):
-            self.store.commit({"vectors": self.spark.createDataFrame([], SCHEMAS["vectors"]), "skipped": self.spark.createDataFrame([], SCHEMAS["skipped"])})
-            self.fill_vectors()
+        steps = [s for k, s in (("texts", self._index_texts), ("graph", self.derive), ("vectors", self._encode_all)) if kind in (k, "all")]
+        began = time.time()
+        for n, step in enumerate(steps):
+            self._report({"reindex": {"kind": kind, "processed": n, "total": len(steps), "began": began, "now": time.time()}})
+            step()
+        self._report({})
+
+    def _report(self, status: dict) -> None:
+        if self.settings.status:
+            files.write_status(self.settings.status, status)
+
+    def _index_texts(self) -> None:
+        chunks, state = self.store.table("chunks"), F.xxhash64("content_hash")
+        lengths = chunks.select("chunk_id", state.alias("state"), F.size(index_terms(F.col("content"))).alias("dl"))
+        stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+        self.store.commit({"postings": fulltext.bucketed(fulltext.inverted(chunks, state=state), chunks.count()), "lengths": lengths, "index_stats": stats})
+
+    def _encode_all(self) -> None:
+        self.store.commit({"vectors": self.spark.createDataFrame([], SCHEMAS["vectors"]), "skipped": self.spark.createDataFrame([], SCHEMAS["skipped"])})
+        self.fill_vectors()
+
+    def init(self) -> list[str]:
+        """Writes the files a person edits that are not there yet: ignore rules, and the dictionary and stopwords that the settings name. Returns which."""
+        texts = {os.path.join(self.settings.root, ".tsugumiignore"): "# paths to leave out, in the syntax of .gitignore\n", self.settings.dictionary: "# surface,part of speech,reading\n", self.settings.stopwords: ""}
+        return [path for path, text in texts.items() if path and files.install_default(path, text)]
+
+    def analyser(self) -> Analyser:
+        """The segmenter with the user's dictionary and stopwords, lists that a person keeps (more than ``MAX_LISTED`` lines are an error)."""
+        def held(path: str, read, *columns: str) -> list:
+            rows = read(self.spark, path).select(*columns).limit(MAX_LISTED + 1).collect() if path and os.path.exists(path) else []
+            if len(rows) > MAX_LISTED:
+                raise ValueError(f"{path}: more than {MAX_LISTED} lines")
+            return rows
+
+        words = held(self.settings.dictionary, files.dictionary_entries, "surface", "pos")
+        stop = held(self.settings.stopwords, files.word_list, "word")
+        return Analyser(tuple(sorted((r.surface, r.pos or "") for r in words)), frozenset(r.word for r in stop))
 
     def rebuild(self, as_of: str) -> dict[str, int]:
         """Drops what was indexed from notes and indexes the tree again; earlier versions stay in the store as a backup."""
@@ -236,11 +276,14 @@ class Engine:
         t = self.store.table
         return S.Corpus(t("documents"), t("chunks"), t("vectors"), t("entities"), t("chunk_entities"), t("edges"), t("synonyms"), t("links"), t("tag_links"), t("tag_classes"), self.full_text())
 
-    def search(self, query: str, as_of: str, top_k: int | None = None, paths: list[str] = (), **flags) -> DataFrame:
-        """Ranked results; see ``tsugumi.plans.search``. Paths must be relative and not empty."""
+    def search(self, query: str, as_of: str, top_k: int | None = None, paths: list[str] = (), record: bool = False, **flags) -> DataFrame:
+        """Ranked results; see ``tsugumi.plans.search``. Paths must be relative and not empty. With ``record`` the words of the query are collected as candidates for the dictionary."""
         if any(not p.strip() or p.startswith("/") for p in paths):
             raise ValueError("paths must be relative and not empty")
-        request = S.Request(query, as_of, top_k or self.settings.top_k, encode=lambda text: self.encoder([text])[0], require_vector=self.settings.fallback == "error", paths=list(paths), weights=self.settings.weights, half_lives=self.settings.half_lives, **flags)
+        request = S.Request(query, as_of, top_k or self.settings.top_k, encode=lambda text: self.encoder([text])[0], require_vector=self.settings.fallback == "error", paths=list(paths), weights=self.settings.weights, half_lives=self.settings.half_lives, analyser=self.analyser(), **flags)
+        if record:
+            seen = dictionary.collected(self.spark.createDataFrame([(query,)], "content string"), "content")
+            self.store.commit({"candidates": dictionary.upserted(self.store.table("candidates"), seen, "query", as_of)})
         return S.results(self.corpus(), request)
 
     def status(self) -> dict[str, int]:
@@ -248,8 +291,19 @@ class Engine:
         return {"version": self.store.pointer()["version"]} | {n: t(n).count() for n in ("documents", "chunks", "vectors", "skipped", "entities", "edges", "links", "synonyms")} | {"dictionary_ready": dictionary.ready(t("candidates"), self.settings.dictionary_threshold).count()}
 
     def doctor(self) -> DataFrame:
+        """The report of ``maintenance.health``, with a line on a reindex under way: value is the seconds it will still take, if known. ``maintenance.issues`` counts what is not ok."""
         t = self.store.table
-        return maintenance.health(t("documents"), t("chunks"), t("vectors"), t("candidates"))
+        report = maintenance.health(t("documents"), t("chunks"), t("vectors"), t("candidates"))
+        try:
+            with open(self.settings.status, encoding="utf-8") as f:
+                going = json.load(f).get("reindex")
+        except (OSError, ValueError):
+            going = None
+        if going:
+            left = maintenance.seconds_left(going["processed"], going["total"], going["now"] - going["began"])
+            line = [("Reindex", "warning", f"reindex of {going['kind']}: {going['processed']} of {going['total']} steps", None if left is None else int(left), None)]
+            report = report.unionByName(self.spark.createDataFrame(line, "section string, status string, message string, value long, hint string"))
+        return report
 
 
 def as_text(results: DataFrame) -> str:

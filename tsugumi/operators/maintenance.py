@@ -99,7 +99,7 @@ def encoded(chunks: DataFrame, encoder: Callable[[list[str]], list[list[float]]]
 
 
 def health(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """section, status, message, value: counts of the index, with a warning where chunks lack vectors."""
+    """section, status, message, value, hint: counts of the index, with a warning and what to do where chunks lack vectors or candidates wait."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("message"), "value")
     rows = count(documents, "documents").unionByName(count(chunks, "chunks")).unionByName(count(vectors, "vectors")).withColumns({"section": F.lit("Database"), "status": F.lit("ok")})
     missing = count(lacking_vectors(chunks, vectors), "chunks_without_vectors").withColumns({"section": F.lit("Embedder"), "status": F.when(F.col("value") > 0, "warning").otherwise("ok")})
@@ -108,7 +108,13 @@ def health(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, candidat
         from tsugumi.operators.dictionary import ready
 
         rows = rows.unionByName(count(ready(candidates), "dictionary_ready").withColumns({"section": F.lit("Dictionary"), "status": F.when(F.col("value") > 0, "warning").otherwise("ok")}))
-    return rows.select("section", "status", "message", "value")
+    hint = F.when(F.col("section") == "Embedder", "fill_vectors").when(F.col("section") == "Dictionary", "update_dictionary")
+    return rows.select("section", "status", "message", "value", F.when(F.col("status") != "ok", hint).alias("hint"))
+
+
+def issues(report: DataFrame) -> int:
+    """How many lines of a report are no ok."""
+    return report.filter("status <> 'ok'").count()
 
 
 def seconds_left(done: int, total: int, elapsed: float) -> float | None:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsugumi import params as P
+from tsugumi.functions.analyser import Analyser
 from tsugumi.operators import entities as E
 from tsugumi.operators import fulltext as FT
 from tsugumi.operators import links as L
@@ -53,6 +54,7 @@ class Request:
     paths: list[str] = field(default_factory=list)
     weights: dict[str, float] = field(default_factory=dict)
     half_lives: dict[str, float] = field(default_factory=dict)
+    analyser: Analyser = field(default_factory=Analyser)  # with the user's dictionary and stopwords
 
 
 def matching_entities(corpus: Corpus, query: str) -> list[int]:
@@ -76,7 +78,7 @@ def search(corpus: Corpus, request: Request) -> DataFrame:
     today = date.fromisoformat(request.as_of[:10])
     rest, own = U.temporal(request.query, today)
     span = U.merged(today, request.after, request.before, request.recent, request.year, own) or U.TimeFilter()
-    tokens = U.query_keywords(rest)
+    tokens = U.query_keywords(rest, request.analyser)
     if not tokens:
         return spark.createDataFrame([], RESULT)
     text, limit = " ".join(tokens), P.CANDIDATES_PER_RESULT * request.top_k

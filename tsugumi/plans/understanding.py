@@ -8,6 +8,7 @@ from datetime import date, timedelta
 
 from tsugumi import params as P
 from tsugumi.functions import analysis
+from tsugumi.functions.analyser import Analyser
 
 
 @dataclass(frozen=True)
@@ -116,11 +117,9 @@ def words(text: str) -> list[str]:
     return regex.findall(analysis.segment_pattern(""), text or "")
 
 
-def query_keywords(text: str, stopwords: frozenset[str] = frozenset()) -> list[str]:
-    import regex
-
-    drop = regex.compile(analysis.NOT_NOUN.replace("Is", ""))
-    return list(dict.fromkeys(w for w in words(text) if not drop.search(w) and w not in stopwords))
+def query_keywords(text: str, analyser: Analyser = Analyser()) -> list[str]:
+    """The nouns of a request by the analyser, without its stopwords."""
+    return analyser.keywords(text)
 
 
 def index_phrase(surface: str) -> list[str]:

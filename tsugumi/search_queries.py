@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tsugumi import params as P
 from tsugumi.functions import analysis as A
+from tsugumi.functions.analyser import Analyser, analysed
 from tsugumi.functions.text import utrim
 from tsugumi.operators import chunking, dictionary, entities, fulltext, links, maintenance, retrieval, sessions, synonyms
 from tsugumi.operators.incremental import plain_hash
@@ -72,6 +73,15 @@ def segmented_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", A.segmented_text(F.col("title")).alias("words"))
 
 
+@query(f"""WITH s AS (SELECT doc_id, coalesce(regexp_extract_all(title, '{_SEG}'), []) AS s, coalesce(string_split_regex(title, '{_SEG}'), []) AS g FROM documents), k AS (SELECT doc_id, s, g, unnest(range(1, len(s) + 1)) AS k FROM s),
+o AS (SELECT doc_id, k, s[k] AS surface, (list_sum(list_transform(g[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(s[1:k - 1], lambda x: strlen(x))), 0))::BIGINT AS byte_start FROM k)
+SELECT doc_id, k - 1 AS position, surface, byte_start, byte_start + strlen(surface) AS byte_end FROM o""")
+def title_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of titles with their places in bytes."""
+    each = analysed(table(spark, d, "documents"), "doc_id", "title", Analyser()).select("id", F.posexplode("tokens").alias("position", "t"))
+    return each.select(F.col("id").alias("doc_id"), "position", "t.surface", "t.byte_start", "t.byte_end")
+
+
 @query(f"SELECT chunk_id, array_to_string({_keywords('content')}, ' ') AS keywords FROM chunks")
 def keywords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", F.array_join(A.keywords(F.col("content")), " ").alias("keywords"))
@@ -689,9 +699,10 @@ def encoded_chunks(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.encoded(table(spark, d, "chunks"), maintenance.hashed_embedding())
 
 
-@query("WITH " + _CAND + """SELECT 'Database' AS section, 'ok' AS status, 'documents' AS message, count(*) AS value FROM documents UNION ALL SELECT 'Database', 'ok', 'chunks', count(*) FROM chunks UNION ALL SELECT 'Database', 'ok', 'vectors', count(*) FROM embeddings
+@query("WITH " + _CAND + """, h AS (SELECT 'Database' AS section, 'ok' AS status, 'documents' AS message, count(*) AS value FROM documents UNION ALL SELECT 'Database', 'ok', 'chunks', count(*) FROM chunks UNION ALL SELECT 'Database', 'ok', 'vectors', count(*) FROM embeddings
 UNION ALL SELECT 'Embedder', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END, 'chunks_without_vectors', count(*) FROM chunks WHERE chunk_id NOT IN (SELECT vec_id FROM embeddings)
-UNION ALL SELECT 'Dictionary', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END, 'dictionary_ready', count(*) FROM cand WHERE status = 'pending' AND frequency >= 5""")
+UNION ALL SELECT 'Dictionary', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END, 'dictionary_ready', count(*) FROM cand WHERE status = 'pending' AND frequency >= 5)
+SELECT *, CASE WHEN status = 'ok' THEN NULL WHEN section = 'Embedder' THEN 'fill_vectors' ELSE 'update_dictionary' END AS hint FROM h""")
 def health(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return maintenance.health(table(spark, d, "documents"), table(spark, d, "chunks"), vectors, _candidates(spark, d))

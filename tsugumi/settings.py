@@ -32,6 +32,9 @@ class Settings:
     top_k: int = 5
     dictionary_threshold: int = P.DICTIONARY_THRESHOLD
     chunk_bytes: int = P.MAX_CHUNK_BYTES
+    dictionary: str = ""  # file of the user's dictionary, surface,POS,reading
+    stopwords: str = ""  # file of words that are not searched for
+    status: str = ""  # file that tells how far a long operation is
 
     @property
     def weights(self) -> dict[str, float]:

@@ -55,7 +55,7 @@ def watch_tree(spark: SparkSession, directories: list[str], index, checkpoint: s
     """Calls ``index()`` once for every batch of new or changed files under ``directories``.
 
     The file source reports no deletions; ``index`` compares the whole listing with what is indexed (as
-    ``Engine.index`` without paths does), so files that are gone are found with the next change.
+    ``Engine.index`` without paths does), so files that are gone are found with the next change, or at the next ``periodic`` run of it.
     """
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load("{" + ",".join(directories) + "}" if len(directories) > 1 else directories[0])
 
@@ -65,3 +65,9 @@ def watch_tree(spark: SparkSession, directories: list[str], index, checkpoint: s
 
     writer = stream.select("path").writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def periodic(spark: SparkSession, action, checkpoint: str, interval: str) -> StreamingQuery:
+    """Calls ``action()`` once every ``interval``: a sweep that finds deletions, or the filling of vectors that are missing."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, number: action()).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
