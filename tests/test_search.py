@@ -259,8 +259,10 @@ def test_custom_entities_of_any_form(spark):
             at = re.escape(n.lower())
             if n.lower() in t.lower() if re.search("[\u3000-\u9fff]", n) else re.search(f"(?<!{word}){at}(?!{word})", t.lower()):
                 want.append((i, n))
-    got = rows(entities.custom_entities(chunks(spark, texts), terms))
-    assert got == sorted(want, key=str) and {n for _, n in got} == set(names)
+    for most in (0, None):  # by windows, and by the automaton
+        got = rows(entities.custom_entities(chunks(spark, texts), terms, most=most))
+        assert got == sorted(want, key=str) and {n for _, n in got} == set(names)
+    assert entities.custom_entities(chunks(spark, texts), terms.limit(0)).count() == 0
 
 
 def test_pairs_of_wide_baskets(spark):

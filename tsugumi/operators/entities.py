@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +14,77 @@ from tsugumi.functions.text import utrim
 from tsugumi.plans.pairs import gathered, narrow_pairs, wide_pairs
 
 
+CJK_SIGN = r"[\u3000-\u9fff\uf900-\ufaff\uff00-\uffef]"
+
+
 def tag_entities(documents: DataFrame) -> DataFrame:
     """doc_id, name: tags of documents, lower case, trimmed, of at least two characters, once per document."""
     return documents.select("doc_id", F.explode("tags").alias("tag")).select("doc_id", F.lower(utrim(F.col("tag"))).alias("name")).filter(F.char_length("name") >= 2).distinct()
 
 
-def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:
+#: Terms that one automaton holds, which goes to every task.
+MAX_AUTOMATON = 100_000
+
+
+def _is_word(c: str) -> bool:
+    return c == "_" or unicodedata.category(c)[0] in "LNM"
+
+
+def _matched(names: list[str]):
+    """Arrow batches of (chunk_id, lower text) to (chunk_id, name) by one automaton over all names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        import regex
+
+        automaton = ahocorasick.Automaton()
+        cjk = regex.compile(CJK_SIGN)
+        for n in names:
+            automaton.add_word(n, (n, bool(cjk.search(n))))
+        automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = set()
+                for end, (name, anywhere) in automaton.iter(text):
+                    if name in own:
+                        continue
+                    start = end - len(name) + 1
+                    if anywhere or not (start and _is_word(text[start - 1])) and not (end + 1 < len(text) and _is_word(text[end + 1])):
+                        own.add(name)
+                ids += [key] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["chunk_id", "name"])
+
+    return run
+
+
+def custom_entities(chunks: DataFrame, terms: DataFrame, text: str = "content", most: int | None = None) -> DataFrame:
     """chunk_id, name of the custom ``terms`` (name) in each text.
 
-    A term with CJK signs matches anywhere, any other between word boundaries, in any case. Instead of
+    A term with CJK signs matches anywhere, any other between word boundaries, in any case. Up to ``MAX_AUTOMATON`` terms
+    are sought by one automaton in one pass; more are looked up, see ``looked_up_entities``. The terms are counted first.
+    """
+    named = terms.select(F.lower(utrim(F.col("name"))).alias("name")).filter(F.char_length("name") >= 2).distinct()
+    most = MAX_AUTOMATON if most is None else most
+    held = [r.name for r in named.limit(most + 1).collect()]
+    if len(held) > most:
+        return looked_up_entities(chunks, terms, text)
+    rows = chunks.filter(F.col(text).isNotNull()).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower(text).alias("t"))
+    if not held:
+        return rows.select("chunk_id", F.lit("").alias("name")).limit(0)
+    return rows.mapInArrow(_matched(sorted(held)), "chunk_id long, name string").distinct()
+
+
+def looked_up_entities(chunks: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:
+    """``custom_entities`` for any number of terms: instead of
     testing every term on every text, what a text holds that could be a term is looked up: windows of
     as many characters as there are different CJK term lengths, and spans of words joined by dots and dashes.
     Terms of other forms add windows of their own: over all characters for those that mix CJK and other signs, over words
     and single signs between them for the rest (with blanks, slashes and so on); both only if there are such terms.
     """
     named = terms.select(F.lower(utrim(F.col("name"))).alias("name")).filter(F.char_length("name") >= 2).distinct()
-    sign = r"[\u3000-\u9fff\uf900-\ufaff\uff00-\uffef]"
+    sign = CJK_SIGN
     word = r"[\p{L}\p{N}\p{M}_]+"
     parted = lambda c: F.regexp_extract_all(c, F.lit(rf"{word}|[^\p{{L}}\p{{N}}\p{{M}}_]"), F.lit(0))
     cjk, whole, plain = F.col("name").rlike(sign), F.col("name").rlike(f"^{sign}+$"), F.col("name").rlike(rf"^{word}(?:[.-]{word})*\z")
