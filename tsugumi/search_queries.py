@@ -220,7 +220,7 @@ GROUPS = {
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
-def _index(spark: SparkSession, d: str) -> fulltext.Index:
+def stored_index(spark: SparkSession, d: str) -> fulltext.Index:
     """The stored index of a data folder, written by the first query of a session that needs it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
@@ -232,7 +232,7 @@ def _index(spark: SparkSession, d: str) -> fulltext.Index:
 
 def _bm25_query(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return retrieval.top(fulltext.bm25(_index(spark, d), GROUPS[name]), TOP).select("chunk_id", F.round("score", 6).alias("score"))
+        return retrieval.top(fulltext.bm25(stored_index(spark, d), GROUPS[name]), TOP).select("chunk_id", F.round("score", 6).alias("score"))
 
     run.__name__ = name
     return run
@@ -250,7 +250,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score FROM h QUALIFY row_number()
 @query(_TOK + _BATCH)
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     """A hundred queries of two words each at once: the terms from the 51st to the 250th by frequency."""
-    index = _index(spark, d)
+    index = stored_index(spark, d)
     terms = [r.term for r in index.postings.groupBy("term").agg(F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(250).collect()][50:]
     found = fulltext.bm25_each(index, {i // 2: terms[i : i + 2] for i in range(0, len(terms) - 1, 2)}, 10)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
@@ -283,7 +283,7 @@ rrf AS (SELECT chunk_id, sum(w / (60.0 + rank)) AS rrf FROM (SELECT chunk_id, ra
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    fts = retrieval.ranks(retrieval.top(fulltext.bm25(_index(spark, d), GROUPS["bm25_term"]), 45), "score")
+    fts = retrieval.ranks(retrieval.top(fulltext.bm25(stored_index(spark, d), GROUPS["bm25_term"]), 45), "score")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     vec = retrieval.ranks(retrieval.nearest(vectors, _first_vector(spark, d), 45, "chunk_id"), "distance", descending=False)
     return retrieval.fuse([(fts, 1.5), (vec, 0.5)])
@@ -342,7 +342,7 @@ def search_request(spark: SparkSession, d: str) -> DataFrame:
     """A whole request: words, entities, vectors, fusion, scores, related documents."""
     links_ = links.explicit_links(table(spark, d, "documents")).unionByName(_entity_links(spark, d))
     tags = entities.tag_entities(table(spark, d, "documents"))
-    corpus = S.Corpus(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), table(spark, d, "entities"), table(spark, d, "chunk_entities"), _edges(spark, d), _synonyms(spark, d), links_, links.tag_links(tags), links.tag_classes(tags), _index(spark, d))
+    corpus = S.Corpus(table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), table(spark, d, "entities"), table(spark, d, "chunk_entities"), _edges(spark, d), _synonyms(spark, d), links_, links.tag_links(tags), links.tag_classes(tags), stored_index(spark, d))
     return S.results(corpus, S.Request("最近の pogisobu 索引 について", AS_OF, TOP, vector=_first_vector(spark, d)))
 
 
