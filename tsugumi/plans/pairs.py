@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsugumi.plans.bounds import broadcast_if_small
+from tsugumi.plans.bounds import BROADCAST_ROWS
 
 BASKET_ROWS = 512
 BLOCK_ITEMS = 256
@@ -16,9 +16,13 @@ _PAIRS = "flatten(transform(items, (x, i) -> transform(slice(items, i + 2, size(
 def gathered(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of rows (basket, item): (basket, items: sorted distinct array) of baskets of at most ``most`` rows, and the distinct (basket, item) rows of the wider ones. Null baskets and items are left out."""
     rows = rows.select("basket", "item").filter("basket is not null and item is not null")
-    wide = broadcast_if_small(rows.groupBy("basket").count().filter(F.col("count") > (most or BASKET_ROWS)).select("basket"))
-    narrow = rows.join(wide, "basket", "left_anti").groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return narrow, rows.join(wide, "basket", "left_semi").distinct()
+    wide = rows.groupBy("basket").count().filter(F.col("count") > (most or BASKET_ROWS)).select("basket")
+    sets = lambda df: df.groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    some = wide.limit(BROADCAST_ROWS + 1).count()  # a job
+    if not some:  # plans over the empty side fall away
+        return sets(rows), rows.limit(0)
+    wide = F.broadcast(wide) if some <= BROADCAST_ROWS else wide
+    return sets(rows.join(wide, "basket", "left_anti")), rows.join(wide, "basket", "left_semi").distinct()
 
 
 def narrow_pairs(narrow: DataFrame, *keep: str) -> DataFrame:
