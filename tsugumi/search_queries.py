@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tsugumi.functions.text import utrim
 from tsugumi.operators import chunking, dictionary, entities, fulltext, links, maintenance, retrieval, sessions, synonyms
 from tsugumi.operators.incremental import plain_hash
 from tsugumi.plans import search as S
+from tsugumi.plans import understanding as U
 from tsugumi.plans.bounds import shared_folder
 from tsugumi.streaming import watch
 from tsugumi.tables import table
@@ -653,6 +655,47 @@ def classified_titles(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", A.query_class(F.col("title"), F.col("name").isNotNull(), P.QUESTION_PATTERNS).alias("class"))
 
 
+# Every document number stands for a request with a time word, of which the first two words and the flags vary.
+_TIMES = ("先月", "去年", "昨年", "一昨年", "おととし", "今月", "今年", "最近", "少し前", "先週", "年末", "年始", "年初", "半年前", "3年前", "2週間前", "1週前", "10日前", "4ヶ月前", "6か月前", "3月の", "12月に", "13月", "織機")
+_FLAGS = ("30d", "2w", "3m", "45", "5", "soon")
+
+
+def _understood(batches):
+    import pyarrow as pa
+
+    today = date.fromisoformat(AS_OF)
+    for batch in batches:
+        rows = []
+        for key, text, flag, year in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            rest, own = U.temporal(text, today)
+            days = U.duration(flag)
+            both = U.merged(today, recent=flag if days is not None and key % 2 else None, year=year if key % 5 == 0 else None, query=own) or U.TimeFilter()
+            rows.append((key, rest, both.after, both.before, days))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], names=["doc_id", "rest", "after", "before", "days"])
+
+
+_SPANS = {
+    "先月": ("2025-06-01", "2025-07-01"), "去年": ("2024-01-01", "2025-01-01"), "昨年": ("2024-01-01", "2025-01-01"), "一昨年": ("2023-01-01", "2024-01-01"), "おととし": ("2023-01-01", "2024-01-01"),
+    "今月": ("2025-07-01", None), "今年": ("2025-01-01", None), "年末": ("2025-11-01", "2026-01-01"), "年始": ("2025-01-01", "2025-03-01"), "年初": ("2025-01-01", "2025-03-01"), "3月の": ("2025-03-01", "2025-04-01"), "12月に": ("2024-12-01", "2025-01-01"),
+}
+_BACK = {"最近": 30, "少し前": 30, "先週": 7, "半年前": 180, "3年前": 1095, "2週間前": 14, "1週前": 7, "10日前": 10, "4ヶ月前": 120, "6か月前": 180}
+_WHENS = lambda i: " ".join(f"WHEN '{w}' THEN {repr(x[i]) if x[i] else 'NULL'}" for w, x in _SPANS.items())
+
+
+@query(f"""WITH x AS (SELECT doc_id, {list(_TIMES)}[doc_id % {len(_TIMES)} + 1] AS w, {list(_FLAGS)}[doc_id % {len(_FLAGS)} + 1] AS flag, 2015 + doc_id % 10 AS year FROM documents),
+d AS (SELECT *, CASE flag WHEN '30d' THEN 30 WHEN '2w' THEN 14 WHEN '3m' THEN 90 WHEN '45' THEN 45 END AS days, CASE w {' '.join(f"WHEN '{w}' THEN {n}" for w, n in _BACK.items())} END AS back FROM x),
+o AS (SELECT *, CASE WHEN back IS NOT NULL THEN strftime(DATE '{AS_OF}' - back::INTEGER, '%Y-%m-%d') ELSE CASE w {_WHENS(0)} END END AS a, CASE w {_WHENS(1)} END AS b FROM d),
+f AS (SELECT *, days IS NOT NULL AND doc_id % 2 = 1 AS recent, doc_id % 5 = 0 AS of_year FROM o)
+SELECT doc_id, CASE WHEN w IN ('13月', '織機') THEN 'memo ' || w || ' ' || doc_id ELSE 'memo ' || ' ' || doc_id END AS rest,
+CASE WHEN recent THEN strftime(DATE '{AS_OF}' - days::INTEGER, '%Y-%m-%d') WHEN of_year THEN year || '-01-01' ELSE a END AS after, CASE WHEN of_year THEN (year + 1) || '-01-01' WHEN recent THEN NULL ELSE b END AS before, days FROM f""")
+def understood_times(spark: SparkSession, d: str) -> DataFrame:
+    """Requests with planted time words and flags, one for every document number: what is left to search for, and the span of time."""
+    i = F.col("doc_id")
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), i % len(words))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("memo "), pick(_TIMES), F.lit(" "), i.cast("string")).alias("text"), pick(_FLAGS).alias("flag"), (2015 + i % 10).cast("int").alias("year"))
+    return rows.mapInArrow(_understood, "doc_id long, rest string, after string, before string, days long")
+
+
 # ---- upkeep --------------------------------------------------------------------------------------
 
 _SCANS = "sc AS (SELECT file_path, lower(trim(arg_max(file_hash, (scanned_at, scan_id)))) AS h FROM file_scans WHERE file_hash IS NOT NULL GROUP BY 1)"
