@@ -5,13 +5,13 @@ from __future__ import annotations
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsugumi.operators.incremental import changed_files, committed, run_increment, unprocessed, upper_limit
 from tsugumi.operators.times import fit_zones, normalised
 from tsugumi.functions.instants import with_instant
-from tsugumi.plans.bounds import shared_folder
+from tsugumi.plans.bounds import checkpointed, shared_folder
 from tsugumi.plans.segments import segmented
 from tsugumi.tables import table
 
@@ -35,6 +35,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 ZONED = r"(?i)(Z|[+−-]\d{2}(:?\d{2})?|\]|[A-Z]{3,4})\s*$|^\s*[\d.]+\s*$"
 
 
+def is_local(value: Column) -> Column:
+    """Whether a written time tells no zone."""
+    return ~value.rlike(ZONED) | value.rlike("[AP]M *$")
+
+
 def zone_bounds(messages: DataFrame, documents: DataFrame) -> DataFrame:
     """rec_kind, stated_tz, local_us, lower, upper of the written times (null local_us: those that tell their zone).
 
@@ -43,9 +48,9 @@ def zone_bounds(messages: DataFrame, documents: DataFrame) -> DataFrame:
     numbers have no order but that of their times (msg_id is the order of arrival, which is not that of sending), so no bounds.
     """
     def timed(rows: DataFrame) -> DataFrame:
-        rows = with_instant(with_instant(rows, "value", "zone").withColumn("_utc", F.lit("UTC")), "value", "_utc", "local_us")
-        rows = rows.withColumn("local_us", F.when(~F.col("value").rlike(ZONED) | F.col("value").rlike("[AP]M *$"), F.col("local_us")))
-        return rows.withColumns({"known": F.when(F.col("local_us").isNull(), F.col("utc_us")), "stated_tz": F.coalesce("zone", F.lit("UTC"))})
+        # Read once, as if in UTC: that is the local time of those without a zone, and the instant of the others.
+        rows = with_instant(rows.withColumns({"_utc": F.lit("UTC"), "_local": is_local(F.col("value"))}), "value", "_utc", "_at")
+        return rows.withColumns({"local_us": F.when(F.col("_local"), F.col("_at")), "known": F.when(~F.col("_local"), F.col("_at")), "stated_tz": F.coalesce("zone", F.lit("UTC"))})
 
     all_messages = timed(messages)
     numbered = segmented(all_messages.filter("line_no is not null").select("session_id", "line_no", "msg_id", "stated_tz", "local_us", "known"), ["session_id"], ["line_no", "msg_id"], carried=["known"])
@@ -66,10 +71,11 @@ def p5_zone_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_zone_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_kind, stated_tz, zone (the one chosen when the stated zone is hidden), recovered, records, bounded, violations, and same_instants: how many of the local times the chosen zone turns into the instant that the stated one gives."""
-    chosen = p5_zone_fit(spark, sf_dir).filter("rank = 1").drop("rank")
+    chosen = checkpointed(p5_zone_fit(spark, sf_dir).filter("rank = 1").drop("rank"))  # a row per group, read twice
     written = written_times(spark, sf_dir).withColumn("stated_tz", F.coalesce("zone", F.lit("UTC"))).join(F.broadcast(chosen.select("rec_kind", "stated_tz", F.col("zone").alias("_fit"))), ["rec_kind", "stated_tz"])  # a row per group
-    both = with_instant(with_instant(written, "value", "stated_tz", "_a"), "value", "_fit", "_b").withColumn("local", ~F.col("value").rlike(ZONED) | F.col("value").rlike("[AP]M *$"))
-    same = both.filter("local").groupBy("rec_kind", "stated_tz").agg(F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("same_instants"))
+    local = written.filter(is_local(F.col("value")))
+    both = with_instant(with_instant(local, "value", "stated_tz", "_a"), "value", "_fit", "_b")
+    same = both.groupBy("rec_kind", "stated_tz").agg(F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("same_instants"))
     return chosen.join(same, ["rec_kind", "stated_tz"], "left").select("rec_kind", "stated_tz", "zone", (F.col("zone") == F.col("stated_tz")).alias("recovered"), "records", "bounded", "violations", F.coalesce("same_instants", F.lit(0)).alias("same_instants"))
 
 
