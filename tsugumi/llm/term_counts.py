@@ -80,13 +80,14 @@ def _stack(sigma: int, grams: bool):
     return run
 
 
-def suffix_counts(records: DataFrame, terms: str, record: str, weight: str, ident: str, sigma: int = 5, grams: bool = True) -> DataFrame:
+def suffix_counts(records: DataFrame, terms: str, record: str, weight: str, ident: str, sigma: int = 5, grams: bool = True, one_row: bool = False) -> DataFrame:
     """terms, whole, frequency, records, first_id of every n-gram of up to ``sigma`` terms (whole false) and every whole term list (whole true, of any length).
 
     ``weight`` is how often a row stands (null: not at all), ``record`` what is counted once in
     ``records`` (null: in none), ``ident`` gives the smallest id of a whole list. Empty and null term
     lists count nowhere. With ``grams`` false only whole lists are counted and no inner suffix is made.
-    Rows are counted first, as the number of salts grows with them.
+    Rows are counted first, as the number of salts grows with them. With ``one_row`` every record has one row and its own
+    suffixes are summed by the stack; else they are summed before they are routed.
     """
     spark = records.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -97,8 +98,8 @@ def suffix_counts(records: DataFrame, terms: str, record: str, weight: str, iden
         rows = rows.select("salt", F.posexplode(F.expr(f"transform(t, (x, i) -> IF(i = 0, t, slice(t, i + 1, {sigma})))")).alias("i", "t"), "doc", "w", "id").withColumn("start", F.col("i") == 0)
     else:
         rows = rows.withColumn("start", F.lit(True))
-    # Equal suffixes of one record are summed before they are routed, or a hot record with a hot term would meet in one task.
-    rows = rows.groupBy("salt", "t", "start", "doc").agg(F.sum("w").alias("w"), F.min("id").alias("id"))
+    if not one_row:  # or a hot record with a hot term would meet in one task
+        rows = rows.groupBy("salt", "t", "start", "doc").agg(F.sum("w").alias("w"), F.min("id").alias("id"))
     routed = rows.select("salt", "t", "start", "doc", "w", "id").repartition(n, F.col("t")[0], "salt").sortWithinPartitions("salt", F.col("t").desc())
     parts = routed.mapInArrow(_stack(sigma, grams), _SCHEMA)
     return parts.groupBy("terms", "whole").agg(F.sum("frequency").alias("frequency"), F.sum("records").alias("records"), F.min("first_id").alias("first_id"))
@@ -119,9 +120,9 @@ def term_frequencies(candidates: DataFrame, min_docs: int = 3, common_share: flo
 
 
 def ngram_frequencies(texts: DataFrame, record: str, text: str, sigma: int = 3, min_records: int = 3, common_share: float = 0.04) -> DataFrame:
-    """ngram, size, frequency, records, mark of every run of up to ``sigma`` index terms of ``text``; marks as in ``term_frequencies``, over all rows with a text. Null and empty texts have none."""
+    """ngram, size, frequency, records, mark of every run of up to ``sigma`` index terms of ``text``; marks as in ``term_frequencies``, over all records with a text. Null and empty texts have none. A record has one row, or few."""
     rows = texts.select(F.col(record).cast("long").alias("_id"), index_terms(F.col(text)).alias("_terms"), F.lit(1).alias("_one"))
-    counted = suffix_counts(rows, "_terms", "_id", "_one", "_id", sigma).filter("not whole")
+    counted = suffix_counts(rows, "_terms", "_id", "_one", "_id", sigma, one_row=True).filter("not whole")
     total = texts.filter(F.col(text).isNotNull()).agg(F.count_distinct(record).alias("all_records"))
     mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") * 10_000 >= F.col("all_records") * round(common_share * 10_000), "common")
     return counted.crossJoin(F.broadcast(total)).select(F.array_join("terms", " ").alias("ngram"), F.size("terms").alias("size"), "frequency", "records", mark.alias("mark"))
