@@ -45,6 +45,12 @@ def test_forms(spark):
     assert [(CASES[i][:2], got[i]) for i in got] == [(CASES[i][:2], CASES[i][2]) for i in got]
 
 
+def test_two_instants_side_by_side(spark):
+    df = spark.createDataFrame([("2024-08-06 12:00", "Asia/Tokyo", "Europe/Berlin", 1, "x")], "v string, p string, q string, _t int, _z string")
+    r = with_instant(with_instant(df, "v", "p", "_a"), "v", "q", "_b").first()
+    assert (r._a, r._b, r._t, r._z) == (us(2024, 8, 6, 3), us(2024, 8, 6, 10), 1, "x")
+
+
 def test_session_zone_does_not_matter(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     try:

@@ -72,13 +72,13 @@ def with_instant(df: DataFrame, value: str, zone: str, out: str = "utc_us", roug
     spark = df.sparkSession
     kept = df.columns
     text = F.translate(F.regexp_replace(F.col(value), f"^{SPACE}+|{SPACE}+$", ""), "０１２３４５６７８９−／：．（）　", "0123456789-/:.() ")
-    df = df.withColumn("_t", text)
-    t = F.col("_t")
+    df = df.withColumn("__instant_t", text)
+    t = F.col("__instant_t")
     line = F.when(t.rlike(_FORMS[0][0]), F.regexp_replace(t, *map(F.lit, _FORMS[0])))
     for pattern, to in _FORMS[1:]:
         line = line.when(t.rlike(pattern), F.regexp_replace(t, F.lit(pattern), F.lit(to)))
-    df = df.withColumn("_f", F.split(line, r"\|"))
-    part = lambda i: F.get("_f", F.lit(i))
+    df = df.withColumn("__instant_f", F.split(line, r"\|"))
+    part = lambda i: F.get("__instant_f", F.lit(i))
     filled = lambda i: part(i) != ""
     year_text = part(0)
     era = F.regexp_extract(year_text, r"^(\D*)(\d+|元)$", 1)
@@ -92,44 +92,44 @@ def with_instant(df: DataFrame, value: str, zone: str, out: str = "utc_us", roug
     fourth = F.concat(w_year.cast("string"), F.lit("-01-04")).try_cast("date")
     monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (w_no - 1) * 7)
     in_year = w_no.between(1, 53) & w_day.between(1, 7) & (F.year(F.date_add(monday, 3)) == w_year)
-    df = df.withColumn("_d", F.when(week, F.when(in_year, F.date_add(monday, w_day - 1))).when((year >= 1) & (year <= 9999), date))
+    df = df.withColumn("__instant_d", F.when(week, F.when(in_year, F.date_add(monday, w_day - 1))).when((year >= 1) & (year <= 9999), date))
     hour, minute, second = (F.when(filled(i), part(i).try_cast("int")).otherwise(0) for i in (3, 4, 5))
     half = F.lower(part(8))
     hour = F.when(half.isin("午前", "午後", "am", "pm"), F.when(hour <= 12, hour % 12 + F.when(half.isin("午後", "pm"), 12).otherwise(0))).otherwise(hour)
     fraction = F.when(filled(6), F.rpad(F.substring(part(6), 1, 6), 6, "0").try_cast("int")).otherwise(0)
     clock = F.when(hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59), (hour.cast("long") * 3600 + minute * 60 + second) * US + fraction)
     df = df.withColumns({
-        "_day": F.col("_d").isNotNull() & (week | (part(3) == "")),
-        "_l": F.unix_date("_d").cast("long") * DAY_US + F.when(week, F.lit(0).cast("long")).otherwise(clock),
-        "_z": F.when(week, "").otherwise(F.regexp_replace(part(7), r"^(.+?)\[.*\]$", "$1")),
+        "__instant_day": F.col("__instant_d").isNotNull() & (week | (part(3) == "")),
+        "__instant_l": F.unix_date("__instant_d").cast("long") * DAY_US + F.when(week, F.lit(0).cast("long")).otherwise(clock),
+        "__instant_z": F.when(week, "").otherwise(F.regexp_replace(part(7), r"^(.+?)\[.*\]$", "$1")),
     })
-    z = F.col("_z")
+    z = F.col("__instant_z")
     signed = z.rlike(r"^[+-]\d{2}(:?\d{2})?$")
     digits = F.rpad(F.regexp_replace(z, r"\D", ""), 4, "0").try_cast("int")
     minutes = F.when(signed, F.when((digits <= 1800) & (digits % 100 < 60), (F.floor(digits / 100) * 60 + digits % 100) * F.when(z.startswith("-"), -1).otherwise(1)))
     minutes = minutes.otherwise(F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])[F.upper(z)])
     own = F.when(z.startswith("["), F.regexp_replace(z, r"[\[\]]", ""))
     declared = F.coalesce(own, F.when(~F.coalesce(F.trim(F.col(zone)) == "", F.lit(True)), F.trim(F.col(zone))), F.lit("UTC"))
-    df = df.withColumns({"_off": minutes.cast("long") * (60 * US), "_declared": declared})
+    df = df.withColumns({"__instant_off": minutes.cast("long") * (60 * US), "__instant_declared": declared})
     names = "', '".join(known_zones(spark))
-    df = df.withColumn("_zone", F.expr(f"CASE WHEN _declared IN ('{names}') THEN _declared END"))
-    local, zoned = F.col("_l"), (z == "") | z.startswith("[")
-    before, after = (local - (shifted(local + d, F.col("_zone")) - (local + d)) for d in (-DAY_US, DAY_US))
-    df = df.withColumns({"_a": F.when(zoned, before), "_b": F.when(zoned, after)})
-    a, b = F.col("_a"), F.col("_b")
-    hit_a, hit_b = shifted(a, F.col("_zone")) == local, shifted(b, F.col("_zone")) == local
-    single = F.when(a == b, F.when(hit_a, a)).when(hit_a & hit_b, F.when(F.col("_day"), F.least(a, b))).when(hit_a, a).when(hit_b, b).otherwise(F.when(F.col("_day"), a))
+    df = df.withColumn("__instant_zone", F.expr(f"CASE WHEN __instant_declared IN ('{names}') THEN __instant_declared END"))
+    local, zoned = F.col("__instant_l"), (z == "") | z.startswith("[")
+    before, after = (local - (shifted(local + d, F.col("__instant_zone")) - (local + d)) for d in (-DAY_US, DAY_US))
+    df = df.withColumns({"__instant_a": F.when(zoned, before), "__instant_b": F.when(zoned, after)})
+    a, b = F.col("__instant_a"), F.col("__instant_b")
+    hit_a, hit_b = shifted(a, F.col("__instant_zone")) == local, shifted(b, F.col("__instant_zone")) == local
+    single = F.when(a == b, F.when(hit_a, a)).when(hit_a & hit_b, F.when(F.col("__instant_day"), F.least(a, b))).when(hit_a, a).when(hit_b, b).otherwise(F.when(F.col("__instant_day"), a))
     whole = F.regexp_extract(t, _NUMBER, 1).try_cast("long")
     tail = F.regexp_extract(t, _NUMBER, 2)
     scale = F.when(whole < 10**11, 6).when(whole < 10**14, 3).otherwise(0)
     extra = F.coalesce(F.substring(F.rpad(tail, 6, "0"), F.lit(1), scale).try_cast("long"), F.lit(0).cast("long"))
     numeric = whole * F.when(scale == 6, F.lit(US)).when(scale == 3, F.lit(1000)).otherwise(F.lit(1)) + extra
     bare = t.rlike(_NUMBER)
-    instant = F.when(bare, F.when(whole < 10**17, numeric)).when(zoned, single).otherwise(local - F.col("_off"))
+    instant = F.when(bare, F.when(whole < 10**17, numeric)).when(zoned, single).otherwise(local - F.col("__instant_off"))
     # A later filter on the result would be pushed down through every step above, copying their expressions
     # over and over; it can't pass a projection that is not deterministic.
-    df = df.withColumns({"_out": instant, "_pid": F.spark_partition_id()})
-    df = df.withColumn(out, F.when(F.col("_pid") >= 0, F.col("_out")))
+    df = df.withColumns({"__instant_out": instant, "__instant_pid": F.spark_partition_id()})
+    df = df.withColumn(out, F.when(F.col("__instant_pid") >= 0, F.col("__instant_out")))
     if rough:
-        df = df.withColumn(rough, F.coalesce(F.col("_out"), F.least(F.col("_a"), F.col("_b"))))
+        df = df.withColumn(rough, F.coalesce(F.col("__instant_out"), F.least(F.col("__instant_a"), F.col("__instant_b"))))
     return df.select(*(c for c in kept if c not in (out, rough)), out, *([rough] if rough else []))
