@@ -131,6 +131,13 @@ def test_fusion_and_scores(spark):
     assert tuple(w) == (2.0, 3.0, 1.0, 0.3)
 
 
+def test_only_limited_results_are_ranked_in_one_task(spark):
+    many = spark.range(30_000).select(F.col("id").alias("chunk_id"), F.rand(1).alias("score"))
+    with pytest.raises(ValueError, match="limited"):
+        retrieval.ranks(many, "score")
+    assert retrieval.ranks(retrieval.top(many, 5), "score").count() == 5
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("2026-03-30T08:00:00Z", None, "Daily/Notes/É.md"), (None, None, "x"), ("2026-03-30", "2026-01-01", "daily")], "c string, u string, p string")
     keep = lambda c: [r[0] for r in df.select(c).collect()]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tsugumi import params as P
 from tsugumi.functions.text import utrim
+from tsugumi.plans.bounds import limited
 from tsugumi.plans.pairs import gathered, narrow_pairs, wide_pairs
 
 
@@ -154,7 +155,7 @@ def entity_ranks(chunk_entities: DataFrame, edge_rows: DataFrame, ids: list[int]
     links = chunk_entities.filter("entity_id is not null").distinct()
 
     def hop(found: DataFrame) -> DataFrame:
-        return found.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chunk_id").limit(limit)
+        return limited(found.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chunk_id").limit(limit))
 
     order = Window.orderBy(F.desc("n"), "chunk_id")  # over a limited result
     first = hop(links.filter(F.col("entity_id").isin(ids))).withColumn("rank", F.row_number().over(order) - 1)

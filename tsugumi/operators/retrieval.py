@@ -13,6 +13,7 @@ from tsugumi import params as P
 from tsugumi.functions.analysis import index_terms
 from tsugumi.functions.text import utrim
 from tsugumi.operators.fulltext import scored
+from tsugumi.plans.bounds import few, limited
 
 TOP = 15
 
@@ -58,10 +59,11 @@ def top(ranked: DataFrame, k: int, score: str = "score", key: str = "chunk_id")
     return ranked.orderBy(F.desc(score), key).limit(k)
 
 
-def ranks(limited: DataFrame, score: str, key: str = "chunk_id", first: int = 0, descending: bool = True) -> DataFrame:
-    """key, rank (from ``first``) of a result that was limited before: the window sees no more than those rows."""
+def ranks(held: DataFrame, score: str, key: str = "chunk_id", first: int = 0, descending: bool = True) -> DataFrame:
+    """key, rank (from ``first``) of a result that was limited before: the window sees no more than those rows, and more than it may see are an error."""
+    held = limited(held)
     order = Window.orderBy(F.desc(score) if descending else F.asc(score), key)
-    return limited.select(key, (F.row_number().over(order) - 1 + first).alias("rank"))
+    return held.select(key, (F.row_number().over(order) - 1 + first).alias("rank"))
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -200,13 +202,14 @@ def directory_weight(path: Column, kind: Column, weights: dict[str, float] | Non
 def final_scores(fused: DataFrame, chunks: DataFrame, documents: DataFrame, as_of: str, after: str | None = None, before: str | None = None, paths: list[str] = (), weights: dict[str, float] | None = None, half_lives: dict[str, float] | None = None, threshold: float = P.SCORE_THRESHOLD) -> DataFrame:
     """Candidates with their document, filtered after ranking, scored, above the threshold.
 
-    chunk_id, doc_id, file_path, source_type, section_path, snippet, status, score. The candidates are few
-    (each ranker is limited before), so they are the side that is broadcast.
+    chunk_id, doc_id, file_path, source_type, section_path, snippet, status, score. Where the candidates are few by their
+    plan (each ranker is limited before) they are the side that is broadcast; otherwise the joins are left to Spark.
     """
     from tsugumi.functions.analysis import snippet
 
-    held = chunks.join(F.broadcast(fused), "chunk_id")  # at most the sum of the rankers' limits
-    rows = documents.select("doc_id", "file_path", "source_type", "status", "created", "updated").join(F.broadcast(held.withColumnRenamed("document_id", "doc_id")), "doc_id")
+    small = F.broadcast if few(fused) else lambda x: x
+    held = chunks.join(small(fused), "chunk_id")  # a chunk_id stands once, so no more rows than candidates
+    rows = documents.select("doc_id", "file_path", "source_type", "status", "created", "updated").join(small(held.withColumnRenamed("document_id", "doc_id")), "doc_id")
     rows = rows.filter(in_time(F.col("created"), F.col("updated"), after, before) & in_paths(F.col("file_path"), list(paths)))
     path, kind = F.col("file_path"), F.col("source_type")
     score = F.col("rrf") * time_decay(F.col("updated"), half_life(path, kind, half_lives), as_of) * status_penalty(F.col("status")) * directory_weight(path, kind, weights)

@@ -19,6 +19,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``most`` rows: by its plan (limits and sums over them), else by reading at most ``most + 1`` of them."""
+    known = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return int(known.get()) <= most if known.isDefined() else df.limit(most + 1).count() <= most
+
+
+def limited(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` itself if it has few rows, as what follows puts them all in one task; ValueError otherwise."""
+    if not few(df, most):
+        raise ValueError(f"more than {most} rows where a limited result is needed")
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, which every executor must reach.
 
