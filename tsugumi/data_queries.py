@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tsugumi.operators.incremental import changed_files, committed, run_increment, unprocessed, upper_limit
 from tsugumi.operators.times import fit_zones, normalised
 from tsugumi.functions.instants import with_instant
+from tsugumi.instants_sql import instants
 from tsugumi.plans.bounds import checkpointed, shared_folder
 from tsugumi.plans.segments import segmented
 from tsugumi.tables import table
@@ -127,3 +128,6 @@ WHERE content_hash IS NULL OR content IS NULL OR lower(trim(content_hash)) <> sh
 """,
 }
 SQL["p7_increments"] = SQL["p7_found"]
+_WRITTEN = """SELECT 'document' AS rec_kind, doc_id AS rec_id, field, CASE field WHEN 'created' THEN created ELSE updated END AS value, z.zone FROM documents CROSS JOIN (SELECT unnest(['created', 'updated']) AS field)
+LEFT JOIN (SELECT source, min(tz_name) AS zone FROM sources GROUP BY 1) z USING (source) UNION ALL SELECT 'message', msg_id, 'msg_timestamp', msg_timestamp, client_tz FROM session_messages"""
+SQL["p5_found"] = f"WITH {instants(_WRITTEN, 'rec_kind, rec_id, field')} SELECT rec_kind, rec_id, field, utc_us FROM instants WHERE utc_us IS NOT NULL"
