@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsugumi.functions import analysis, text
+from tsugumi.instants_sql import instants
 from tsugumi.llm import conversations, cooccurrence, markup, mixing, quality, splitting, term_counts, tokens
 from tsugumi.tables import table
 
@@ -161,7 +162,27 @@ t AS (SELECT term, min(candidate_id) AS candidate_id, sum(frequency)::BIGINT AS
 terms AS (SELECT *, CASE WHEN documents < 3 THEN 'rare' WHEN documents * 100 >= 4 * (SELECT count(DISTINCT doc_id) FROM dictionary_candidates) THEN 'common' END AS mark FROM t)
 """
 
+_SIGNS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_OUTER = f"'^{_SIGNS}+|{_SIGNS}+$'"
+_ITEMS = "array_to_string(list_filter(list_transform(from_json(content, '[\"json\"]'), lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' WHEN json_type(x) = 'OBJECT' AND (x ->> '$.type') = 'text' THEN x ->> '$.text' END), lambda t: t IS NOT NULL), chr(10))"
+_TIMED = "SELECT msg_id, msg_timestamp AS value, client_tz AS zone FROM session_messages"
+_SESSIONS = f"""
+WITH {instants(_TIMED, 'msg_id')},
+one AS (SELECT session_id, line_no, message.role AS role, message.content AS content, msg_timestamp, client_tz, min(msg_id) AS msg_id FROM session_messages GROUP BY ALL),
+r AS (SELECT lower(regexp_replace(raw_role, {_OUTER}, '', 'g')) AS raw_role, min(speaker) AS speaker FROM speaker_roles WHERE raw_role IS NOT NULL GROUP BY 1),
+x AS (SELECT one.*, r.speaker, CASE WHEN line_no IS NULL THEN i.rough END AS at_us, starts_with(content, '[{{') OR starts_with(content, '["') AS arr FROM one LEFT JOIN r ON r.raw_role = lower(regexp_replace(role, {_OUTER}, '', 'g')) LEFT JOIN instants i USING (msg_id)),
+t AS (SELECT *, coalesce(arr AND NOT json_valid(content), FALSE) AS bad, CASE WHEN arr THEN CASE WHEN json_valid(content) THEN {_ITEMS} END ELSE content END AS text FROM x),
+s AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no NULLS FIRST, at_us NULLS FIRST, msg_id) AS place, CASE WHEN coalesce(regexp_replace(text, {_OUTER}, '', 'g'), '') <> '' AND speaker IN ('user', 'assistant') THEN speaker END AS who FROM t),
+n AS (SELECT *, lead(who) OVER (PARTITION BY session_id ORDER BY place) AS after FROM s WHERE who IS NOT NULL),
+o AS (SELECT session_id, bool_or(who = 'user' AND after IS DISTINCT FROM 'assistant') AS open FROM n GROUP BY 1),
+g AS (SELECT session_id, bool_or(speaker IS NULL OR bad) AS bad, count(line_no) AS numbered, count(*) AS n, count(DISTINCT line_no) AS lines, min(line_no) AS lo, max(line_no) AS hi, min(place) FILTER (who = 'user') AS u, min(place) FILTER (who = 'assistant') AS a FROM s GROUP BY 1),
+d AS (SELECT g.session_id, CASE WHEN bad OR (numbered > 0 AND (numbered < n OR lo <> 1 OR hi <> lines OR lines < numbered)) OR coalesce(a < u, FALSE) THEN 'broken' WHEN u IS NULL AND a IS NULL THEN 'empty' WHEN open THEN 'missing_reply' END AS reason FROM g LEFT JOIN o ON o.session_id IS NOT DISTINCT FROM g.session_id)
+"""
+
 SQL = {
+    "p1_found": _SESSIONS + "SELECT session_id, reason FROM d WHERE reason IS NOT NULL",
+    "p1_conversations": _SESSIONS + f"""SELECT s.session_id, row_number() OVER (PARTITION BY s.session_id ORDER BY place) AS turn, speaker, regexp_replace(text, {_OUTER}, '', 'g') AS text, utc_us
+FROM s LEFT JOIN instants USING (msg_id) JOIN d ON d.session_id IS NOT DISTINCT FROM s.session_id WHERE reason IS NULL AND coalesce(regexp_replace(text, {_OUTER}, '', 'g'), '') <> ''""",
     "p9_kept": "SELECT source, TRUE AS in_quota, TRUE AS in_repeats, TRUE AS from_source, TRUE AS once_a_text FROM mix_targets",
     "p4_found": _TERMS + "SELECT candidate_id, mark FROM terms WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + "SELECT term, candidate_id, frequency, documents, mark FROM terms",
