@@ -312,7 +312,6 @@ def test_ids_equal_the_library(spark, small):
     texts = {r.doc_id: r.text for r in documents.collect()}
     got = {r.doc_id: r.ids for r in queries.p8_ids(spark, small).collect()}
     assert got == {i: encoder.encode(t, add_special_tokens=False).ids if t else [] for i, t in texts.items()}
-    assert queries.p8_round_trip(spark, small).count() == 0
 
 
 def test_ids_of_odd_texts(spark):

@@ -93,12 +93,9 @@ def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose decoded ids are not their text: none."""
-    documents = table(spark, sf_dir, "documents")
-    digest = lambda c: F.sha2(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 256)
-    back = tokens.decoded(tokens.token_ids(documents)).select("doc_id", digest(F.col("text")).alias("after"))
-    before = documents.select("doc_id", digest(F.col("text")).alias("before"))
-    return before.join(back, "doc_id", "left").filter(~F.col("before").eqNullSafe(F.col("after"))).select("doc_id")
+    """The hash of every document's text as its ids decode to."""
+    back = tokens.decoded(tokens.token_ids(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +177,7 @@ d AS (SELECT g.session_id, CASE WHEN bad OR (numbered > 0 AND (numbered < n OR l
 """
 
 SQL = {
+    "p8_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents",
     "p1_found": _SESSIONS + "SELECT session_id, reason FROM d WHERE reason IS NOT NULL",
     "p1_conversations": _SESSIONS + f"""SELECT s.session_id, row_number() OVER (PARTITION BY s.session_id ORDER BY place) AS turn, speaker, regexp_replace(text, {_OUTER}, '', 'g') AS text, utc_us
 FROM s LEFT JOIN instants USING (msg_id) JOIN d ON d.session_id IS NOT DISTINCT FROM s.session_id WHERE reason IS NULL AND coalesce(regexp_replace(text, {_OUTER}, '', 'g'), '') <> ''""",
