@@ -152,6 +152,13 @@ def front_matter_status(spark: SparkSession, d: str) -> DataFrame:
     return chunking.parsed_notes(table(spark, d, "documents")).filter("status is not null").select("doc_id", "status")
 
 
+@query("""WITH f AS (SELECT doc_id, regexp_extract(text, '(?s)\\A---\\s*\\n(.*?)\\n---\\s*\\n', 1) AS y FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_extract(y, '(?m)^tags:[ ]*\\[(.*)\\][ ]*$', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM f)
+SELECT doc_id, array_to_string(l, '|') AS tags FROM t WHERE len(l) > 0""")
+def front_matter_tags(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.parsed_notes(table(spark, d, "documents")).filter(F.size("tags") > 0).select("doc_id", F.array_join("tags", "|").alias("tags"))
+
+
 @query("""WITH p AS (SELECT doc_id, string_split(file_path, '/') AS s FROM documents),
 l AS (SELECT doc_id, CASE WHEN len(s) >= 3 THEN s[1] || '/' || s[2] ELSE s[1] END AS directory FROM p)
 SELECT doc_id, directory, CASE string_split(directory, '/')[-1] WHEN 'notes' THEN 'note' WHEN 'ideas' THEN 'idea' WHEN 'updates' THEN 'update' WHEN 'products' THEN 'product'
@@ -737,9 +744,12 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.page(table(spark, d, "chunks").select("chunk_id"), "chunk_id", 100, 64)
 
 
-@query()
+@query("SELECT chunk_id, 64 AS size, TRUE AS unit, NULL::VARCHAR AS reason FROM chunks")
 def encoded_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return maintenance.encoded(table(spark, d, "chunks"), maintenance.hashed_embedding())
+    """Every chunk has a vector of unit length (or of none, where its signs cancel out) from the stand-in encoder and no reason to be skipped."""
+    made = maintenance.encoded(table(spark, d, "chunks"), maintenance.hashed_embedding())
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return made.select("chunk_id", F.size("embedding").alias("size"), ((F.abs(length - 1) < 1e-4) | (length == 0)).alias("unit"), "reason")
 
 
 @query("WITH " + _CAND + """, h AS (SELECT 'Database' AS section, 'ok' AS status, 'documents' AS message, count(*) AS value FROM documents UNION ALL SELECT 'Database', 'ok', 'chunks', count(*) FROM chunks UNION ALL SELECT 'Database', 'ok', 'vectors', count(*) FROM embeddings
