@@ -232,7 +232,8 @@ _INDEXES: dict[tuple[str, str], str] = {}
 def stored_index(spark: SparkSession, d: str) -> fulltext.Index:
     """The stored index of a data folder, written by the first query of a session that needs it."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{_INDEXES.get(key)}/stats/_SUCCESS")
+    if key not in _INDEXES or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         fulltext.build(table(spark, d, "chunks"), folder)
         _INDEXES[key] = folder
@@ -766,3 +767,24 @@ def last_states(spark: SparkSession, d: str) -> DataFrame:
     """What the stream of file events keeps, over all events at once."""
     events = table(spark, d, "file_scans").filter("file_hash is not null").select("file_path", "file_hash", F.col("scanned_at").alias("at"))
     return watch.merged(spark.createDataFrame([], watch.EVENT), events).select("file_path", "file_hash")
+
+
+@query("SELECT file_path, arg_max(file_hash, (scanned_at, file_hash)) AS file_hash FROM file_scans WHERE file_hash IS NOT NULL GROUP BY 1")
+def watched_states(spark: SparkSession, d: str) -> DataFrame:
+    """The same states by the stream: events arrive in two halves, one after the other, and what the stream keeps is read back."""
+    folder = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    events = table(spark, d, "file_scans").filter("file_hash is not null").select("file_path", "file_hash", F.col("scanned_at").cast("timestamp").alias("at"), F.pmod(F.col("scan_id"), F.lit(2)).alias("half"))
+    for half in (0, 1):
+        events.filter(F.col("half") == half).drop("half").write.mode("append").parquet(f"{folder}/events")
+        watch.watch(spark, f"{folder}/events", f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return watch.current(spark, f"{folder}/index").select("file_path", "file_hash")
+
+
+@query("SELECT session_id AS session, line_no, message.role AS role, message.content AS content, msg_timestamp AS timestamp FROM session_messages")
+def session_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Messages written as JSON lines and read back, among blank and broken lines."""
+    own = table(spark, d, "session_messages")
+    value = F.to_json(F.struct("message", F.col("msg_timestamp").alias("timestamp")))
+    lines = own.select(F.col("session_id").alias("session"), "line_no", value.alias("value"))
+    broken = own.select(F.col("session_id").alias("session"), "line_no", F.explode(F.array(F.lit(""), F.lit("  "), F.lit('{"message":'))).alias("value"))
+    return sessions.parsed_lines(lines.unionByName(broken))
