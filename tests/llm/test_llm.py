@@ -387,12 +387,36 @@ def test_mixture_of_copies(spark, monkeypatch):
     assert {(r.doc_id, r.source) for r in chosen.collect()} <= {(i, s) for i, s, _ in rows}
 
 
+def test_mixture_of_many_patterns(spark):
+    """Every source keeps all its texts, however many sets of sources there are: the total is bounded by the tokens of each set of sources alone."""
+    names, rng = ["big", *"abcdefghi"], random.Random(5)
+    capacity = {p: rng.randrange(5, 40) for p in range(1, 1024, 2)}  # patterns as bits, all with "big"
+    rows = [(p, s, n) for p, n in capacity.items() for i, s in enumerate(names) if p >> i & 1]
+    shares = {s: 0.82 if s == "big" else 0.02 for s in names}
+    chosen, report = mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), spark.createDataFrame([(s, w, 1) for s, w in shares.items()], "source string, target_share double, max_repeats int"))
+    got, used = {r.source: r for r in report.collect()}, chosen.collect()
+    most = {u: sum(n for p, n in capacity.items() if p & u) for u in range(1, 1024)}
+    fits = lambda t: (q := mixing.quotas_of(t, shares)) and all(sum(q[s] for i, s in enumerate(names) if u >> i & 1) <= n for u, n in most.items())
+    total = next(t for t in range(most[1023], 0, -1) if fits(t))
+    assert len(capacity) > mixing.MAX_PATTERNS and sum(r.quota for r in got.values()) == total
+    assert all(abs(r.tokens - r.quota) <= 40 for r in got.values()) and all(n == 1 for n in Counter(r.doc_id for r in used for _ in range(r.uses)).values())
+
+
 def test_flow_is_cheapest():
     flow = mixing.route({("a",): 10, ("a", "b"): 10}, {"a": 10, "b": 10}, {"a": 2, "b": 2})
     assert flow == {(("a",), "a"): 10, (("a", "b"), "b"): 10}
     assert mixing.quotas_of(10, {"a": 1, "b": 1, "c": 1}) == {"a": 4, "b": 3, "c": 3}
 
 
+def test_flow_over_several_sources():
+    """Tokens are moved on over sources in between, and a second use is made only of what no other source can spare."""
+    capacity, twice = {("a", "b"): 10, ("b", "c"): 10, ("c", "d"): 10, ("a",): 1}, dict.fromkeys("abcd", 2)
+    flow = mixing.route(capacity, {"a": 11, "b": 0, "c": 10, "d": 10}, twice)
+    assert flow == {(("a",), "a"): 1, (("a", "b"), "a"): 10, (("b", "c"), "c"): 10, (("c", "d"), "d"): 10}
+    assert mixing.largest_total(capacity, {"a": 0.5, "d": 0.5}, {"a": 3, "d": 2}) == 41  # a gets 21
+    assert mixing.largest_total({("a",): 10**12, ("b",): 3}, {"a": 0.5, "b": 0.5}, {"a": 2**31 - 1, "b": 2**31 - 1}) == 2 * 3 * (2**31 - 1) + 1
+
+
 def test_rules_on_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     try:

@@ -1,14 +1,13 @@
 """Mixtures of sources in target shares, routed by min-cost flow over membership patterns.
 
-Texts are aggregated by the set of sources they stand in. On that small network (patterns by sources, both bounded)
+Texts are aggregated by the set of sources they stand in. On that network (all patterns by sources, held by the driver)
 token capacity is routed to the sources' quotas; using a pattern once more costs more each time. The flow then picks
 texts: a pattern's texts stand in a seeded order, and every source gets an interval of that sequence.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,73 +16,106 @@ from tsugumi.plans.bounds import checkpointed
 from tsugumi.plans.segments import segmented
 
 
-#: Bounds of what the driver holds: target sources, and patterns of sources in the network.
+#: The driver holds at most so many target sources; intervals of more patterns than the second are joined by a shuffle, not broadcast.
 MAX_TARGETS, MAX_PATTERNS = 10_000, 256
 
 
 class Network:
-    """Min-cost flow by successive shortest paths; arcs have integer capacities and costs."""
-
-    def __init__(self, nodes: int):
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def run(self, start: int, end: int) -> int:
-        total = 0
-        while True:
-            best: list[float] = [float("inf")] * len(self.out)
-            via = [-1] * len(self.out)
-            best[start] = 0
-            queue, waiting = deque([start]), {start}
-            while queue:
-                a = queue.popleft()
-                waiting.discard(a)
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] > 0 and best[a] + self.cost[e] < best[b]:
-                        best[b], via[b] = best[a] + self.cost[e], e
-                        if b not in waiting:
-                            waiting.add(b)
-                            queue.append(b)
-            if via[end] < 0:
-                return total
-            path, at = [], end
-            while at != start:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            push = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= push
-                self.room[e ^ 1] += push
-            total += push
+    """Flow of tokens from patterns to sources on shortest paths, as arrays with one entry for each source of each pattern.
+
+    Paths are told by their sources alone: a step from one source to the next is taken by all patterns that hold both at
+    once, so the number of paths depends on the sources and not on the patterns.
+    """
+
+    def __init__(self, capacity: dict[tuple[str, ...], int], repeats: dict[str, int]):
+        self.patterns, self.sources = sorted(capacity), sorted(repeats)
+        number = {s: j for j, s in enumerate(self.sources)}
+        held = np.array([(number[s], i) for i, p in enumerate(self.patterns) for s in p if s in number], dtype=np.int64).reshape(-1, 2)
+        self.source, self.pattern = held[np.lexsort((held[:, 1], held[:, 0]))].T
+        self.ends = np.searchsorted(self.source, np.arange(len(self.sources) + 1))
+        self.whole = np.int64 if sum(capacity.values()) * max(repeats.values(), default=0) * (len(capacity) + 1) < 2**62 else object  # sums over all patterns must fit
+        self.capacity = np.array([capacity[p] for p in self.patterns], dtype=self.whole)
+        self.repeats = np.array([repeats[s] for s in self.sources], dtype=self.whole)[self.source]
+        self.most = np.zeros(len(self.patterns), dtype=self.whole)  # uses of a pattern
+        np.maximum.at(self.most, self.pattern, self.repeats)
+
+    def open(self, quotas: dict[str, int]) -> None:
+        """No flow yet."""
+        self.need = np.array([quotas[s] for s in self.sources], dtype=self.whole)
+        self.room = self.repeats * self.capacity[self.pattern]
+        self.flow, self.slack = np.zeros_like(self.room), np.zeros_like(self.capacity)
+
+    def once_more(self, use: int) -> None:
+        self.slack += np.where(self.most >= use, self.capacity, 0)
+
+    def all_uses(self) -> None:
+        self.slack = self.most * self.capacity
+
+    def fill(self) -> None:
+        """The largest flow that slack and rooms allow. Where a source still needs tokens, ``before`` tells the sources on its side of the cut (-2)."""
+        while self.need.any():
+            ends = self._search()
+            if not len(ends):
+                return
+            for t in ends:
+                self._push(int(t))
+
+    def _search(self) -> np.ndarray:
+        """The nearest sources in need; ``before`` holds the source before each on the path (-1: none, -2: not reached)."""
+        self.before, via = np.full(len(self.sources), -2), np.where(self.slack > 0, -1, -2)
+        new = self.slack > 0
+        while new.any():
+            e = new[self.pattern] & (self.room > 0) & (self.before[self.source] == -2)
+            found = np.unique(self.source[e])
+            self.before[self.source[e]] = via[self.pattern[e]]
+            ends = found[self.need[found] > 0]
+            if len(ends):
+                return ends
+            e = np.isin(self.source, found) & (self.flow > 0) & (via[self.pattern] == -2)
+            via[self.pattern[e]] = self.source[e]
+            new = np.zeros(len(self.patterns), dtype=bool)
+            new[self.pattern[e]] = True
+        return np.array([], dtype=np.int64)
+
+    def _push(self, end: int) -> None:
+        path = [end]
+        while self.before[path[0]] >= 0:
+            path.insert(0, int(self.before[path[0]]))
+        entries = [slice(self.ends[s], self.ends[s + 1]) for s in path]
+        give, most = self.slack, []
+        for e in entries:
+            most.append(np.minimum(give[self.pattern[e]], self.room[e]))
+            give = np.zeros_like(self.slack)
+            give[self.pattern[e]] = self.flow[e]
+        n = min(self.need[end], *(m.sum() for m in most))
+        for i, e in enumerate(entries):
+            part = np.diff(np.minimum(np.cumsum(most[i]), n), prepend=0)
+            self.flow[e] += part
+            self.room[e] -= part
+            if i == 0:
+                self.slack[self.pattern[e]] -= part
+            else:
+                moved = part > 0
+                back = self.ends[path[i - 1]] + np.searchsorted(self.pattern[entries[i - 1]], self.pattern[e][moved])
+                self.flow[back] -= part[moved]
+                self.room[back] += part[moved]
+        self.need[end] -= n
 
 
 def route(capacity: dict[tuple[str, ...], int], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple[tuple[str, ...], str], int]:
-    """Tokens of each pattern given to each source. The r-th use of a pattern costs r squared, so capacity is used evenly before it is repeated."""
-    patterns, sources = sorted(capacity), sorted(quotas)
-    net = Network(2 + len(patterns) + len(sources))
-    end = 1 + len(patterns) + len(sources)
-    arcs = {}
-    for i, p in enumerate(patterns, 1):
-        for r in range(1, max((repeats[s] for s in p if s in quotas), default=0) + 1):
-            net.arc(0, i, capacity[p], r * r)
-        for j, s in enumerate(sources, 1 + len(patterns)):
-            if s in p:
-                arcs[p, s] = net.arc(i, j, capacity[p] * repeats[s], 0)
-    for j, s in enumerate(sources, 1 + len(patterns)):
-        net.arc(j, end, quotas[s], 0)
-    net.run(0, end)
-    return {k: net.room[e ^ 1] for k, e in arcs.items() if net.room[e ^ 1] > 0}
+    """Tokens of each pattern given to each source. The r-th use of a pattern costs r squared, so capacity is used evenly before it is repeated.
+
+    A path that adds to a flow takes back no use of a pattern, so the flow is cheapest if no second use is allowed before all first ones are filled, and so on.
+    """
+    net = Network(capacity, {s: repeats[s] for s in quotas})
+    net.open(quotas)
+    left, use = net.need.sum() + 1, 0
+    while 0 < net.need.sum() < left:
+        left, use = net.need.sum(), use + 1
+        net.once_more(use)
+        net.fill()
+    e = np.flatnonzero(net.flow)
+    return {(net.patterns[i], net.sources[j]): n for i, j, n in zip(net.pattern[e].tolist(), net.source[e].tolist(), net.flow[e].tolist())}
 
 
 def quotas_of(total: int, shares: dict[str, float]) -> dict[str, int]:
@@ -96,26 +128,28 @@ def quotas_of(total: int, shares: dict[str, float]) -> dict[str, int]:
 
 
 def largest_total(capacity: dict[tuple[str, ...], int], shares: dict[str, float], repeats: dict[str, int]) -> int:
-    """The largest mixture in which every source still fills its quota."""
-    lo, hi = 0, sum(n * max((repeats[s] for s in p if s in shares), default=0) for p, n in capacity.items())
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if sum(route(capacity, quotas_of(mid, shares), repeats).values()) == mid:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
-
-
-def _bounded(owned: DataFrame, most: int) -> DataFrame:
-    """``owned`` with at most ``most`` patterns besides single sources: texts of the patterns with least tokens count for one of their sources, the one with least tokens in all."""
-    sums = owned.groupBy("pattern").agg(F.sum("tokens").alias("n"))
-    if sums.filter(F.size("pattern") > 1).limit(most + 1).count() <= most:
-        return owned
-    kept = F.broadcast(sums.filter(F.size("pattern") > 1).orderBy(F.desc("n"), "pattern").limit(most).select("pattern", F.lit(True).alias("_kept")))
-    scarce = owned.select(F.explode("pattern").alias("s"), "tokens").groupBy("s").agg(F.sum("tokens").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("_room"))  # one row
-    least = F.array_min(F.transform("pattern", lambda x: F.struct(F.element_at(F.col("_room"), x).alias("n"), x.alias("s")))).getField("s")
-    return owned.join(kept, "pattern", "left").crossJoin(F.broadcast(scarce)).withColumn("pattern", F.when(F.col("_kept") | (F.size("pattern") == 1), F.col("pattern")).otherwise(F.array(least))).select(*owned.columns)
+    """The largest mixture in which every source still fills its quota.
+
+    Where the quotas of a total can't be filled, the sources on the far side of the cut and what they can get bound the total; the search goes down from bound to bound.
+    """
+    net = Network(capacity, {s: repeats[s] for s in shares})
+    total, cuts = sum(n * max((repeats[s] for s in p if s in shares), default=0) for p, n in capacity.items()), []
+    while total > 0:
+        quotas = quotas_of(total, shares)
+        if any(sum(quotas[s] for s in far) > most for far, most in cuts):
+            total -= 1
+            continue
+        net.open(quotas)
+        net.all_uses()
+        net.fill()
+        if not net.need.any():
+            return total
+        far = [s for s, b in zip(net.sources, net.before) if b == -2]
+        most = sum(quotas[s] for s in far) - int(net.need.sum())
+        cuts.append((far, most))
+        # Each quota is less than one below its share.
+        total = min(total - 1, int((most + len(far)) * sum(shares.values()) / sum(shares[s] for s in far)) + 1)
+    return 0
 
 
 def mixture(members: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 1, unit: list[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +172,7 @@ def mixture(members: DataFrame, targets: DataFrame, total: int | None = None, se
     owned = each.groupBy(*[f"_u{i}" for i in range(len(unit))]).agg(F.map_from_entries(F.collect_list(F.struct("source", "doc_id"))).alias("docs"), F.max("tokens").alias("tokens"))  # at most a row per source
     owned = owned.select(F.sort_array(F.map_keys("docs")).alias("pattern"), "docs", F.array_min(F.map_values("docs")).alias("first"), "tokens")
     # Used for the capacities and for the selection; counting tokens twice would cost more.
-    owned = _bounded(checkpointed(owned), MAX_PATTERNS)
+    owned = checkpointed(owned)
     capacity = {tuple(r.pattern): r.n for r in owned.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}
     held = {s for p in capacity for s in p}
     use = {s: r for s, r in wanted.items() if s in held and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0}
@@ -154,7 +188,7 @@ def mixture(members: DataFrame, targets: DataFrame, total: int | None = None, se
     spark = members.sparkSession
     intervals = spark.createDataFrame(spans, "pattern array<string>, source string, lo long, hi long, size long")  # one row per pattern and source
     placed = segmented(owned.withColumn("_h", F.xxhash64(F.lit(seed), "first")), ["pattern"], ["_h", "first"], sums=["tokens"])
-    joined = placed.join(F.broadcast(intervals), "pattern")
+    joined = placed.join(F.broadcast(intervals) if len(capacity) <= MAX_PATTERNS else intervals, "pattern")
     # Copies of the sequence start at 0, size, 2 size, ...; a document's middle stands at the same place in each.
     upto = lambda x: F.ceil((F.col(x) * 2 - F.col("before_tokens") * 2 - F.col("tokens")) / (F.col("size") * 2))
     uses = F.greatest(F.lit(0), upto("hi")) - F.greatest(F.lit(0), upto("lo"))
