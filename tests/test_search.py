@@ -332,6 +332,25 @@ def test_entity_links_with_hot_entities_and_copies(spark, monkeypatch):
     assert links.entity_links(chunk_entities.limit(0), owned).count() == 0
 
 
+def test_nearest_sets_are_exactly_the_best(spark, monkeypatch):
+    """Against brute force, with many blocks, few frequent items, ties, copies and sets of over 255 items; no more than the best leave it."""
+    import random
+
+    monkeypatch.setattr(links, "HELD_SETS", 16)
+    monkeypatch.setattr(links, "OWN_SETS", 9)
+    monkeypatch.setattr(links, "HOT_ITEMS", 2)
+    rng = random.Random(5)
+    sets = {d * 3 - 90: {0, *(min(rng.randrange(1, 40), rng.randrange(1, 40)) for _ in range(rng.randrange(7)))} for d in range(110)} | {d: {0, 5, 7} for d in range(400, 430)} | {d: set(range(1000, 1300 + d)) for d in (500, 501)} | {600: {0}, 601: {-1, -2, 9999}}
+    df = spark.createDataFrame([(d, sorted(s)) for d, s in sets.items()], "id long, items array<long>")
+    wanted = {d: [(x, -n) for n, x in sorted((-len(s & o), x) for x, o in sets.items() if x != d and len(s & o) >= 2)[:4]] for d, s in sets.items()}
+    for own in (df, df.filter("id % 2 = 0"), df.filter("id = 500"), df.filter("id = 7000")):
+        got = {}
+        for r in links.nearest(df, own, 2, 4).collect():
+            got.setdefault(r.own, []).append((r.other, r.shared))
+        assert {d: sorted(l, key=lambda x: (-x[1], x[0])) for d, l in got.items()} == {r.id: wanted[r.id] for r in own.collect() if wanted[r.id]}
+    assert wanted[500] == [(501, 800)]
+
+
 def test_related_by_one_tag(spark):
     docs = spark.createDataFrame([(i, f"{c}.md") for i, c in enumerate("abcdef")], "doc_id long, file_path string")
     tags = spark.createDataFrame([(0, "db"), (1, "db"), (2, "db"), (2, "rust"), (3, "rust"), (3, "web"), (4, "sea")], "doc_id long, name string")

@@ -14,6 +14,7 @@ from tsugumi import params as P
 from tsugumi.plans.bounds import broadcast_if_small, checkpointed
 
 BLOCK_SETS, SLAB = 512, 32
+OWN_SETS, HELD_SETS, HOT_ITEMS = 4096, 65_536, 512
 
 LINKS = "doc_a long, doc_b long, link_type string, strength double"
 TAG_LINKS = "set_a string, set_b string, shared int, strength double, documents_a long, documents_b long"
@@ -50,10 +51,10 @@ def explicit_links(documents: DataFrame, text: str = "text") -> DataFrame:
     return resolved_links(link_targets(documents, text), documents)
 
 
-def _meet(best: int | None, least: int, block: int):
-    """Rows of (own, id, items, at), a block of sets that hold one item and others that hold it too, to own, other, shared of those that first meet on it.
+def _meet(least: int, block: int):
+    """Rows of (own, id, items, at), a block of sets that hold one item and others that hold it too, to own, other, shared (own < other) of those that first meet on it.
 
-    Overlaps come from products of 0/1 matrices over the items of the block. With ``best`` every set of it keeps its best others of the row (ties by id), else every pair with own < other is kept.
+    Overlaps come from products of 0/1 matrices over the items of the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +74,6 @@ def _meet(best: int | None, least: int, block: int):
                 known[np.unique(code[mine[row]])] = 0
                 known[known == 0] = np.arange((known == 0).sum())  # columns: the items of the block
                 code = known[code]
-                rank = np.empty(len(ids), np.int64)
-                rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
                 same = pc.rank(ids, tiebreaker="dense").to_numpy()
                 starts = np.concatenate(([0], np.cumsum(sizes)))
 
@@ -90,41 +89,24 @@ def _meet(best: int | None, least: int, block: int):
                     return whole, rarer
 
                 whole, rarer = matrices(x)
-                top_worth, top_other = np.full((len(x), 0), -1), np.full((len(x), 0), -1)
                 for k in range(0, len(others), block):
                     y = others[k : k + block]
                     whole_y, rarer_y = matrices(y)
                     shared = (whole @ whole_y.T).astype(np.int64)
-                    ok = (shared >= least) & (rarer @ rarer_y.T == 0)
-                    if best is None:
-                        ok &= same[x][:, None] < same[y][None, :]
-                        i, j = np.nonzero(ok)
-                        if len(i):
-                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[i])), ids.take(pa.array(y[j])), pa.array(shared[i, j], pa.int64())], names=["own", "other", "shared"])
-                        continue
-                    ok &= same[x][:, None] != same[y][None, :]
-                    # One number for shared and id; no two others of a set are alike.
-                    worth = np.concatenate((top_worth, np.where(ok, shared * len(ids) + len(ids) - 1 - rank[y][None, :], -1)), axis=1)
-                    other = np.concatenate((top_other, np.broadcast_to(y, ok.shape)), axis=1)
-                    if worth.shape[1] > best:
-                        keep = np.argpartition(-worth, best - 1, axis=1)[:, :best]
-                        worth, other = np.take_along_axis(worth, keep, 1), np.take_along_axis(other, keep, 1)
-                    top_worth, top_other = worth, other
-                if best is not None:
-                    i, j = np.nonzero(top_worth >= 0)
+                    i, j = np.nonzero((shared >= least) & (rarer @ rarer_y.T == 0) & (same[x][:, None] < same[y][None, :]))
                     if len(i):
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[i])), ids.take(pa.array(top_other[i, j])), pa.array(top_worth[i, j] // len(ids), pa.int64())], names=["own", "other", "shared"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[i])), ids.take(pa.array(y[j])), pa.array(shared[i, j], pa.int64())], names=["own", "other", "shared"])
 
     return run
 
 
-def overlaps(sets: DataFrame, least: int, best: int | None = None) -> DataFrame:
-    """own, other, shared of sets (id, items: distinct array) that share at least ``least`` items: all pairs with own < other, or with ``best`` about the best others of each set in both directions (no others are better; take the first ``best`` by shared and id).
+def overlaps(sets: DataFrame, least: int) -> DataFrame:
+    """own, other, shared of all pairs with own < other of sets (id, items: distinct array) that share at least ``least`` items.
 
     Items of a set are ordered from the rarest; two sets that share ``least`` items share one of their first
     size - least + 1, so only those are met on, and a pair counts on the rarest it shares. The sets of an item stand in
     blocks of about ``BLOCK_SETS``; each block meets all others, ``SLAB`` of them in a row, so a hot item is spread over many rows of
-    bounded size, and its pairs are never rows unless they are kept: at most ``best`` of each set and slab.
+    bounded size.
     """
     kind = sets.schema["id"].dataType.simpleString()
     each = sets.select("id", F.explode("items").alias("item"))
@@ -138,7 +120,142 @@ def overlaps(sets: DataFrame, least: int, best: int | None = None) -> DataFrame:
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda a: F.struct(a.alias("a"), slabs(F.col("block")).alias("slab"), F.lit(False).alias("own")))
     spread = spread.select("item", "id", "items", "at", F.explode(F.concat(own, other)).alias("m"))
     met = spread.groupBy("item", "m.a", "m.slab").agg(F.collect_list(F.struct("m.own", "id", "items", "at")).alias("rows"))
-    return met.select("rows").mapInArrow(_meet(best, least, BLOCK_SETS), f"own {kind}, other {kind}, shared long")
+    return met.select("rows").mapInArrow(_meet(least, BLOCK_SETS), f"own {kind}, other {kind}, shared long")
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, sizes and all items of the sets (id, items) of a partition, by id."""
+    ids, sizes, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for batch in batches:
+        ids.append(batch.column(0).to_numpy())
+        sizes.append(batch.column(1).value_lengths().to_numpy().astype(np.int64))
+        items.append(batch.column(1).flatten().to_numpy())
+    ids, sizes, items = np.concatenate(ids), np.concatenate(sizes), np.concatenate(items)
+    order = np.argsort(ids)
+    starts, ends = (np.cumsum(sizes) - sizes)[order], np.cumsum(sizes[order])
+    return ids[order], sizes[order], items[np.arange(len(items)) + np.repeat(starts - ends + sizes[order], sizes[order])]
+
+
+def _row(*values: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], names=names)
+
+
+def _own_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sets of the partition."""
+    ids, sizes, items = _flat(batches)
+    if len(ids):
+        yield _row(ids, sizes, items, names=["own", "sizes", "wanted"])
+
+
+def _held_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sets of the partition turned round: distinct items, where the places of each end, the places (in ids) of the sets that hold it."""
+    ids, sizes, items = _flat(batches)
+    if len(ids):
+        order = np.argsort(items, kind="stable")
+        kinds, counts = np.unique(items, return_counts=True)
+        places = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[:1]), *_row(ids, kinds, np.cumsum(counts), places, names=["ids", "kinds", "ends", "places"]).columns], names=["first", "ids", "kinds", "ends", "places"])
+
+
+def _first(found: bytearray, most: int) -> list[int]:
+    """The first ``most`` places of ones."""
+    places, at = [], found.find(1)
+    while at >= 0 and len(places) < most:
+        places.append(at)
+        at = found.find(1, at + 1)
+    return places
+
+
+def _scan(best: int, least: int):
+    """Rows of a block of own sets and a block of held sets, all of the former for one of the own ones next to each other, to own, other, shared.
+
+    The sets of a block that hold a frequent item are a line of bytes; the lines of an own set's items are added, places of rare items are counted up.
+    """
+
+    def finish(own: np.ndarray, tops: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(own), 1024):
+            part = tops[k : k + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[k : k + 1024], [len(c) for c, _ in part])), pa.array(np.concatenate([i for _, i in part])), pa.array(np.concatenate([c for c, _ in part]))], names=["own", "other", "shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = {n: np.frombuffer(batch.column(n)[r].as_buffer(), np.int32 if n == "places" else np.int64) for n in ("own", "sizes", "wanted", "ids", "kinds", "ends", "places")}
+                if key is None or not np.array_equal(key, block["own"]):
+                    if key is not None:
+                        yield from finish(key, tops)
+                    key, sizes, wanted = block["own"].copy(), block["sizes"].copy(), block["wanted"].copy()
+                    line, starts = np.repeat(np.arange(len(key)), sizes), np.concatenate(([0], np.cumsum(sizes)))
+                    tops = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(key)
+                    bar, last = np.full(len(key), least - 1), np.full(len(key), np.iinfo(np.int64).min)  # what must be exceeded; the highest id kept with it
+                ids, kinds, ends, places = block["ids"], block["kinds"], block["ends"], block["places"].astype(np.int64)  # numpy indexes by these fastest
+                begins = np.concatenate(([0], ends[:-1]))
+                hot = np.argsort(begins - ends, kind="stable")[:HOT_ITEMS]
+                hot = hot[(ends - begins)[hot] > len(ids) / 128]  # beyond this share adding a line is faster
+                lines, line_of = np.zeros((len(hot), len(ids)), np.uint8), np.full(len(kinds) + 1, -1)
+                line_of[hot] = np.arange(len(hot))
+                for i, h in enumerate(hot):
+                    lines[i, places[begins[h] : ends[h]]] = 1
+                code = np.minimum(np.searchsorted(kinds, wanted), len(kinds) - 1)
+                code[kinds[code] != wanted] = len(kinds)
+                held = np.bincount(line[code < len(kinds)], minlength=len(key))
+                # A set of this block with as many shared items counts only if its id is lower than the last one kept.
+                most = np.where(ids[0] > last, bar, np.maximum(bar - 1, least - 1))
+                found = bytearray(len(ids))
+                mask, small, large = np.frombuffer(found, bool), np.empty(len(ids), np.uint8), None
+                self_at = np.searchsorted(ids, key)
+                self_at[self_at == len(ids)] = 0
+                is_self = ids[self_at] == key
+                rows = line_of[code]
+                for k in np.flatnonzero(held > most):
+                    s = slice(starts[k], starts[k + 1])
+                    items, adds = code[s], rows[s]
+                    if held[k] > 255 and large is None:
+                        large = np.empty(len(ids), np.uint32)
+                    counts = small if held[k] <= 255 else large
+                    counts[:] = 0
+                    for i in adds[adds >= 0].tolist():
+                        np.add(counts, lines[i], out=counts)
+                    for i in items[(adds < 0) & (items < len(kinds))].tolist():
+                        counts[places[begins[i] : ends[i]]] += 1
+                    if is_self[k]:
+                        counts[self_at[k]] = 0
+                    low, high = int(most[k]) + 1, int(counts.max())
+                    if high < low:
+                        continue
+                    np.greater_equal(counts, high, out=mask)
+                    while high > low and np.count_nonzero(mask) < best:
+                        high -= 1
+                        np.greater_equal(counts, high, out=mask)
+                    np.equal(counts, high, out=mask)  # of the lowest count that is needed those with the lowest ids, and the few with more
+                    at = _first(found, best)
+                    np.greater(counts, high, out=mask)
+                    at = np.array(at + _first(found, best))
+                    shared = counts[at]
+                    top, other = np.concatenate((tops[k][0], shared.astype(np.int64))), np.concatenate((tops[k][1], ids[at]))
+                    keep = np.lexsort((other, -top))[:best]
+                    tops[k] = top[keep], other[keep]
+                    if len(keep) == best:
+                        bar[k], last[k] = top[keep[-1]], other[keep[-1]]
+        if key is not None:
+            yield from finish(key, tops)
+
+    return run
+
+
+def nearest(sets: DataFrame, own: DataFrame, least: int, best: int) -> DataFrame:
+    """own, other, shared: for every set of ``own`` (id long, items: distinct array of long) exactly its ``best`` others of ``sets`` that share most items, at least ``least``; ties by id.
+
+    ``sets`` stand in blocks of ``HELD_SETS`` by id, ``own`` in blocks of ``OWN_SETS``; a task takes one own block past all blocks of sets, each a row of bounded size,
+    and keeps the best so far, so pairs are never rows. From a block with higher ids only a set that shares more than the last one kept can count;
+    where an own set has too few of a block's items for that, the block is passed over. Both tables are read several times.
+    """
+    spread = lambda df, size: max(1, -(-df.count() // size))
+    held = sets.select("id", "items").repartitionByRange(spread(sets, HELD_SETS), "id").mapInArrow(_held_block, "first long, ids binary, kinds binary, ends binary, places binary")
+    held = held.repartition(1).sortWithinPartitions("first")
+    mine = own.select("id", "items").repartition(spread(own, OWN_SETS), "id").mapInArrow(_own_block, "own binary, sizes binary, wanted binary")
+    return mine.hint("shuffle_replicate_nl").crossJoin(held).mapInArrow(_scan(best, least), "own long, other long, shared long")
 
 
 def tag_classes(document_tags: DataFrame) -> DataFrame:
@@ -164,23 +281,27 @@ def tag_links(document_tags: DataFrame) -> DataFrame:
     return both.select("set_a", "set_b", "shared", (F.lit(P.TAG_STRENGTH) * F.col("shared") / F.greatest(size("set_a"), size("set_b"))).alias("strength"), "documents_a", "documents_b")
 
 
-def entity_links(chunk_entities: DataFrame, chunks: DataFrame, per_document: int = P.ENTITY_LINKS_PER_DOCUMENT) -> DataFrame:
+def entity_links(chunk_entities: DataFrame, chunks: DataFrame, per_document: int = P.ENTITY_LINKS_PER_DOCUMENT, own: DataFrame | None = None) -> DataFrame:
     """Strength min(ln(shared) / 10, .6) above .05, for documents that share at least two entities; the 20 strongest of each document (ties by id) are kept, a link stays if either end keeps it.
 
     Documents with the same entities are one class, told by two 64-bit hashes; classes are compared, and of a class the lowest ids, one more than are kept, stand for it.
+    With ``own`` (doc_id) only the links that those documents keep, against all.
     """
     owned = chunk_entities.filter("entity_id is not null").join(chunks.select("chunk_id", "document_id"), "chunk_id").groupBy(F.col("document_id").alias("doc_id")).agg(F.sort_array(F.collect_set("entity_id")).alias("items")).filter(F.size("items") > 1)
-    keyed = owned.select("doc_id", "items", F.struct(F.xxhash64("items"), F.xxhash64(F.lit(1), "items")).alias("h"))
+    keyed = checkpointed(owned.select("doc_id", "items", F.struct(F.xxhash64("items"), F.xxhash64(F.lit(1), "items")).alias("h")))  # read for the classes and their members
     lowest = keyed.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))).filter(F.col("r") <= per_document + 1)
     classes = lowest.groupBy("h").agg(F.min_by("items", "r").alias("items"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
     classes = checkpointed(classes.select("h", F.get("ids", F.lit(0)).alias("id"), "items", "ids"))  # read for the pairs, the own class and the members
+    asked = keyed.select("doc_id", "h")
+    if own is not None:
+        asked = asked.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    mine = classes if own is None else checkpointed(classes.join(asked, "h", "left_semi"))
     order = Window.partitionBy("own").orderBy(F.desc("shared"), "other")
-    pairs = overlaps(classes.select("id", "items"), 2, per_document)
-    near = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_document).select("own", "other", "shared")
-    near = near.unionByName(classes.filter(F.size("ids") > 1).select(F.col("id").alias("own"), F.col("id").alias("other"), F.size("items").cast("long").alias("shared")))
+    near = nearest(classes, mine, 2, per_document)
+    near = near.unionByName(mine.filter(F.size("ids") > 1).select(F.col("id").alias("own"), F.col("id").alias("other"), F.size("items").cast("long").alias("shared")))
     listed = near.join(classes.select(F.col("id").alias("other"), "ids"), "other").select("own", "shared", F.explode("ids").alias("other"))
     listed = listed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_document + 1).groupBy("own").agg(F.sort_array(F.collect_list(F.struct("r", "other", "shared"))).alias("l"))
-    members = keyed.select("doc_id", "h").join(classes.select("h", F.col("id").alias("own")), "h").select("doc_id", "own")
+    members = asked.join(mine.select("h", F.col("id").alias("own")), "h").select("doc_id", "own")
     ends = members.join(listed, "own").select("doc_id", F.explode(F.slice(F.filter("l", lambda x: x["other"] != F.col("doc_id")), 1, per_document)).alias("e")).select("doc_id", "e.other", "e.shared")
     strength = F.least(F.log(F.col("shared")) / 10, F.lit(P.ENTITY_LINK_CAP))
     return ends.select(F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b"), F.lit("entity").alias("link_type"), strength.alias("strength")).filter(F.col("strength") > P.ENTITY_LINK_FLOOR).distinct()
