@@ -351,6 +351,19 @@ def test_nearest_sets_are_exactly_the_best(spark, monkeypatch):
     assert wanted[500] == [(501, 800)]
 
 
+def test_entity_links_of_some_compares_only_theirs(spark, monkeypatch):
+    """The links that a few documents keep, as those of all have them; sets of others are never own."""
+    asked = []
+    nearest = links.nearest
+    monkeypatch.setattr(links, "nearest", lambda sets, own, *a: (asked.append({r.id for r in own.collect()}), nearest(sets, own, *a))[1])
+    sets = {d: {0, d % 3, 3 + d % 5} for d in range(40)}
+    chunk_entities = spark.createDataFrame([(d, e) for d, s in sets.items() for e in s], "chunk_id long, entity_id long")
+    owned = spark.createDataFrame([(d, d) for d in sets], "chunk_id long, document_id long")
+    got = links.entity_links_of(spark.createDataFrame([(7,), (11,), (999,)], "doc_id long"), chunk_entities, owned, 2)
+    kept = {(min(d, x), max(d, x)) for d in (7, 11) for _, x in sorted((-len(sets[d] & o), x) for x, o in sets.items() if x != d and len(sets[d] & o) >= 2)[:2]}
+    assert {(r.doc_a, r.doc_b) for r in got.collect()} == kept and asked == [{7, 11}]
+
+
 def test_related_by_one_tag(spark):
     docs = spark.createDataFrame([(i, f"{c}.md") for i, c in enumerate("abcdef")], "doc_id long, file_path string")
     tags = spark.createDataFrame([(0, "db"), (1, "db"), (2, "db"), (2, "rust"), (3, "rust"), (3, "web"), (4, "sea")], "doc_id long, name string")

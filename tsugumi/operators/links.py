@@ -308,13 +308,8 @@ def entity_links(chunk_entities: DataFrame, chunks: DataFrame, per_document: int
 
 
 def entity_links_of(own: DataFrame, chunk_entities: DataFrame, chunks: DataFrame, per_document: int = P.ENTITY_LINKS_PER_DOCUMENT) -> DataFrame:
-    """The entity links that the documents of ``own`` (doc_id) keep, against all: their entities are looked up, so the work grows with their number. Ties by id."""
-    items = chunk_entities.filter("entity_id is not null").join(chunks.select("chunk_id", F.col("document_id").alias("doc_id")), "chunk_id").select("doc_id", "entity_id").distinct()
-    mine = broadcast_if_small(items.join(own.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("own"), "entity_id"), 200_000)
-    shared = items.join(mine, "entity_id").filter("doc_id <> own").groupBy("own", F.col("doc_id").alias("other")).agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
-    kept = shared.withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("shared"), "other"))).filter(F.col("r") <= per_document)
-    strength = F.least(F.log(F.col("shared")) / 10, F.lit(P.ENTITY_LINK_CAP))
-    return kept.select(F.least("own", "other").alias("doc_a"), F.greatest("own", "other").alias("doc_b"), F.lit("entity").alias("link_type"), strength.alias("strength")).filter(F.col("strength") > P.ENTITY_LINK_FLOOR).distinct()
+    """The entity links that the documents of ``own`` (doc_id) keep, against all: only their classes are compared, so beyond reading the tables the work grows with their number. Ties by id."""
+    return entity_links(chunk_entities, chunks, per_document, own)
 
 
 def upserted(links: DataFrame, more: DataFrame) -> DataFrame:
