@@ -364,6 +364,19 @@ def test_entity_links_of_some_compares_only_theirs(spark, monkeypatch):
     assert {(r.doc_a, r.doc_b) for r in got.collect()} == kept and asked == [{7, 11}]
 
 
+def test_entity_links_at_documents(spark, monkeypatch):
+    """Both what they keep and what others keep with them, without the links of documents that share less than two entities with them."""
+    asked = []
+    nearest = links.nearest
+    monkeypatch.setattr(links, "nearest", lambda sets, own, *a: (asked.append(own.count()), nearest(sets, own, *a))[1])
+    sets = {d: {0, 10 + d % 4, 20 + d % 6, *({1, 2} if d % 7 == 0 else {})} for d in range(60)} | {90: {50, 51}, 91: {50, 51}}
+    chunk_entities = spark.createDataFrame([(d, e) for d, s in sets.items() for e in s], "chunk_id long, entity_id long")
+    owned = spark.createDataFrame([(d, d) for d in sets], "chunk_id long, document_id long")
+    every = {tuple(r) for r in links.entity_links(chunk_entities, owned, 3).collect()}
+    got = {tuple(r) for r in links.entity_links_at([0, 58], chunk_entities, owned, 3).collect()}
+    assert got == {r for r in every if {0, 58} & {r[0], r[1]}} and any(58 not in r[:2] for r in got) and asked[1] < asked[0]
+
+
 def test_related_by_one_tag(spark):
     docs = spark.createDataFrame([(i, f"{c}.md") for i, c in enumerate("abcdef")], "doc_id long, file_path string")
     tags = spark.createDataFrame([(0, "db"), (1, "db"), (2, "db"), (2, "rust"), (3, "rust"), (3, "web"), (4, "sea")], "doc_id long, name string")

@@ -312,6 +312,15 @@ def entity_links_of(own: DataFrame, chunk_entities: DataFrame, chunks: DataFrame
     return entity_links(chunk_entities, chunks, per_document, own)
 
 
+def entity_links_at(ids: list[int], chunk_entities: DataFrame, chunks: DataFrame, per_document: int = P.ENTITY_LINKS_PER_DOCUMENT) -> DataFrame:
+    """The entity links that have one of ``ids`` at an end: what these keep, and what the documents that share two entities with one of them keep."""
+    items = chunk_entities.filter("entity_id is not null").join(chunks.select("chunk_id", F.col("document_id").alias("doc_id")), "chunk_id").select("doc_id", "entity_id").distinct()
+    mine = items.filter(F.col("doc_id").isin(ids)).select(F.col("doc_id").alias("id"), "entity_id")
+    near = items.join(broadcast_if_small(mine), "entity_id").groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # with the documents themselves
+    links = entity_links(chunk_entities, chunks, per_document, near.select("doc_id"))
+    return links.filter(F.col("doc_a").isin(ids) | F.col("doc_b").isin(ids))
+
+
 def upserted(links: DataFrame, more: DataFrame) -> DataFrame:
     """One row per pair and type with the higher strength."""
     return links.unionByName(more).groupBy("doc_a", "doc_b", "link_type").agg(F.max("strength").alias("strength"))
