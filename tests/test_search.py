@@ -378,6 +378,14 @@ def test_entity_links_at_documents(spark, monkeypatch):
     assert got == {r for r in every if {0, 58} & {r[0], r[1]}} and any(58 not in r[:2] for r in got) and asked[1] < asked[0]
 
 
+def test_search_request_asks_only_for_links_of_its_results(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(links, "entity_links_at", lambda ids, *a: (asked.append(set(ids)), spark.createDataFrame([], links.LINKS))[1])
+    got = search_queries.search_request(spark, "/root/testdata/sf0.001").collect()
+    documents = {r.doc_id for r in got}
+    assert documents and asked == [documents]
+
+
 def test_link_upkeep_makes_the_links_once(spark):
     plan = search_queries.link_upkeep(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan  # they are read from where they were written

@@ -33,7 +33,7 @@ class Corpus:
     chunk_entities: DataFrame | None = None
     edges: DataFrame | None = None
     synonyms: DataFrame | None = None
-    links: DataFrame | None = None
+    links: DataFrame | Callable[[list[int]], DataFrame] | None = None  # all, or those with one of these doc_id at an end
     tag_links: DataFrame | None = None  # between classes
     tag_classes: DataFrame | None = None
     index: FT.Index | None = None  # without it texts are scanned
@@ -125,6 +125,7 @@ def results(corpus: Corpus, request: Request) -> DataFrame:
         return ranked
     own = ordered.select("doc_id").distinct()
     ids = [r.doc_id for r in own.collect()]  # at most top_k
-    near = L.related(corpus.links, corpus.documents, ids, tag_links=corpus.tag_links, classes=corpus.tag_classes).agg(F.sort_array(F.collect_list(F.struct(F.negative("strength").alias("o"), "file_path", "link_type", "strength"))).alias("r"))
+    ends = corpus.links(ids) if callable(corpus.links) else corpus.links
+    near = L.related(ends, corpus.documents, ids, tag_links=corpus.tag_links, classes=corpus.tag_classes).agg(F.sort_array(F.collect_list(F.struct(F.negative("strength").alias("o"), "file_path", "link_type", "strength"))).alias("r"))
     near = near.select(F.transform("r", lambda x: F.struct(x["file_path"].alias("file_path"), x["link_type"].alias("link_type"), x["strength"].alias("strength"))).alias("related_docs"))
     return ranked.crossJoin(F.broadcast(near)).withColumn("related_docs", F.when(F.col("rank") == 1, F.col("related_docs")))
